@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from careshed.llm import licenses
 from careshed.llm.decontaminate import overlaps
 from careshed.llm.exact_dedup import exact_duplicates
+from careshed.llm.line_dedup import line_counts
 from careshed.llm.minhash import near_duplicates
 
 
@@ -16,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_counts(_read(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op4_minhash_near_dedup, op8_decontamination, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_license_scan, op4_minhash_near_dedup, op8_decontamination, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
