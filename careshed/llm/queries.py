@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from careshed.llm import licenses
 from careshed.llm.decontaminate import overlaps
 from careshed.llm.exact_dedup import exact_duplicates
+from careshed.llm.language import languages
 from careshed.llm.line_dedup import line_counts
 from careshed.llm.minhash import near_duplicates
+from careshed.llm.packing import pieces
+from careshed.llm.quality import quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_counts(_read(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents"))
 
@@ -29,10 +36,18 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(_read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_read(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -48,7 +63,7 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_license_scan, op4_minhash_near_dedup, op8_decontamination, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op6_packing, op8_decontamination, op9_language_id, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
