@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from careshed.llm import licenses
 from careshed.llm.decontaminate import overlaps
 from careshed.llm.exact_dedup import exact_duplicates
+from careshed.llm.html_text import extract
 from careshed.llm.language import languages
 from careshed.llm.line_dedup import line_counts
+from careshed.llm.lm_score import lm_scores
 from careshed.llm.minhash import near_duplicates
 from careshed.llm.packing import pieces
 from careshed.llm.quality import quality
@@ -36,10 +38,18 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(_read(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -63,7 +73,7 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op6_packing, op8_decontamination, op9_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op5_lm_score, op6_packing, op7_html_extraction, op8_decontamination, op9_language_id, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
