@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, as a Java character class: blank, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = "[\\x20\\x09-\\x0D]"
@@ -37,6 +38,15 @@ def checked_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(small) if rows <= limit else small
 
 
+def without(docs: DataFrame, dropped: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """``docs`` without the documents whose doc_id is in ``dropped``; rows without an id stay.
+
+    Up to ``limit`` ids are broadcast (at most 32 MB); beyond that both sides are shuffled.
+    """
+    ids = table(dropped.select("doc_id").distinct(), "dropped")
+    return docs.join(checked_broadcast(ids, ids.count(), limit), "doc_id", "left_anti").select(docs.columns)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -46,7 +56,7 @@ def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow``, with this package sent to the executors where they do not have it yet."""
     context, root = df.sparkSession.sparkContext, Path(__file__).resolve().parents[2]
     if str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and not getattr(context, "_careshed_sent", False):

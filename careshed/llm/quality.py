@@ -9,7 +9,7 @@ it once into one number for each bucket; the sum is the same.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,22 +121,31 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
     return Model(*(np.frombuffer(bytes(x), np.float32).reshape(shape) for x, shape in zip(got, ((BUCKETS, WIDTH), (2, WIDTH), (2,)), strict=True)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text) with score, the probability of class 1; the mean over the whole text."""
+def _judge(model: Model) -> Callable[[pa.Array], np.ndarray]:
     table, bias = model.folded()
     table = table.astype(np.float32)
 
+    def judge(texts: pa.Array) -> np.ndarray:
+        out = np.zeros(len(texts))
+        for a, off, data in text_chunks(texts):
+            rows = len(off) - 1
+            total, number = np.zeros(rows), np.zeros(rows)
+            for row, bucket in features(off, data):
+                total += np.bincount(row, table[bucket], rows)
+                number += np.bincount(row, minlength=rows)
+            out[a : a + rows] = 1 / (1 + np.exp(-np.clip(total / np.maximum(number, 1) + bias, -60, 60)))
+        return out
+
+    return judge
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (doc_id, text) with score, the probability of class 1; the mean over the whole text."""
+    judge = _judge(model)
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for a, off, data in text_chunks(batch.column(1)):
-                rows = len(off) - 1
-                total, number = np.zeros(rows), np.zeros(rows)
-                for row, bucket in features(off, data):
-                    total += np.bincount(row, table[bucket], rows)
-                    number += np.bincount(row, minlength=rows)
-                out[a : a + rows] = 1 / (1 + np.exp(-np.clip(total / np.maximum(number, 1) + bias, -60, 60)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(judge(batch.column(1)))], names=["doc_id", "score"])
 
     return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scored, "doc_id long, score double")
 
@@ -157,3 +166,14 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sa
     model = train(docs, labels, ~held_out(F.col("doc_id")), sample=sample)
     out = score(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold; the model is learned as for ``quality``."""
+    judge, at = _judge(train(docs, labels, ~held_out(F.col("doc_id")), sample=sample)), docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at)) >= threshold))
+
+    return in_arrow(docs, kept, docs.schema)
