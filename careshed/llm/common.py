@@ -1,36 +1,22 @@
-"""Shared pieces of the training-data operators: work tables in the shared folder and size-checked joins."""
+"""Shared pieces of the training-data operators: size-checked joins, texts and folds, Arrow functions."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from careshed.core.work import table
+
 #: ASCII white space, as a Java character class: blank, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = "[\\x20\\x09-\\x0D]"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-careshed-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def table(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ASCII_SPACE", "checked_broadcast", "in_arrow", "in_fold", "table", "text_of", "without"]
 
 
 def checked_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:

@@ -6,8 +6,10 @@ gives every signature coordinate. Five coordinates make a band; documents that a
 1. Documents with the same shingle set collapse into one class before anything is compared.
 2. In each bucket every class is linked with the bucket's least id (a star, so rows stay linear in the bucket's
    size), each such link is verified on the full sets, and the links are joined into components.
-3. Buckets that still hold several components are searched for links between components. Large ones are dealt
-   as blocks of bounded size, and signatures pick the pairs that are verified on the full sets.
+3. Rounds of further stars, each around another member of every bucket that still holds several components,
+   join most of what is left, while rows stay linear.
+4. Buckets that then still hold several components are searched for links between components. Large ones are
+   dealt as blocks of bounded size, and signatures pick the pairs that are verified on the full sets.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ ROWS, BANDS, SHINGLE = 5, 40, 5
 SKETCH_FLOOR = 0.58
 #: Members of a block of a bucket, and members that are verified with one copy of their centre's set.
 BLOCK = 256
+#: Members of a block in the rounds of step 3, and the most rounds; what they leave goes to step 4.
+STAR_BLOCK, STAR_ROUNDS = 4096, 3
 #: Ids that may be broadcast to pick documents (at most 32 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -118,29 +122,34 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return in_arrow(sent, compare, "a long, b long")
 
 
-def _across(rows: DataFrame, percent: int, floor: float) -> DataFrame:
+def _across(rows: DataFrame, percent: int, floor: float, star: int | None = None) -> DataFrame:
     """Pairs of members of a bucket that lie in different components and whose sizes and signatures allow a link.
 
-    A bucket of more than BLOCK members is dealt as pairs of blocks; a task holds two blocks at a time.
+    A bucket of more than BLOCK members is dealt as pairs of blocks; a task holds two blocks at a time. With
+    ``star``, the number of a round, only pairs with one member of each block, another one in each round.
     """
+    block = BLOCK if star is None else STAR_BLOCK
     sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    sizes = table(sizes.where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "minhash-open")
+    sizes = table(sizes.where("lo < hi").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "minhash-open")
     member = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if star is None else F.col("block")
     dealt = member.select("key", "id", "component", "n", "sketch", "block", other.alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "sketch")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
     def match(ids, comp, n, sketch) -> list[tuple[int, int]]:
+        from careshed.llm.words import mix64
+
         found, size = [], len(ids)
-        for x in range(size - 1):
-            y = slice(x + 1, size)
+        centre = 0 if star is None else int(mix64(ids.astype(np.uint64) * np.uint64(2 * star + 3) + np.uint64(size)).argmin())
+        for x in range(size - 1) if star is None else [centre]:
+            y = slice(x + 1, size) if star is None else slice(0, size)
             ok = (comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))
             if ok.any():
                 at = np.flatnonzero(ok)
-                at = at[(sketch[x + 1 + at] == sketch[x]).mean(axis=1) >= floor]
-                found += [(int(ids[x]), int(v)) for v in ids[x + 1 + at]]
+                at = at[(sketch[y.start + at] == sketch[x]).mean(axis=1) >= floor]
+                found += [(min(i, v), max(i, v)) for i in [int(ids[x])] for v in ids[y.start + at].tolist()]
         return found
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +203,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
     stars = buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     stars = table(stars, "minhash-stars")
     links = table(_verified(docs, stars, k, percent), "minhash-links")
-    first = components(links)
-
-    placed = buckets.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    pairs = table(_across(placed.join(sketch, "id"), percent, SKETCH_FLOOR), "minhash-pairs")
-    pairs = table(pairs.join(stars, ["a", "b"], "left_anti"), "minhash-pairs")
-    links = links.unionByName(table(_verified(docs, pairs, k, percent), "minhash-links"))
-    joined = components(links)
+    joined, tried = components(links), stars
+    for star in [*range(STAR_ROUNDS), None]:
+        placed = buckets.join(joined, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+        pairs = table(_across(placed.join(sketch, "id"), percent, SKETCH_FLOOR, star).join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+        if pairs.isEmpty():
+            continue
+        new = table(_verified(docs, pairs, k, percent), "minhash-links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            joined = components(links)
+        tried = tried.unionByName(pairs)
 
     classes = classes.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     classes = table(classes, "minhash-components")
