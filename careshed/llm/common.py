@@ -18,6 +18,8 @@ ASCII_SPACE = "[\\x20\\x09-\\x0D]"
 
 __all__ = ["ASCII_SPACE", "checked_broadcast", "in_arrow", "in_fold", "table", "text_of", "without"]
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def checked_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint if ``small`` has at most ``limit`` rows; otherwise Spark shuffles both sides."""
@@ -52,4 +54,7 @@ def in_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
                 z.write(file, file.relative_to(root))
         context.addPyFile(archive)
         context._careshed_sent = True
+    conf = df.sparkSession.conf
+    if conf.get(ROWS, "10000") == "10000":  # Spark's default; whole texts in so many rows are too much for two tasks' memory
+        conf.set(ROWS, "1000")
     return df.mapInArrow(function, schema)

@@ -19,7 +19,7 @@ from careshed.llm.common import in_arrow, in_fold
 
 WIDTH, GRAM, SEED = 512, 3, 20_011
 #: Code points taken together; a longer text is taken alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: At most so many languages are learned, those with the most documents; the prototypes then fit in 4 MB.
 LANGUAGES = 1000
 

@@ -19,7 +19,7 @@ _LANE = np.random.default_rng(0xA11CE).integers(1, 1 << 63, 8, dtype=np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Bytes of text hashed at a time; a longer text is taken alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
