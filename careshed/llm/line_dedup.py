@@ -22,10 +22,22 @@ MIN_WORDS = 6
 BROADCAST_LINES = 1_000_000
 
 
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"))
+
+
+def _words(line: Column) -> Column:
+    """Hashes of the line's words. Lines with single blanks only, the usual ones, need no pattern."""
+    other = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for c in "\t\v\f\r":
+        other |= F.contains(line, F.lit(c))
+    cut = F.filter(F.split(line, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    words = F.when(line == "", F.array().cast("array<string>")).when(other, cut).otherwise(F.split(line, " "))
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"))
-    words = F.filter(F.split("line", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    return lines.select("doc_id", "line_no", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") > 0)
+    return _raw_lines(docs).select("doc_id", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
 
 
 def _pair(*cols: Column) -> Column:
@@ -59,34 +71,63 @@ def _within_one(a: Column, b: Column) -> Column:
     )
 
 
+#: A prime under 2**31, so that products fit in a long, and a base with its inverse.
+_PRIME, _BASE = 2_147_483_647, 1_000_003
+_BACK = pow(_BASE, -1, _PRIME)
+
+
 def _variants(lines: DataFrame) -> DataFrame:
-    """(pos, key, length, at): the line itself with at = -1 and its variants without the word at each position."""
-    words, n = F.col("words"), F.size("words")
-    own = F.array(F.struct(_pair(words).alias("key"), n.alias("length"), F.lit(-1).alias("at")))
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(_pair(F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, n))).alias("key"), (n - 1).alias("length"), i.alias("at")))
-    return lines.select("pos", F.inline(F.concat(own, cut)))
+    """(pos, order, bag, length, at): the line itself with at = -1 and its variants without the word at each position.
+
+    ``order`` is a polynomial in the words' hashes and ``bag`` their exclusive or, together 95 bits. Sums over the
+    words before each position give every variant's in constant time. A line that shares only one half with others
+    emits the variants of the other half.
+    """
+    words, n = F.col("words"), F.col("n")
+    start = F.struct(F.array(F.lit(0).cast("long")).alias("sums"), F.lit(1).cast("long").alias("power"))
+
+    def step(acc: Column, w: Column) -> Column:
+        total = F.pmod(F.element_at(acc["sums"], -1) + F.pmod(w, F.lit(_PRIME)) * acc["power"], F.lit(_PRIME))
+        return F.struct(F.concat(acc["sums"], F.array(total)).alias("sums"), F.pmod(acc["power"] * _BASE, F.lit(_PRIME)).alias("power"))
+
+    sums = F.aggregate(words, start, step, lambda acc: acc["sums"])
+    bag = F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(w))
+    low = F.when(F.col("first") & ~F.col("second"), F.floor((n - 1) / 2)).otherwise(0).cast("int")
+    high = F.when(F.col("second") & ~F.col("first"), F.floor(n / 2)).otherwise(n - 1).cast("int")
+    rows = lines.select("pos", "words", "n", sums.alias("sums"), bag.alias("bag"), low.alias("low"), high.alias("high"))
+
+    def variant(i: Column) -> Column:
+        before, after = F.get("sums", i), F.get("sums", n) - F.get("sums", i + 1) + _PRIME
+        return F.struct(F.pmod(before + F.pmod(after, F.lit(_PRIME)) * _BACK, F.lit(_PRIME)).alias("order"), F.col("bag").bitwiseXOR(F.get(words, i)).alias("bag"), (n - 1).alias("length"), i.alias("at"))
+
+    own = F.array(F.struct(F.get("sums", n).alias("order"), F.col("bag").alias("bag"), n.alias("length"), F.lit(-1).alias("at")))
+    return rows.select("pos", F.inline(F.concat(own, F.transform(F.sequence("low", "high"), variant))))
 
 
 def _near(distinct: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """(pos, earlier): distinct lines with an earlier line within one word, by their first places."""
-    halves = distinct.where(F.col("n") >= min_words).select("pos", "id", F.explode("halves").alias("half"))
-    open_ = halves.groupBy("half").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("half")
-    picked = table(halves.join(open_, "half").select("pos").distinct(), "lines-picked")
+    halves = distinct.where(F.col("n") >= min_words).select("pos", F.col("id.x").alias("line"), F.posexplode("halves").alias("which", "half"))
+    open_ = halves.groupBy("half").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("half")
+    shared = halves.join(open_, "half").groupBy("pos").agg(F.max(F.col("which") % 2 == 0).alias("first"), F.max(F.col("which") % 2 == 1).alias("second"))
+    picked = table(shared, "lines-picked")
     place = picked.select(F.xxhash64("pos").alias("place"))
     pos = F.struct("doc_id", "line_no")
-    lines = _lines(docs).where(F.size("words") >= min_words).select(pos.alias("pos"), "words")
+    lines = _raw_lines(docs).select(pos.alias("pos"), "line")
     lines = lines.join(checked_broadcast(place, picked.count(), BROADCAST_LINES), F.xxhash64("pos") == F.col("place"), "left_semi")
-    lines = table(lines.dropDuplicates(["pos"]), "lines-words")
+    lines = lines.select("pos", _words(F.col("line")).alias("words")).dropDuplicates(["pos"]).join(picked, "pos").withColumn("n", F.size("words"))
+    lines = table(lines, "lines-words")
 
     variants = table(_variants(lines), "lines-variants")
-    least = variants.groupBy("key", "length", "at").agg(F.min("pos").alias("first"), F.count("*").alias("lines"))
-    ends = least.groupBy("key", "length").agg(F.min(F.when(F.col("at") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("first"))).alias("cut"), F.sum("lines").alias("lines")).where("lines > 1")
-    ends = table(ends.select("key", "length", "whole", "cut"), "lines-ends")
-    least = table(least.where("lines > 1 AND at >= 0").select("key", "length", "at", "first"), "lines-least")
-    across = variants.join(ends, ["key", "length"]).select("pos", F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")).alias("earlier"))
-    replaced = variants.join(least, ["key", "length", "at"]).select("pos", F.col("first").alias("earlier"))
+    key = ["order", "bag", "length"]
+    least = variants.groupBy(*key, "at").agg(F.min("pos").alias("first"), F.count("*").alias("lines"))
+    ends = least.groupBy(*key).agg(F.min(F.when(F.col("at") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("first"))).alias("cut"), F.sum("lines").alias("lines")).where("lines > 1 AND whole IS NOT NULL AND cut IS NOT NULL")
+    ends = table(ends.select(*key, "whole", "cut"), "lines-ends")
+    least = table(least.where("lines > 1 AND at >= 0").select(*key, "at", "first"), "lines-least")
+    across = variants.join(ends, key).select("pos", F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")).alias("earlier"))
+    replaced = variants.join(least, [*key, "at"]).select("pos", F.col("first").alias("earlier"))
     pairs = across.unionByName(replaced).where("earlier < pos").groupBy("pos").agg(F.min("earlier").alias("earlier"))
-    both = pairs.join(lines, "pos").join(lines.select(F.col("pos").alias("earlier"), F.col("words").alias("other")), "earlier")
+    words = lines.select("pos", "words")
+    both = pairs.join(words, "pos").join(words.select(F.col("pos").alias("earlier"), F.col("words").alias("other")), "earlier")
     return both.where(_within_one(F.col("words"), F.col("other"))).select("pos", "earlier")
 
 
