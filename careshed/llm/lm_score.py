@@ -3,7 +3,8 @@
 Bigrams of public BPE tokens. The token table has one row for each id of the vocabulary, a proven bound, and is
 broadcast. The bigram table is cut into buckets by hash. A first pass counts: every task adds up its bigrams and
 sends one packed row to each bucket it has met. A second pass explodes the documents into their distinct bigrams,
-again packed by bucket, meets them with the bucket's counts, and adds the scores up for each document.
+again packed by bucket, meets them with the bucket's counts, and sends one packed row of partial sums back for each run
+of documents, where they are added up.
 
 Packed rows hold sorted arrays, so a bucket's rows are joined by binary search. A bucket with many n-grams (a
 very frequent bigram stands in all documents) is dealt to several tasks, each with a copy of its counts.
@@ -179,10 +180,10 @@ def lm_scores(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, pat
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for batch in batches:
+            out = []
             for bucket, first, keys, rows, times in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
                 if bucket < 0:
-                    ids, tokens = np.frombuffer(keys, "<i8"), np.frombuffer(rows, "<u4").astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(ids))), pa.array(ids, mask=ids == NO_ID), pa.array(tokens), pa.array(np.zeros(len(ids)))], names=["row", "doc_id", "n_tokens", "score"])
+                    out.append((first, keys, rows, None, None))
                 elif first < 0:  # the bucket's counts come before its n-grams
                     known, number = np.frombuffer(keys, "<u4"), np.frombuffer(rows, "<i8")
                 else:
@@ -192,14 +193,33 @@ def lm_scores(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, pat
                     seen = number[np.searchsorted(known, keys)]
                     value = np.where(seen >= least, np.log(seen) - log_left[keys >> 16], log_right[keys & 0xFFFF]) * times
                     sums, met = np.bincount(rows, value), np.flatnonzero(np.bincount(rows))
-                    none = pa.nulls(len(met), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(met + first), none, none, pa.array(sums[met])], names=["row", "doc_id", "n_tokens", "score"])
+                    out.append((first, None, None, met.astype("<u4").tobytes(), sums[met].tobytes()))
+            first, ids, tokens, rows, sums = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), *(pa.array(x, pa.binary()) for x in (ids, tokens, rows, sums))], names=["first", "ids", "tokens", "rows", "sums"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tokens, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(tokens), pa.array(score)], names=["doc_id", "n_tokens", "score"])
+
+        for batch in batches:
+            for name, count, rows, sums in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                if name is not None:  # the rows of a run come before their sums
+                    yield done()
+                    ids, tokens = np.frombuffer(name, "<i8"), np.frombuffer(count, "<u4").astype(np.int64)
+                    score = np.zeros(len(ids))
+                else:
+                    score[np.frombuffer(rows, "<u4")] += np.frombuffer(sums, "<f8")
+        yield done()
 
     schema = "bucket int, part int, first long, keys binary, rows binary, times binary"
     ngrams = in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), exploded, schema)
     part = F.explode(F.sequence(F.lit(0), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for b, n in parts.items() if n > 1 for x in (b, n)]), F.col("bucket")), F.lit(1)) - 1)) if max(parts.values(), default=1) > 1 else F.lit(0)
     copies = counts.select("bucket", part.alias("part"), F.lit(-1).cast("long").alias("first"), "keys", F.col("counts").alias("rows"), F.lit(b"").alias("times"))
     met = ngrams.unionByName(copies).repartition(buckets, "bucket", "part").sortWithinPartitions("bucket", "part", "first")
-    sums = in_arrow(met, scored, "row long, doc_id long, n_tokens long, score double").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("score").alias("score"))
+    partial = in_arrow(met, scored, "first long, ids binary, tokens binary, rows binary, sums binary")
+    partial = partial.repartition(buckets, "first").sortWithinPartitions("first", F.col("ids").isNull())
+    sums = in_arrow(partial, summed, "doc_id long, n_tokens long, score double")
     score = F.round("score", 6) + F.lit(0.0)
     return sums.select("doc_id", "n_tokens", score.alias("log_score"), F.round(F.try_divide("score", "n_tokens"), 6).alias("mean_log_score"))

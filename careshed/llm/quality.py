@@ -118,6 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
 
     one = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("label").cast("int")).coalesce(1)  # a bounded sample
     got = in_arrow(one, learned, "vectors binary, weights binary, bias binary").first()
+    if got is None:  # no labelled document, and so no task
+        return fit(pa.array([], pa.string()), np.zeros(0, np.int64))
     return Model(*(np.frombuffer(bytes(x), np.float32).reshape(shape) for x, shape in zip(got, ((BUCKETS, WIDTH), (2, WIDTH), (2,)), strict=True)))
 
 
