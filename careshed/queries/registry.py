@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None, helpers: dict[str, str] | None = No
 
 
 def _load() -> None:
-    for module in ("surveillance", "spatial", "climate", "features", "models"):
+    for module in ("surveillance", "spatial", "climate", "features", "models", "exports"):
         importlib.import_module(f"careshed.queries.{module}")
 
 
