@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast.
 BROADCAST_ROWS = 2_000
+_own_dirs: dict[str, str] = {}  # by application
 
 
 def session(app: str = "careshed", **config: str) -> SparkSession:
@@ -22,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-careshed-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own_dirs[app] = _own_dirs.get(app) or tempfile.mkdtemp(prefix="spark-careshed-")
     return base.rstrip("/")
 
 
