@@ -6,10 +6,9 @@ gives every signature coordinate. Five coordinates make a band; documents that a
 1. Documents with the same shingle set collapse into one class before anything is compared.
 2. In each bucket every class is linked with the bucket's least id (a star, so rows stay linear in the bucket's
    size), each such link is verified on the full sets, and the links are joined into components.
-3. Rounds of further stars, each around another member of every bucket that still holds several components,
-   join most of what is left, while rows stay linear.
-4. Buckets that then still hold several components are searched for links between components. Large ones are
-   dealt as blocks of bounded size, and signatures pick the pairs that are verified on the full sets.
+3. In buckets that still hold several components all pairs are compared on the full sets, inside the tasks:
+   large buckets are dealt as pairs of blocks of bounded size, shared shingles are counted by matrix products,
+   and only links that join components leave a task, fewer than it has members.
 """
 
 from __future__ import annotations
@@ -27,12 +26,10 @@ from careshed.llm.components import components
 from careshed.llm.words import row_shingles
 
 ROWS, BANDS, SHINGLE = 5, 40, 5
-#: Pairs whose signatures agree on less than this share of coordinates cannot reach 0.75 (five deviations off).
-SKETCH_FLOOR = 0.58
-#: Members of a block of a bucket, and members that are verified with one copy of their centre's set.
-BLOCK = 256
-#: Members of a block in the rounds of step 3, and the most rounds; what they leave goes to step 4.
-STAR_BLOCK, STAR_ROUNDS = 4096, 3
+#: Members of a block of a bucket, and parts to which the members of a star's centre are dealt.
+BLOCK, PARTS = 256, 64
+#: Shingles that are counted by one matrix product.
+COLUMNS = 4096
 #: Ids that may be broadcast to pick documents (at most 32 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -62,7 +59,7 @@ def signatures(docs: DataFrame, rows: int, bands: int, k: int) -> DataFrame:
 
         lane = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            n, keys, sets, sketches = [], [], [], []
+            n, keys, sets = [], [], []
             for s in row_shingles(batch.column(1), k):
                 n.append(len(s))
                 if len(s):
@@ -72,12 +69,11 @@ def signatures(docs: DataFrame, rows: int, bands: int, k: int) -> DataFrame:
                         key = mix64(key ^ sig[j::rows])
                     sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     keys.append(key.view(np.int64))
-                    sketches.append((sig & np.uint32(0xFF)).astype(np.uint8).tobytes())
                 else:
-                    sets.append(None), keys.append(None), sketches.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "set_id", "bands", "sketch"])
+                    sets.append(None), keys.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "bands"])
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), sign, "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), sign, "doc_id long, n_shingles long, set_id binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -91,13 +87,21 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return in_arrow(wanted, shingle, "doc_id long, shingles binary")
 
 
+def _picked(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """The shingles of the documents in ``ids`` (id), written once."""
+    ids = table(ids.distinct(), "minhash-ids")
+    return table(_sets(docs, checked_broadcast(ids, ids.count(), BROADCAST_IDS), k), "minhash-sets")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. ``a`` is sent once for each BLOCK members."""
-    ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "minhash-ids")
-    sets = table(_sets(docs, checked_broadcast(ids, ids.count(), BROADCAST_IDS), k).dropDuplicates(["doc_id"]), "minhash-sets")
-    spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    members = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("doc_id"))
-    centres = spread.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
+    """The pairs (a, b) whose full shingle sets are similar enough.
+
+    The members b of a centre a are dealt to PARTS parts, each with one copy of the centre's set, which a task
+    holds while the members' sets stream by.
+    """
+    sets = _picked(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), k)
+    members = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int").alias("part"), F.col("b").alias("doc_id"))
+    centres = members.select("a", "part").distinct().withColumn("doc_id", F.col("a"))
     sent = members.unionByName(centres).join(sets, "doc_id").withColumn("member", F.col("a") != F.col("doc_id"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = sent.repartition(n, "a", "part").sortWithinPartitions("a", "part", "member").select("a", "part", "doc_id", "member", "shingles")
@@ -122,62 +126,70 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return in_arrow(sent, compare, "a long, b long")
 
 
-def _across(rows: DataFrame, percent: int, floor: float, star: int | None = None) -> DataFrame:
-    """Pairs of members of a bucket that lie in different components and whose sizes and signatures allow a link.
-
-    A bucket of more than BLOCK members is dealt as pairs of blocks; a task holds two blocks at a time. With
-    ``star``, the number of a round, only pairs with one member of each block, another one in each round.
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets (sorted, distinct) share."""
+    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = np.cumsum(times > 1) - 1  # elements of one set only are shared with nobody
+    own, column = own[times[column] > 1], often[column[times[column] > 1]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    own, column = own[order], column[order]
+    for a in range(0, int(often[-1]) + 1 if len(often) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (a, a + COLUMNS))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[own[lo:hi], column[lo:hi] - a] = 1
+        out += m @ m.T
+    return np.rint(out).astype(np.int64)
+
+
+def joining_links(ids: list[int], groups: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different groups, enough to join all groups that any links join."""
+    size = np.array([len(x) for x in sets])
+    both = shared_counts(sets)
+    linked = 100 * both >= percent * (size[:, None] + size - both)
+    label, found = np.unique(np.array(groups), return_inverse=True)[1], []
+    for x in range(len(ids)):
+        to = np.flatnonzero(linked[x] & (label != label[x]))
+        for other, at in zip(*np.unique(label[to], return_index=True), strict=True):
+            y = int(to[at])
+            found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+            label[label == other] = label[x]
+    return found
+
+
+def _across(docs: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket; ``placed`` has key, id, component.
+
+    A bucket of more than BLOCK members is dealt as pairs of blocks; a task holds two blocks' sets at a time.
     """
-    block = BLOCK if star is None else STAR_BLOCK
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    sizes = table(sizes.where("lo < hi").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "minhash-open")
-    member = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if star is None else F.col("block")
-    dealt = member.select("key", "id", "component", "n", "sketch", "block", other.alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "sketch")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-
-    def match(ids, comp, n, sketch) -> list[tuple[int, int]]:
-        from careshed.llm.words import mix64
-
-        found, size = [], len(ids)
-        centre = 0 if star is None else int(mix64(ids.astype(np.uint64) * np.uint64(2 * star + 3) + np.uint64(size)).argmin())
-        for x in range(size - 1) if star is None else [centre]:
-            y = slice(x + 1, size) if star is None else slice(0, size)
-            ok = (comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))
-            if ok.any():
-                at = np.flatnonzero(ok)
-                at = at[(sketch[y.start + at] == sketch[x]).mean(axis=1) >= floor]
-                found += [(min(i, v), max(i, v)) for i in [int(ids[x])] for v in ids[y.start + at].tolist()]
-        return found
+    sizes = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    sizes = table(sizes.where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "minhash-open")
+    member = table(placed.join(sizes, "key"), "minhash-members")
+    sets = _picked(docs, member.select("id"), k)
+    block = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
+    dealt = member.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("id").alias("doc_id"), "component").join(sets, "doc_id")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "doc_id", "component", "shingles")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of():
-            for batch in batches:
-                if batch.num_rows:
-                    yield [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)] + [np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, -1)]
-
-        def cut(held):
-            edge = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
-            return [0, *edge.tolist(), len(held[0])]
-
-        held = None
-        out: set[tuple[int, int]] = set()
-        for new in rows_of():
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            at = cut(held)
-            for a, b in zip(at[:-2], at[1:-1], strict=True):
-                out.update(match(*(x[a:b] for x in held[3:])))
-            held = [x[at[-2] :] for x in held]
-            if len(out) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
-                out = set()
-        if held is not None:
-            out.update(match(*held[3:]))
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
-
-    return in_arrow(dealt, search, "a long, b long").distinct()
+        now, ids, groups, sets, out = None, [], [], [], set()
+        for batch in batches:
+            shingles = batch.column(5)
+            for r, at in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if at != now:
+                    if len(ids) > 1:
+                        out.update(joining_links(ids, groups, sets, percent))
+                    now, ids, groups, sets = at, [], [], []
+                ids.append(batch.column(3)[r].as_py())
+                groups.append(batch.column(4)[r].as_py())
+                sets.append(np.frombuffer(shingles[r].as_py(), np.uint64))
+        if len(ids) > 1:
+            out.update(joining_links(ids, groups, sets, percent))
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return in_arrow(dealt, search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands: int = BANDS, k: int = SHINGLE) -> DataFrame:
@@ -195,25 +207,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
     signed = table(signatures(docs, rows, bands, k), "minhash-signatures")
     classes = table(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "minhash-classes")
     reps = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.select("set_id", "rep"), "set_id").where("doc_id = rep").dropDuplicates(["rep", "set_id"])
-    keyed = reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    keyed = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1")
     buckets = table(keyed.join(shared.select("key", "centre"), "key"), "minhash-buckets")
 
-    sketch = table(reps.select(F.col("rep").alias("id"), "sketch"), "minhash-sketches")
     stars = buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    stars = table(stars, "minhash-stars")
-    links = table(_verified(docs, stars, k, percent), "minhash-links")
-    joined, tried = components(links), stars
-    for star in [*range(STAR_ROUNDS), None]:
-        placed = buckets.join(joined, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        pairs = table(_across(placed.join(sketch, "id"), percent, SKETCH_FLOOR, star).join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        if pairs.isEmpty():
-            continue
-        new = table(_verified(docs, pairs, k, percent), "minhash-links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            joined = components(links)
-        tried = tried.unionByName(pairs)
+    links = table(_verified(docs, table(stars, "minhash-stars"), k, percent), "minhash-links")
+    first = components(links)
+    placed = table(buckets.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "minhash-placed")
+    more = table(_across(docs, placed, k, percent), "minhash-links")
+    joined = first if more.isEmpty() else components(links.unionByName(more))
 
     classes = classes.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     classes = table(classes, "minhash-components")
