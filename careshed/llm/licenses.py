@@ -73,8 +73,8 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, d
     text = F.lower(text_of())
     lines = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     whole = docs.select("doc_id", F.lit(-1).alias("line_no"), text.alias("line")).where(F.contains("line", F.lit("\n")))
-    units = lines.unionByName(whole).where(F.col("line").rlike("\\S")).withColumn("words", _words(F.col("line")))
-    units = units.where(F.size("words") > 0).select("doc_id", "line_no", _bigrams(F.col("words")).alias("bigrams"))
+    units = lines.unionByName(whole).where(F.col("line").rlike("[\\p{L}\\p{N}]")).withColumn("words", _words(F.col("line")))
+    units = units.select("doc_id", "line_no", _bigrams(F.col("words")).alias("bigrams"))
     units = units.select("doc_id", "line_no", "bigrams", F.size("bigrams").alias("size"))
     met = units.join(F.broadcast(known), "size")  # the templates are fixed values of this module or a small argument
     shared = F.size(F.array_intersect("bigrams", "pattern"))

@@ -37,7 +37,8 @@ def _words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return _raw_lines(docs).select("doc_id", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    some = F.col("line").rlike("[^\\x20\\x09-\\x0D]")  # a test on the words would have them cut twice, below and above the filter
+    return _raw_lines(docs).where(some).select("doc_id", "line_no", _words(F.col("line")).alias("words"))
 
 
 def _pair(*cols: Column) -> Column:
