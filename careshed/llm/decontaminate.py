@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing (DataFrame operations only).
 
-A seed is a window of SPAN tokens seen through a fixed mask that ignores two of them, so that a replaced token
-under the mask leaves the hash as it was. Test items are hashed at every position, documents at every ``stride``
-positions, where the stride is small enough that a shared run of the shortest item holds a hashed window. Equal
-hashes give alignments of an item in a document; each is verified token by token.
+A seed is a window of up to SPAN tokens seen through a fixed mask that ignores some of them, so that a replaced token
+there leaves the hash as it was. Test items and documents are hashed at every position through each mask. Equal hashes
+give alignments of an item in a document; each is verified token by token. No accepted alignment is lost: one that
+matches in 75 % of the item has a stretch of 9 tokens with 2 replaced, of 12 with 3 or of 16 with 4 (or fewer), and
+so has one of 11 matches in 13; each way to replace these leaves one of the masks whole, which a test enumerates.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from careshed.llm.common import checked_broadcast, table, text_of
 
-#: Fixed masks; 0 marks an ignored token. Of windows STRIDE apart, one holds a given token where a mask ignores it.
-MASKS = ("110111011", "111011101", "101101111")
-SPAN, STRIDE = 9, 4
+#: Fixed masks; 0 marks an ignored token. A share below SHARE or fewer masks would lose alignments.
+MASKS = ("110111", "110001011", "1111001", "101000111", "100101011")
+SPAN = 9
 #: An alignment counts if this share of the item's tokens match, or this many within WINDOW tokens in a row.
 SHARE, WINDOW, MATCHES = 0.75, 13, 11
 #: Seeds, and candidate alignments, that may be broadcast (at most 64 MB); more are joined by a shuffle.
@@ -27,14 +28,16 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(words: Column, stride: Column | int) -> Column:
-    """For every ``stride``-th window the hashes through each mask, flat: seed s of window w is at w * masks + s."""
+def _seeds(texts: DataFrame, words: str) -> DataFrame:
+    """A row (at, seed) for every position and mask that fits there, beside the first column; in generated code
+    throughout, as a lambda over positions would be interpreted."""
+    starts = texts.where(F.size(words) >= SPAN).select(texts.columns[0], words, F.explode(F.sequence(F.lit(0), F.size(words) - min(map(len, MASKS)))).alias("at"))
 
-    def window(i: Column) -> Column:
-        return F.array(*[F.xxhash64(F.lit(m), *[F.get(words, i + j) for j, bit in enumerate(mask) if bit == "1"]) for m, mask in enumerate(MASKS)])
+    def seed(number: int, mask: str) -> Column:
+        tokens = [F.get(words, F.col("at") + j) for j, bit in enumerate(mask) if bit == "1"]
+        return F.when(F.col("at") + len(mask) <= F.size(words), F.xxhash64(F.lit(number), *tokens))
 
-    starts = F.when(F.size(words) >= SPAN, F.sequence(F.lit(0), F.size(words) - SPAN, F.lit(stride)))
-    return F.flatten(F.transform(starts, window))
+    return starts.select(texts.columns[0], "at", F.explode(F.array(*[seed(m, mask) for m, mask in enumerate(MASKS)])).alias("seed")).where("seed IS NOT NULL")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -49,15 +52,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> Dat
     """
     items = benchmark.where("item_id IS NOT NULL").select("item_id", tokens(text_of()).alias("item")).where(F.size("item") >= SPAN).distinct()
     items = table(items, "decontaminate-items")
-    shortest, n_items = items.agg(F.min(F.size("item")), F.count("*")).first()
-    stride = max(1, min(STRIDE, (shortest or SPAN) - SPAN + 1))
-    seeds = items.select("item_id", F.posexplode(_seeds(F.col("item"), 1)).alias("at", "seed"))
-    seeds = table(seeds.select("item_id", F.floor(F.col("at") / len(MASKS)).cast("int").alias("item_at"), "seed").distinct(), "decontaminate-seeds")
+    n_items = items.count()
+    seeds = table(_seeds(items, "item").withColumnRenamed("at", "item_at").distinct(), "decontaminate-seeds")
     seeds = checked_broadcast(seeds, seeds.count(), BROADCAST_SEEDS)
 
     words = docs.where("doc_id IS NOT NULL").select("doc_id", tokens(text_of()).alias("words"))
-    probes = words.select("doc_id", F.posexplode(_seeds(F.col("words"), stride)).alias("at", "seed"))
-    hits = probes.join(seeds, "seed").select("doc_id", "item_id", (F.floor(F.col("at") / len(MASKS)).cast("int") * stride - F.col("item_at")).alias("shift"))
+    hits = _seeds(words, "words").join(seeds, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
     hits = table(hits.distinct(), "decontaminate-hits")
     hits = checked_broadcast(hits, hits.count(), BROADCAST_HITS)
 
