@@ -1,14 +1,17 @@
 """Main text of web pages: page structure, and a suffix array over each host's pages for what it leaves open.
 
 Each page is read into blocks: main (inside an article or main element), boilerplate (menus, headers, footers,
-sidebars, notices, adverts, forms, comments, by element or by class, id or role) and open ones. The pages of a
-host, in shards of bounded size, put the token streams of all blocks outside the main element one after another;
-prefix doubling ranks every position by its next RUN tokens, which is a suffix array cut off at that depth.
-Runs that stand on PAGES pages of different text or more are boilerplate: open blocks keep their unique runs.
+sidebars, notices, adverts, forms, comments, by element or by class, id or role) and open ones. Structure alone
+decides pages with a main element. A host with other pages puts the token streams of all its blocks outside the main
+element one after another; prefix doubling ranks every position by its next RUN tokens, which is a suffix array cut
+off at that depth. A host too large for one task is dealt to shards of bounded size, and its runs are counted over all
+of them by hash. Runs that stand on PAGES pages of different text or more are boilerplate: open blocks keep their
+unique runs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +28,7 @@ from careshed.llm.common import checked_broadcast, in_arrow, table
 RUN, PAGES = 8, 3
 #: Bytes of html in a shard of a host's pages.
 SHARD = 1 << 20
-#: Hosts of several shards that may be broadcast (some 20 MB); more are joined by a shuffle.
+#: Hosts with open pages that may be broadcast (some 20 MB); more are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
 
 MAIN, OPEN, BOILERPLATE = 0, 1, 2
@@ -164,11 +168,56 @@ def _own(covered: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-def main_texts(pages: list[list[tuple[int, str]]], run: int = RUN, least: int = PAGES) -> list[str]:
-    """The main text of each of a host's pages, given as blocks."""
-    streams = [[w for kind, text in page if kind != MAIN for w in text.split()] for page in pages]
+def _stream(page: list[tuple[int, str]]) -> list[str]:
+    return [w for kind, text in page if kind != MAIN for w in text.split()]
+
+
+def _is_open(page: list[tuple[int, str]]) -> bool:
+    """Whether runs decide the page: it has open blocks and no main ones."""
+    kinds = {kind for kind, _ in page}
+    return OPEN in kinds and MAIN not in kinds
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def run_hashes(stream: list[str], known: dict[str, int], run: int = RUN) -> np.ndarray:
+    """A 64-bit hash of the ``run`` tokens from each position on, the same in every task; ``known`` holds tokens' hashes."""
+    words = np.array([known[w] if w in known else known.setdefault(w, _digest(w)) for w in stream], np.uint64)
+    out = np.zeros(max(0, len(words) - run + 1), np.uint64)
+    for j in range(run if len(out) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[j : j + len(out)]
+    return out.view(np.int64)
+
+
+def _in_runs(streams: list[list[str]], often: np.ndarray, run: int) -> list[np.ndarray]:
+    """For each stream, which tokens lie in a run whose hash is in ``often``."""
+    known: dict[str, int] = {}
+    out = []
+    for stream in streams:
+        at = np.flatnonzero(np.isin(run_hashes(stream, known, run), often))
+        covered = np.zeros(len(stream) + 1, np.int64)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + run, -1)
+        out.append(np.cumsum(covered[:-1]) > 0)
+    return out
+
+
+def _packed(page: list[tuple[int, str]]) -> bytes:
+    return zlib.compress("\x00".join(f"{kind}{text}" for kind, text in page).encode("utf-8", "surrogatepass"), 1)
+
+
+def _unpacked(packed: bytes) -> list[tuple[int, str]]:
+    text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
+    return [(int(b[0]), b[1:]) for b in text.split("\x00")] if text else []
+
+
+def main_texts(pages: list[list[tuple[int, str]]], run: int = RUN, least: int = PAGES, often: np.ndarray | None = None) -> list[str]:
+    """The main text of each of a host's pages, given as blocks; ``often`` has the hashes of runs that other shards count too."""
+    streams = [_stream(page) for page in pages]
     out = []
-    for page, covered in zip(pages, repeated(streams, run, least), strict=True):
+    for page, covered in zip(pages, repeated(streams, run, least) if often is None else _in_runs(streams, often, run), strict=True):
         kept, at = [text for kind, text in page if kind == MAIN], 0
         if not kept:
             for kind, text in page:
@@ -185,7 +234,8 @@ def extract(pages: DataFrame, run: int = RUN, least: int = PAGES, shard: int = S
 
     * Character references are decoded, white space in a block becomes one blank, blocks are joined by a blank
       line in page order. A page with an article or main element keeps all of that element but its boilerplate
-      parts, repeated or not; other pages keep the unique runs of their open blocks.
+      parts, repeated or not; other pages keep the unique runs of their open blocks. A run is looked for on all
+      pages of the host, however many they are.
     * Null and empty html give an empty text. A null url, or one without a host, belongs to the host "".
     * Pages with the same text outside the main element count as one page, so copies do not erase each other.
     * Repeated rows and null ids are extracted like any other. An empty table gives an empty result; other columns
@@ -194,38 +244,64 @@ def extract(pages: DataFrame, run: int = RUN, least: int = PAGES, shard: int = S
     spark = pages.sparkSession
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), "^[a-z][a-z0-9+.-]*://([^/?#:@]+)", 1)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / shard).cast("int").alias("shards"))
-    big = table(sizes.where("shards > 1"), "html-big-hosts")
-    big = checked_broadcast(big, big.count(), BROADCAST_HOSTS)
-    part = F.pmod(F.xxhash64("url", "page_id"), F.greatest(F.coalesce("shards", F.lit(1)), F.lit(1))).cast("int")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = []
-            for page in batch.column(2).to_pylist():
-                found = blocks(page)
-                packed.append(zlib.compress("\x00".join(f"{kind}{text}" for kind, text in found).encode("utf-8", "surrogatepass"), 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "blocks"])
+            found = [blocks(page) for page in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pc.binary_length(batch.column(2)).cast(pa.int64()), pa.array(map(_is_open, found), pa.bool_()), pa.array(map(_packed, found), pa.binary())], names=["page_id", "url", "host", "size", "open", "blocks"])
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+    def result(held: list[tuple], texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-        def out():
-            texts = main_texts([b for _, _, b in held], run, least)
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    def by_structure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            yield result(held, ["\n\n".join(text for kind, text in _unpacked(h[2]) if kind == MAIN) for h in held])
 
+    def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str, int] = {}
+            for host, shard, is_open, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                stream = _stream(_unpacked(packed))
+                found = np.unique(run_hashes(stream, known, run))
+                n, page = len(found), _digest(" ".join(stream))
+                yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array(np.full(n, shard, np.int32)), pa.array(found), pa.array(np.full(n, page, np.uint64).view(np.int64)), pa.array(np.full(n, is_open))], names=["host", "shard", "run", "page", "open"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, often = None, [], None
         for batch in batches:
-            for page_id, url, host, shard, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (host, shard) != key and held:
-                    yield out()
-                    held = []
-                key = (host, shard)
-                text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
-                held.append((page_id, url, [(int(b[0]), b[1:]) for b in text.split("\x00")] if text else []))
+            for page_id, url, host, shard, shards, runs, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (host, shard) != key:
+                    if held:
+                        yield result(held, main_texts([b for _, _, b in held], run, least, often))
+                    key, held, often = (host, shard), [], np.zeros(0, np.int64) if shards > 1 else None
+                if runs is not None:
+                    often = np.array(runs, np.int64)
+                else:
+                    held.append((page_id, url, _unpacked(packed)))
         if held:
-            yield out()
+            yield result(held, main_texts([b for _, _, b in held], run, least, often))
 
-    parsed = in_arrow(rows, read, "page_id long, url string, host string, blocks binary")
-    dealt = parsed.join(big, "host", "left").select("page_id", "url", "host", part.alias("shard"), "blocks")
+    schema = "page_id long, url string, text string, n_chars long"
+    parsed = table(in_arrow(rows, read, "page_id long, url string, host string, size long, open boolean, blocks binary"), "html-blocks")
+    hosts = parsed.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / shard)).cast("int").alias("shards"), F.max("open").alias("any_open")).where("any_open")
+    hosts = table(hosts.select("host", "shards"), "html-open-hosts")
+    n_hosts, most = hosts.agg(F.count("*"), F.max("shards")).first()
+    hosts = checked_broadcast(hosts, n_hosts, BROADCAST_HOSTS)
+    decided = in_arrow(parsed.join(hosts, "host", "left_anti").select("page_id", "url", "blocks"), by_structure, schema)
+    if not n_hosts:
+        return decided
+    part = F.pmod(F.xxhash64("url", "page_id"), F.col("shards")).cast("int")
+    dealt = parsed.join(hosts, "host").withColumn("shard", part)
+    pages = dealt.select("page_id", "url", "host", "shard", "shards", F.lit(None).cast("array<bigint>").alias("runs"), "blocks")
+    if most > 1:
+        runs = in_arrow(dealt.where("shards > 1").select("host", "shard", "open", "blocks"), count_runs, "host string, shard int, run long, page long, open boolean")
+        runs = table(runs.groupBy("host", "shard", "run", "page").agg(F.max("open").alias("open")), "html-runs")
+        often = runs.groupBy("host", "run").agg(F.count_distinct("page").alias("n"), F.max("open").alias("any_open")).where((F.col("n") >= least) & F.col("any_open"))
+        often = runs.where("open").select("host", "shard", "run").distinct().join(often.select("host", "run"), ["host", "run"])
+        often = often.groupBy("host", "shard").agg(F.collect_list("run").alias("runs"))
+        nothing = [F.lit(None).cast(t).alias(n) for n, t in (("page_id", "long"), ("url", "string"))]
+        pages = pages.unionByName(often.select(*nothing, "host", "shard", F.lit(2).alias("shards"), "runs", F.lit(None).cast("binary").alias("blocks")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return in_arrow(dealt.repartition(parts, "host", "shard").sortWithinPartitions("host", "shard"), write, "page_id long, url string, text string, n_chars long")
+    pages = pages.repartition(parts, "host", "shard").sortWithinPartitions("host", "shard", F.col("runs").isNull())
+    return decided.unionByName(in_arrow(pages, write, schema))

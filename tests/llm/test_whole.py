@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from careshed.llm import decontaminate
+from careshed.llm import decontaminate, html_text
 from tests.llm.test_text import brute_overlaps, frame
 
 
@@ -29,3 +29,18 @@ def test_decontamination_finds_tokens_replaced_anywhere(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {(r.doc_id, r.item_id): r.matched_tokens for r in decontaminate.overlaps(frame(spark, docs), bench).collect()}
     assert found == brute_overlaps(docs, items) and len(found) >= 240
+
+
+def test_runs_are_found_over_all_shards_of_a_host(spark):
+    rng = random.Random(7)
+    unique = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(30)) for _ in range(60)]
+    notices = [" ".join(f"notice{k}x{j}" for j in range(10)) for k in range(20)]  # each on three pages
+    rows = [(i, f"http://a.org/{i}", f"<div><p>{unique[i]}</p><p>{notices[i // 3]}</p></div>") for i in range(60)]
+    copies = " ".join(f"copied{j}" for j in range(20))
+    rows += [(100 + i, f"http://a.org/c{i}", f"<p>{copies}</p>") for i in range(6)]  # one page, so nothing is repeated
+    rows += [(200, "http://a.org/m", f"<article><p>{notices[0]}</p></article>"), (201, "http://b.org/m", f"<main>{notices[1]}</main>"), (202, "http://c.org", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    expected = {i: unique[i] for i in range(60)} | {100 + i: copies for i in range(6)} | {200: notices[0], 201: notices[1], 202: ""}
+    for shard in (1 << 20, 2000, 300):
+        got = {r.page_id: r.text for r in html_text.extract(pages, shard=shard).collect()}
+        assert got == expected, shard
