@@ -27,7 +27,7 @@ def tokenised(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, place = encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, place = encoder(path, added=True), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [np.array([*encode(t or ""), end], "<u4").tobytes() for t in batch.column(1).to_pylist()]
             tokens = np.array([len(x) // 4 for x in ids], np.int64)
@@ -42,6 +42,7 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, end: in
     """The pieces of all documents: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
     * Every sequence but the last holds exactly ``length`` ids, so only the last can have padding.
+    * Ids are the vocabulary's, a token that it adds (as <|endoftext|>) being one id also inside a text.
     * Each document's ids end with ``end``; a null or empty text is that id alone. Each id lies in one piece.
     * Rows are taken as they come: repeated rows and null ids are packed like any other. Documents stand in the
       order of their rows in the table. An empty table gives an empty result. Other columns are not looked at.

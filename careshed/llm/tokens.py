@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Callable
+from pathlib import Path
 
 
-def encoder(path: str | None = None) -> Callable[[str], list[int]]:
+def encoder(path: str | None = None, added: bool = False) -> Callable[[str], list[int]]:
     """Text to ids. ``path`` names a rank file; the default is the public 50k vocabulary's.
 
     The rank file and the vocabulary's JSON file hold the same merges; the tests compare the ids of both. Names of
-    special tokens in a text are ordinary text. Lone surrogates cannot come from Spark strings.
+    special tokens in a text are ordinary text, unless ``added`` is set: then each token that the JSON file beside the
+    rank file adds gets its one id wherever its name stands. Lone surrogates cannot come from Spark strings.
     """
     import public_tokenizers
     import tiktoken
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    special: dict[str, int] = {}
+    vocabulary = Path(path).with_suffix(".json")
+    if added and vocabulary.exists():
+        special = {t["content"]: t["id"] for t in json.loads(vocabulary.read_text("utf-8"))["added_tokens"]}
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    if special:
+        return lambda text: encoding.encode(text, allowed_special="all")
+    return encoding.encode_ordinary

@@ -1,9 +1,10 @@
 """What the operators' rules accept, also where replaced tokens, added tokens or long hosts make it hard to find."""
 
 import random
+import struct
 from itertools import combinations
 
-from careshed.llm import decontaminate, html_text
+from careshed.llm import decontaminate, html_text, packing
 from tests.llm.test_text import brute_overlaps, frame
 
 
@@ -44,3 +45,16 @@ def test_runs_are_found_over_all_shards_of_a_host(spark):
     for shard in (1 << 20, 2000, 300):
         got = {r.page_id: r.text for r in html_text.extract(pages, shard=shard).collect()}
         assert got == expected, shard
+
+
+def test_packed_ids_equal_the_vocabularys_also_at_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " ", "\n\n", "word", " über", "  12", "'s", "\u00a0", "日本", "\U0001f600"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(20))) for _ in range(200)]
+    rows = packing.pack(frame(spark, list(enumerate(texts))), length=10**6).collect()
+    got = {r.doc_id: list(struct.unpack(f"<{r.length}I", r.ids)) for r in rows}
+    assert got == {i: [*reference.encode(t, add_special_tokens=False).ids, packing.END] for i, t in enumerate(texts)}
