@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -47,17 +48,17 @@ def m4(v):
 
 @query("m5_random_forest")
 def m5(v):
-    return _fit(v, lambda a, b: m.forest(a, b, 20))
+    return _fit(v, m.forest)
 
 
 @query("m6_gradient_boosting")
 def m6(v):
-    return _fit(v, lambda a, b: m.boosted(a, b, 10))
+    return _fit(v, m.boosted)
 
 
 @query("m7_boosting_sampled")
 def m7(v):
-    return _fit(v, lambda a, b: m.boosted_sampled(a, b, 10))
+    return _fit(v, m.boosted_sampled)
 
 
 @query("m8_metrics", "SELECT split, count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2 FROM (SELECT split, CAST(cases AS DOUBLE) AS y, cases - lag(cases) OVER (PARTITION BY hsa_id ORDER BY week_start) AS e FROM sp) z WHERE e IS NOT NULL GROUP BY split", H)
@@ -68,7 +69,7 @@ def m8(v):
 
 @query("m9_leaderboard")
 def m9(v):
-    return compare_models(_panel(v), q.FEATURES, "hsa_id", "week_start", "cases", {k: m.MODELS[k] for k in ("ridge", "lasso")}, ("AR_only", "AR_top5"))
+    return compare_models(_panel(v), q.FEATURES, "hsa_id", "week_start", "cases")
 
 
 @query("m10_baselines", "SELECT model, count(*) AS n, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2 FROM (SELECT 'mean' AS model, CAST(cases AS DOUBLE) AS y, (SELECT avg(cases) FROM sp WHERE split = 'train') AS p FROM sp WHERE split = 'val' UNION ALL SELECT 'seasonal', CAST(s.cases AS DOUBLE), coalesce(w.p, (SELECT avg(cases) FROM sp WHERE split = 'train')) FROM sp s LEFT JOIN (SELECT week_of_year, avg(cases) AS p FROM sp WHERE split = 'train' GROUP BY week_of_year) w ON w.week_of_year = s.week_of_year WHERE s.split = 'val' UNION ALL SELECT 'last_week', CAST(cases AS DOUBLE), p FROM (SELECT *, lag(cases) OVER (PARTITION BY hsa_id ORDER BY week_start) AS p FROM sp) l WHERE split = 'val') z WHERE p IS NOT NULL GROUP BY model", H)
@@ -78,8 +79,8 @@ def m10(v):
 
 @query("t4_best_models")
 def t4(v):
-    board = compare_models(_panel(v), q.FEATURES, "hsa_id", "week_start", "cases", {"ridge": m.ridge}, ("AR_only", "AR_temporal", "AR_top5"))
-    return m.leaderboard(board, 1)
+    board = compare_models(_panel(v), q.FEATURES, "hsa_id", "week_start", "cases")
+    return m.leaderboard(board, 10)
 
 
 def _vectors(v):
@@ -89,7 +90,9 @@ def _vectors(v):
 @query("m11_kmeans")
 def m11(v):
     rows = _vectors(v)
-    model, _ = m.kmeans(rows, k=8, restarts=3)
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(rows)
+    rows = scaler.transform(rows).select("vec_id", F.col("scaled").alias("features"))
+    model, _ = m.kmeans(rows)
     return model.transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
 
 

@@ -310,7 +310,7 @@ def o12(v):
 
 @query("o14_climate_ablation")
 def o14(v):
-    return cv.climate_ablation(v.facility, v.cell, "footprint", cv.CoverageConfig(max_areas=5))
+    return cv.climate_ablation(v.facility, v.cell, "footprint")
 
 
 @query("o15_outline", "SELECT a.facility_id, count(*) AS cells_inside FROM anchors a JOIN pairs25 p ON p.facility_id = a.facility_id WHERE p.cell_id IN (SELECT cell_id FROM v_cell WHERE lon >= 35.0E0 AND lon < 36.5E0 AND lat >= 29.5E0 AND lat < 32.7E0) GROUP BY a.facility_id", H)
