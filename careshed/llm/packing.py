@@ -44,7 +44,8 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, end: in
     * Every sequence but the last holds exactly ``length`` ids, so only the last can have padding.
     * Ids are the vocabulary's, a token that it adds (as <|endoftext|>) being one id also inside a text.
     * Each document's ids end with ``end``; a null or empty text is that id alone. Each id lies in one piece.
-    * Rows are taken as they come: repeated rows and null ids are packed like any other. Documents stand in the
+    * A text of any length is one document; runs of a million blanks or letters are encoded like any other text.
+    * doc_id is cast to long: an id that is no whole number fails. Rows are taken as they come: repeated rows and null ids are packed like any other. Documents stand in the
       order of their rows in the table. An empty table gives an empty result. Other columns are not looked at.
     """
     rows = table(tokenised(docs, path, end), "packing-ids")

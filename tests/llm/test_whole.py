@@ -58,3 +58,19 @@ def test_packed_ids_equal_the_vocabularys_also_at_added_tokens(spark):
     rows = packing.pack(frame(spark, list(enumerate(texts))), length=10**6).collect()
     got = {r.doc_id: list(struct.unpack(f"<{r.length}I", r.ids)) for r in rows}
     assert got == {i: [*reference.encode(t, add_special_tokens=False).ids, packing.END] for i, t in enumerate(texts)}
+
+
+def test_texts_with_runs_too_long_for_the_rank_encoder(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from careshed.llm.lm_score import lm_scores
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = 1_000_000
+    texts = ["a" + " " * n, "x" * n, "-" * n, "\n" * n + "end", "a <|endoftext|>" + " \n" * (n // 2) + "b", "\u00a0" * n]
+    rows = packing.pack(frame(spark, list(enumerate(texts))), length=10**7).collect()
+    for r in rows:
+        assert list(struct.unpack(f"<{r.length}I", r.ids)) == [*reference.encode(texts[r.doc_id], add_special_tokens=False).ids, packing.END]
+    assert len(rows) == len(texts)
+    assert all(r.n_tokens > 0 for r in lm_scores(frame(spark, list(enumerate(texts)))).collect())
