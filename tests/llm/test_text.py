@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from careshed.llm import html_text, language, licenses, quality
 from careshed.llm.decontaminate import clean, overlaps
@@ -86,11 +87,61 @@ def test_language_edge_cases(spark):
 
 def test_grams_bind_rotated_letters():
     letters = language.Letters(64, 3)
-    row, number, vectors = letters.grams(["ab"])
+    sums, found = letters.bundles(["ab", "ab ab", "1"], np.array([0, 1, 2]), 3)
     a, b = letters.vector(ord("a")).astype(int), letters.vector(ord("b")).astype(int)
     edge = letters.vector(0).astype(int)
     expected = np.roll(edge, 2) * np.roll(a, 1) * b + np.roll(a, 2) * np.roll(b, 1) * edge
-    assert (vectors[number].sum(axis=0) == expected).all() and (row == 0).all()
+    across = np.roll(b, 2) * np.roll(edge, 1) * a
+    assert (sums[0] == expected).all() and found.tolist() == [2, 5, 0]
+    assert (sums[1] == 2 * expected + across).all() and not sums[2].any()
+
+
+def brute_language(rows, width=language.WIDTH, gram=language.GRAM):
+    """Predictions by letters and n-grams one at a time."""
+    letters = language.Letters(width, gram)
+
+    def bundle(text):
+        out, n = np.zeros(width), 0
+        flat = re.sub(r"[^a-zäöüßéèêçàâîôûïëñ]+", " ", f" {(text or '').lower()} ")
+        for k in range(len(flat) - gram + 1):
+            g = flat[k : k + gram]
+            if g.strip():
+                v = np.ones(width)
+                for j, c in enumerate(g):
+                    v = v * np.roll(letters.vector(0 if c == " " else ord(c)), gram - 1 - j)
+                out, n = out + v, n + 1
+        return out, n
+
+    sums = {}
+    for i, text, lang in rows:
+        if lang is not None and fold(i, 4) != 2:
+            sums[lang] = sums.get(lang, 0) + bundle(text)[0]
+    out = {}
+    for i, text, _ in rows:
+        b, n = bundle(text)
+        scores = {k: float(b @ s / (np.linalg.norm(b) * np.linalg.norm(s))) if n and s.any() else 0.0 for k, s in sums.items()}
+        out[i] = (max(sorted(scores), key=scores.get), max(scores.values())) if n else ("und", 0.0)
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_language_equals_brute_force_in_blocks_of_prototypes(spark, block):
+    rng = random.Random(12)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghijklmnopé"[k : k + 9]) for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(1, 40))), f"l{k}") for i, k in enumerate(rng.randrange(8) for _ in range(60))]
+    expected = brute_language(rows)
+    got = language.identify(frame(spark, rows), language.prototypes(frame(spark, rows), ~language.held_out(F.col("doc_id"))), block=block).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: x for i, (x, _) in expected.items()}
+    assert all(abs(r.score - max(expected[r.doc_id][1], 0)) < 1e-4 for r in got)
+
+
+def test_language_of_many_distinct_grams_is_bundled_in_bounded_tables(monkeypatch):
+    rng = random.Random(13)
+    texts = ["".join(chr(0x4E00 + rng.randrange(300)) for _ in range(rng.randrange(50, 400))) for _ in range(40)]
+    whole = language.Letters(32, 3).bundles(texts, np.arange(40), 40)
+    monkeypatch.setattr(language, "GRAMS", 100)
+    monkeypatch.setattr(language, "CELLS", 1000)
+    parts = language.Letters(32, 3).bundles(texts, np.arange(40), 40)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
 def brute_lm(rows, backoff=0.4, least=2):
