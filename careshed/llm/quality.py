@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,11 +78,10 @@ def _bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield key[a:b] % BUCKETS, count[a:b] / max(count[a:b].sum(), 1)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> Model:
-    """Train on documents and 0/1 labels; without any label the model is indifferent."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> Model:
+    """Train on documents (distinct buckets, their shares) and 0/1 labels; without any label the model is indifferent."""
     rng = np.random.default_rng(seed)
     model = Model(rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32), rng.uniform(-1 / WIDTH, 1 / WIDTH, (2, WIDTH)).astype(np.float32), np.zeros(2, np.float32))
-    bags = [(b, s.astype(np.float32)) for b, s in _bags(texts)]
     if not bags:
         return model
     model.bias[:] = np.log(np.bincount(labels, minlength=2) + 1.0)
@@ -109,17 +107,23 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
     """A model from the rows of ``labels`` for which ``learn`` holds, at most ``sample`` of them."""
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").cast("int").alias("label"))  # of a repeated id the last text
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [(b.astype("<i4").tobytes(), s.astype("<f4").tobytes()) for b, s in _bags(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([h[i] for h in held], pa.binary()) for i in (0, 1))], names=["doc_id", "label", "buckets", "shares"])
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "label": []}), *[b.to_pandas() for b in batches]]).sort_values("doc_id")
-        m = fit(pa.array(got["text"].astype(object), pa.string(), from_pandas=True), got["label"].to_numpy(np.int64))
+        got = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        m = fit([(np.frombuffer(b, "<i4"), np.frombuffer(s, "<f4")) for _, _, b, s in got], np.array([r[1] for r in got], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (m.vectors, m.weights, m.bias)], names=["vectors", "weights", "bias"])
 
-    one = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("label").cast("int")).coalesce(1)  # a bounded sample
-    got = in_arrow(one, learned, "vectors binary, weights binary, bias binary").first()
+    bags = in_arrow(rows.select(F.col("doc_id").cast("long"), "text", "label"), bagged, "doc_id long, label int, buckets binary, shares binary")
+    got = in_arrow(bags.repartition(1), learned, "vectors binary, weights binary, bias binary").first()  # at most ``sample`` documents of at most 8 * BUCKETS bytes
     if got is None:  # no labelled document, and so no task
-        return fit(pa.array([], pa.string()), np.zeros(0, np.int64))
+        return fit([], np.zeros(0, np.int64))
     return Model(*(np.frombuffer(bytes(x), np.float32).reshape(shape) for x, shape in zip(got, ((BUCKETS, WIDTH), (2, WIDTH), (2,)), strict=True)))
 
 
@@ -161,6 +165,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sa
 
     * Labels are learned only from rows whose id is not held out (crc32 of the id as text, modulo 5, is 0) and
       whose label is 0 or 1; of an id with two labels the larger counts. At most ``sample`` of them are used.
+    * Texts of any length are scored whole; a document that is learned from is sent on as at most BUCKETS features.
+      doc_id is cast to long: an id that is no whole number fails. Of a repeated id the greatest text is learned.
     * Null and empty texts have no features and get the score of the class sizes alone; a null id is scored too.
     * Without any label all scores are 0.5 or near it. Repeated rows are scored each. An empty table gives an
       empty result; columns other than doc_id, text and quality are not looked at.
