@@ -1,4 +1,4 @@
-"""Shared pieces of the training-data operators: size-checked joins, texts and folds, Arrow functions."""
+"""Shared pieces of the training-data operators: joins of checked sizes, row ids, texts and folds, Arrow functions."""
 
 from __future__ import annotations
 
@@ -9,16 +9,18 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from careshed.core.work import table
 
 #: ASCII white space, as a Java character class: blank, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = "[\\x20\\x09-\\x0D]"
 
-__all__ = ["ASCII_SPACE", "checked_broadcast", "in_arrow", "in_fold", "table", "text_of", "without"]
+__all__ = ["ASCII_SPACE", "checked_broadcast", "in_arrow", "in_fold", "join_hot", "table", "text_of", "with_row_ids", "without"]
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: A key is hot if it holds more than one in so many of the rows, so there are at most so many hot keys.
+HOT = 256
 
 
 def checked_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -26,13 +28,46 @@ def checked_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(small) if rows <= limit else small
 
 
-def without(docs: DataFrame, dropped: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """``docs`` without the documents whose doc_id is in ``dropped``; rows without an id stay.
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, times: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row for each key and, in ``times``, how many of the ``total``
+    rows have it. The hot keys, at most HOT, are broadcast, so their rows stay where they are; the rest is shuffled."""
+    hot = F.broadcast(keyed.where(F.col(times) * HOT > total))  # at most HOT rows by their definition
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(times) * HOT <= total), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", limit: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is among the doc_ids of ``dropped``; rows with a null key stay.
 
     Up to ``limit`` ids are broadcast (at most 32 MB); beyond that both sides are shuffled.
     """
-    ids = table(dropped.select("doc_id").distinct(), "dropped")
-    return docs.join(checked_broadcast(ids, ids.count(), limit), "doc_id", "left_anti").select(docs.columns)
+    ids = table(dropped.select(F.col("doc_id").alias(key)).distinct(), "dropped")
+    return docs.join(checked_broadcast(ids, ids.count(), limit), key, "left_anti").select(docs.columns)
+
+
+def with_row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column of whole numbers that differ on all rows, and its name.
+
+    It is the doc_id wherever that is a whole number of one row alone. Rows without an id, and those after the first
+    with an id, get numbers above all ids. Such rows are written once, so that their numbers stay; usually there are none.
+    """
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return table(docs.withColumn(name, F.monotonically_increasing_id()), "row-ids"), name
+    odd = table(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__odd")), "row-ids-odd")
+    n = odd.count()
+    if not n:
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name
+    odd = checked_broadcast(odd, n, 1_000_000)
+    own = docs["doc_id"].eqNullSafe(odd["__odd"])
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    rows = table(docs.join(odd, own, "left_semi").withColumn(name, F.monotonically_increasing_id()), "row-ids")
+    first = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min(name).alias("__first"))
+    rows = rows.join(first, (F.col("doc_id") == F.col("__id")) & (F.col(name) == F.col("__first")), "left")
+    rows = rows.withColumn(name, F.coalesce(F.col("__id").cast("long"), F.col(name) + F.lit(int(top) + 1))).drop("__id", "__first")
+    return docs.join(odd, own, "left_anti").withColumn(name, F.col("doc_id").cast("long")).unionByName(rows), name
 
 
 def text_of(column: str = "text") -> Column:
@@ -45,7 +80,11 @@ def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def in_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow``, with this package sent to the executors where they do not have it yet."""
+    """``df.mapInArrow``, with this package sent to the executors where they do not have it yet.
+
+    Where the session has Spark's default of 10,000 rows in a batch it is set to 1,000: whole texts in so many rows are
+    too much for two tasks' memory.
+    """
     context, root = df.sparkSession.sparkContext, Path(__file__).resolve().parents[2]
     if str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and not getattr(context, "_careshed_sent", False):
         archive = os.path.join(tempfile.mkdtemp(prefix="spark-careshed-"), "careshed.zip")
@@ -55,6 +94,6 @@ def in_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
         context.addPyFile(archive)
         context._careshed_sent = True
     conf = df.sparkSession.conf
-    if conf.get(ROWS, "10000") == "10000":  # Spark's default; whole texts in so many rows are too much for two tasks' memory
+    if conf.get(ROWS, "10000") == "10000":
         conf.set(ROWS, "1000")
     return df.mapInArrow(function, schema)

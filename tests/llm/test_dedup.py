@@ -56,6 +56,27 @@ def test_index_merges_batches_and_answers_probes(spark):
     index = DigestIndex().flush(frame(spark, [(5, "a b"), (6, "c")])).flush(frame(spark, [(2, "ab"), (9, "d")]))
     assert {r.doc_id: (r.keep_id, r.group_size) for r in index.members().collect()} == {5: (5, 2), 2: (5, 2), 6: (6, 1), 9: (9, 1)}
     assert [(r.doc_id, r.keep_id) for r in index.probe(frame(spark, [(70, "c "), (71, "new")])).collect()] == [(70, 6)]
+    assert DigestIndex().probe(frame(spark, [(70, "c ")])).count() == 0
+
+
+def test_probes_pass_filters_levels_and_bytes(spark):
+    index = DigestIndex(lambda n: F.unhex(F.substring(F.sha2(n, 256), 1, 3)))  # twelve bits, so digests collide
+    stored = [(100 * b + i, f"text {(7 * i + b) % 90}") for b in range(6) for i in range(40)]
+    for b in range(6):
+        index.flush(frame(spark, stored[40 * b : 40 * b + 40]))
+    runs = index.runs()
+    assert [len(level) for level in index.levels] == [2, 1]  # four runs of the first level became one of the second
+    new = [(5000 + i, f"text  {i}") for i in range(400)] + [(None, "text 1"), (9000, None)]
+    groups = {}
+    for i, t in stored:
+        groups.setdefault(t, []).append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in index.probe(frame(spark, new)).collect()}
+    norm = {t.replace(" ", ""): g for t, g in groups.items()}
+    expected = {i: (min(norm[t.replace(" ", "")], key=lambda d: (-len(dict(stored)[d]), d)), len(norm[t.replace(" ", "")])) for i, t in new if t and t.replace(" ", "") in norm}
+    assert got == expected
+    keyed = index._keyed(frame(spark, new)).select("doc_id", "digest")
+    passed = sum(run.candidates(keyed).count() for run in runs)
+    assert 0 < passed < keyed.count() * len(runs)  # filters let hits through and hold others back
 
 
 def brute_lines(rows, least=6):
@@ -203,3 +224,32 @@ def test_packing_is_an_exact_round_trip(spark):
         assert np.concatenate([np.frombuffer(bytes(r.ids), "<u4") for r in mine]).tolist() == expected[i][0]
         assert {r.doc_tokens for r in mine} == {len(expected[i][0])}
     assert pieces(frame(spark, [])).count() == 0
+
+
+def test_row_ids_tell_repeated_and_missing_ids_apart(spark):
+    from careshed.llm.common import with_row_ids
+
+    rows, key = with_row_ids(frame(spark, [(1, "a"), (2, "b"), (2, "c"), (None, "d"), (None, "e"), (7, "f")]))
+    got = {r.text: r[key] for r in rows.collect()}
+    assert len(set(got.values())) == 6 and got["a"] == 1 and got["f"] == 7
+    assert 2 in (got["b"], got["c"]) and min(got["d"], got["e"], max(got["b"], got["c"])) > 7
+    rows, key = with_row_ids(spark.createDataFrame([("x", "a", "k"), ("x", "b", "k")], "doc_id string, text string, __row string"))
+    assert key == "__row_" and len({r[key] for r in rows.collect()}) == 2
+    assert with_row_ids(frame(spark, []))[0].count() == 0
+
+
+def test_pipeline_stages_work_on_repeated_and_missing_ids(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = frame(spark, [(1, "same text"), (None, "same  text"), (None, "sametext"), (2, "b"), (2, "b"), (None, f"x {item} y"), (3, item), (3, "clean"), (4, long), (None, long + " end"), (None, None), (5, "")])
+    kept = corpus_pipeline.exact_dedup(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert sorted(re.sub(SPACE, "", r.text or "") for r in kept.collect()) == sorted({re.sub(SPACE, "", r.text or "") for r in docs.collect()})
+    assert [(r.doc_id, r.text) for r in kept.where("text LIKE 'same%'").collect()] == [(None, "same  text")]  # the most code points
+    near = corpus_pipeline.near_dedup(spark, kept, folder)
+    assert [r.doc_id for r in near.where("text LIKE 'w0 %'").collect()] == [4]
+    clean = corpus_pipeline.decontaminate(spark, near, folder)
+    assert {r.text for r in clean.where("doc_id = 3 OR doc_id IS NULL").collect()} == {"same  text", "clean"} | ({None} if clean.where("text IS NULL").count() else set())
