@@ -28,12 +28,13 @@ def checked_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(small) if rows <= limit else small
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, times: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``keyed``, which has one row for each key and, in ``times``, how many of the ``total``
-    rows have it. The hot keys, at most HOT, are broadcast, so their rows stay where they are; the rest is shuffled."""
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, times: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (inner, left or left_semi) of ``rows`` with ``keyed``, which has one row for each key and, in ``times``, how
+    many of the ``total`` rows have it. The hot keys, at most HOT, are broadcast, so their rows stay where they are; the
+    rest is shuffled."""
     hot = F.broadcast(keyed.where(F.col(times) * HOT > total))  # at most HOT rows by their definition
-    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(times) * HOT <= total), key)
-    return rows.join(hot, key).unionByName(rest)
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(times) * HOT <= total), key, how)
+    return rows.join(hot, key, "left_semi" if how == "left_semi" else "inner").unionByName(rest)
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", limit: int = 1_000_000) -> DataFrame:

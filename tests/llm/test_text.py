@@ -209,14 +209,60 @@ def test_decontamination_finds_all_that_brute_force_finds(spark):
     assert overlaps(frame(spark, docs), bench.where("false")).count() == 0
 
 
+def brute_licenses(rows, templates=licenses.TEMPLATES):
+    cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    pairs = lambda w: [" ".join(p) for p in zip(w, w[1:])]
+    found = {}
+    for doc, text in rows:
+        words = cut(text)
+        for name, notices in templates.items():
+            for notice in notices:
+                t = cut(notice)
+                own = set(pairs(t))
+                rare = sorted(own, key=lambda p: (-len(p), p))[: int(len(own) * 0.4 + 1e-9) + 1]
+                for place, p in enumerate(pairs(t)):
+                    for at, q in enumerate(pairs(words)):
+                        if p == q and p in rare:
+                            first = max(at - place, 0)
+                            window = words[first : at - place + len(t)]
+                            grams = set(pairs(window))
+                            dice = 2 * len(grams & own) / (len(grams) + len(own))
+                            if dice >= 0.75:
+                                found.setdefault(doc, {}).setdefault(first, []).append((-dice, name, first, len(window)))
+    out = []
+    for doc, at in found.items():
+        best = {k: min(v) for k, v in at.items()}
+        out += [(str(doc), k, v[3], v[1], round(-v[0], 6)) for k, v in best.items() if v == min(best[j] for j in best if abs(j - k) <= 3)]
+    return sorted(out)
+
+
+def test_license_scan_finds_notices_wherever_they_stand(spark):
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(50)] + ["the", "of", "license", "software", "to", "in"]
+    notices = [n for v in licenses.TEMPLATES.values() for n in v]
+    rows = []
+    for d in range(60):
+        text = [rng.choice(words) for _ in range(rng.randrange(0, 60))]
+        for _ in range(rng.randrange(0, 3)):
+            n = rng.choice(notices).split()
+            for _ in range(rng.choice((0, 0, 1, 3))):
+                n[rng.randrange(len(n))] = rng.choice(words)
+            n = [w for k in range(0, len(n), 10) for w in ("\n#", *n[k : k + 10])]  # wrapped in comment lines
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = n
+        rows.append((d, " ".join(text)))
+    rows.append((100, "# " + "\n# ".join(re.findall(r"(?:\S+\s*){1,10}", licenses.TEMPLATES["MIT"][2])) + "\n" + "x = 1\n" * 40))
+    got = sorted((str(r.doc_id), r.first_word, r.n_words, r.license, r.dice) for r in licenses.license_scan(frame(spark, rows)).collect())
+    assert got == brute_licenses(rows) and len(got) > 30 and ("100", "MIT") in {(g[0], g[3]) for g in got}
+
+
 def test_license_scan_edge_cases(spark):
     mit = "Released under the MIT License."
-    rows = [(1, f"text\n{mit}\nmore"), (2, "RELEASED under the  MIT licence"), (3, None), (4, ""), (None, mit), (5, mit), (5, mit), (6, "unrelated words only"), (7, "word " * 60_000)]
-    got = sorted((str(r.doc_id), r.line_no, r.license, r.dice) for r in licenses.license_scan(frame(spark, rows)).collect())
-    assert got == [("1", -1, "MIT", 0.8), ("1", 1, "MIT", 1.0), ("2", 0, "MIT", 0.75), ("5", 0, "MIT", 1.0), ("None", 0, "MIT", 1.0)]
+    rows = [(1, f"text\n{mit}\nmore"), (2, "RELEASED under the  MIT licence"), (3, None), (4, ""), (None, mit), (5, mit), (5, mit), (6, "unrelated words only"), (7, "word " * 60_000), (8, "mit"), (9, "word " * 30_000 + mit)]
+    got = sorted((str(r.doc_id), r.first_word, r.n_words, r.license, r.dice) for r in licenses.license_scan(frame(spark, rows)).collect())
+    assert got == [("1", 1, 5, "MIT", 1.0), ("2", 0, 5, "MIT", 0.75), ("5", 0, 5, "MIT", 1.0), ("9", 30_000, 5, "MIT", 1.0), ("None", 0, 5, "MIT", 1.0)]
     assert licenses.license_scan(frame(spark, [])).count() == 0
-    long = licenses.TEMPLATES["MIT"][2].replace(", ", ",\n", 3)
-    assert [(r.line_no, r.license) for r in licenses.license_scan(frame(spark, [(1, long)])).where("line_no = -1").collect()] == [(-1, "MIT")]
+    assert licenses.license_scan(frame(spark, rows), {"none": ["word"]}).count() == 0  # a template of one word matches nothing
 
 
 PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li>Home<li>About</ul></nav>
