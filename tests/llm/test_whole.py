@@ -74,3 +74,64 @@ def test_texts_with_runs_too_long_for_the_rank_encoder(spark):
         assert list(struct.unpack(f"<{r.length}I", r.ids)) == [*reference.encode(texts[r.doc_id], add_special_tokens=False).ids, packing.END]
     assert len(rows) == len(texts)
     assert all(r.n_tokens > 0 for r in lm_scores(frame(spark, list(enumerate(texts)))).collect())
+
+
+def extracted(spark, rows, **options):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, main string, gone string, shorts string")
+    return {r.page_id: r.text for r in html_text.extract(pages, **options).collect()}
+
+
+def test_repeats_decide_doubtful_blocks_and_notices(spark):
+    rng = random.Random(15)
+    text = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows, expected, without_runs = [], {}, {}
+    terms, thanks = text(12), "Thanks for reading"
+    for i in range(12):
+        body, own = text(30), text(12)
+        parts = [f"<p>{body}</p>", f"<div class='legal'>{terms if i % 2 else own}</div>", f"<p>{thanks}</p>", "<div class='share-price'>up</div>" if i < 3 else ""]
+        rows.append((i, f"http://a.org/{i}", f"<nav>{text(5)}</nav><article>{''.join(parts)}</article>", "x", "y", "z"))
+        expected[i] = "\n\n".join([body] + ([own] if i % 2 == 0 else []))
+        without_runs[i] = "\n\n".join([body, terms if i % 2 else own] + (["up"] if i < 3 else []))
+    for i in range(20, 32):  # copies of one article, and a block that half of the others share
+        rows.append((i, "http://b.org", f"<main><p>{terms}</p><p>{thanks}</p></main><footer>{i}</footer>", "x", "y", "z"))
+        expected[i] = without_runs[i] = f"{terms}\n\n{thanks}"
+    for i in range(40, 50):
+        own = text(20)
+        rows.append((i, "http://c.org", f"<main><p>{own}</p>{f'<p>{thanks}</p>' if i < 45 else ''}</main>", "x", "y", "z"))
+        expected[i] = without_runs[i] = "\n\n".join([own] + [thanks] * (i < 45))
+    for shard in (1 << 20, 500):
+        assert extracted(spark, rows, shard=shard) == expected, shard
+    assert extracted(spark, rows, least=10**6) == without_runs  # no run repeats often enough, so doubtful blocks stay
+
+
+def test_no_text_of_an_article_is_lost(spark):
+    rng = random.Random(16)
+    word = lambda: rng.choice(["it's", "a", "b<c", "x & y", "\"q\"", "5 > 3", "über", "--", "日本", "don't"])
+    attributes = ["", " class=x", " data-x=it's", " title=\"a > b\"", " title='a > \"b'", " hidden-x", " class='share-price'", " a = 'b' c", " style=\"color: red\"", " id=search-results"]
+    rows, expected = [], {}
+    for i in range(150):
+        page, kept = [], []
+        for _ in range(rng.randrange(1, 8)):
+            words = [word() for _ in range(rng.randrange(1, 12))]
+            kept.append(" ".join(" ".join(words).split()))
+            marked = []
+            for w in words:
+                safe = w.replace("&", "&amp;").replace("<", rng.choice(["&lt;", "&#60;"])).replace(">", rng.choice(["&gt;", ">"]))
+                tag = rng.choice(["b", "i", "span", "u", "em"])  # a doubtful block of links alone is a menu
+                marked.append(rng.choice([safe, f"<{tag}{rng.choice(attributes[:6])}>{safe}</{tag}>", f"{safe}<!-- {word()} -->", f"</{tag}>{safe}"]))
+            tag = rng.choice(["p", "div", "li", "section", "h2", "td"])
+            page.append(f"<{tag}{rng.choice(attributes)}>" + rng.choice([" ", "\n", "\t  "]).join(marked) + rng.choice([f"</{tag}>", f"</{tag}>", ""]))
+        rows.append((i, f"http://h{i}.org", f"<nav>menu</nav><article>{''.join(page)}</article><footer>foot</footer>", "x", "y", "z"))
+        expected[i] = "\n\n".join(kept)
+    got = extracted(spark, rows)
+    assert [(got[i], expected[i], rows[i][2]) for i in got if got[i] != expected[i]] == []
+
+
+def test_pages_are_read_in_time_that_grows_in_proportion():
+    import time
+
+    n = 20_000
+    for page in ("<div>" * n + "</span>" * n, "<i>" + "<div>" * n + "</i>" * n, "<b>" * n + "<p>x" * n, "<p a=" * n + "'", "<header>" * n + "<p>x" * n):
+        start = time.monotonic()
+        assert html_text.blocks("<article>" + page + "<p>end")[-1][1].endswith("end") or "header" in page or "'" in page
+        assert time.monotonic() - start < 8
