@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from careshed.llm import licenses
+from careshed.llm import decontaminate, licenses
 from careshed.llm.decontaminate import overlaps
 from careshed.llm.exact_dedup import exact_duplicates
 from careshed.llm.html_text import extract
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.sql(), "op10_exact_dedup": OP10_SQL}
+    return {"op3_license_scan": licenses.sql(), "op8_decontamination": decontaminate.sql(), "op10_exact_dedup": OP10_SQL}

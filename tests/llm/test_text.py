@@ -174,12 +174,12 @@ def brute_overlaps(docs, items):
         words = cut(t)
         for i, u in items:
             item = cut(u)
-            if d is None or i is None or len(item) < 9:
+            if d is None or i is None or len(item) < 5:
                 continue
             for shift in range(-len(item) + 1, len(words)):
                 same = [0 <= shift + k < len(words) and words[shift + k] == w for k, w in enumerate(item)]
                 dense = any(sum(same[k : k + 13]) >= 11 for k in range(max(1, len(item) - 12)))
-                if sum(same) >= 0.75 * len(item) or dense:
+                if sum(same) == len(item) or len(item) >= 9 and (sum(same) >= 0.75 * len(item) or dense):
                     out[(d, i)] = max(out.get((d, i), 0), sum(same))
     return out
 
@@ -187,7 +187,7 @@ def brute_overlaps(docs, items):
 def test_decontamination_finds_all_that_brute_force_finds(spark):
     rng = random.Random(8)
     words = [f"word{i}" for i in range(300)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(13, 40)))) for i in range(20)] + [(90, "too short"), (91, None), (None, "x " * 20), (0, "")]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(13, 40)))) for i in range(20)] + [(90, "too short"), (91, None), (None, "x " * 20), (0, ""), (92, "word1 word2 word3 word4 word5"), (93, "word6 word7 word8 word9 word10 word11 word12 word13")]
     docs = []
     for d in range(120):
         text = [rng.choice(words) for _ in range(rng.randrange(0, 80))]
@@ -198,7 +198,7 @@ def test_decontamination_finds_all_that_brute_force_finds(spark):
             at = rng.randrange(len(text) + 1)
             text[at:at] = [w.upper() + "," if rng.random() < 0.3 else w for w in item]
         docs.append((d, " ".join(text)))
-    docs += [(500, None), (501, ""), (None, items[0][1]), (0, docs[0][1])]
+    docs += [(500, None), (501, ""), (None, items[0][1]), (0, docs[0][1]), (502, "a word1 WORD2, word3 word4 word5 b"), (503, "word6 word7 word8 word9 word10 word11 word12 other"), (504, "z " * 40_000 + items[-1][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {(r.doc_id, r.item_id): r.matched_tokens for r in overlaps(frame(spark, docs), bench).collect()}
     expected = brute_overlaps(docs, items)
