@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careshed.llm.common import checked_broadcast, table, text_of
+from careshed.llm.common import checked_broadcast, join_hot, table, text_of
 
-#: Lines of fewer words are compared for equality only; longer ones within one word.
+#: The edit bound is none for lines of fewer words, and one word for longer ones.
 MIN_WORDS = 6
 #: Lines that may be picked by a broadcast of their 64-bit keys (at most 32 MB); more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
@@ -126,18 +126,29 @@ def _near(distinct: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     least = table(least.where("lines > 1 AND at >= 0").select(*key, "at", "first"), "lines-least")
     across = variants.join(ends, key).select("pos", F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")).alias("earlier"))
     replaced = variants.join(least, [*key, "at"]).select("pos", F.col("first").alias("earlier"))
-    pairs = across.unionByName(replaced).where("earlier < pos").groupBy("pos").agg(F.min("earlier").alias("earlier"))
+    pairs = across.unionByName(replaced).where("earlier < pos")
     words = lines.select("pos", "words")
-    both = pairs.join(words, "pos").join(words.select(F.col("pos").alias("earlier"), F.col("words").alias("other")), "earlier")
-    return both.where(_within_one(F.col("words"), F.col("other"))).select("pos", "earlier")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(words, "pos").join(words.select(F.col("pos").alias("earlier"), F.col("words").alias("other")), "earlier")
+        return both.select("pos", "earlier", _within_one(F.col("words"), F.col("other")).alias("near"))
+
+    least = table(verified(pairs.groupBy("pos").agg(F.min("earlier").alias("earlier"))), "lines-verified")
+    found, failed = least.where("near").select("pos", "earlier"), least.where("NOT near").select("pos")
+    if failed.isEmpty():
+        return found
+    # keys that are equal by chance hid other candidates of these few lines, so all of them are verified
+    again = verified(pairs.join(failed, "pos", "left_semi").distinct()).where("near").groupBy("pos").agg(F.min("earlier").alias("earlier"))
+    return found.unionByName(again)
 
 
 def line_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The lines that an earlier line makes superfluous: doc_id, line_no, keep_doc_id, keep_line_no.
 
-    Earlier means a smaller (doc_id, line_no); the earlier line may itself be superfluous. Lines equal word for
-    word go, and lines of ``min_words`` words or more that lie within one word of an earlier one. keep_* is the
-    earliest line with the same words, or else the earliest near line. Blank lines always stay. A null text has no
+    Earlier means a smaller (doc_id, line_no). The edit bound grows with the line: none below ``min_words`` words, where
+    one word is much of the line, and one from there on. keep_* is the earliest line with the same words, or else the
+    earliest near line; of a chain of near lines only the first stays, so keep_* may name a line that goes itself. Blank
+    lines always stay. Lines of any length are compared whole. A null text has no
     lines, rows with a null doc_id are left alone, rows that repeat a doc_id are one document whose lines overlay.
     Empty tables give an empty result; columns other than doc_id and text are not looked at.
     """
@@ -147,8 +158,8 @@ def line_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     distinct = table(lines.groupBy("id").agg(F.min("pos").alias("pos"), F.max("n").alias("n"), F.max("halves").alias("halves"), F.count("*").alias("copies")), "lines-distinct")
     near = table(_near(distinct, docs, min_words), "lines-near")
     found = distinct.select("id", "copies", F.col("pos").alias("own")).join(near.select(F.col("pos").alias("own"), "earlier"), "own", "left")
-    gone = table(found.where("copies > 1 OR earlier IS NOT NULL").select("id", "own", "earlier"), "lines-gone")
-    out = lines.select("pos", "id").join(gone, "id").withColumn("keep", F.when(F.col("pos") == F.col("own"), F.col("earlier")).otherwise(F.col("own")))
+    gone = table(found.where("copies > 1 OR earlier IS NOT NULL").select("id", "own", "earlier", "copies"), "lines-gone")
+    out = join_hot(lines.select("pos", "id"), gone, "id", "copies", lines.count()).withColumn("keep", F.when(F.col("pos") == F.col("own"), F.col("earlier")).otherwise(F.col("own")))
     return out.where("keep IS NOT NULL AND keep <> pos").select("pos.doc_id", "pos.line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
 
 
@@ -165,3 +176,23 @@ def drop_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     gone = line_duplicates(docs, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
     return docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("__gone")
+
+
+def sql(min_words: int = MIN_WORDS) -> str:
+    """``line_counts`` in DuckDB SQL, with dropped_lines as text: pairs of lines that share a half, and word by word."""
+    halves = ", ".join(f"concat_ws(chr(1), '{kind}', {m}, array_to_string({part}, chr(0)))" for m in ("n", "n - 1") for kind, part in (("a", f"w[1 : ({m}) // 2]"), ("b", f"w[n - (({m}) - ({m}) // 2) + 1 : n]")))
+    differ = "coalesce(list_min(list_filter(range(1, least(a.n, b.n) + 1), lambda i: a.w[i] <> b.w[i])), least(a.n, b.n) + 1)"
+    return f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL),
+l0 AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM d),
+l AS (SELECT doc_id, line_no, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l0),
+f AS (SELECT w, len(w) AS n, min(struct_pack(d := doc_id, l := line_no)) AS pos FROM l WHERE len(w) > 0 GROUP BY w),
+h AS (SELECT pos, n, w, unnest([{halves}]) AS half FROM f WHERE n >= {min_words}),
+near AS (SELECT DISTINCT a.pos FROM h a JOIN h b ON a.half = b.half AND b.pos < a.pos AND abs(a.n - b.n) <= 1 WHERE CASE
+  WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda i: a.w[i] <> b.w[i])) <= 1
+  WHEN a.n > b.n THEN a.w[{differ} + 1 : a.n] = b.w[{differ} : b.n]
+  ELSE b.w[{differ} + 1 : b.n] = a.w[{differ} : a.n] END),
+g AS (SELECT l.doc_id, l.line_no FROM l JOIN f ON f.w = l.w LEFT JOIN near ON near.pos = f.pos WHERE f.pos <> struct_pack(d := l.doc_id, l := l.line_no) OR near.pos IS NOT NULL),
+s AS (SELECT doc_id, count(*) AS n_dropped, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS dropped_lines FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(d.ls), 0) AS INT) AS n_lines, CAST(coalesce(s.n_dropped, 0) AS INT) AS n_dropped, coalesce(s.dropped_lines, '') AS dropped_lines FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+"""

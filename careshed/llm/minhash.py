@@ -200,6 +200,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
     * Words are maximal runs of bytes other than ASCII white space, with A-Z in lower case; a text of fewer than
       k words has one shingle, all of it; a null, empty or blank text has none and is linked with nothing.
     * component_id is the least doc_id reachable; kept says that it is the row's own.
+    * Texts of any length are compared on their whole sets. doc_id is cast to long: an id that is no whole number fails.
     * A null doc_id is linked with nothing: component_id null, kept true.
     * Repeated rows are linked by their equal sets and all appear. An empty table gives an empty result; columns
       other than doc_id and text are not looked at.
@@ -223,3 +224,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
     out = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     own: Column = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def sql(percent: int = 75, k: int = SHINGLE) -> str:
+    """The components by brute force in DuckDB SQL: all pairs that share a shingle, counted on the full sets."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i : i + {k - 1}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS id, doc_id AS m FROM s UNION SELECT p.b AS id, r.m FROM r JOIN p ON p.a = r.id WHERE r.m < p.b),
+c AS (SELECT id, min(m) AS component_id FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON c.id = s.doc_id
+"""

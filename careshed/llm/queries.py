@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from careshed.llm import decontaminate, licenses
+from careshed.llm import decontaminate, licenses, line_dedup, minhash
 from careshed.llm.decontaminate import overlaps
 from careshed.llm.exact_dedup import exact_duplicates
 from careshed.llm.html_text import extract
@@ -23,7 +24,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_counts(_read(spark, sf_dir, "documents"))
+    return line_counts(_read(spark, sf_dir, "documents")).withColumn("dropped_lines", F.array_join(F.col("dropped_lines").cast("array<string>"), ","))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.sql(), "op8_decontamination": decontaminate.sql(), "op10_exact_dedup": OP10_SQL}
+    return {"op1_line_dedup": line_dedup.sql(), "op4_minhash_near_dedup": minhash.sql(), "op3_license_scan": licenses.sql(), "op8_decontamination": decontaminate.sql(), "op10_exact_dedup": OP10_SQL}
