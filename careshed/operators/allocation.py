@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from careshed.core.work import running_total
 from careshed.operators.spatial import facilities_in_areas, range_join
 
 
@@ -64,8 +65,9 @@ def by_area(allocations: DataFrame, anchors: DataFrame, facilities: DataFrame, r
 
 
 def renumber(areas: DataFrame, value: str = "allocated_patients", tie: str = "anchor_id", name: str = "rank") -> DataFrame:
-    """A number from 1 by falling value. Areas are a few dozen; the window holds them all."""
-    return areas.withColumn(name, F.row_number().over(Window.orderBy(F.desc(value), tie)))
+    """A number from 1 by falling value, the least ``tie`` first of equals; ranges of the order are numbered side by side."""
+    falling = areas.withColumn("__falling", -F.col(value)).withColumn("__one", F.lit(1))
+    return running_total(falling, ["__falling", tie], "__one", name).withColumn(name, F.col(name).cast("int")).drop("__falling", "__one")
 
 
 def compare_with_circles(by_facility: DataFrame, anchors: DataFrame) -> DataFrame:

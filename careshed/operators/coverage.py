@@ -7,12 +7,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careshed.core.work import table
+from careshed.core.work import broadcast_if_small, table
 from careshed.functions.geo import circle_outline
 from careshed.functions.scalars import clipped, scaled
 from careshed.operators.spatial import coverage_pairs, density, facilities_in_areas, nearest_neighbours, percentile_rank
 
 
+#: Covered cells that may be broadcast as ids (at most 64 MB); more are joined by a shuffle.
+BROADCAST_CELLS = 1_000_000
+
+
 @dataclass(frozen=True)
 class CoverageConfig:
     """Base weights, radii in km, thresholds, and the modes' multipliers and stops."""
@@ -37,6 +41,8 @@ class CoverageConfig:
     clusters: int = 8
     climate_on: bool = True
     overlap_as_coded: bool = False  # covered cells by covered people, as first written, in place of people by people
+    tau_as_coded: bool = False  # the governorate mode takes tau of its target for enough
+    needy_as_coded: bool = False  # and stops when no cluster below its minimum has a candidate
     modes: dict = field(default_factory=lambda: {
         "fewest": {"coverage": 1.5, "progress": 0.0, "overlap": 0.5, "volume": 2.5, "distance": 0.0},
         "footprint": {"coverage": 1.0, "progress": 8.0, "overlap": 0.01, "volume": 0.05, "distance": 0.0},
@@ -123,65 +129,77 @@ def governorate_climate(cluster_count: Column, all_count: Column, config: Covera
     return F.when(cluster_count < config.min_per_cluster, 10.0).otherwise(1.0 / F.greatest(cluster_count / F.greatest(all_count, F.lit(1)), F.lit(1e-6)))
 
 
+PARTS = ("coverage_norm", "overlap_frac", "climate_norm", "volume_norm", "progress_norm", "distance_norm")
+
+
 class Selection:
-    """The state of a greedy selection: a row for each facility on the driver, cells on the executors.
+    """A greedy selection. ``pairs`` (facility_id, cell_id, pop, dist_km) and one row for each facility are written once,
+    both in order of facility, so a chosen facility's cells are found by the files' statistics.
 
-    ``pairs`` (facility_id, cell_id, pop, dist_km) is written once. A pick takes one aggregation over the cells
-    that it newly covers: gains go down and overlaps up by what these cells hold of each facility.
+    A pick is one job: gains are sums over the pairs whose cells no chosen facility has, scores are columns, and only the
+    best row comes to the driver, which holds the chosen facilities and nothing else.
     """
 
     def __init__(self, facilities: DataFrame, pairs: DataFrame, total_pop: int, config: CoverageConfig):
-        self.pairs = table(pairs.repartition("cell_id"), "coverage-pairs")
+        self.pairs = table(pairs.repartition("facility_id").sortWithinPartitions("facility_id"), "coverage-pairs")
         self.config, self.total = config, float(total_pop)
         sums = self.pairs.groupBy("facility_id").agg(F.sum("pop").alias("own"), F.count("*").alias("cells"), F.avg("dist_km").alias("mean_km"))
-        rows = facilities.select("facility_id", "volume", "climate_k", *[c for c in ("governorate",) if c in facilities.columns]).join(sums, "facility_id", "left").orderBy("facility_id").collect()  # facilities, not cells
-        top = max((r.volume or 0 for r in rows), default=0)
-        self.state = {r.facility_id: {"gain": int(r.own or 0), "own": int(r.own or 0), "cells": int(r.cells or 0), "seen_pop": 0, "seen_cells": 0, "mean_km": r.mean_km if r.mean_km is not None else 1e9, "volume_norm": (r.volume or 0) / top if top else 0.0, "volume": r.volume or 0, "cluster": r.climate_k if r.climate_k is not None else -1, "governorate": r["governorate"] if "governorate" in r else None} for r in rows}
-        self.covered: DataFrame | None = None
-        self.covered_pop, self.chosen, self.clusters = 0, [], {}
-
-    def take(self, facility, **record) -> None:
-        mine = self.pairs.where(F.col("facility_id") == facility).select("cell_id", "pop")
-        new = mine if self.covered is None else mine.join(self.covered, "cell_id", "left_anti")
-        new = table(new, "coverage-new")
-        gone = self.pairs.join(new.select("cell_id"), "cell_id", "left_semi").groupBy("facility_id").agg(F.sum("pop").alias("pop"), F.count("*").alias("cells"))
-        for r in gone.collect():  # facilities, not cells
-            s = self.state[r.facility_id]
-            s["gain"] -= int(r["pop"])
-            s["seen_pop"] += int(r["pop"])
-            s["seen_cells"] += int(r.cells)
-        self.covered_pop += int(new.agg(F.sum("pop")).first()[0] or 0)
-        self.covered = new.select("cell_id") if self.covered is None else self.covered.unionByName(new.select("cell_id"))
-        if len(self.chosen) % 5 == 4:
-            self.covered = table(self.covered, "coverage-covered")
-        self.chosen.append((facility, record))
-        k = self.state[facility]["cluster"]
-        if k >= 0:
-            self.clusters[k] = self.clusters.get(k, 0) + 1
-
-    def parts(self, s: dict, mode: str, target: float) -> dict[str, float]:
-        c, remaining = self.config, target - self.covered_pop
-        n = self.clusters.get(s["cluster"], 0)
-        seen = s["seen_cells"] if c.overlap_as_coded else s["seen_pop"]
-        return {
-            "coverage_norm": s["gain"] / self.total if self.total else 0.0,
-            "overlap_frac": seen / s["own"] if s["own"] else 0.0,
-            "climate_norm": 0.0 if not c.climate_on or s["cluster"] < 0 else 1.0 if n < c.min_per_cluster else 1.0 / (1.0 + n),
-            "volume_norm": s["volume_norm"],
-            "progress_norm": min(s["gain"] / remaining, 1.0) if remaining > 0 else 0.0,
-            "distance_norm": min(s["mean_km"] / 100.0, 1.0) if mode == "distance" else 0.0,
-        }
-
-    def score(self, p: dict[str, float], mode: str) -> float:
-        c, m = self.config, self.config.modes[mode]
-        return c.coverage * p["coverage_norm"] * m["coverage"] - c.overlap * p["overlap_frac"] * m["overlap"] + c.climate * p["climate_norm"] + c.volume * p["volume_norm"] * m["volume"] + c.progress * p["progress_norm"] * m["progress"] - c.distance * p["distance_norm"] * m["distance"]
-
-    def free(self) -> list:
-        taken = {f for f, _ in self.chosen}
-        return [f for f in sorted(self.state) if f not in taken]
+        rows = facilities.select("facility_id", F.coalesce("volume", F.lit(0)).alias("volume"), F.coalesce("climate_k", F.lit(-1)).alias("cluster"), (F.col("governorate") if "governorate" in facilities.columns else F.lit(None).cast("string")).alias("governorate"))
+        rows = rows.join(sums, "facility_id", "left").join(F.broadcast(rows.agg(F.max("volume").alias("top"))))  # one row
+        rows = rows.select("facility_id", "cluster", "governorate", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce("mean_km", F.lit(1e9)).alias("mean_km"), F.when(F.col("top") > 0, F.col("volume") / F.col("top")).otherwise(0.0).alias("volume_norm"))
+        self.facilities = table(rows, "coverage-facilities")
+        self.n, least = self.facilities.agg(F.count("*"), F.coalesce(F.min("facility_id"), F.lit(0))).first()
+        #: Ids of no facility; with them the list of chosen ones is long enough for Spark to look it up as a set, where
+        #: for a short one it would compile each pick's plan anew.
+        self.nobody = [least - 1 - k for k in range(11)]
+        met = self.facilities.join(self.pairs.select("facility_id", "cell_id", "pop"), "facility_id", "left")  # facilities' columns repeat in order, so they take no room
+        self.met = table(met.repartition("facility_id").sortWithinPartitions("facility_id"), "coverage-met")
+        self.chosen: list[tuple[int, dict]] = []
+        self.clusters: dict[int, int] = {}
+        self.cells = 0  # at most so many cells are covered
+        self.covered_pop = 0
+
+    def is_chosen(self) -> Column:
+        return F.col("facility_id").isin([f for f, _ in self.chosen] + self.nobody)
+
+    def covered(self) -> DataFrame:
+        """(cell_id, pop) of the cells of the chosen facilities."""
+        return self.pairs.where(self.is_chosen()).select("cell_id", "pop").distinct()
+
+    def state(self) -> DataFrame:
+        """A row for each facility that is not chosen: gain, seen (people or, as coded, cells) and all that stands fast."""
+        if not self.chosen:
+            return self.facilities.withColumn("gain", F.col("own")).withColumn("seen", F.lit(0).cast("long"))
+        covered = self.pairs.where(self.is_chosen()).select("cell_id")  # a cell may repeat, which a semi-join does not mind
+        covered = F.broadcast(covered) if self.cells <= BROADCAST_CELLS else covered
+        stands = self.facilities.columns
+        seen = F.lit(1) if self.config.overlap_as_coded else F.col("pop")
+        met = self.met.join(covered, "cell_id", "left_semi").select(*stands, F.col("pop").alias("__pop"), seen.alias("__seen"))
+        none = self.facilities.select(*stands, F.lit(0).alias("__pop"), F.lit(0).alias("__seen"))  # so that every facility has a row
+        sums = met.unionByName(none).where(~self.is_chosen()).groupBy(*stands).agg(F.sum("__pop").alias("__pop"), F.sum("__seen").alias("seen"))
+        return sums.withColumn("gain", F.col("own") - F.col("__pop"))
+
+    def cluster_count(self) -> Column:
+        if not self.clusters:
+            return F.lit(0)
+        known = F.create_map(*[F.lit(x) for k, n in self.clusters.items() for x in (k, n)])
+        return F.coalesce(F.try_element_at(known, F.col("cluster")), F.lit(0))
+
+    def best(self, rows: DataFrame, value: Column) -> dict | None:
+        """The row of the greatest value, the least id of equals."""
+        own = F.struct(value.alias("score"), (-F.col("facility_id")).alias("order"), *rows.columns)
+        found = rows.where(value.isNotNull()).agg(F.max(own).alias("best")).first()["best"]
+        return found and found.asDict()
+
+    def take(self, row: dict, **record: float) -> None:
+        self.chosen.append((row["facility_id"], record))
+        self.cells += row["cells"]
+        self.covered_pop += row["gain"]
+        if row["cluster"] >= 0:
+            self.clusters[row["cluster"]] = self.clusters.get(row["cluster"], 0) + 1
 
     def frame(self, spark) -> DataFrame:
-        names = ("score", "coverage_norm", "overlap_frac", "climate_norm", "volume_norm", "progress_norm", "distance_norm")
+        names = ("score", *PARTS)
         rows = [(i + 1, int(f), *(float(r.get(n, 0.0)) for n in names)) for i, (f, r) in enumerate(self.chosen)]
         return spark.createDataFrame(rows, "pick int, facility_id long, " + ", ".join(f"{n} double" for n in names))
 
@@ -196,16 +214,20 @@ def greedy(facilities: DataFrame, cells: DataFrame, mode: str, radius: str = "in
     s = Selection(facilities, coverage_pairs(facilities, cells, radius), total, config)
     target = int(total * config.progress_tau)
     for f in seeds or []:
-        s.take(f)
-    while s.free() and total:
+        s.take(s.state().where(F.col("facility_id") == f).first().asDict())
+    while len(s.chosen) < s.n and total:
         pct = 100.0 * s.covered_pop / total
         if mode == "fewest" and pct >= config.fewest_pct and len(s.chosen) >= config.min_areas:
             break
         if mode != "fewest" and (len(s.chosen) >= config.max_areas or pct >= config.other_pct):
             break
-        scored = [(f, p := s.parts(s.state[f], mode, target), s.score(p, mode)) for f in s.free()]
-        best, p, value = max(scored, key=lambda x: x[2])  # the first of equals
-        s.take(best, score=value, **p)
+        known = F.when(F.col("cluster") >= 0, s.cluster_count())
+        parts = components(F.col("gain"), F.col("seen"), F.col("own"), known, F.col("volume_norm"), F.col("mean_km"), s.total, float(target - s.covered_pop), config)
+        if mode != "distance":
+            parts["distance_norm"] = F.lit(0.0)
+        rows = s.state().select("facility_id", "cluster", "cells", "gain", *[parts[p].cast("double").alias(p) for p in PARTS])
+        best = s.best(rows, score({p: F.col(p) for p in PARTS}, mode, config))
+        s.take(best, score=best["score"], **{p: best[p] for p in PARTS})
     return s.frame(cells.sparkSession), s.covered_pop, total
 
 
@@ -237,39 +259,53 @@ def highest_volume(facilities: DataFrame, region: str = "governorate") -> DataFr
 def governorate_coverage(facilities: DataFrame, cells: DataFrame, radii: list[float], tau: float = 0.60, config: CoverageConfig = CoverageConfig()) -> tuple[DataFrame, int, int]:
     """One area in every governorate, then greedily up to the target: the largest radius that gets there.
 
-    With no such radius all facilities with cells are returned at the largest one. (picks with radius_km, covered, all)
+    With no such radius all facilities with cells are returned at the largest one, those beyond the picks without a pick
+    number. (picks with radius_km and the covered share of their governorate's people, covered, all)
+
+    ``config.tau_as_coded`` accepts a radius at tau of the target, ``config.needy_as_coded`` stops when no cluster below
+    its minimum has a candidate; both keep first-written behaviour.
     """
     spark, total = cells.sparkSession, int(cells.agg(F.sum("pop")).first()[0] or 0)
     target, last = int(total * tau), None
+    enough = tau * target if config.tau_as_coded else target
+    cells_in = cells.select("cell_id", "pop", *[c for c in ("governorate",) if c in cells.columns])
     for r in sorted(radii, reverse=True):
         s = Selection(facilities, coverage_pairs(facilities, cells, r), total, config)
-        regions = list(dict.fromkeys(s.state[f]["governorate"] for f in sorted(s.state) if s.state[f]["governorate"] is not None))
+        regions = [x.governorate for x in s.facilities.where("governorate IS NOT NULL").groupBy("governorate").agg(F.min("facility_id").alias("first")).orderBy("first").collect()]  # a row for each governorate
 
-        def reward(f, s=s):
-            n, all_ = s.clusters.get(s.state[f]["cluster"], 0), max(1, sum(s.clusters.values()))
-            if not config.climate_on or s.state[f]["cluster"] < 0:
-                return 0.0
-            return 10.0 if n < config.min_per_cluster else 1.0 / max(n / all_, 1e-6)
+        def reward(s=s) -> Column:
+            known = F.when(F.col("cluster") >= 0, s.cluster_count())
+            return F.coalesce(governorate_climate(known, F.lit(max(1, sum(s.clusters.values()))), config), F.lit(0.0)) if config.climate_on else F.lit(0.0)
 
         for g in regions:
-            inside = [f for f in s.free() if s.state[f]["governorate"] == g]
-            best = max(inside, key=lambda f: config.coverage * s.state[f]["gain"] + config.climate * reward(f))
-            s.take(best, score=config.coverage * s.state[best]["gain"] + config.climate * reward(best))
+            best = s.best(s.state().where(F.col("governorate") == g), config.coverage * F.col("gain") + config.climate * F.when(F.col("cluster") >= 0, reward()).otherwise(0.0))
+            if best:
+                s.take(best, score=best["score"])
         while s.covered_pop < target:
-            free = [f for f in s.free() if s.state[f]["own"]]
-            needy = [f for f in free if s.clusters.get(s.state[f]["cluster"], 0) < config.min_per_cluster and s.state[f]["cluster"] >= 0]
-            pool = needy or free
-            value = {f: config.coverage * s.state[f]["gain"] - config.overlap * s.state[f]["seen_pop"] / s.state[f]["own"] * total + config.climate * reward(f) + config.volume * s.state[f]["volume_norm"] * total for f in pool}
-            best = max(pool, key=lambda f: value[f], default=None)
-            if best is None or value[best] <= 0:
+            free = s.state().where("own > 0").withColumn("needy", (F.col("cluster") >= 0) & (s.cluster_count() < config.min_per_cluster))
+            value = config.coverage * F.col("gain") - config.overlap * F.col("seen") / F.col("own") * s.total + config.climate * F.when(F.col("cluster") >= 0, reward()).otherwise(0.0) + config.volume * F.col("volume_norm") * s.total
+            best = s.best(free.where("needy"), value)
+            best = best if best or config.needy_as_coded else s.best(free, value)
+            if best is None or best["score"] <= 0:
                 break
-            s.take(best, score=value[best])
-        if s.chosen and s.covered_pop >= target:
-            return s.frame(spark).withColumn("radius_km", F.lit(float(r))), s.covered_pop, total
+            s.take(best, score=best["score"])
+        if s.chosen and s.covered_pop >= enough:
+            return _with_shares(s.frame(spark), s.covered(), facilities, cells_in, r), s.covered_pop, total
         last = last or s
-    for f in [f for f in last.free() if last.state[f]["own"]] if last else []:
-        last.take(f)
-    return last.frame(spark).withColumn("radius_km", F.lit(float(max(radii)))), last.covered_pop, total
+    rest = last.facilities.where(F.col("own") > 0).where(~last.is_chosen())
+    picks = last.frame(spark).unionByName(rest.select(F.lit(None).cast("int").alias("pick"), "facility_id", F.lit(0.0).alias("score"), *[F.lit(0.0).alias(p) for p in PARTS]))
+    covered = last.pairs.select("cell_id", "pop").distinct()
+    return _with_shares(picks, covered, facilities, cells_in, max(radii)), int(covered.agg(F.sum("pop")).first()[0] or 0), total
+
+
+def _with_shares(picks: DataFrame, covered: DataFrame, facilities: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
+    """radius_km, and where cells name their governorate the share of its people that is covered."""
+    picks = picks.withColumn("radius_km", F.lit(float(radius)))
+    if "governorate" not in cells.columns:
+        return picks
+    inside = cells.join(covered.select("cell_id").withColumn("__in", F.lit(True)), "cell_id", "left").groupBy("governorate")
+    shares = inside.agg((F.coalesce(F.sum(F.when(F.col("__in"), F.col("pop"))), F.lit(0)) / F.sum("pop")).alias("governorate_share"))
+    return picks.join(facilities.select("facility_id", "governorate"), "facility_id", "left").join(shares, "governorate", "left").drop("governorate")
 
 
 def optimize(facilities: DataFrame, cells: DataFrame, objective: str, network_type: str = "INF", config: CoverageConfig = CoverageConfig(), radii: list[float] | None = None) -> CoverageResult:
@@ -277,12 +313,12 @@ def optimize(facilities: DataFrame, cells: DataFrame, objective: str, network_ty
     ready = table(initial_radii(facilities, cells, config), "coverage-radii")
     if objective == "governorate_tau_coverage":
         picks, covered, total = governorate_coverage(ready, cells, radii or [config.max_radius], config.progress_tau, config)
-        areas = adaptive_radii(ready.join(F.broadcast(picks), "facility_id"))
+        areas = adaptive_radii(ready.join(picks, "facility_id"))
     else:
         seeds = [r.facility_id for r in highest_volume(ready).orderBy("facility_id").collect()] if objective == "governorate_fewest" else None
         mode = "fewest" if objective == "governorate_fewest" else objective
         picks, covered, total = greedy(ready, cells, mode, config=config, seeds=seeds)
-        areas = ready.join(F.broadcast(picks), "facility_id").withColumn("service_radius_km", F.col("initial_radius_km"))  # picks: a few dozen
+        areas = ready.join(broadcast_if_small(picks), "facility_id").withColumn("service_radius_km", F.col("initial_radius_km"))
         if objective in ("footprint", "distance"):
             pairs = table(coverage_pairs(areas, cells, "service_radius_km"), "coverage-areas")
             areas = remove_overlapping(areas, pairs)
@@ -327,3 +363,9 @@ def target_population(cells: DataFrame, tau: float) -> DataFrame:
 
 def outlines(areas: DataFrame, radius: str = "service_radius_km", points: int = 64) -> DataFrame:
     return areas.withColumn("outline", circle_outline(F.col("lon"), F.col("lat"), F.col(radius), points))
+
+
+def clipped_outlines(areas: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """Outlines cut at the box of the country: points beyond it move to its edge."""
+    cut = F.transform("outline", lambda p: F.struct(clipped(p["lon"], west, east).alias("lon"), clipped(p["lat"], south, north).alias("lat")))
+    return areas.withColumn("outline", cut)

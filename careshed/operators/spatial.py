@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careshed.core.work import broadcast_if_small
+from careshed.core.work import broadcast_if_small, running_total, table
 from careshed.functions.geo import KM_LAT, KM_LON, haversine_km, in_ring
 
 
-def _bucket_degrees(points: DataFrame, radius_km: float) -> tuple[float, float]:
-    """Bucket width and height in degrees: a circle around any point reaches one bucket further at most."""
-    top = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    cos = max(0.1, math.cos(math.radians(min(89.0, top + radius_km / KM_LAT))))
-    return 1.01 * radius_km / (KM_LON * cos), 1.01 * radius_km / KM_LAT
+def _buckets(centres: DataFrame, radius_km: float) -> tuple[int, float]:
+    """Buckets around the globe and a bucket's height in degrees: a circle around any centre reaches one bucket further
+    at most. Near a pole one bucket holds all longitudes."""
+    top = centres.agg(F.max(F.abs("c_lat"))).first()[0] or 0.0
+    cos = math.cos(math.radians(min(90.0, top + radius_km / KM_LAT)))
+    width = 1.01 * radius_km / (KM_LON * cos) if cos > 0.01 else 360.0
+    around = int(360.0 / max(width, 1e-4))
+    return (around if around > 3 else 1), 1.01 * radius_km / KM_LAT
 
 
 def range_join(points: DataFrame, centres: DataFrame, radius_km: float | str, how: str = "inner") -> DataFrame:
@@ -24,15 +28,28 @@ def range_join(points: DataFrame, centres: DataFrame, radius_km: float | str, ho
     ``points`` (the large side) has lon, lat; ``centres`` has c_lon, c_lat. ``radius_km`` is a number, or the name
     of a column of ``centres`` with a radius for each. Points fall into one bucket, centres are copied to the nine
     around theirs, so the plan is an equi-join on the bucket and an exact distance test; few centres are broadcast.
+    Buckets meet at 180 degrees. Centres' own radii are joined by classes of four times the size, so that one large
+    radius does not set the buckets of all.
     """
-    own = isinstance(radius_km, str)
-    radius: Column = F.col(radius_km) if own else F.lit(float(radius_km))
-    reach = float(centres.agg(F.max(radius_km)).first()[0] or 1.0) if own else float(radius_km)
-    dx, dy = _bucket_degrees(centres.select(F.col("c_lat").alias("lat")), reach)
+    if not isinstance(radius_km, str):
+        return _within(points, centres, F.lit(float(radius_km)), float(radius_km))
+    size = F.ceil(F.log(4.0, F.greatest(F.col(radius_km), F.lit(0.01)) / 30.0)).cast("int")
+    classes = centres.groupBy(size.alias("k")).agg(F.max(radius_km).alias("reach")).where("k IS NOT NULL").orderBy("k").collect()  # a dozen from 10 m to the globe
+    joined = [_within(points, centres.where(size == r.k), F.col(radius_km), max(float(r.reach), 0.01)) for r in classes]
+    return reduce(DataFrame.unionByName, joined or [_within(points, centres, F.col(radius_km), 1.0)])
+
+
+def _within(points: DataFrame, centres: DataFrame, radius: Column, reach: float) -> DataFrame:
+    around, high = _buckets(centres, reach)
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    x, y = F.floor(F.col("c_lon") / dx), F.floor(F.col("c_lat") / dy)
-    copies = centres.withColumn("__bx", F.explode(F.transform(near, lambda d: x + d))).withColumn("__by", F.explode(F.transform(near, lambda d: y + d)))
-    placed = points.withColumn("__bx", F.floor(F.col("lon") / dx)).withColumn("__by", F.floor(F.col("lat") / dy))
+
+    def column(lon: Column) -> Column:
+        return F.floor((lon + 180.0) / (360.0 / around))
+
+    x, y = column(F.col("c_lon")), F.floor(F.col("c_lat") / high)
+    beside = F.array_distinct(F.transform(near, lambda d: F.pmod(x + d, F.lit(around))))
+    copies = centres.withColumn("__bx", F.explode(beside)).withColumn("__by", F.explode(F.transform(near, lambda d: y + d)))
+    placed = points.withColumn("__bx", F.pmod(column(F.col("lon")), F.lit(around))).withColumn("__by", F.floor(F.col("lat") / high))
     met = placed.join(broadcast_if_small(copies, 9 * 2_000), ["__bx", "__by"]).drop("__bx", "__by")
     met = met.withColumn("dist_km", haversine_km(F.col("c_lon"), F.col("c_lat"), F.col("lon"), F.col("lat")))
     return met.where(F.col("dist_km") <= radius)
@@ -55,34 +72,38 @@ def facilities_in_areas(anchors: DataFrame, facilities: DataFrame, radius: str =
 def within_regions(points: DataFrame, regions: DataFrame, key: str, name: str = "region") -> DataFrame:
     """``points`` with the name of the region (name, ring) that holds them, null for none, the first name on overlap.
 
-    Regions (polygons' parts) are a short list with a bounding box each; the ring is tested only inside the box.
+    Regions (polygons' parts) are a short list with a bounding box each; the ring is tested only inside the box. Rings in
+    a column ``holes`` are left out.
     """
     lon, lat = (F.transform("ring", lambda p: p[c]) for c in ("lon", "lat"))
-    boxed = regions.select(F.col("name").alias("__name"), "ring", F.array_min(lon).alias("__w"), F.array_max(lon).alias("__e"), F.array_min(lat).alias("__s"), F.array_max(lat).alias("__n"))
+    boxed = regions.select(F.col("name").alias("__name"), "ring", *[c for c in ("holes",) if c in regions.columns], F.array_min(lon).alias("__w"), F.array_max(lon).alias("__e"), F.array_min(lat).alias("__s"), F.array_max(lat).alias("__n"))
     inside = F.col("lon").between(F.col("__w"), F.col("__e")) & F.col("lat").between(F.col("__s"), F.col("__n"))
     met = points.select(key, "lon", "lat").join(broadcast_if_small(boxed, 10_000), inside)
-    met = met.where(in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).groupBy(key).agg(F.min("__name").alias(name))
-    return points.join(met, key, "left")
+    met = met.where(in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
+    if "holes" in regions.columns:
+        met = met.where(~F.exists(F.coalesce("holes", F.array()), lambda hole: in_ring(F.col("lon"), F.col("lat"), hole)))
+    return points.join(met.groupBy(key).agg(F.min("__name").alias(name)), key, "left")
 
 
-def nearest_neighbours(points: DataFrame, key: str, start_km: float = 10.0) -> DataFrame:
-    """(key, nn_km): the distance from each point to the nearest other one.
+def nearest_neighbours(points: DataFrame, key: str, start_km: float | None = None) -> DataFrame:
+    """(key, nn_km): the distance from each point to the nearest other one; a point alone has no row.
 
-    Range joins with doubling radius over the points that have no neighbour yet, so no pair is made beyond it.
+    Range joins with growing radius over the points that have no neighbour yet, so no pair is made beyond it. The first
+    radius is a sixteenth of the mean spacing, so that crowded places are done before the rings reach far.
     """
-    spark, radius, out = points.sparkSession, start_km, None
-    left = points.select(key, F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"))
-    others = points.select(F.col(key).alias("__other"), "lon", "lat")
+    left = table(points.select(key, F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat")), "nearest-left")
+    others, out, radius = points.select(F.col(key).alias("__other"), "lon", "lat"), None, start_km
+    if radius is None:
+        n, w, e, s, north = points.agg(F.count("*"), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+        area = (e - w) * KM_LON * max(0.1, math.cos(math.radians((s + north) / 2))) * (north - s) * KM_LAT if n else 0.0
+        radius = max(0.02, math.sqrt(area / max(n, 1)) / 16)
     while True:
         met = range_join(others, left, radius).where(F.col(key) != F.col("__other")).groupBy(key).agg(F.min("dist_km").alias("nn_km"))
+        met = table(met, "nearest-met")
         out = met if out is None else out.unionByName(met)
-        left = left.join(met.select(key), key, "left_anti")
-        if radius > 20_000 or left.isEmpty():
+        left = table(left.join(met.select(key), key, "left_anti"), "nearest-left")
+        if radius > 20_040 or left.isEmpty():  # half the way around
             return out
-        if radius > 2_000:  # a handful of points far from all others
-            radius = 20_100.0
-            rest = left.join(others, F.col(key) != F.col("__other")).withColumn("dist_km", haversine_km(F.col("c_lon"), F.col("c_lat"), F.col("lon"), F.col("lat")))
-            return out.unionByName(rest.groupBy(key).agg(F.min("dist_km").alias("nn_km")))
         radius *= 4
 
 
@@ -123,9 +144,9 @@ def covered_population(pairs: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def percentile_rank(df: DataFrame, value: str, name: str = "pct_rank") -> DataFrame:
-    """The average-tie percentile rank of ``value``: ranks come from the counts of its distinct values."""
+    """The average-tie percentile rank of ``value``: ranks come from the running counts of its distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each distinct value
-    total = F.sum("__n").over(Window.partitionBy())
-    ranked = counts.select(F.col(value).alias("__ranked"), ((F.sum("__n").over(w) - F.col("__n") + (F.col("__n") + 1) / 2) / total).alias(name))
+    counts = running_total(counts, [value], "__n", "__upto")
+    total = counts.agg(F.sum("__n").alias("__all"))
+    ranked = counts.join(F.broadcast(total)).select(F.col(value).alias("__ranked"), ((F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2) / F.col("__all")).alias(name))  # one row
     return df.join(ranked, F.col(value) == F.col("__ranked"), "left").drop("__ranked")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from careshed.operators import features as ft
 from careshed.plans.modelling import modelling_table
 from careshed.queries.registry import query
+from careshed.sources.files import drop_bookkeeping
 
 FEATURES = ["p_total", "p_mean", "t_max", "t_mean", "wetday_frac", "p_max", "flat"]
 SEASON = "CASE WHEN month(week_start) IN (12, 1, 2) THEN 'Winter' WHEN month(week_start) IN (3, 4, 5) THEN 'Spring' WHEN month(week_start) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END"
@@ -29,12 +30,12 @@ def split(v):
 
 @query("s6_drop_columns", "SELECT hsa_id, week_start, cases FROM v_panel", H)
 def s6(v):
-    return v.panel.select("hsa_id", "week_start", "cases", F.lit("x").alias("system:index"), F.lit("y").alias(".geo")).drop("system:index", ".geo", "absent")
+    return drop_bookkeeping(v.panel.select("hsa_id", "week_start", "cases", F.lit("x").alias("system:index"), F.lit("y").alias(".geo")))
 
 
-@query("j2_totals", "SELECT f.facility_id, f.climate_k, coalesce(c.n, 0) AS total FROM v_facility f LEFT JOIN (SELECT facility_id, count(*) AS n FROM v_visit WHERE facility_id % 2 = 0 GROUP BY facility_id) c ON c.facility_id = f.facility_id", H)
+@query("j2_totals", "SELECT f.facility_id, f.climate_k, coalesce(c.n, 0) AS total FROM v_facility f LEFT JOIN (SELECT facility_id, count(*) AS n FROM v_visit WHERE value > 90.0E0 GROUP BY facility_id) c ON c.facility_id = f.facility_id", H)
 def j2(v):
-    totals = v.visit.where("facility_id % 2 = 0").groupBy("facility_id").agg(F.count("*").alias("total"))
+    totals = v.visit.where("value > 90.0").groupBy("facility_id").agg(F.count("*").alias("total"))
     return ft.with_counts(v.facility.select("facility_id", "climate_k"), totals, ["facility_id"], "total")
 
 
@@ -45,9 +46,9 @@ def j3(v):
     return ft.merge_families([p.where("hsa_id % 3 <> 0").select(*keys, "p_total"), p.where("hsa_id % 3 <> 1").select(*keys, "t_max"), p.where("hsa_id % 3 <> 2").select(*keys, "wetday_frac")], keys)
 
 
-@query("j4_with_counts", "SELECT hsa_id, week_start, round(p_total, 6) AS p_total, CASE WHEN hsa_id % 2 = 0 THEN cases ELSE 0 END AS cases FROM v_panel", H)
+@query("j4_with_counts", "SELECT hsa_id, week_start, round(p_total, 6) AS p_total, CASE WHEN cases > 20 THEN cases ELSE 0 END AS cases FROM v_panel", H)
 def j4(v):
-    return ft.with_counts(v.panel.select("hsa_id", "week_start", "p_total"), v.panel.where("hsa_id % 2 = 0"), ["hsa_id", "week_start"], "cases")
+    return ft.with_counts(v.panel.select("hsa_id", "week_start", "p_total"), v.panel.where("cases > 20"), ["hsa_id", "week_start"], "cases")
 
 
 @query("u1_union_areas", "SELECT hsa_id, week_start, round(p_total, 6) AS p_total, NULL::DOUBLE AS t_max FROM v_panel WHERE hsa_id < 9 UNION ALL SELECT hsa_id, week_start, NULL, round(t_max, 6) FROM v_panel WHERE hsa_id >= 9", H)

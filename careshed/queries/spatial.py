@@ -10,6 +10,7 @@ from careshed.operators import allocation as al
 from careshed.operators import coverage as cv
 from careshed.operators import spatial as sp
 from careshed.queries.registry import query
+from careshed.queries.views import with_views
 
 HAV = "2 * 6371.0E0 * asin(sqrt(least(1.0E0, power(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * power(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
 FC = HAV.format(a="f", b="c")
@@ -17,6 +18,7 @@ FF = HAV.format(a="f", b="g")
 #: Twelve boxes of the study area, three across and four up.
 BOXES = [(f"G{3 * j + i:02d}", 35.0 + 0.5 * i, 29.5 + 0.8 * j, 35.5 + 0.5 * i, 30.3 + 0.8 * j) for j in range(4) for i in range(3)]
 REGION_SQL = "SELECT f.facility_id, min(b.name) AS region FROM v_facility f JOIN (VALUES " + ", ".join(f"('{n}', {w}E0, {s}E0, {e}E0, {t}E0)" for n, w, s, e, t in BOXES) + ") b(name, w, s, e, n) ON f.lon >= b.w AND f.lon < b.e AND f.lat >= b.s AND f.lat < b.n GROUP BY f.facility_id"
+REGION_SEEDS = f"SELECT arg_min(f.facility_id, (-f.volume, f.facility_id)) AS facility_id FROM v_facility f JOIN ({REGION_SQL}) r ON r.facility_id = f.facility_id GROUP BY r.region"
 H = {
     "pairs25": f"SELECT f.facility_id, c.cell_id, c.pop, {FC} AS dist_km FROM v_facility f JOIN v_cell c ON {FC} <= 25.0E0",
     "pairs10": f"SELECT f.facility_id, c.cell_id, c.pop, {FC} AS dist_km FROM v_facility f JOIN v_cell c ON {FC} <= 10.0E0 WHERE c.pop > 0",
@@ -26,14 +28,14 @@ H = {
     "ranks": "SELECT facility_id, (rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0E0) / count(*) OVER () AS pct_rank FROM v_facility",
     "cand": f"SELECT c.cell_id, c.pop, f.facility_id, f.volume / power(greatest({FC}, 0.01E0), 2.0E0) AS attraction FROM v_facility f JOIN v_cell c ON {FC} <= 100.0E0 WHERE f.volume > 0 AND c.pop > 0",
     "alloc": "SELECT cell_id, any_value(pop) AS pop, arg_min(facility_id, (-attraction, facility_id)) AS facility_id, max(attraction) / sum(attraction) AS probability, count(*) AS num_candidates FROM cand GROUP BY cell_id",
-    "anchors": "SELECT *, 15.0E0 + climate_k AS service_radius_km FROM v_facility WHERE facility_id % 10 = 0",
+    "anchors": "SELECT *, 15.0E0 + climate_k AS service_radius_km FROM v_facility",
+    "seeds": "SELECT arg_min(facility_id, (-volume, facility_id)) AS facility_id FROM v_facility GROUP BY governorate_id",
     "inside": f"SELECT f.facility_id AS anchor_id, g.facility_id FROM anchors f JOIN v_facility g ON {FF} <= f.service_radius_km",
     "regions": REGION_SQL,
-    "seen": "SELECT DISTINCT cell_id FROM pairs25 WHERE facility_id % 20 = 0",
+    "seen": "SELECT DISTINCT cell_id FROM pairs25 WHERE facility_id IN (SELECT facility_id FROM seeds)",
     "state": "SELECT p.facility_id, sum(CASE WHEN s.cell_id IS NULL THEN p.pop ELSE 0 END) AS gain, sum(CASE WHEN s.cell_id IS NOT NULL THEN p.pop ELSE 0 END) AS covered, sum(p.pop) AS own, avg(p.dist_km) AS mean_km FROM pairs25 p LEFT JOIN seen s ON s.cell_id = p.cell_id GROUP BY p.facility_id",
     "totals": "SELECT CAST(sum(pop) AS DOUBLE) AS total, CAST(floor(sum(pop) * 0.6E0) AS DOUBLE) AS target, (SELECT CAST(sum(c.pop) AS DOUBLE) FROM v_cell c WHERE c.cell_id IN (SELECT cell_id FROM seen)) AS now FROM v_cell",
 }
-ANCHORS = "facility_id % 10 = 0"
 
 
 def _pairs(v, km=25.0):
@@ -41,7 +43,13 @@ def _pairs(v, km=25.0):
 
 
 def _anchors(v):
-    return v.facility.where(ANCHORS).withColumn("service_radius_km", 15.0 + F.col("climate_k"))
+    """Every facility as the anchor of an area."""
+    return v.facility.withColumn("service_radius_km", 15.0 + F.col("climate_k"))
+
+
+def _seeds(v):
+    """The facility of the highest volume in each governorate."""
+    return cv.highest_volume(v.facility, "governorate_id")
 
 
 def _regions(v):
@@ -172,10 +180,14 @@ def o13(v):
     return cv.adaptive_radii(cv.initial_radii(v.facility, v.cell)).select("facility_id", "service_radius_km")
 
 
-@query("u2_cell_sets", "SELECT (SELECT count(DISTINCT cell_id) FROM pairs25 WHERE facility_id % 2 = 0) AS even, (SELECT count(*) FROM (SELECT cell_id FROM pairs25 WHERE facility_id % 2 = 0 INTERSECT SELECT cell_id FROM pairs25 WHERE facility_id % 2 = 1) q) AS both, (SELECT count(*) FROM (SELECT cell_id FROM pairs25 WHERE facility_id % 2 = 0 EXCEPT SELECT cell_id FROM pairs25 WHERE facility_id % 2 = 1) q) AS only_even", H)
+HOSPITALS = "SELECT facility_id FROM v_facility WHERE healthfacilitytype = 'Hospital'"
+
+
+@query("u2_cell_sets", f"SELECT (SELECT count(DISTINCT cell_id) FROM pairs25 WHERE facility_id IN ({HOSPITALS})) AS hospital, (SELECT count(*) FROM (SELECT cell_id FROM pairs25 WHERE facility_id IN ({HOSPITALS}) INTERSECT SELECT cell_id FROM pairs25 WHERE facility_id NOT IN ({HOSPITALS})) q) AS both, (SELECT count(*) FROM (SELECT cell_id FROM pairs25 WHERE facility_id IN ({HOSPITALS}) EXCEPT SELECT cell_id FROM pairs25 WHERE facility_id NOT IN ({HOSPITALS})) q) AS only_hospital", H)
 def u2(v):
-    sides = _pairs(v).groupBy("cell_id").agg(F.bool_or(F.col("facility_id") % 2 == 0).alias("e"), F.bool_or(F.col("facility_id") % 2 == 1).alias("o"))
-    return sides.agg(F.count(F.when(F.col("e"), 1)).alias("even"), F.count(F.when(F.col("e") & F.col("o"), 1)).alias("both"), F.count(F.when(F.col("e") & ~F.col("o"), 1)).alias("only_even"))
+    kinds = v.facility.select("facility_id", (F.col("healthfacilitytype") == "Hospital").alias("hospital"))
+    sides = _pairs(v).join(kinds, "facility_id").groupBy("cell_id").agg(F.bool_or("hospital").alias("h"), F.bool_or(~F.col("hospital")).alias("o"))
+    return sides.agg(F.count(F.when(F.col("h"), 1)).alias("hospital"), F.count(F.when(F.col("h") & F.col("o"), 1)).alias("both"), F.count(F.when(F.col("h") & ~F.col("o"), 1)).alias("only_hospital"))
 
 
 @query("w4_gravity", "SELECT cell_id, pop, facility_id, round(probability, 6) AS probability, num_candidates FROM alloc", H)
@@ -226,9 +238,10 @@ PARTS = "s.gain / t.total AS coverage_norm, coalesce(s.covered / nullif(CAST(s.o
 
 
 def _parts(v):
-    """One step of the search, with every twentieth facility's cells taken as covered and cluster 0 chosen once."""
+    """One step of the search, with the cells of the governorates' seeds taken as covered and cluster 0 chosen once."""
     pairs = _pairs(v)
-    seen = pairs.where("facility_id % 20 = 0").select("cell_id", F.lit(1).alias("seen")).distinct()
+    chosen = pairs.join(_seeds(v).select("facility_id"), "facility_id", "left_semi")
+    seen = chosen.select("cell_id", F.lit(1).alias("seen")).distinct()
     state = pairs.join(seen, "cell_id", "left").groupBy("facility_id").agg(
         F.sum(F.when(F.col("seen").isNull(), F.col("pop")).otherwise(0)).alias("gain"),
         F.sum(F.when(F.col("seen").isNotNull(), F.col("pop")).otherwise(0)).alias("covered"),
@@ -236,7 +249,7 @@ def _parts(v):
         F.avg("dist_km").alias("mean_km"),
     )
     total = v.cell.agg(F.sum("pop")).first()[0]
-    now = sp.covered_population(pairs.where("facility_id % 20 = 0"), v.cell).first()[0]
+    now = sp.covered_population(chosen, v.cell).first()[0]
     top = v.facility.agg(F.max("volume")).first()[0]
     config = cv.CoverageConfig()
     f = state.join(v.facility.select("facility_id", "volume", "climate_k"), "facility_id")
@@ -257,70 +270,140 @@ def o3(v):
     return f.select("facility_id", cv.score(parts, "distance", config).alias("score"))
 
 
-@query("o11_governorate_climate", "SELECT facility_id, round(CASE WHEN n < 1 THEN 10.0E0 ELSE 1.0E0 / greatest(n / CAST(greatest(a, 1) AS DOUBLE), 1e-6) END, 6) AS reward FROM (SELECT facility_id, (SELECT count(*) FROM v_facility g WHERE g.facility_id % 20 = 0 AND g.climate_k = f.climate_k) AS n, (SELECT count(*) FROM v_facility g WHERE g.facility_id % 20 = 0) AS a FROM v_facility f) q", H)
+@query("o11_governorate_climate", "SELECT facility_id, round(CASE WHEN n < 1 THEN 10.0E0 ELSE 1.0E0 / greatest(n / CAST(greatest(a, 1) AS DOUBLE), 1e-6) END, 6) AS reward FROM (SELECT facility_id, (SELECT count(*) FROM v_facility g WHERE g.facility_id IN (SELECT facility_id FROM seeds) AND g.climate_k = f.climate_k) AS n, (SELECT count(*) FROM seeds) AS a FROM v_facility f) q", H)
 def o11(v):
-    chosen = v.facility.where("facility_id % 20 = 0")
+    chosen = _seeds(v)
     counts = chosen.groupBy("climate_k").agg(F.count("*").alias("n"))
     f = v.facility.join(counts, "climate_k", "left").join(F.broadcast(chosen.agg(F.count("*").alias("a"))))
     return f.select("facility_id", cv.governorate_climate(F.coalesce("n", F.lit(0)), F.col("a"), cv.CoverageConfig()).alias("reward"))
 
 
+def _mode_score(mode, config=cv.CoverageConfig()):
+    m = config.modes[mode]
+    return f"{config.coverage * m['coverage']}E0 * coverage_norm - {config.overlap * m['overlap']:.10f}E0 * overlap_frac + {config.climate}E0 * climate_norm + {config.volume * m['volume']:.10f}E0 * volume_norm + {config.progress * m['progress']}E0 * progress_norm - {config.distance * m['distance']}E0 * distance_norm"
+
+
+def greedy_sql(mode, seeded=None, climate=True, overlaps="", final="", config=cv.CoverageConfig()):
+    """The greedy loop as a recursive query: a row for each pick with the list of chosen facilities; a step sums the
+    cells that no chosen facility has, scores the rest and takes the best, the least id of equals."""
+    stop = f"pct >= {config.fewest_pct} AND k >= {config.min_areas}" if mode == "fewest" else f"k >= {config.max_areas} OR pct >= {config.other_pct}"
+    far = "least(mean_km / 100.0E0, 1.0E0)" if mode == "distance" else "0.0E0"
+    start = f"(SELECT list(facility_id ORDER BY facility_id) FROM ({seeded}) q)" if seeded else "CAST([] AS BIGINT[])"
+    parts = "coverage_norm, overlap_frac, climate_norm, volume_norm, progress_norm, distance_norm"
+    zeros = ", ".join(f"0.0E0 AS {p}" for p in parts.split(", "))
+    return with_views("SELECT 1 FROM radii", H | {"pairs_own": f"SELECT f.facility_id, c.cell_id, c.pop, {FC} AS dist_km FROM radii f JOIN v_cell c ON {FC} <= f.initial_radius_km"}).rpartition("SELECT 1")[0].replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f"""
+, pairs_own AS (SELECT f.facility_id, c.cell_id, c.pop, {FC} AS dist_km FROM radii f JOIN v_cell c ON {FC} <= f.initial_radius_km),
+tot AS (SELECT CAST(sum(pop) AS DOUBLE) AS total, floor(sum(pop) * {config.progress_tau}E0) AS target FROM v_cell),
+fac AS (SELECT r.facility_id, r.climate_k, r.volume / CAST((SELECT max(volume) FROM v_facility) AS DOUBLE) AS volume_norm, p.cell_id, coalesce(p.pop, 0) AS pop, p.dist_km, tot.total, tot.target FROM radii r LEFT JOIN pairs_own p ON p.facility_id = r.facility_id CROSS JOIN tot),
+g AS (
+  SELECT len({start}) AS k, {start} AS chosen, CAST(NULL AS BIGINT) AS facility_id, 0.0E0 AS score, {zeros}
+  UNION ALL
+  SELECT k + 1, list_append(chosen, best.facility_id), best.facility_id, best.score, {", ".join(f"best.{p}" for p in parts.split(", "))} FROM (
+    SELECT k, chosen, arg_min(struct_pack(facility_id := facility_id, score := score, coverage_norm := coverage_norm, overlap_frac := overlap_frac, climate_norm := climate_norm, volume_norm := volume_norm, progress_norm := progress_norm, distance_norm := distance_norm), (-score, facility_id)) AS best FROM (
+      SELECT *, {_mode_score(mode, config)} AS score FROM (
+        SELECT k, chosen, facility_id, gain / total AS coverage_norm, coalesce((own - gain) / nullif(CAST(own AS DOUBLE), 0), 0) AS overlap_frac,
+          {"CASE WHEN n < " + str(config.min_per_cluster) + " THEN 1.0E0 ELSE 1.0E0 / (1 + n) END" if climate else "0.0E0"} AS climate_norm, volume_norm,
+          CASE WHEN target > now THEN least(gain / (target - now), 1.0E0) ELSE 0.0E0 END AS progress_norm, {far} AS distance_norm
+        FROM (
+          SELECT k, chosen, facility_id, any_value(climate_k) AS climate_k, any_value(volume_norm) AS volume_norm, any_value(total) AS total, any_value(target) AS target, max(now) AS now, max(clusters) AS clusters,
+            CAST(coalesce(sum(pop) FILTER (NOT cov), 0) AS DOUBLE) AS gain, sum(pop) AS own, coalesce(avg(dist_km), 1e9) AS mean_km, bool_or(mine) AS mine, len(list_filter(max(clusters), lambda c: c = any_value(climate_k))) AS n
+          FROM (SELECT *, sum(CASE WHEN cov AND first_of THEN pop ELSE 0 END) OVER (PARTITION BY k) AS now, list(CASE WHEN mine AND first_row THEN climate_k END) OVER (PARTITION BY k) AS clusters FROM (
+            SELECT g.k, g.chosen, fac.*, list_contains(g.chosen, fac.facility_id) AS mine,
+              fac.cell_id IS NOT NULL AND bool_or(list_contains(g.chosen, fac.facility_id)) OVER (PARTITION BY g.k, fac.cell_id) AS cov,
+              row_number() OVER (PARTITION BY g.k, fac.cell_id) = 1 AS first_of, row_number() OVER (PARTITION BY g.k, fac.facility_id) = 1 AS first_row
+            FROM g CROSS JOIN fac) a) b
+          GROUP BY k, chosen, facility_id) c
+        WHERE NOT mine AND NOT (CASE WHEN total > 0 THEN {stop.replace("pct", "(100.0E0 * now / total)")} ELSE TRUE END)) d) e
+    GROUP BY k, chosen) f
+){overlaps}
+{final or f"SELECT CAST(k AS INT) AS pick, facility_id, round(score, 6) AS score, {', '.join(f'round({p}, 6) AS {p}' for p in parts.split(', '))} FROM g WHERE facility_id IS NOT NULL"}"""
+
+
 def _picks(v, mode, seeds=None):
     ready = cv.table(cv.initial_radii(v.facility, v.cell), "radii")
     return cv.greedy(ready, v.cell, mode, seeds=seeds)[0]
 
 
-@query("o5_greedy_footprint")
+@query("o5_greedy_footprint", greedy_sql("footprint"), raw=True)
 def o5(v):
     return _picks(v, "footprint")
 
 
-@query("o6_greedy_fewest")
+@query("o6_greedy_fewest", greedy_sql("fewest"), raw=True)
 def o6(v):
     return _picks(v, "fewest")
 
 
-@query("o7_greedy_distance")
+@query("o7_greedy_distance", greedy_sql("distance"), raw=True)
 def o7(v):
     return _picks(v, "distance")
 
 
-@query("o8_seeded")
+SEEDED = H["seeds"]
+PICKED = "SELECT CAST(row_number() OVER (ORDER BY facility_id) AS INT) AS pick, facility_id, 0.0E0 AS score FROM (" + SEEDED + ") q UNION ALL SELECT CAST(k AS INT), facility_id, round(score, 6) FROM g WHERE facility_id IS NOT NULL"
+
+
+@query("o8_seeded", greedy_sql("fewest", SEEDED, final=PICKED), raw=True)
 def o8(v):
-    return _picks(v, "fewest", [r.facility_id for r in v.facility.where("facility_id <= 3").orderBy("facility_id").collect()])
+    seeds = [r.facility_id for r in _seeds(v).orderBy("facility_id").collect()]  # one for each governorate
+    return _picks(v, "fewest", seeds).select("pick", "facility_id", "score")
+
 
+#: Overlap removal over the last row's chosen facilities, largest volume first.
+OVERLAPS = f"""
+, last AS (SELECT chosen FROM g ORDER BY k DESC LIMIT 1),
+ar AS (SELECT r.facility_id, r.volume, row_number() OVER (ORDER BY r.volume DESC, r.facility_id) AS i FROM radii r, last WHERE list_contains(last.chosen, r.facility_id)),
+mine AS (SELECT ar.i, ar.facility_id, list(p.cell_id) FILTER (p.cell_id IS NOT NULL) AS cells FROM ar LEFT JOIN pairs_own p ON p.facility_id = ar.facility_id GROUP BY ar.i, ar.facility_id),
+o AS (
+  SELECT 1 AS i, [facility_id] AS kept, coalesce(cells, []) AS held FROM mine WHERE i = 1
+  UNION ALL
+  SELECT o.i + 1, CASE WHEN stays THEN list_append(kept, m.facility_id) ELSE kept END, CASE WHEN stays THEN list_distinct(list_concat(held, m.cells)) ELSE held END
+  FROM o JOIN (SELECT * FROM mine) m ON m.i = o.i + 1, LATERAL (SELECT coalesce(len(m.cells), 0) > 0 AND len(list_intersect(m.cells, held)) / CAST(len(m.cells) AS DOUBLE) <= 0.8 AS stays) s
+), kept AS (SELECT kept, held FROM o ORDER BY i DESC LIMIT 1)"""
 
-@query("o9_overlap_removal")
+
+@query("o9_overlap_removal", greedy_sql("footprint", overlaps=OVERLAPS, final="SELECT f.facility_id, f.volume FROM v_facility f, kept WHERE list_contains(kept.kept, f.facility_id)"), raw=True)
 def o9(v):
-    areas = v.facility.where(ANCHORS)
-    return cv.remove_overlapping(areas, cv.table(sp.coverage_pairs(areas, v.cell, 25.0), "areas"), 0.5).select("facility_id", "volume")
+    return cv.optimize(v.facility, v.cell, "footprint").areas.select("facility_id", "volume")
 
 
 @query("o10_governorate_coverage")
 def o10(v):
     ready = cv.table(_with_regions(v), "regions")
-    return cv.governorate_coverage(ready, v.cell, [25.0, 20.0])[0]
+    radii = [r.radius_km for r in cv.radius_candidates(v.facility, 2.0, 10.0, 25.0).collect()]  # some fifteen numbers
+    return cv.governorate_coverage(ready, v.cell, radii)[0]
 
 
-@query("o12_governorate_fewest")
+@query("o12_governorate_fewest", greedy_sql("fewest", REGION_SEEDS, final="SELECT f.facility_id, r.region AS governorate, CAST(p.pick AS INT) AS pick, round(p.score, 6) AS score, round(f.initial_radius_km, 6) AS service_radius_km FROM (" + PICKED.replace(SEEDED, REGION_SEEDS) + ") p JOIN radii f ON f.facility_id = p.facility_id LEFT JOIN (" + REGION_SQL + ") r ON r.facility_id = f.facility_id"), raw=True)
 def o12(v):
     ready = cv.table(_with_regions(v), "regions")
     return cv.optimize(ready, v.cell, "governorate_fewest").areas.select("facility_id", "governorate", "pick", "score", "service_radius_km")
 
 
-@query("o14_climate_ablation")
+def _summary_sql(mode, climate=True):
+    final = f"SELECT '{mode}' AS objective, 'INF' AS network_type, CAST(total AS BIGINT) AS total_pop, CAST(covered AS BIGINT) AS covered_pop, round(100.0E0 * covered / total, 6) AS coverage_pct FROM tot, (SELECT coalesce(sum(c.pop), 0) AS covered FROM v_cell c, kept WHERE list_contains(kept.held, c.cell_id)) q"
+    return greedy_sql(mode, climate=climate, overlaps=OVERLAPS, final=final)
+
+
+@query("o14_climate_ablation", f"SELECT *, TRUE AS climate_on FROM ({_summary_sql('footprint')}) a UNION ALL SELECT *, FALSE AS climate_on FROM ({_summary_sql('footprint', False)}) b", raw=True)
 def o14(v):
     return cv.climate_ablation(v.facility, v.cell, "footprint")
 
 
-@query("o15_outline", "SELECT a.facility_id, count(*) AS cells_inside FROM anchors a JOIN pairs25 p ON p.facility_id = a.facility_id WHERE p.cell_id IN (SELECT cell_id FROM v_cell WHERE lon >= 35.0E0 AND lon < 36.5E0 AND lat >= 29.5E0 AND lat < 32.7E0) GROUP BY a.facility_id", H)
+RING = "SELECT f.facility_id, i.i, asin(sin(radians(f.lat)) * cos(f.service_radius_km / 6371.0E0) + cos(radians(f.lat)) * sin(f.service_radius_km / 6371.0E0) * cos((i.i % 64) * (2 * pi() / 64))) AS phi, f.lon, f.lat, f.service_radius_km / 6371.0E0 AS d, (i.i % 64) * (2 * pi() / 64) AS t FROM anchors f CROSS JOIN (SELECT unnest(range(0, 65)) AS i) i"
+CLIPPED = "least(greatest({0}, {1}), {2})"
+
+
+@query("o15_outline", f"SELECT a.facility_id, c.cells_inside, a.west, a.east, a.south, a.north FROM (SELECT facility_id, round(min({CLIPPED.format('x', '35.0E0', '36.5E0')}), 6) AS west, round(max({CLIPPED.format('x', '35.0E0', '36.5E0')}), 6) AS east, round(min({CLIPPED.format('y', '29.5E0', '32.7E0')}), 6) AS south, round(max({CLIPPED.format('y', '29.5E0', '32.7E0')}), 6) AS north FROM (SELECT facility_id, lon + degrees(atan2(sin(t) * sin(d) * cos(radians(lat)), cos(d) - sin(radians(lat)) * sin(phi))) AS x, degrees(phi) AS y FROM ({RING}) r) q GROUP BY facility_id) a LEFT JOIN (SELECT p.facility_id, count(*) AS cells_inside FROM pairs25 p WHERE p.cell_id IN (SELECT cell_id FROM v_cell WHERE lon >= 35.0E0 AND lon < 36.5E0 AND lat >= 29.5E0 AND lat < 32.7E0) GROUP BY p.facility_id) c ON c.facility_id = a.facility_id", H)
 def o15(v):
     country = sp.within_regions(v.cell, _regions(v), "cell_id", "inside").where("inside IS NOT NULL").select("cell_id")
-    pairs = sp.coverage_pairs(cv.outlines(_anchors(v)), v.cell, 25.0)
-    return pairs.join(country, "cell_id", "left_semi").groupBy("facility_id").agg(F.count("*").alias("cells_inside"))
+    cells = _pairs(v).join(country, "cell_id", "left_semi").groupBy("facility_id").agg(F.count("*").alias("cells_inside"))
+    areas = cv.clipped_outlines(cv.outlines(_anchors(v)), 35.0, 29.5, 36.5, 32.7)
+    lon, lat = (F.transform("outline", lambda p: p[c]) for c in ("lon", "lat"))
+    return areas.select("facility_id", F.array_min(lon).alias("west"), F.array_max(lon).alias("east"), F.array_min(lat).alias("south"), F.array_max(lat).alias("north")).join(cells, "facility_id", "left")
 
 
-@query("o16_optimize_summary")
+@query("o16_optimize_summary", _summary_sql("distance"), raw=True)
 def o16(v):
     return cv.optimize(v.facility, v.cell, "distance").summary_df()
 
@@ -330,7 +413,7 @@ def a26(v):
     return cv.area_details(_anchors(v), v.facility, _pairs(v))
 
 
-@query("a27_compare_modes", "SELECT mode, count(*) AS n_areas, round(avg(n), 6) AS mean_facilities, CAST(sum(n) AS BIGINT) AS sum_facilities, round(avg(vol), 6) AS mean_volume, CAST(sum(vol) AS BIGINT) AS sum_volume FROM (SELECT CASE WHEN a.climate_k < 4 THEN 'low' ELSE 'high' END AS mode, count(i.facility_id) AS n, coalesce(sum(f.volume), 0) AS vol FROM anchors a LEFT JOIN inside i ON i.anchor_id = a.facility_id LEFT JOIN v_facility f ON f.facility_id = i.facility_id GROUP BY a.facility_id, a.climate_k) q GROUP BY mode", H)
+@query("a27_compare_modes", "SELECT mode, count(*) AS n_areas, round(avg(n), 6) AS mean_facilities, CAST(sum(n) AS BIGINT) AS sum_facilities, round(avg(vol), 6) AS mean_volume, CAST(sum(vol) AS BIGINT) AS sum_volume FROM (SELECT CASE WHEN a.healthfacilitytype = 'Hospital' THEN 'hospital' ELSE 'other' END AS mode, count(i.facility_id) AS n, coalesce(sum(f.volume), 0) AS vol FROM anchors a LEFT JOIN inside i ON i.anchor_id = a.facility_id LEFT JOIN v_facility f ON f.facility_id = i.facility_id GROUP BY a.facility_id, a.healthfacilitytype) q GROUP BY mode", H)
 def a27(v):
-    details = cv.area_details(_anchors(v), v.facility, _pairs(v)).join(v.facility.select("facility_id", "climate_k"), "facility_id")
-    return cv.compare_modes(details.withColumn("mode", F.when(F.col("climate_k") < 4, "low").otherwise("high")))
+    details = cv.area_details(_anchors(v), v.facility, _pairs(v)).join(v.facility.select("facility_id", "healthfacilitytype"), "facility_id")
+    return cv.compare_modes(details.withColumn("mode", F.when(F.col("healthfacilitytype") == "Hospital", "hospital").otherwise("other")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from careshed.functions.scalars import facility_level, has_keyword, monday, normal_name
 from careshed.operators import surveillance as s
+from careshed.operators.coverage import highest_volume
 from careshed.operators.features import stamp
 from careshed.queries.registry import query
 
@@ -110,9 +111,9 @@ def j1(v):
     return s.with_facility(s.count_by(v.visit, "facility_id"), v.facility.select("facility_id", "governorate_id", "lon", "lat"))
 
 
-@query("j5_anchor_visits", "SELECT facility_id, count(*) AS n FROM v_visit WHERE facility_id IN (SELECT facility_id FROM v_facility WHERE facility_id % 7 = 0) GROUP BY ALL")
+@query("j5_anchor_visits", "SELECT facility_id, count(*) AS n FROM v_visit WHERE facility_id IN (SELECT arg_min(facility_id, (-volume, facility_id)) FROM v_facility GROUP BY governorate_id) GROUP BY ALL")
 def j5(v):
-    return v.visit.join(v.facility.where("facility_id % 7 = 0").select("facility_id"), "facility_id", "left_semi").groupBy("facility_id").agg(F.count("*").alias("n"))
+    return v.visit.join(highest_volume(v.facility, "governorate_id").select("facility_id"), "facility_id", "left_semi").groupBy("facility_id").agg(F.count("*").alias("n"))
 
 
 @query("j12_gap_grid", "SELECT hsa_id, week_start FROM grid", PANEL)

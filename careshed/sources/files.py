@@ -71,15 +71,15 @@ def read_family(spark: SparkSession, folder: str, family: str) -> DataFrame:
 
 
 def read_polygons(spark: SparkSession, path: str, name: str = "shapeName") -> DataFrame:
-    """(name, part, ring) of the outer rings of a GeoJSON feature collection of polygons and multi-polygons."""
+    """(name, part, ring, holes) of the polygons and multi-polygons of a GeoJSON feature collection."""
     schema = f"features ARRAY<STRUCT<properties: STRUCT<`{name}`: STRING>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
     f = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f"))
     one, many = "ARRAY<ARRAY<ARRAY<DOUBLE>>>", "ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>"
     text = F.col("f.geometry.coordinates")
     parts = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json(text, one))).otherwise(F.from_json(text, many))
     rings = f.select(F.col(f"f.properties.{name}").alias("name"), F.posexplode(parts).alias("part", "rings"))
-    ring = F.transform(F.get("rings", F.lit(0)), lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
-    return rings.select("name", "part", ring.alias("ring"))
+    rings = rings.withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))))
+    return rings.select("name", "part", F.get("rings", F.lit(0)).alias("ring"), F.slice("rings", F.lit(2), F.greatest(F.size("rings") - 1, F.lit(0))).alias("holes"))
 
 
 def dissolved(polygons: DataFrame, name: str) -> DataFrame:

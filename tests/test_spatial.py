@@ -39,6 +39,40 @@ def test_bucket_join_equals_nested_loop(frames, world, radius):
     assert got == {(f[0], c[0]) for f in world[0] for c in world[1] if km(f[1:3], c[3:5]) <= radius}
 
 
+def test_bucket_join_at_the_date_line_and_the_poles(spark):
+    rng = random.Random(21)
+    points = [(i, rng.choice((-179.9, 179.9, 0.0)) + rng.uniform(-0.1, 0.1), rng.choice((0.0, 89.5, -89.8, 60.0)) + rng.uniform(-0.1, 0.1)) for i in range(150)]
+    p = spark.createDataFrame(points, "id long, lon double, lat double")
+    c = spark.createDataFrame([(i, x, y, rng.choice((5.0, 40.0, 900.0))) for i, x, y in points[:60]], "c long, c_lon double, c_lat double, r double")
+    own = {r.c: r.r for r in c.collect()}
+    for radius in (20.0, 700.0, "r"):
+        got = sorted((r.c, r.id) for r in sp.range_join(p, c, radius).collect())
+        assert got == sorted((a[0], b[0]) for a in points[:60] for b in points if km(a[1:], b[1:]) <= (own[a[0]] if radius == "r" else radius))
+
+
+def test_running_totals_and_numbers_cross_ranges(spark):
+    from careshed.core.work import running_total
+
+    rng = random.Random(22)
+    rows = [(i, rng.randrange(40), rng.randrange(9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "anchor_id long, allocated_patients long, n long")
+    got = {r.anchor_id: r.upto for r in running_total(df, ["allocated_patients", "anchor_id"], "n", "upto").collect()}
+    total = 0
+    for i, _, n in sorted(rows, key=lambda r: (r[1], r[0])):
+        total += n
+        assert got[i] == total
+    ranks = {r.anchor_id: r["rank"] for r in al.renumber(df).collect()}
+    assert ranks == {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+
+
+def test_nearest_neighbours_in_crowded_and_empty_places(spark):
+    rng = random.Random(23)
+    points = [(i, 10 + rng.gauss(0, 0.001), 50 + rng.gauss(0, 0.001)) for i in range(120)] + [(500, -170.0, -60.0), (501, 179.0, 10.0)]
+    got = {r.id: r.nn_km for r in sp.nearest_neighbours(spark.createDataFrame(points, "id long, lon double, lat double"), "id").collect()}
+    assert all(got[p[0]] == pytest.approx(min(km(p[1:], q[1:]) for q in points if q[0] != p[0])) for p in points)
+    assert sp.nearest_neighbours(spark.createDataFrame(points[:1], "id long, lon double, lat double"), "id").count() == 0
+
+
 def test_own_radius(frames, world):
     anchors = frames[0].withColumn("service_radius_km", F.col("volume").cast("double"))
     got = {(r.anchor_id, r.facility_id) for r in sp.facilities_in_areas(anchors, frames[0]).collect()}
@@ -137,6 +171,12 @@ def test_governorate_mode_covers_each_and_the_target(frames):
     assert {r.governorate for r in chosen.collect()} == {"G0", "G1", "G2"}
     assert covered >= int(total * 0.5)
     assert {r.radius_km for r in picks.collect()} == {40.0}
+    named = frames[1].withColumn("governorate", F.when(F.col("lon") < 35.5, "G0").otherwise("G1"))
+    shares = cv.governorate_coverage(frames[0], named, [1.0], 0.9)
+    assert shares[1] < int(total * 0.9)  # no radius gets there, so all facilities with cells come back
+    assert shares[0].where("governorate_share > 1").count() == 0 and shares[0].where("governorate_share > 0").count() > 0
+    coded = cv.governorate_coverage(frames[0], frames[1], [25.0], 0.6, cv.CoverageConfig(tau_as_coded=True, needy_as_coded=True))
+    assert coded[1] >= 0.36 * total
 
 
 def test_allocation_keeps_everyone(frames, world):
