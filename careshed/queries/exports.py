@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from careshed.core.work import shared_dir
+from careshed.operators.spatial import within_regions
 from careshed.queries.registry import query
+from careshed.queries.spatial import BOXES, REGION_SQL
 from careshed.queries.surveillance import KEPT
 from careshed.sources import files
 from careshed.streaming import jobs
@@ -17,6 +20,65 @@ def _path(v, name):
     return f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@query("s1_facility_file", "SELECT healthfacility, healthfacilitytype, round(lat, 6) AS lat, round(lon, 6) AS lon FROM v_facility")
+def s1(v):
+    path = _path(v, "facilities")
+    files.write_csv(v.facility.select("healthfacility", "healthfacilitytype", F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude")), path)
+    return files.read_facilities(v.spark, path).select("healthfacility", "healthfacilitytype", "lat", "lon")
+
+
+@query("s2_group_lookup", "SELECT c.grp AS \"group\", count(*) AS cases FROM (SELECT split_part(diagnosis, ' ', 1) AS grp FROM v_case) c GROUP BY c.grp")
+def s2(v):
+    path = _path(v, "groups")
+    kinds = v.case.select(F.col("diagnosis").alias("Diagnosis"), F.split_part("diagnosis", F.lit(" "), F.lit(1)).alias("General_Diagnosis")).distinct()
+    files.write_csv(kinds, path)
+    groups = files.read_groups(v.spark, path)
+    return v.case.join(groups, "diagnosis").groupBy("group").agg(F.count("*").alias("cases"))
+
+
+@query("s3_visit_file", "SELECT event_id, CASE WHEN value < 10.0E0 THEN NULL ELSE CAST(visit_time AS DATE) END AS day, CASE WHEN value < 10.0E0 THEN NULL ELSE CAST(hour(visit_time) AS INT) END AS hour FROM v_visit")
+def s3(v):
+    path = _path(v, "visits")
+    time = F.when(F.col("value") < 10.0, "not known").otherwise(F.date_format("visit_time", "yyyy-MM-dd HH:mm:ss"))
+    files.write_csv(v.visit.select("patientid", F.lit("").alias("gender"), F.lit("").alias("ageatdiagnosis"), F.lit("").alias("governorate"), F.col("event_id").alias("diagnosisid"), F.col("diagnosis_group").alias("diagnosis"), F.lit("").alias("general_category"), time.alias("datetimediagnosisentered"), F.lit("").alias("healthfacility"), F.lit("").alias("healthfacilitytype")), path)
+    got = files.read_visits(v.spark, path)
+    return got.select(F.col("diagnosisid").cast("long").alias("event_id"), F.to_date("visit_time").alias("day"), F.hour("visit_time").alias("hour"))
+
+
+@query("s4_aliases", "SELECT healthfacility AS name, round(lat, 6) AS lat, round(lon, 6) AS lon, CAST(1 AS BIGINT) AS same_id FROM v_facility")
+def s4(v):
+    path = _path(v, "aliases")
+    files.write_csv(v.facility.select(F.col("healthfacility").alias("FacilityName"), F.col("lat").alias("y"), F.col("lon").alias("LNG")), path)
+    got = files.with_id(files.resolve(files.read_csv(v.spark, path), {k: files.ALIASES[k] for k in ("lat", "lon", "name")}, ("lat", "lon")), ["name", "lat", "lon"])
+    same = got.groupBy("id").agg(F.count("*").alias("same_id"))
+    return got.join(same, "id").select("name", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "same_id")
+
+
+@query("s5_family_files", "SELECT CAST(hsa_id AS VARCHAR) AS hsa_name, week_start, round(p_total, 6) AS p_total, cases FROM v_panel")
+def s5(v):
+    folder = _path(v, "families")
+    files.write_family(v.panel.select("hsa_id", "week_start", "p_total", "cases", F.lit("0").alias("system:index"), F.lit("g").alias(".geo")), folder, "rain", "hsa_id")
+    got = files.read_family(v.spark, folder, "rain")
+    return got.select("hsa_name", F.to_date("week_start").alias("week_start"), F.col("p_total").cast("double").alias("p_total"), F.col("cases").cast("long").alias("cases"))
+
+
+#: A hole in the box G04: no governorate there, and no country.
+HOLE = (35.6, 30.5, 35.9, 30.9)
+
+
+@query("s10_polygons", f"SELECT f.facility_id, CASE WHEN h.inside THEN NULL ELSE r.region END AS governorate, CASE WHEN r.region IS NULL OR h.inside THEN NULL ELSE 'country' END AS country FROM v_facility f LEFT JOIN ({REGION_SQL}) r ON r.facility_id = f.facility_id JOIN (SELECT facility_id, lon >= {HOLE[0]}E0 AND lon < {HOLE[2]}E0 AND lat >= {HOLE[1]}E0 AND lat < {HOLE[3]}E0 AS inside FROM v_facility) h ON h.facility_id = f.facility_id")
+def s10(v):
+    def ring(w, s, e, n):
+        return [[w, s], [e, s], [e, n], [w, n], [w, s]]
+
+    features = [{"type": "Feature", "properties": {"shapeName": name}, "geometry": {"type": "Polygon", "coordinates": [ring(w, s, e, n)] + ([ring(*HOLE)] if name == "G04" else [])}} for name, w, s, e, n in BOXES]
+    path = _path(v, "polygons")
+    files.write_text(v.spark.createDataFrame([(json.dumps({"type": "FeatureCollection", "features": features}),)], "value string"), path)
+    regions = files.read_polygons(v.spark, path)
+    named = within_regions(v.facility, regions, "facility_id", "governorate")
+    return within_regions(named, files.dissolved(regions, "country"), "facility_id", "country").select("facility_id", "governorate", "country")
+
+
 @query("s12_csv_round_trip", "SELECT facility_id, healthfacility, governorate_id, volume FROM v_facility")
 def s12(v):
     path = _path(v, "export-csv")
@@ -76,10 +138,9 @@ def x2(v):
 def x3(v):
     path = _path(v, "stream-drift")
 
-    def keep(batch, batch_id):
-        jobs.errors(batch, F.col("y"), F.col("prediction")).select("n", "rmse").write.mode("append").parquet(path)
-
-    q = _events(v).select(F.col("value").alias("y"), F.lit(50.0).alias("prediction")).writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    alerts = []
+    rows = _events(v).select(F.col("value").alias("y"), F.lit(50.0).alias("prediction"))
+    q = jobs.drift_monitor(rows, lambda rmse, batch: alerts.append(rmse), scores=path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
     n, squares = F.sum("n"), F.sum(F.col("n") * F.col("rmse") * F.col("rmse"))
-    return v.spark.read.schema("n long, rmse double").parquet(path).agg(n.alias("n"), F.sqrt(squares / n).alias("rmse")).withColumn("alert", F.col("rmse") > 15)
+    return v.spark.read.schema("n long, rmse double").parquet(path).agg(n.alias("n"), F.sqrt(squares / n).alias("rmse")).withColumn("alert", F.lit(bool(alerts)))

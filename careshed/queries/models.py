@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from careshed.operators import features as ft
@@ -26,6 +26,8 @@ def _fit(v, fit):
     train = rows.where("split = 'train'")
     train, val = (m.assembled(ft.standardise(train, rows.where(f"split = '{s}'"), columns), columns, "cases").select("features", "label").cache() for s in ("train", "val"))
     f = fit(train, val)
+    for x in (train, val):
+        x.unpersist()
     return v.spark.createDataFrame([(f.name, f.alpha, f.metrics["rmse"], f.metrics["mae"], f.metrics["r2"])], "model string, alpha double, rmse double, mae double, r2 double")
 
 
@@ -87,17 +89,24 @@ def _vectors(v):
     return v.base("embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
 
 
-@query("m11_kmeans")
-def m11(v):
+def _standardised(v):
     rows = _vectors(v)
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(rows)
-    rows = scaler.transform(rows).select("vec_id", F.col("scaled").alias("features"))
+    return scaler.transform(rows).select("vec_id", F.col("scaled").alias("features"))
+
+
+@query("m11_kmeans")
+def m11(v):
+    rows = _standardised(v)
     model, _ = m.kmeans(rows)
     return model.transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
 
 
 @query("m12_pca", places=4)
 def m12(v):
-    model = m.principal_components(_vectors(v))
-    variance = model.explainedVariance.toArray().tolist()
-    return v.spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(variance)], "component int, explained_variance double")
+    """Each vector on the two components, whose signs are free, with the share of variance that each explains."""
+    rows = _standardised(v)
+    model = m.principal_components(rows)
+    first, second = model.explainedVariance.toArray().tolist()
+    at = vector_to_array("components")
+    return model.transform(rows).select("vec_id", at[0].alias("pc1"), at[1].alias("pc2"), F.lit(float(first)).alias("share1"), F.lit(float(second)).alias("share2"))

@@ -96,6 +96,21 @@ def write_split(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").partitionBy(by).option("header", True).csv(path)
 
 
+def write_family(df: DataFrame, folder: str, family: str, name: str) -> list[str]:
+    """One CSV file HSA_<name>_<family>.csv for each value of the column ``name``, a few dozen areas; their file names."""
+    spark, staged = df.sparkSession, f"{folder}/_{family}"
+    df.repartition(name).write.mode("overwrite").partitionBy(name).option("header", True).csv(staged)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for part in fs.globStatus(path(f"{staged}/{name}=*/part-*")):
+        value = part.getPath().getParent().getName().partition("=")[2]
+        fs.rename(part.getPath(), path(f"{folder}/HSA_{value}_{family}.csv"))
+        found.append(f"HSA_{value}_{family}.csv")
+    fs.delete(path(staged), True)
+    return sorted(found)
+
+
 def features_geojson(areas: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """One GeoJSON point feature for each row, as text (``value``)."""
     point = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))

@@ -23,7 +23,8 @@ def deduplicate_visits(visits: DataFrame, days: int = 3, late: str = "30 days")
     """Visits (patientid, diagnosis_group, event_id, visit_time, facility_level) that are not repeats.
 
     The state of a patient and group is the time and level of the last raw visit, kept until the watermark is
-    ``days`` past it. Input in order of time gives what the batch operator gives.
+    ``days`` past it. Input in order of time gives what the batch operator gives. A row of a later batch that is older
+    than the last visit is a repeat of it if it lies within ``days`` before it and its level is no higher; the state stays.
     """
     schema = "patientid long, diagnosis_group string, event_id long, visit_time timestamp, facility_level int"
 
@@ -36,8 +37,9 @@ def deduplicate_visits(visits: DataFrame, days: int = 3, late: str = "30 days")
         keep = []
         for time, level in zip(rows["visit_time"], rows["facility_level"], strict=True):
             us = int(time.value // 1000)
-            keep.append(last_us is None or not ((us - last_us) // 86_400_000_000 <= days and level <= last_level))
-            last_us, last_level = us, int(level)
+            keep.append(last_us is None or not (abs(us - last_us) // 86_400_000_000 <= days and level <= last_level))
+            if last_us is None or us >= last_us:
+                last_us, last_level = us, int(level)
         state.update((last_us, last_level))
         state.setTimeoutTimestamp(max(last_us // 1000 + (days + 1) * 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield rows[keep][["patientid", "diagnosis_group", "event_id", "visit_time", "facility_level"]]
@@ -47,11 +49,15 @@ def deduplicate_visits(visits: DataFrame, days: int = 3, late: str = "30 days")
     return rows.groupBy("patientid", "diagnosis_group").applyInPandasWithState(step, schema, "last_us long, last_level int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drift_monitor(predictions: DataFrame, alert: Callable[[float, int], None], limit: float = 15.0):
-    """A stream writer that scores each arrived batch (y, prediction) and calls ``alert`` beyond the limit."""
+def drift_monitor(predictions: DataFrame, alert: Callable[[float, int], None], limit: float = 15.0, scores: str | None = None):
+    """A stream writer that scores each arrived batch (y, prediction) and calls ``alert`` beyond the limit; with a folder
+    ``scores`` it keeps each batch's n and rmse there."""
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        r = errors(batch, F.col("y"), F.col("prediction")).first()
+        found = errors(batch, F.col("y"), F.col("prediction"))
+        r = found.first()
+        if scores and r is not None:
+            found.select("n", "rmse").write.mode("append").parquet(scores)
         if r is not None and r.rmse is not None and r.rmse > limit:
             alert(r.rmse, batch_id)
 
