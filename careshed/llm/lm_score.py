@@ -26,8 +26,8 @@ from careshed.llm.tokens import encoder
 START, IDS = 50_256, 50_257
 #: Stands for a null document id inside packed rows.
 NO_ID = np.iinfo(np.int64).min
-#: Back-off factor, and the count below which a bigram is taken as unseen (one made by the document alone).
-BACKOFF, LEAST = 0.4, 2
+#: Back-off factor.
+BACKOFF = 0.4
 #: Characters of text whose n-grams are packed together.
 CHUNK = 1 << 21
 
@@ -134,13 +134,14 @@ def _token_counts(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def lm_scores(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, path: str | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, backoff: float = BACKOFF, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, log_score, mean_log_score for each row of ``docs``; scores are rounded to 6 places.
 
-    The score of a token w after v is count(v w) / count(v) if the bigram stands ``least`` times or more in the
-    whole table, otherwise backoff * count(w) / (number of tokens). Before the first token stands a start mark.
-    All counts are of all rows, the scored one included.
+    The score of a token w after v is others(v w) / count(v), where others is how often the bigram stands in all other
+    rows, if it stands in any; otherwise backoff * count(w) / (number of tokens). Before the first token stands a start
+    mark. count is of all rows, the scored one included; bigrams are never dropped, however rare.
 
+    * Texts of any length are scored whole. doc_id is cast to long: an id that is no whole number fails.
     * A null or empty text has no tokens, log_score 0 and mean_log_score null.
     * Repeated rows are counted and scored each. A null id is scored too. An empty table gives an empty result;
       columns other than doc_id and text are not looked at.
@@ -190,8 +191,8 @@ def lm_scores(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, pat
                     keys = np.cumsum(np.frombuffer(keys, "<u4"), dtype=np.uint32)
                     rows = np.frombuffer(rows, "<u2" if len(rows) == 2 * len(keys) else "<u4").astype(np.int64)
                     times = np.frombuffer(times, "u1" if len(times) == len(keys) else "<u4")
-                    seen = number[np.searchsorted(known, keys)]
-                    value = np.where(seen >= least, np.log(seen) - log_left[keys >> 16], log_right[keys & 0xFFFF]) * times
+                    others = number[np.searchsorted(known, keys)] - times
+                    value = np.where(others > 0, np.log(np.maximum(others, 1)) - log_left[keys >> 16], log_right[keys & 0xFFFF]) * times
                     sums, met = np.bincount(rows, value), np.flatnonzero(np.bincount(rows))
                     out.append((first, None, None, met.astype("<u4").tobytes(), sums[met].tobytes()))
             first, ids, tokens, rows, sums = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [], [])

@@ -144,7 +144,7 @@ def test_language_of_many_distinct_grams_is_bundled_in_bounded_tables(monkeypatc
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
-def brute_lm(rows, backoff=0.4, least=2):
+def brute_lm(rows, backoff=0.4):
     encode = encoder()
     ids = [(i, [50_256, *encode(t or "")]) for i, t in rows]
     pairs = Counter(p for _, v in ids for p in zip(v, v[1:]))
@@ -153,7 +153,12 @@ def brute_lm(rows, backoff=0.4, least=2):
         left[a] += n
         right[b] += n
     total = sum(right.values())
-    return sorted((str(i), len(v) - 1, round(sum(math.log(pairs[p] / left[p[0]]) if pairs[p] >= least else math.log(backoff * right[p[1]] / total) for p in zip(v, v[1:])), 4)) for i, v in ids)
+    out = []
+    for i, v in ids:
+        own = Counter(zip(v, v[1:]))
+        score = sum(math.log((pairs[p] - own[p]) / left[p[0]]) if pairs[p] > own[p] else math.log(backoff * right[p[1]] / total) for p in zip(v, v[1:]))
+        out.append((str(i), len(v) - 1, round(score, 4) + 0.0))
+    return sorted(out)
 
 
 def test_lm_scores_equal_brute_force(spark):
