@@ -166,6 +166,10 @@ class Selection:
         """(cell_id, pop) of the cells of the chosen facilities."""
         return self.pairs.where(self.is_chosen()).select("cell_id", "pop").distinct()
 
+    def all_cells(self) -> DataFrame:
+        """(cell_id, pop) of the cells of all facilities."""
+        return self.pairs.select("cell_id", "pop").distinct()
+
     def state(self) -> DataFrame:
         """A row for each facility that is not chosen: gain, seen (people or, as coded, cells) and all that stands fast."""
         if not self.chosen:
@@ -271,6 +275,8 @@ def governorate_coverage(facilities: DataFrame, cells: DataFrame, radii: list[fl
     cells_in = cells.select("cell_id", "pop", *[c for c in ("governorate",) if c in cells.columns])
     for r in sorted(radii, reverse=True):
         s = Selection(facilities, coverage_pairs(facilities, cells, r), total, config)
+        if last and (s.all_cells().agg(F.sum("pop")).first()[0] or 0) < enough:
+            break  # all facilities together fall short here, and so they do at every smaller radius
         regions = [x.governorate for x in s.facilities.where("governorate IS NOT NULL").groupBy("governorate").agg(F.min("facility_id").alias("first")).orderBy("first").collect()]  # a row for each governorate
 
         def reward(s=s) -> Column:
@@ -294,7 +300,7 @@ def governorate_coverage(facilities: DataFrame, cells: DataFrame, radii: list[fl
         last = last or s
     rest = last.facilities.where(F.col("own") > 0).where(~last.is_chosen())
     picks = last.frame(spark).unionByName(rest.select(F.lit(None).cast("int").alias("pick"), "facility_id", F.lit(0.0).alias("score"), *[F.lit(0.0).alias(p) for p in PARTS]))
-    covered = last.pairs.select("cell_id", "pop").distinct()
+    covered = last.all_cells()
     return _with_shares(picks, covered, facilities, cells_in, max(radii)), int(covered.agg(F.sum("pop")).first()[0] or 0), total
 
 

@@ -74,6 +74,6 @@ def w6(v):
 
 @query("j11_zonal_mean", "SELECT m.anchor_id, d.obs_day, round(avg(d.precip_mm), 6) AS precip_mm FROM (SELECT f.facility_id AS anchor_id, g.facility_id % 18 AS hsa_id FROM v_facility f JOIN v_facility g ON 2 * 6371.0E0 * asin(sqrt(power(sin(radians(g.lat - f.lat) / 2), 2) + cos(radians(f.lat)) * cos(radians(g.lat)) * power(sin(radians(g.lon - f.lon) / 2), 2))) <= 30.0E0 WHERE f.facility_id IN (SELECT arg_min(facility_id, (-volume, facility_id)) FROM v_facility GROUP BY governorate_id)) m JOIN v_daily d ON d.hsa_id = m.hsa_id GROUP BY ALL", H)
 def j11(v):
-    anchors = highest_volume(v.facility, "governorate_id").withColumn("service_radius_km", F.lit(30.0))
-    members = sp.facilities_in_areas(anchors, v.facility).select("anchor_id", (F.col("facility_id") % 18).alias("cell_id"))
+    anchors = highest_volume(v.stored_facility, "governorate_id").withColumn("service_radius_km", F.lit(30.0))
+    members = sp.facilities_in_areas(anchors, v.stored_facility).select("anchor_id", (F.col("facility_id") % 18).alias("cell_id"))
     return cl.zonal_mean(v.daily.withColumnRenamed("hsa_id", "cell_id"), members, "anchor_id", "obs_day", ["precip_mm"])

@@ -39,7 +39,7 @@ H = {
 
 
 def _pairs(v, km=25.0):
-    return sp.coverage_pairs(v.facility, v.cell, km)
+    return sp.coverage_pairs(v.stored_facility, v.cell, km)
 
 
 def _anchors(v):
@@ -106,7 +106,7 @@ def j7(v):
 
 @query("j8_areas_by_facilities", "SELECT anchor_id, facility_id FROM inside", H)
 def j8(v):
-    return sp.facilities_in_areas(_anchors(v), v.facility).select("anchor_id", "facility_id")
+    return sp.facilities_in_areas(_anchors(v), v.stored_facility).select("anchor_id", "facility_id")
 
 
 @query("j9_coverage_pairs", "SELECT facility_id, cell_id, pop, round(dist_km, 6) AS dist_km FROM pairs25", H)
@@ -121,7 +121,7 @@ def j10(v):
 
 @query("j13_nearest", "SELECT facility_id, round(nn_km, 6) AS nn_km FROM nn", H)
 def j13(v):
-    return sp.nearest_neighbours(v.facility, "facility_id")
+    return sp.nearest_neighbours(v.stored_facility, "facility_id")
 
 
 @query("a20_coarsen", "SELECT CAST(floor(grid_row / 4.0E0) AS INT) AS block_row, CAST(floor(grid_col / 4.0E0) AS INT) AS block_col, CAST(sum(pop) AS BIGINT) AS pop FROM v_cell WHERE grid_row < 4 * floor((SELECT max(grid_row) + 1 FROM v_cell) / 4.0E0) AND grid_col < 4 * floor((SELECT max(grid_col) + 1 FROM v_cell) / 4.0E0) GROUP BY ALL", H)
@@ -131,7 +131,7 @@ def a20(v):
 
 @query("a21_density", "SELECT facility_id, round(density, 6) AS density FROM dens", H)
 def a21(v):
-    return sp.density(v.facility, v.cell)
+    return sp.density(v.stored_facility, v.cell)
 
 
 @query("a22_union_coverage", "SELECT CAST(sum(pop) AS BIGINT) AS covered_pop FROM v_cell WHERE cell_id IN (SELECT cell_id FROM pairs25)", H)
@@ -141,7 +141,7 @@ def a22(v):
 
 @query("a23_area_population", "SELECT f.facility_id, 25.0E0 AS radius_km, CAST(coalesce(sum(p.pop), 0) AS BIGINT) AS population, round(coalesce(sum(p.pop), 0) / (pi() * 625.0E0), 6) AS density FROM v_facility f LEFT JOIN pairs25 p ON p.facility_id = f.facility_id GROUP BY f.facility_id", H)
 def a23(v):
-    return cv.area_population(_pairs(v), v.facility.select("facility_id", F.lit(25.0).alias("radius_km")))
+    return cv.area_population(_pairs(v), v.stored_facility.select("facility_id", F.lit(25.0).alias("radius_km")))
 
 
 @query("a24_mean_distance", "SELECT f.facility_id, round(coalesce(avg(p.dist_km), 1e9), 6) AS mean_km FROM v_facility f LEFT JOIN pairs25 p ON p.facility_id = f.facility_id GROUP BY f.facility_id", H)
@@ -152,7 +152,7 @@ def a24(v):
 
 @query("a25_nn_quantiles", "SELECT round(quantile_cont(nn_km, 0.2), 6) AS q20, round(quantile_cont(nn_km, 0.4), 6) AS q40, round(quantile_cont(nn_km, 0.6), 6) AS q60, round(quantile_cont(nn_km, 0.8), 6) AS q80 FROM nn", H)
 def a25(v):
-    return sp.nearest_neighbours(v.facility, "facility_id").agg(*[F.percentile("nn_km", F.lit(q / 100)).alias(f"q{q}") for q in (20, 40, 60, 80)])
+    return sp.nearest_neighbours(v.stored_facility, "facility_id").agg(*[F.percentile("nn_km", F.lit(q / 100)).alias(f"q{q}") for q in (20, 40, 60, 80)])
 
 
 @query("a28_target", "SELECT CAST(sum(pop) AS BIGINT) AS total_pop, CAST(floor(sum(pop) * 0.6E0) AS BIGINT) AS target_pop FROM v_cell", H)
@@ -167,17 +167,17 @@ def w5(v):
 
 @query("o1_initial_radius", "SELECT facility_id, urban_rural, round(initial_radius_km, 6) AS initial_radius_km FROM radii", H)
 def o1(v):
-    return cv.initial_radii(v.facility, v.cell).select("facility_id", "urban_rural", "initial_radius_km")
+    return cv.initial_radii(v.stored_facility, v.cell).select("facility_id", "urban_rural", "initial_radius_km")
 
 
 @query("o2_radius_candidates", "SELECT DISTINCT round(least(greatest(round_even(r / 2.0E0, 0) * 2.0E0, 10.0E0), 25.0E0), 2) AS radius_km FROM (SELECT unnest(list_concat(quantile_cont(nn_km, [0.2, 0.4, 0.6, 0.8]), [6.0E0, 8.0E0, 10.0E0, 12.0E0, 14.0E0, 16.0E0, 18.0E0, 20.0E0, 22.0E0, 24.0E0])) AS r FROM nn) q", H)
 def o2(v):
-    return cv.radius_candidates(v.facility, 2.0, 10.0, 25.0)
+    return cv.radius_candidates(v.stored_facility, 2.0, 10.0, 25.0)
 
 
 @query("o13_adaptive_radius", "SELECT r.facility_id, round(least(greatest((CASE WHEN urban_rural = 'Urban' THEN 15.0E0 ELSE 25.0E0 END) - 2.0E0 + 4.0E0 * k.pct_rank, 10.0E0), 30.0E0), 6) AS service_radius_km FROM radii r JOIN ranks k ON k.facility_id = r.facility_id", H)
 def o13(v):
-    return cv.adaptive_radii(cv.initial_radii(v.facility, v.cell)).select("facility_id", "service_radius_km")
+    return cv.adaptive_radii(cv.initial_radii(v.stored_facility, v.cell)).select("facility_id", "service_radius_km")
 
 
 HOSPITALS = "SELECT facility_id FROM v_facility WHERE healthfacilitytype = 'Hospital'"
@@ -192,7 +192,7 @@ def u2(v):
 
 @query("w4_gravity", "SELECT cell_id, pop, facility_id, round(probability, 6) AS probability, num_candidates FROM alloc", H)
 def w4(v):
-    return al.allocate(v.cell, v.facility)
+    return al.allocate(v.cell, v.stored_facility)
 
 
 FACILITY_SUMS = "SELECT a.facility_id, CAST(sum(a.pop) AS BIGINT) AS allocated_population, round(avg(a.probability), 6) AS mean_probability, round(avg(a.num_candidates), 6) AS mean_candidates, any_value(f.healthfacility) AS healthfacility, any_value(f.volume) AS original_volume, round(sum(a.pop) / CAST(any_value(f.volume) AS DOUBLE), 6) AS allocation_ratio FROM alloc a LEFT JOIN v_facility f ON f.facility_id = a.facility_id GROUP BY a.facility_id"
@@ -201,31 +201,31 @@ AREA_SUMS = "SELECT i.anchor_id, CAST(coalesce(sum(p.people), 0) AS BIGINT) AS a
 
 @query("a7_allocation_by_facility", FACILITY_SUMS, H)
 def a7(v):
-    return al.by_facility(al.allocate(v.cell, v.facility), v.facility)
+    return al.by_facility(al.allocate(v.cell, v.stored_facility), v.stored_facility)
 
 
 @query("a8_allocation_by_area", f"SELECT anchor_id, allocated_patients, num_facilities, array_to_string(first_facilities, ',') AS first_facilities FROM ({AREA_SUMS}) q", H)
 def a8(v):
-    out = al.by_area(al.allocate(v.cell, v.facility), _anchors(v), v.facility)
+    out = al.by_area(al.allocate(v.cell, v.stored_facility), _anchors(v), v.stored_facility)
     return out.withColumn("first_facilities", F.array_join(F.col("first_facilities").cast("array<string>"), ","))
 
 
 @query("w7_renumber", f"SELECT anchor_id, allocated_patients, CAST(row_number() OVER (ORDER BY allocated_patients DESC, anchor_id) AS INT) AS rank FROM ({AREA_SUMS}) q", H)
 def w7(v):
-    return al.renumber(al.by_area(al.allocate(v.cell, v.facility), _anchors(v), v.facility)).select("anchor_id", "allocated_patients", "rank")
+    return al.renumber(al.by_area(al.allocate(v.cell, v.stored_facility), _anchors(v), v.stored_facility)).select("anchor_id", "allocated_patients", "rank")
 
 
 @query("j6_membership", "SELECT facility_id, count(*) AS cells, CAST(sum(pop) AS BIGINT) AS pop FROM alloc WHERE facility_id IN (SELECT facility_id FROM inside) GROUP BY facility_id", H)
 def j6(v):
-    inside = sp.facilities_in_areas(_anchors(v), v.facility).select("facility_id").distinct()
-    return al.allocate(v.cell, v.facility).join(inside, "facility_id", "left_semi").groupBy("facility_id").agg(F.count("*").alias("cells"), F.sum("pop").alias("pop"))
+    inside = sp.facilities_in_areas(_anchors(v), v.stored_facility).select("facility_id").distinct()
+    return al.allocate(v.cell, v.stored_facility).join(inside, "facility_id", "left_semi").groupBy("facility_id").agg(F.count("*").alias("cells"), F.sum("pop").alias("pop"))
 
 
 @query("j14_circle_population", "SELECT a.facility_id, CAST(sum(a.pop) AS BIGINT) AS allocated_population, (SELECT CAST(sum(p.pop) AS BIGINT) FROM pairs25 p WHERE p.facility_id = a.facility_id) AS circle_population FROM alloc a WHERE a.facility_id IN (SELECT facility_id FROM anchors) GROUP BY a.facility_id", H)
 def j14(v):
     circles = _pairs(v).groupBy("facility_id").agg(F.sum("pop").alias("circle_population"))
     anchors = _anchors(v).select("facility_id").join(circles, "facility_id", "left")
-    out = al.compare_with_circles(al.by_facility(al.allocate(v.cell, v.facility), v.facility), anchors)
+    out = al.compare_with_circles(al.by_facility(al.allocate(v.cell, v.stored_facility), v.stored_facility), anchors)
     return out.select("facility_id", "allocated_population", "circle_population")
 
 
@@ -320,7 +320,7 @@ g AS (
 
 
 def _picks(v, mode, seeds=None):
-    ready = cv.table(cv.initial_radii(v.facility, v.cell), "radii")
+    ready = cv.table(cv.initial_radii(v.stored_facility, v.cell), "radii")
     return cv.greedy(ready, v.cell, mode, seeds=seeds)[0]
 
 
@@ -364,13 +364,13 @@ o AS (
 
 @query("o9_overlap_removal", greedy_sql("footprint", overlaps=OVERLAPS, final="SELECT f.facility_id, f.volume FROM v_facility f, kept WHERE list_contains(kept.kept, f.facility_id)"), raw=True)
 def o9(v):
-    return cv.optimize(v.facility, v.cell, "footprint").areas.select("facility_id", "volume")
+    return cv.optimize(v.stored_facility, v.cell, "footprint").areas.select("facility_id", "volume")
 
 
 @query("o10_governorate_coverage")
 def o10(v):
     ready = cv.table(_with_regions(v), "regions")
-    radii = [r.radius_km for r in cv.radius_candidates(v.facility, 2.0, 10.0, 25.0).collect()]  # some fifteen numbers
+    radii = [r.radius_km for r in cv.radius_candidates(v.stored_facility, 2.0, 10.0, 25.0).collect()]  # some fifteen numbers
     return cv.governorate_coverage(ready, v.cell, radii)[0]
 
 
@@ -387,7 +387,7 @@ def _summary_sql(mode, climate=True):
 
 @query("o14_climate_ablation", f"SELECT *, TRUE AS climate_on FROM ({_summary_sql('footprint')}) a UNION ALL SELECT *, FALSE AS climate_on FROM ({_summary_sql('footprint', False)}) b", raw=True)
 def o14(v):
-    return cv.climate_ablation(v.facility, v.cell, "footprint")
+    return cv.climate_ablation(v.stored_facility, v.cell, "footprint")
 
 
 RING = "SELECT f.facility_id, i.i, asin(sin(radians(f.lat)) * cos(f.service_radius_km / 6371.0E0) + cos(radians(f.lat)) * sin(f.service_radius_km / 6371.0E0) * cos((i.i % 64) * (2 * pi() / 64))) AS phi, f.lon, f.lat, f.service_radius_km / 6371.0E0 AS d, (i.i % 64) * (2 * pi() / 64) AS t FROM anchors f CROSS JOIN (SELECT unnest(range(0, 65)) AS i) i"
@@ -405,15 +405,15 @@ def o15(v):
 
 @query("o16_optimize_summary", _summary_sql("distance"), raw=True)
 def o16(v):
-    return cv.optimize(v.facility, v.cell, "distance").summary_df()
+    return cv.optimize(v.stored_facility, v.cell, "distance").summary_df()
 
 
 @query("a26_area_details", "SELECT a.facility_id, a.volume AS anchor_volume, a.service_radius_km AS radius_km, coalesce(i.n, 0) AS n_facilities, CAST(coalesce(i.vol, 0) AS BIGINT) AS total_volume, CAST(coalesce(p.pop, 0) AS BIGINT) AS population FROM anchors a LEFT JOIN (SELECT i.anchor_id, count(*) AS n, sum(f.volume) AS vol FROM inside i JOIN v_facility f ON f.facility_id = i.facility_id GROUP BY i.anchor_id) i ON i.anchor_id = a.facility_id LEFT JOIN (SELECT facility_id, sum(pop) AS pop FROM pairs25 GROUP BY facility_id) p ON p.facility_id = a.facility_id", H)
 def a26(v):
-    return cv.area_details(_anchors(v), v.facility, _pairs(v))
+    return cv.area_details(_anchors(v), v.stored_facility, _pairs(v))
 
 
 @query("a27_compare_modes", "SELECT mode, count(*) AS n_areas, round(avg(n), 6) AS mean_facilities, CAST(sum(n) AS BIGINT) AS sum_facilities, round(avg(vol), 6) AS mean_volume, CAST(sum(vol) AS BIGINT) AS sum_volume FROM (SELECT CASE WHEN a.healthfacilitytype = 'Hospital' THEN 'hospital' ELSE 'other' END AS mode, count(i.facility_id) AS n, coalesce(sum(f.volume), 0) AS vol FROM anchors a LEFT JOIN inside i ON i.anchor_id = a.facility_id LEFT JOIN v_facility f ON f.facility_id = i.facility_id GROUP BY a.facility_id, a.healthfacilitytype) q GROUP BY mode", H)
 def a27(v):
-    details = cv.area_details(_anchors(v), v.facility, _pairs(v)).join(v.facility.select("facility_id", "healthfacilitytype"), "facility_id")
+    details = cv.area_details(_anchors(v), v.stored_facility, _pairs(v)).join(v.stored_facility.select("facility_id", "healthfacilitytype"), "facility_id")
     return cv.compare_modes(details.withColumn("mode", F.when(F.col("healthfacilitytype") == "Hospital", "hospital").otherwise("other")))

@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from careshed.core.work import table
+
 VIEWS = {
     "v_facility": """SELECT s.s_suppkey AS facility_id, s.s_name AS healthfacility, CASE s.s_suppkey % 4 WHEN 0 THEN 'Primary Center' WHEN 1 THEN 'Comprehensive Center' WHEN 2 THEN 'Specialized Medical Center' ELSE 'Hospital' END AS healthfacilitytype, s.s_nationkey % 12 AS governorate_id, 35.0E0 + CAST((s.s_suppkey * 7919) % 1500 AS DOUBLE) / 1000.0E0 AS lon, 29.5E0 + CAST((s.s_suppkey * 104729) % 3200 AS DOUBLE) / 1000.0E0 AS lat, coalesce(v.n, 0) AS volume, CAST(s.s_suppkey % 8 AS INT) AS climate_k
 FROM {supplier} s LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM {lineitem} GROUP BY l_suppkey) v ON v.l_suppkey = s.s_suppkey""",
@@ -42,6 +44,8 @@ class Views:
         return self.spark.sql(text, **{t: self.base(t) for t in BASE if "{" + t + "}" in text})
 
     facility = cached_property(lambda self: self.view("v_facility"))
+    #: Written once, for queries that read facilities several times: the view sums all line items.
+    stored_facility = cached_property(lambda self: table(self.facility, "facilities"))
     cell = cached_property(lambda self: self.view("v_cell"))
     visit = cached_property(lambda self: self.view("v_visit"))
     case = cached_property(lambda self: self.view("v_case"))
