@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careshed.llm import decontaminate, licenses, line_dedup, minhash
+from careshed.llm import decontaminate, licenses, line_dedup, minhash, set_join
 from careshed.llm.decontaminate import overlaps
 from careshed.llm.exact_dedup import exact_duplicates
 from careshed.llm.html_text import extract
@@ -17,6 +17,7 @@ from careshed.llm.lm_score import lm_scores
 from careshed.llm.minhash import near_duplicates
 from careshed.llm.packing import pieces
 from careshed.llm.quality import quality
+from careshed.llm.set_join import jaccard_components
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
@@ -74,8 +79,8 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op5_lm_score, op6_packing, op7_html_extraction, op8_decontamination, op9_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op5_lm_score, op6_packing, op7_html_extraction, op8_decontamination, op9_language_id, op10_exact_dedup, op13_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.sql(), "op4_minhash_near_dedup": minhash.sql(), "op3_license_scan": licenses.sql(), "op8_decontamination": decontaminate.sql(), "op10_exact_dedup": OP10_SQL}
+    return {"op1_line_dedup": line_dedup.sql(), "op4_minhash_near_dedup": minhash.sql(), "op3_license_scan": licenses.sql(), "op8_decontamination": decontaminate.sql(), "op10_exact_dedup": OP10_SQL, "op13_ngram_join": set_join.sql()}
