@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careshed.llm import decontaminate, licenses, line_dedup, minhash, set_join
+from careshed.llm import conversations, decontaminate, lexical, licenses, line_dedup, minhash, set_join
 from careshed.llm.decontaminate import overlaps
 from careshed.llm.exact_dedup import exact_duplicates
 from careshed.llm.html_text import extract
@@ -64,6 +64,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damage(_read(spark, sf_dir, "conversations")))
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
@@ -79,8 +87,8 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op5_lm_score, op6_packing, op7_html_extraction, op8_decontamination, op9_language_id, op10_exact_dedup, op13_ngram_join)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_license_scan, op4_minhash_near_dedup, op5_lm_score, op6_packing, op7_html_extraction, op8_decontamination, op9_language_id, op10_exact_dedup, op11_lexical_search, op12_conversation_repair, op13_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.sql(), "op4_minhash_near_dedup": minhash.sql(), "op3_license_scan": licenses.sql(), "op8_decontamination": decontaminate.sql(), "op10_exact_dedup": OP10_SQL, "op13_ngram_join": set_join.sql()}
+    return {"op1_line_dedup": line_dedup.sql(), "op4_minhash_near_dedup": minhash.sql(), "op3_license_scan": licenses.sql(), "op8_decontamination": decontaminate.sql(), "op10_exact_dedup": OP10_SQL, "op11_lexical_search": lexical.sql(), "op12_conversation_repair": conversations.sql(), "op13_ngram_join": set_join.sql()}
