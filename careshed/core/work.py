@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,3 +71,16 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if ``df`` has at most ``limit`` rows; otherwise Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow``, with this package sent to executors that do not have it yet."""
+    context, root = df.sparkSession.sparkContext, Path(__file__).resolve().parents[2]
+    if str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and not getattr(context, "_careshed_sent", False):
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-careshed-"), "careshed.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in (root / "careshed").rglob("*.py"):
+                z.write(file, file.relative_to(root))
+        context.addPyFile(archive)
+        context._careshed_sent = True
+    return df.mapInArrow(function, schema)

@@ -36,6 +36,27 @@ def circle_outline(lon: Column, lat: Column, radius_km: Column, points: int = 64
     return F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: destination(lon, lat, (i % points) * (2 * math.pi / points), radius_km))
 
 
+def morton(x: Column, y: Column) -> Column:
+    """The place of a cell (whole numbers from 0 to 65535) on a Z-shaped curve: near cells are mostly near on it."""
+
+    def spread(v: Column) -> Column:
+        v = v.cast("long")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return v
+
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+
+
+def morton_ranges(x0: int, x1: int, y0: int, y1: int, most: int = 8) -> list[tuple[int, int]]:
+    """At most ``most`` ranges of the curve that hold all cells of a box, with few others: the smallest gaps are closed."""
+    spread = lambda v: sum((v >> b & 1) << 2 * b for b in range(16))
+    codes = sorted(spread(x) | spread(y) << 1 for x in range(x0, x1 + 1) for y in range(y0, y1 + 1))
+    gaps = sorted(range(1, len(codes)), key=lambda i: codes[i - 1] - codes[i])[: most - 1]
+    cuts = [0, *sorted(i for i in gaps if codes[i] - codes[i - 1] > 1), len(codes)]
+    return [(codes[a], codes[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     """Whether the point lies in the ring (array of lon, lat structs, closed or not), by even-odd ray casting."""
     after = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, F.lit(1), F.lit(1)))

@@ -51,17 +51,25 @@ def by_facility(allocations: DataFrame, facilities: DataFrame) -> DataFrame:
 
 
 def by_area(allocations: DataFrame, anchors: DataFrame, facilities: DataFrame, radius: str = "service_radius_km", exclusive: bool = False) -> DataFrame:
-    """For each anchor the population of the facilities inside its area, their number and the first five ids.
+    """For each anchor the population of the facilities inside its area, their number, and the five least ids with their
+    names (``healthfacility``, where facilities have it).
 
-    Areas that overlap each count a shared facility; with ``exclusive`` it goes to the nearest anchor alone.
+    Areas that overlap each count a shared facility; with ``exclusive`` it goes to the nearest anchor alone. The first five
+    are cut by rank before and after the shuffle, so no list of all facilities is made.
     """
     inside = facilities_in_areas(anchors, facilities, radius)
     if exclusive:
         w = Window.partitionBy("facility_id").orderBy("dist_km", "anchor_id")
         inside = inside.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     people = allocations.groupBy("facility_id").agg(F.sum("pop").alias("people"))
-    sums = inside.join(people, "facility_id", "left").groupBy("anchor_id").agg(F.coalesce(F.sum("people"), F.lit(0)).alias("allocated_patients"), F.count("*").alias("num_facilities"), F.slice(F.sort_array(F.collect_list("facility_id")), 1, 5).alias("first_facilities"))
-    return anchors.select(F.col("facility_id").alias("anchor_id")).join(sums, "anchor_id", "left").fillna(0, ["allocated_patients", "num_facilities"])
+    sums = inside.join(people, "facility_id", "left").groupBy("anchor_id").agg(F.coalesce(F.sum("people"), F.lit(0)).alias("allocated_patients"), F.count("*").alias("num_facilities"))
+    first = inside.withColumn("__n", F.row_number().over(Window.partitionBy("anchor_id").orderBy("facility_id"))).where("__n <= 5")
+    name = ["healthfacility"] if "healthfacility" in facilities.columns else []
+    first = first.join(facilities.select("facility_id", *name), "facility_id")
+    five = F.sort_array(F.collect_list(F.struct("__n", "facility_id", *name)))  # five at most
+    first = first.groupBy("anchor_id").agg(five.alias("five")).select("anchor_id", F.col("five.facility_id").alias("first_facilities"), *[F.col("five.healthfacility").alias("first_names") for _ in name])
+    out = anchors.select(F.col("facility_id").alias("anchor_id")).join(sums, "anchor_id", "left").join(first, "anchor_id", "left")
+    return out.fillna(0, ["allocated_patients", "num_facilities"])
 
 
 def renumber(areas: DataFrame, value: str = "allocated_patients", tie: str = "anchor_id", name: str = "rank") -> DataFrame:

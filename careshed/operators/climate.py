@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from careshed.operators.moments import exact_quantiles
+
 from careshed.functions.scalars import LAG_DAYS, celsius, evaporation_mm, heat_index, wind_speed
 
 
@@ -72,10 +74,15 @@ def water_deficit(weekly_rain: DataFrame, weekly_evap: DataFrame, area: str = "h
     return weekly_evap.join(weekly_rain, [area, "week_start"]).select(area, "week_start", (F.col("evap_total") - F.col("p_total")).alias("water_deficit"))
 
 
+def own_quantile(daily: DataFrame, area: str, rain: str, share: float = 0.95, name: str = "p95") -> DataFrame:
+    """(area, p95) of each area's own days; an area's days may lie in any number of tasks. Null for an area without rain data."""
+    found = exact_quantiles(daily, [rain], [share], area).select(area, F.col("value").alias(name))
+    return daily.select(area).distinct().join(found, area, "left")
+
+
 def threshold_days(daily: DataFrame, area: str = "hsa_id", rain: str = "precip_mm", hot: str = "t_max_c", years: float = 1.0) -> DataFrame:
     """Share of wet days, days a year over 10 and 20 mm, at or over the area's own 95th percentile, and over 35 degrees."""
-    p95 = daily.groupBy(area).agg(F.percentile(rain, F.lit(0.95)).alias("p95"))
-    d = daily.join(p95, area)
+    d = daily.join(own_quantile(daily, area, rain), area)
     p, t = F.col(rain), F.col(hot)
     return d.groupBy(area).agg(
         F.avg((p > 1).cast("double")).alias("wetday_frac"),

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from careshed.core.work import broadcast_if_small, table
-from careshed.functions.geo import circle_outline
+from careshed.functions.geo import circle_outline, morton_ranges
 from careshed.functions.scalars import clipped, scaled
-from careshed.operators.spatial import coverage_pairs, density, facilities_in_areas, nearest_neighbours, percentile_rank
+from careshed.operators.moments import exact_quantiles
+from careshed.operators.spatial import coverage_pairs, density, facilities_in_areas, nearest_neighbours, percentile_rank, tiled_pairs
 
 
 #: Covered cells that may be broadcast as ids (at most 64 MB); more are joined by a shuffle.
 BROADCAST_CELLS = 1_000_000
+#: Height of a tile of cells, and pairs in a page of the files, the least that a pick can read.
+TILE_KM, PAGE_ROWS = 10.0, 20_000
+#: Sets of areas that share a cell whose counts the driver may hold.
+PATTERNS = 200_000
 
 
 @dataclass(frozen=True)
@@ -82,8 +89,8 @@ def initial_radii(facilities: DataFrame, cells: DataFrame, config: CoverageConfi
 
 def radius_candidates(facilities: DataFrame, step_km: float, low: float, high: float, base: tuple[float, ...] = (6, 8, 10, 12, 14, 16, 18, 20, 22, 24)) -> DataFrame:
     """(radius_km): base radii and quantiles of nearest-neighbour distances, snapped to steps and clipped."""
-    nn = nearest_neighbours(facilities, "facility_id").agg(F.percentile("nn_km", F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])).alias("q"))
-    all_ = nn.select(F.explode(F.concat("q", F.array(*[F.lit(float(b)) for b in base]))).alias("r"))
+    nn = exact_quantiles(nearest_neighbours(facilities, "facility_id"), ["nn_km"], [0.2, 0.4, 0.6, 0.8]).select(F.col("value").alias("r"))
+    all_ = nn.unionByName(facilities.sparkSession.createDataFrame([(float(b),) for b in base], "r double"))
     return all_.select(F.round(clipped(F.bround(F.col("r") / step_km) * step_km, low, high), 2).alias("radius_km")).distinct()
 
 
@@ -129,59 +136,89 @@ def governorate_climate(cluster_count: Column, all_count: Column, config: Covera
     return F.when(cluster_count < config.min_per_cluster, 10.0).otherwise(1.0 / F.greatest(cluster_count / F.greatest(all_count, F.lit(1)), F.lit(1e-6)))
 
 
+def _meet(a: tuple[int, int, int, int], b: tuple[int, int, int, int]) -> bool:
+    return a[0] <= b[1] and b[0] <= a[1] and a[2] <= b[3] and b[2] <= a[3]
+
+
+#: A facility's tiles: from x0 to x1 and from y0 to y1.
+BOX = ("x0", "x1", "y0", "y1")
 PARTS = ("coverage_norm", "overlap_frac", "climate_norm", "volume_norm", "progress_norm", "distance_norm")
 
 
 class Selection:
-    """A greedy selection. ``pairs`` (facility_id, cell_id, pop, dist_km) and one row for each facility are written once,
-    both in order of facility, so a chosen facility's cells are found by the files' statistics.
-
-    A pick is one job: gains are sums over the pairs whose cells no chosen facility has, scores are columns, and only the
-    best row comes to the driver, which holds the chosen facilities and nothing else.
+    """A greedy selection whose gains are kept by their changes.
+
+    ``pairs`` (facility_id, cell_id, pop, dist_km, x, y, tile) are written twice: in order of facility, where a chosen
+    facility's cells are found by the files' statistics, and in order of tile along a curve, where the pairs of a few
+    tiles are. ``now`` has a row for each facility with its gain. A pick reads the pairs in the tiles of the cells that it
+    newly covers, takes their people from the facilities that meet them, and writes ``now`` again; the best row of the
+    next pick is observed by the same job. So a pick costs the newly covered cells' pairs and a row for each facility, and
+    only the best row comes to the driver, which holds the chosen facilities and nothing else.
     """
 
-    def __init__(self, facilities: DataFrame, pairs: DataFrame, total_pop: int, config: CoverageConfig):
-        self.pairs = table(pairs.repartition("facility_id").sortWithinPartitions("facility_id"), "coverage-pairs")
+    def __init__(self, facilities: DataFrame, cells: DataFrame, radius: str | float, total_pop: int, config: CoverageConfig, regions: list[str] | None = None, tile_km: float = TILE_KM, page_rows: int = PAGE_ROWS):
+        pages = {"parquet.page.row.count.limit": str(page_rows)}
+        placed = tiled_pairs(facilities, cells, radius, tile_km)
+        self.pairs = table(placed.repartition("facility_id").sortWithinPartitions("facility_id"), "coverage-pairs", **pages)
+        self.met = table(self.pairs.select("tile", "cell_id", "facility_id", "pop").repartitionByRange("tile", "cell_id").sortWithinPartitions("tile", "cell_id"), "coverage-tiles", **pages)
         self.config, self.total = config, float(total_pop)
-        sums = self.pairs.groupBy("facility_id").agg(F.sum("pop").alias("own"), F.count("*").alias("cells"), F.avg("dist_km").alias("mean_km"))
-        rows = facilities.select("facility_id", F.coalesce("volume", F.lit(0)).alias("volume"), F.coalesce("climate_k", F.lit(-1)).alias("cluster"), (F.col("governorate") if "governorate" in facilities.columns else F.lit(None).cast("string")).alias("governorate"))
+        ends = [f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))]
+        sums = self.pairs.groupBy("facility_id").agg(F.sum("pop").alias("own"), F.count("*").alias("cells"), F.avg("dist_km").alias("mean_km"), *ends)
+        region = F.array_position(F.lit(regions), F.col("governorate")) if regions else F.lit(0)
+        rows = facilities.select("facility_id", F.coalesce("volume", F.lit(0)).alias("volume"), F.coalesce("climate_k", F.lit(-1)).alias("cluster"), F.coalesce(region, F.lit(0)).cast("int").alias("region"))
         rows = rows.join(sums, "facility_id", "left").join(F.broadcast(rows.agg(F.max("volume").alias("top"))))  # one row
-        rows = rows.select("facility_id", "cluster", "governorate", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce("mean_km", F.lit(1e9)).alias("mean_km"), F.when(F.col("top") > 0, F.col("volume") / F.col("top")).otherwise(0.0).alias("volume_norm"))
-        self.facilities = table(rows, "coverage-facilities")
-        self.n, least = self.facilities.agg(F.count("*"), F.coalesce(F.min("facility_id"), F.lit(0))).first()
-        #: Ids of no facility; with them the list of chosen ones is long enough for Spark to look it up as a set, where
-        #: for a short one it would compile each pick's plan anew.
-        self.nobody = [least - 1 - k for k in range(11)]
-        met = self.facilities.join(self.pairs.select("facility_id", "cell_id", "pop"), "facility_id", "left")  # facilities' columns repeat in order, so they take no room
-        self.met = table(met.repartition("facility_id").sortWithinPartitions("facility_id"), "coverage-met")
+        rows = rows.select("facility_id", "cluster", "region", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce("mean_km", F.lit(1e9)).alias("mean_km"), F.when(F.col("top") > 0, F.col("volume") / F.col("top")).otherwise(0.0).alias("volume_norm"), *BOX)
+        self.now = table(rows.withColumn("gain", F.col("own")).withColumn("seen", F.lit(0).cast("long")).withColumn("seen_cells", F.lit(0).cast("long")), "coverage-now")
+        self.n = self.now.count()
         self.chosen: list[tuple[int, dict]] = []
+        self.boxes: list[tuple[int, int, int, int] | None] = []
+        self.pending = 0  # the last so many of the chosen are not yet taken off the gains
         self.clusters: dict[int, int] = {}
         self.cells = 0  # at most so many cells are covered
         self.covered_pop = 0
 
-    def is_chosen(self) -> Column:
-        return F.col("facility_id").isin([f for f, _ in self.chosen] + self.nobody)
+    def of(self, chosen: list[int]) -> Column:
+        """Rows of some facilities; each id of a few is told to the scan, which skips pages without it."""
+        if len(chosen) > 64:
+            return F.col("facility_id").isin(chosen)
+        return reduce(Column.__or__, [F.col("facility_id") == f for f in chosen], F.lit(False))
 
     def covered(self) -> DataFrame:
         """(cell_id, pop) of the cells of the chosen facilities."""
-        return self.pairs.where(self.is_chosen()).select("cell_id", "pop").distinct()
+        return self.pairs.where(self.of([f for f, _ in self.chosen])).select("cell_id", "pop").distinct()
 
     def all_cells(self) -> DataFrame:
         """(cell_id, pop) of the cells of all facilities."""
         return self.pairs.select("cell_id", "pop").distinct()
 
-    def state(self) -> DataFrame:
-        """A row for each facility that is not chosen: gain, seen (people or, as coded, cells) and all that stands fast."""
-        if not self.chosen:
-            return self.facilities.withColumn("gain", F.col("own")).withColumn("seen", F.lit(0).cast("long"))
-        covered = self.pairs.where(self.is_chosen()).select("cell_id")  # a cell may repeat, which a semi-join does not mind
-        covered = F.broadcast(covered) if self.cells <= BROADCAST_CELLS else covered
-        stands = self.facilities.columns
-        seen = F.lit(1) if self.config.overlap_as_coded else F.col("pop")
-        met = self.met.join(covered, "cell_id", "left_semi").select(*stands, F.col("pop").alias("__pop"), seen.alias("__seen"))
-        none = self.facilities.select(*stands, F.lit(0).alias("__pop"), F.lit(0).alias("__seen"))  # so that every facility has a row
-        sums = met.unionByName(none).where(~self.is_chosen()).groupBy(*stands).agg(F.sum("__pop").alias("__pop"), F.sum("__seen").alias("seen"))
-        return sums.withColumn("gain", F.col("own") - F.col("__pop"))
+    def touched(self) -> DataFrame | None:
+        """(facility_id, pop) of the pairs of the cells that the pending facilities newly cover; None if they have no cells."""
+        at = len(self.chosen) - self.pending
+        new = [(f, box) for (f, _), box in zip(self.chosen[at:], self.boxes[at:], strict=True) if box]
+        if not new:
+            return None
+        beside = [f for (f, _), box in zip(self.chosen[:at], self.boxes[:at], strict=True) if box and any(_meet(box, other) for _, other in new)]
+        fresh = self.pairs.where(self.of([f for f, _ in new])).select("cell_id").distinct()
+        if beside:
+            fresh = fresh.join(self.pairs.where(self.of(beside)).select("cell_id"), "cell_id", "left_anti")
+        x0, x1, y0, y1 = (f(box[i] for _, box in new) for i, f in enumerate((min, max, min, max)))
+        boxes = [box for _, box in new] if len(new) <= 4 else [(x0, x1, y0, y1)]
+        here = reduce(Column.__or__, [F.col("tile").between(a, b) for box in boxes for a, b in morton_ranges(*box)])
+        fresh = F.broadcast(fresh) if self.cells <= BROADCAST_CELLS else fresh
+        return self.met.where(here).join(fresh, "cell_id", "left_semi").select("facility_id", "pop")
+
+    def _changed(self) -> DataFrame:
+        """``now`` without the pending facilities, and with their newly covered cells off all others' gains."""
+        rest = self.now.where(~self.of([f for f, _ in self.chosen[len(self.chosen) - self.pending :]]))
+        touched = self.touched()
+        if touched is None:
+            return rest
+        stands = [c for c in rest.columns if c != "facility_id"]
+        kinds = {f.name: f.dataType for f in rest.schema.fields}
+        change = {"gain": -F.col("pop"), "seen": F.col("pop"), "seen_cells": F.lit(1)}
+        touched = touched.select("facility_id", *[change.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in stands])
+        sums = rest.unionByName(touched).groupBy("facility_id").agg(*[(F.sum(c) if c in change else F.max(c)).alias(c) for c in stands])
+        return sums.where("cells IS NOT NULL")  # chosen facilities have pairs there too, but no row
 
     def cluster_count(self) -> Column:
         if not self.clusters:
@@ -189,14 +226,29 @@ class Selection:
         known = F.create_map(*[F.lit(x) for k, n in self.clusters.items() for x in (k, n)])
         return F.coalesce(F.try_element_at(known, F.col("cluster")), F.lit(0))
 
-    def best(self, rows: DataFrame, value: Column) -> dict | None:
-        """The row of the greatest value, the least id of equals."""
-        own = F.struct(value.alias("score"), (-F.col("facility_id")).alias("order"), *rows.columns)
-        found = rows.where(value.isNotNull()).agg(F.max(own).alias("best")).first()["best"]
+    def best(self, parts: dict[str, Column], value: Callable[[dict[str, Column]], Column], where: Column | None = None) -> dict | None:
+        """The free facility of the greatest value of its parts, the least id of equals; with its parts."""
+        columns = [F.col(c) for c in ("cluster", "cells", "own", "gain", *BOX)]
+        worth = value(parts)
+        own = F.struct(worth.alias("score"), (-F.col("facility_id")).alias("order"), "facility_id", *columns, *[c.cast("double").alias(p) for p, c in parts.items()])
+        wanted = worth.isNotNull() if where is None else worth.isNotNull() & where
+        top = F.max(F.when(wanted, own)).alias("best")
+        if self.pending:
+            seen = Observation()
+            self.now = table(self._changed().observe(seen, top), "coverage-now")
+            self.pending, found = 0, seen.get["best"]
+        else:
+            found = self.now.agg(top).first()["best"]
         return found and found.asDict()
 
+    def row(self, facility_id: int) -> dict:
+        """The free facility's own row."""
+        return self.best({}, lambda _: F.lit(0.0), F.col("facility_id") == facility_id)
+
     def take(self, row: dict, **record: float) -> None:
         self.chosen.append((row["facility_id"], record))
+        self.boxes.append(tuple(row[c] for c in BOX) if row["cells"] else None)
+        self.pending += 1
         self.cells += row["cells"]
         self.covered_pop += row["gain"]
         if row["cluster"] >= 0:
@@ -215,10 +267,10 @@ def greedy(facilities: DataFrame, cells: DataFrame, mode: str, radius: str = "in
     ``seeds`` are taken first, with zero scores.
     """
     total = int(cells.agg(F.sum("pop")).first()[0] or 0)
-    s = Selection(facilities, coverage_pairs(facilities, cells, radius), total, config)
+    s = Selection(facilities, cells, radius, total, config)
     target = int(total * config.progress_tau)
     for f in seeds or []:
-        s.take(s.state().where(F.col("facility_id") == f).first().asDict())
+        s.take(s.row(f))
     while len(s.chosen) < s.n and total:
         pct = 100.0 * s.covered_pop / total
         if mode == "fewest" and pct >= config.fewest_pct and len(s.chosen) >= config.min_areas:
@@ -226,32 +278,45 @@ def greedy(facilities: DataFrame, cells: DataFrame, mode: str, radius: str = "in
         if mode != "fewest" and (len(s.chosen) >= config.max_areas or pct >= config.other_pct):
             break
         known = F.when(F.col("cluster") >= 0, s.cluster_count())
-        parts = components(F.col("gain"), F.col("seen"), F.col("own"), known, F.col("volume_norm"), F.col("mean_km"), s.total, float(target - s.covered_pop), config)
+        seen = F.col("seen_cells") if config.overlap_as_coded else F.col("seen")
+        parts = components(F.col("gain"), seen, F.col("own"), known, F.col("volume_norm"), F.col("mean_km"), s.total, float(target - s.covered_pop), config)
         if mode != "distance":
             parts["distance_norm"] = F.lit(0.0)
-        rows = s.state().select("facility_id", "cluster", "cells", "gain", *[parts[p].cast("double").alias(p) for p in PARTS])
-        best = s.best(rows, score({p: F.col(p) for p in PARTS}, mode, config))
+        best = s.best(parts, lambda p: score(p, mode, config))
         s.take(best, score=best["score"], **{p: best[p] for p in PARTS})
     return s.frame(cells.sparkSession), s.covered_pop, total
 
 
 def remove_overlapping(areas: DataFrame, pairs: DataFrame, threshold: float = 0.80) -> DataFrame:
     """Areas by volume, largest first, without those that have no cells, or more than ``threshold`` of them in the
-    union of the larger ones kept. Each step is one semi-join count; areas are a few dozen."""
-    kept, gone, order = [], set(), areas.orderBy(F.desc("volume"), "facility_id").select("facility_id").collect()
-    sizes = {r.facility_id: r.n for r in pairs.groupBy("facility_id").agg(F.count("*").alias("n")).collect()}
-    for i, (f,) in enumerate(order):
-        mine = pairs.where(F.col("facility_id") == f).select("cell_id")
-        if i and not sizes.get(f):
-            gone.add(f)
-            continue
-        if i:
-            others = pairs.where(F.col("facility_id").isin(kept)).select("cell_id").distinct()
-            if mine.join(others, "cell_id", "left_semi").count() / sizes[f] > threshold:
-                gone.add(f)
-                continue
-        kept.append(f)
-    return areas.where(~F.col("facility_id").isin(sorted(gone))) if gone else areas
+    union of the larger ones kept.
+
+    One job groups the cells by the set of areas they lie in; n circles cut the plane into n (n - 1) + 2 such sets at most,
+    so for a few dozen areas these counts are what the fold over the areas needs. Where there are more than PATTERNS sets
+    they stay a table and each area is one sum over it.
+    """
+    order = [r.facility_id for r in areas.orderBy(F.desc("volume"), "facility_id").select("facility_id").collect()]  # a few dozen
+    number = areas.sparkSession.createDataFrame(list(enumerate(order)), "area int, facility_id long")
+    cells = pairs.join(F.broadcast(number), "facility_id").groupBy("cell_id").agg(F.sort_array(F.collect_set("area")).alias("within"))  # of a few dozen numbers
+    patterns = table(cells.groupBy("within").agg(F.count("*").alias("n")), "coverage-patterns")
+    few = [(set(r.within), r.n) for r in patterns.collect()] if patterns.count() <= PATTERNS else None
+
+    def shares(area: int, kept: list[int]) -> tuple[int, int]:
+        """Cells of an area, and those of them in any kept one."""
+        if few is not None:
+            mine = [(w, n) for w, n in few if area in w]
+            return sum(n for _, n in mine), sum(n for w, n in mine if not w.isdisjoint(kept))
+        mine = patterns.where(F.array_contains("within", area))
+        r = mine.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.arrays_overlap("within", F.lit(kept)), F.col("n"))), F.lit(0))).first()
+        return r[0], r[1]
+
+    kept: list[int] = []
+    for i in range(len(order)):
+        own, shared = shares(i, kept) if i else (1, 0)
+        if own and shared / own <= threshold:
+            kept.append(i)
+    gone = [f for i, f in enumerate(order) if i not in set(kept)]
+    return areas.where(~F.col("facility_id").isin(gone)) if gone else areas
 
 
 def highest_volume(facilities: DataFrame, region: str = "governorate") -> DataFrame:
@@ -273,32 +338,35 @@ def governorate_coverage(facilities: DataFrame, cells: DataFrame, radii: list[fl
     target, last = int(total * tau), None
     enough = tau * target if config.tau_as_coded else target
     cells_in = cells.select("cell_id", "pop", *[c for c in ("governorate",) if c in cells.columns])
+    named = facilities.where("governorate IS NOT NULL").groupBy("governorate").agg(F.min("facility_id").alias("first")).orderBy("first")
+    regions = [x.governorate for x in named.collect()]  # a row for each governorate
     for r in sorted(radii, reverse=True):
-        s = Selection(facilities, coverage_pairs(facilities, cells, r), total, config)
+        s = Selection(facilities, cells, r, total, config, regions)
         if last and (s.all_cells().agg(F.sum("pop")).first()[0] or 0) < enough:
             break  # all facilities together fall short here, and so they do at every smaller radius
-        regions = [x.governorate for x in s.facilities.where("governorate IS NOT NULL").groupBy("governorate").agg(F.min("facility_id").alias("first")).orderBy("first").collect()]  # a row for each governorate
 
         def reward(s=s) -> Column:
             known = F.when(F.col("cluster") >= 0, s.cluster_count())
             return F.coalesce(governorate_climate(known, F.lit(max(1, sum(s.clusters.values()))), config), F.lit(0.0)) if config.climate_on else F.lit(0.0)
 
-        for g in regions:
-            best = s.best(s.state().where(F.col("governorate") == g), config.coverage * F.col("gain") + config.climate * F.when(F.col("cluster") >= 0, reward()).otherwise(0.0))
+        for g in range(len(regions)):
+            worth = config.coverage * F.col("gain") + config.climate * F.when(F.col("cluster") >= 0, reward()).otherwise(0.0)
+            best = s.best({}, lambda _, worth=worth: worth, F.col("region") == g + 1)
             if best:
                 s.take(best, score=best["score"])
         while s.covered_pop < target:
-            free = s.state().where("own > 0").withColumn("needy", (F.col("cluster") >= 0) & (s.cluster_count() < config.min_per_cluster))
-            value = config.coverage * F.col("gain") - config.overlap * F.col("seen") / F.col("own") * s.total + config.climate * F.when(F.col("cluster") >= 0, reward()).otherwise(0.0) + config.volume * F.col("volume_norm") * s.total
-            best = s.best(free.where("needy"), value)
-            best = best if best or config.needy_as_coded else s.best(free, value)
+            seen = F.col("seen_cells") if config.overlap_as_coded else F.col("seen")
+            needy = (F.col("cluster") >= 0) & (s.cluster_count() < config.min_per_cluster)
+            worth = config.coverage * F.col("gain") - config.overlap * F.try_divide(seen, F.col("own")) * s.total + config.climate * F.when(F.col("cluster") >= 0, reward()).otherwise(0.0) + config.volume * F.col("volume_norm") * s.total
+            best = s.best({}, lambda _, worth=worth: worth, (F.col("own") > 0) & needy)
+            best = best if best or config.needy_as_coded else s.best({}, lambda _, worth=worth: worth, F.col("own") > 0)
             if best is None or best["score"] <= 0:
                 break
             s.take(best, score=best["score"])
         if s.chosen and s.covered_pop >= enough:
             return _with_shares(s.frame(spark), s.covered(), facilities, cells_in, r), s.covered_pop, total
         last = last or s
-    rest = last.facilities.where(F.col("own") > 0).where(~last.is_chosen())
+    rest = last.pairs.where(~last.of([f for f, _ in last.chosen])).groupBy("facility_id").agg(F.sum("pop").alias("own")).where("own > 0")
     picks = last.frame(spark).unionByName(rest.select(F.lit(None).cast("int").alias("pick"), "facility_id", F.lit(0.0).alias("score"), *[F.lit(0.0).alias(p) for p in PARTS]))
     covered = last.all_cells()
     return _with_shares(picks, covered, facilities, cells_in, max(radii)), int(covered.agg(F.sum("pop")).first()[0] or 0), total

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from careshed.functions.scalars import season
+from careshed.operators.moments import correlations, exact_quantiles
 
 
 def merge_families(families: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -78,7 +79,7 @@ def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    medians = df.agg(*[F.median(c).alias(f"__{c}") for c in columns])
+    medians = exact_quantiles(df, columns, [0.5]).groupBy().agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"__{c}") for c in columns])
     out = df.join(F.broadcast(medians))  # one row
     return out.select(*[F.coalesce(c, f"__{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
@@ -122,9 +123,9 @@ def top_features(correlations: DataFrame, k: int) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """(i, j, left, right, r) of the upper triangle."""
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("left"), F.lit(b).alias("right"), _corr(F.col(a), F.col(b)).alias("r")) for i, a in enumerate(features) for j, b in enumerate(features) if i < j]
-    return df.agg(F.array(*cells).alias("s")).select(F.inline("s"))
+    """(i, j, left, right, r) of the upper triangle, from moments that tasks add up in blocks."""
+    names = F.array(*[F.lit(f) for f in features])
+    return correlations(df, features).select("i", "j", F.get(names, "i").alias("left"), F.get(names, "j").alias("right"), "r")
 
 
 def prune_collinear(matrix: DataFrame, features: DataFrame, limit: float = 0.95) -> DataFrame:

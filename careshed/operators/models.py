@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from careshed.core.work import shared_dir
 from careshed.operators.features import standardise
 
 # The tuning grids.
 RIDGE_ALPHAS, LASSO_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0), (0.001, 0.01, 0.1, 1.0)
+#: Rows of a partition that models are fitted on, and models that are fitted at a time.
+FIT_ROWS, FITS = 50_000, 8
 
 
 @dataclass(frozen=True)
@@ -40,6 +45,26 @@ def assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return rows.select("*", F.col(label).cast("double").alias("label")).where("label IS NOT NULL")
 
 
+def fitted_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` cached in as many partitions as they are worth: every round of a tree model is a job over all of them."""
+    rows = rows.cache()
+    parts = max(1, -(-rows.count() // FIT_ROWS))
+    if parts >= rows.rdd.getNumPartitions():
+        return rows
+    fewer = rows.coalesce(parts).cache()
+    fewer.count()
+    rows.unpersist()
+    return fewer
+
+
+def side_by_side(spark, tasks: list, at_once: int = FITS) -> list:
+    """The results of functions that run Spark jobs, so many at a time, in order. Jobs of small fits leave most cores idle."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))  # boosting cuts its lineage there every ten rounds
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]]
+
+
 def errors(df: DataFrame, actual: Column, predicted: Column, *by: str) -> DataFrame:
     """rmse, mae and r2 over the rows in which both are there."""
     rows = df.where(actual.isNotNull() & predicted.isNotNull()).withColumn("__y", actual.cast("double")).withColumn("__e", actual.cast("double") - predicted)
@@ -97,17 +122,24 @@ MODELS = {"ridge": ridge, "lasso": lasso, "random_forest": forest, "gradient_boo
 
 
 def compare(table: DataFrame, sets: dict[str, list[str]], label: str, models: dict = MODELS, split: str = "split") -> DataFrame:
-    """The leaderboard: each model on each feature set, scored on the validation and the test split."""
-    spark, rows = table.sparkSession, []
-    for name, features in sets.items():
+    """The leaderboard: each model on each feature set, scored on the validation and the test split. Fits run side by side."""
+    spark = table.sparkSession
+
+    def prepare(features: list[str]) -> tuple[DataFrame, ...]:
         clean = table.dropna(subset=[*features, label])
         train = clean.where(F.col(split) == "train")
-        train, val, test = (assembled(standardise(train, clean.where(F.col(split) == s), features), features, label).select("features", "label").cache() for s in ("train", "val", "test"))
-        for model, fit in models.items():
-            f = fit(train, val)
-            t = _scored(f.model, test)
-            rows.append((name, len(features), model, f.alpha, f.metrics["rmse"], f.metrics["mae"], f.metrics["r2"], t["rmse"], t["r2"]))
-        for x in (train, val, test):
+        return tuple(fitted_parts(assembled(standardise(train, clean.where(F.col(split) == s), features), features, label).select("features", "label")) for s in ("train", "val", "test"))
+
+    def fit(name: str, model: str, train: DataFrame, val: DataFrame, test: DataFrame) -> tuple:
+        f = models[model](train, val)
+        t = _scored(f.model, test)
+        return name, len(sets[name]), model, f.alpha, f.metrics["rmse"], f.metrics["mae"], f.metrics["r2"], t["rmse"], t["r2"]
+
+    ready = dict(zip(sets, side_by_side(spark, [lambda f=f: prepare(f) for f in sets.values()]), strict=True))
+    dearest = sorted(models, key=lambda m: ("boost" not in m, "forest" not in m))  # the longest fits begin first
+    rows = side_by_side(spark, [lambda n=n, m=m: fit(n, m, *ready[n]) for m in dearest for n in sets])
+    for parts in ready.values():
+        for x in parts:
             x.unpersist()
     schema = "feature_set string, n_features int, model string, alpha double, rmse double, mae double, r2 double, test_rmse double, test_r2 double"
     return leaderboard(spark.createDataFrame(rows, schema))
@@ -131,13 +163,13 @@ def baselines(panel: DataFrame, target: str, area: str, week: str, split: str =
 
 def kmeans(df: DataFrame, features: str = "features", k: int = 8, restarts: int = 20, seed: int = 42):
     """The best of several seeded k-means models, and its cost."""
-    rows = df.select(features).cache()
-    best = None
-    for s in range(restarts):
+    rows = fitted_parts(df.select(features))
+
+    def fit(s: int) -> tuple:
         model = KMeans(k=k, seed=seed + s, featuresCol=features, maxIter=20).fit(rows)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
+        return model, model.summary.trainingCost
+
+    best = min(side_by_side(df.sparkSession, [lambda s=s: fit(s) for s in range(restarts)]), key=lambda f: f[1])  # the first of equals
     rows.unpersist()
     return best
 

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careshed.core.work import broadcast_if_small, running_total, table
-from careshed.functions.geo import KM_LAT, KM_LON, haversine_km, in_ring
+from careshed.core.work import broadcast_if_small, in_arrow, running_total, table
+from careshed.functions.geo import KM_LAT, KM_LON, haversine_km, in_ring, morton
+
+#: Touched cells of a polygon's cover, levels below its first, the finest level (40 m), degrees that an edge may be off,
+#: and corners of all polygons together that may be broadcast (some 16 MB).
+COVER_CELLS, COVER_DEPTH, COVER_LEVELS, TOUCH, COVER_CORNERS = 256, 7, 20, 1e-9, 1_000_000
 
 
 def _buckets(centres: DataFrame, radius_km: float) -> tuple[int, float]:
@@ -63,26 +70,115 @@ def coverage_pairs(facilities: DataFrame, cells: DataFrame, radius_km: float | s
     return range_join(cells.select("cell_id", "lon", "lat", "pop"), facilities.select(*columns), radius_km).select("facility_id", "cell_id", "pop", "dist_km")
 
 
+def tiled_pairs(facilities: DataFrame, cells: DataFrame, radius_km: float | str, tile_km: float) -> DataFrame:
+    """``coverage_pairs`` with the cell's tile (x, y) of some ``tile_km`` in each direction and its place on the curve."""
+    columns = [F.col("facility_id"), F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat")]
+    if isinstance(radius_km, str):
+        columns.append(F.col(radius_km))
+    met = range_join(cells.select("cell_id", "lon", "lat", "pop"), facilities.select(*columns), radius_km)
+    degrees = tile_km / KM_LAT
+    x, y = (F.floor((F.col(c) + shift) / degrees).cast("int") for c, shift in (("lon", 180.0), ("lat", 90.0)))
+    return met.select("facility_id", "cell_id", "pop", "dist_km", x.alias("x"), y.alias("y"), morton(x, y).alias("tile"))
+
+
 def facilities_in_areas(anchors: DataFrame, facilities: DataFrame, radius: str = "service_radius_km") -> DataFrame:
     """(anchor_id, facility_id, dist_km) of every facility within an anchor's own radius."""
     centres = anchors.select(F.col("facility_id").alias("anchor_id"), F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"), radius)
     return range_join(facilities.select("facility_id", "lon", "lat"), centres, radius).select("anchor_id", "facility_id", "dist_km")
 
 
+def cover_cells(ring: np.ndarray, holes: list[np.ndarray], budget: int = COVER_CELLS, depth: int = COVER_DEPTH) -> list[tuple[int, int, int, bool]]:
+    """Cells (level, x, y, inner) of a grid hierarchy that hold a polygon; a cell of a level has 360 / 2^level degrees.
+
+    From cells as large as the polygon on, cells that an edge touches are cut into four, up to ``depth`` levels or
+    ``budget`` such cells. Cells that no edge touches are inner ones or left out, so only points in the others need a test.
+    """
+    rings = [r for r in (ring, *holes) if len(r)]
+    if not len(ring):
+        return []
+    a, b = np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+    west, south, east, north = *ring.min(axis=0), *ring.max(axis=0)
+    level = int(np.clip(np.floor(np.log2(360.0 / max(east - west, north - south, 1e-9))), 0, COVER_LEVELS))
+    size = 360.0 / 2**level
+    x, y = (np.arange(int(np.floor((lo + 180.0 - TOUCH) / size)), int(np.floor((hi + 180.0 + TOUCH) / size)) + 1) for lo, hi in ((west, east), (south, north)))
+    x, y = (g.reshape(-1) for g in np.meshgrid(x, y))
+    out = []
+    for step in range(depth + 1):
+        size = 360.0 / 2**level
+        touched = np.zeros(len(x), bool)
+        w, s = x * size - 180.0 - TOUCH, y * size - 180.0 - TOUCH
+        e, n = w + size + 2 * TOUCH, s + size + 2 * TOUCH
+        for k in range(0, len(a), 4096):
+            p, q = a[k : k + 4096], b[k : k + 4096]
+            over = (np.minimum(p, q)[None, :, 0] <= e[:, None]) & (np.maximum(p, q)[None, :, 0] >= w[:, None]) & (np.minimum(p, q)[None, :, 1] <= n[:, None]) & (np.maximum(p, q)[None, :, 1] >= s[:, None])
+            d = q - p
+            side = [d[None, :, 0] * (cy[:, None] - p[None, :, 1]) - d[None, :, 1] * (cx[:, None] - p[None, :, 0]) for cx in (w, e) for cy in (s, n)]
+            low, high = np.minimum.reduce(side), np.maximum.reduce(side)
+            touched |= (over & (low <= TOUCH) & (high >= -TOUCH)).any(axis=1)
+        cx, cy = (x + 0.5) * size - 180.0, (y + 0.5) * size - 180.0
+        inner = ~touched & _inside(cx, cy, ring)
+        for hole in holes:
+            inner &= ~_inside(cx, cy, hole)
+        out += [(level, int(u), int(v), True) for u, v in zip(x[inner], y[inner], strict=True)]
+        x, y = x[touched], y[touched]
+        if step == depth or level == COVER_LEVELS or 4 * len(x) > budget:
+            break
+        x, y = np.concatenate([2 * x + i for i in (0, 1) for _ in (0, 1)]), np.concatenate([2 * y + j for _ in (0, 1) for j in (0, 1)])
+        level += 1
+    return out + [(level, int(u), int(v), False) for u, v in zip(x, y, strict=True)]
+
+
+def _inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Even-odd ray casting, for points that lie on no edge."""
+    odd = np.zeros(len(x), bool)
+    if not len(ring):
+        return odd
+    for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+        if ay != by:
+            odd ^= ((ay > y) != (by > y)) & (x < (bx - ax) * ((y - ay) / (by - ay)) + ax)
+    return odd
+
+
+def region_cover(parts: DataFrame) -> DataFrame:
+    """(part, level, x, y, inner) of polygons' parts (part, ring, holes)."""
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = lambda ring: np.array([(p["lon"], p["lat"]) for p in ring or ()], float).reshape(-1, 2)
+            found = [(part, *cell) for part, ring, holes in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True) for cell in cover_cells(points(ring), [points(h) for h in holes or ()])]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names=["part", "level", "x", "y", "inner"])
+
+    holes = "holes" if "holes" in parts.columns else F.array().cast("array<array<struct<lon:double,lat:double>>>").alias("holes")
+    return in_arrow(parts.select("part", "ring", holes), cover, "part long, level int, x long, y long, inner boolean")
+
+
 def within_regions(points: DataFrame, regions: DataFrame, key: str, name: str = "region") -> DataFrame:
     """``points`` with the name of the region (name, ring) that holds them, null for none, the first name on overlap.
 
-    Regions (polygons' parts) are a short list with a bounding box each; the ring is tested only inside the box. Rings in
-    a column ``holes`` are left out.
+    Polygons' parts are cut into cells of a grid hierarchy, and points meet them by an equi-join on the cell, one copy of
+    a point for each level in use (some twenty at most). A point in an inner cell needs no test; the others fetch their
+    polygon by its number and are tested against its ring, and its rings in a column ``holes`` are left out.
     """
-    lon, lat = (F.transform("ring", lambda p: p[c]) for c in ("lon", "lat"))
-    boxed = regions.select(F.col("name").alias("__name"), "ring", *[c for c in ("holes",) if c in regions.columns], F.array_min(lon).alias("__w"), F.array_max(lon).alias("__e"), F.array_min(lat).alias("__s"), F.array_max(lat).alias("__n"))
-    inside = F.col("lon").between(F.col("__w"), F.col("__e")) & F.col("lat").between(F.col("__s"), F.col("__n"))
-    met = points.select(key, "lon", "lat").join(broadcast_if_small(boxed, 10_000), inside)
-    met = met.where(in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
-    if "holes" in regions.columns:
-        met = met.where(~F.exists(F.coalesce("holes", F.array()), lambda hole: in_ring(F.col("lon"), F.col("lat"), hole)))
-    return points.join(met.groupBy(key).agg(F.min("__name").alias(name)), key, "left")
+    holes = ["holes"] if "holes" in regions.columns else []
+    parts = table(regions.select(F.monotonically_increasing_id().alias("part"), F.col("name").alias("__name"), "ring", *holes), "region-parts")
+    cells = table(region_cover(parts), "region-cells")
+    levels = [r.level for r in cells.select("level").distinct().orderBy("level").collect()]  # COVER_LEVELS + 1 numbers at most
+    if not levels:
+        return points.withColumn(name, F.lit(None).cast(regions.schema["name"].dataType))
+    own = points.select(key, "lon", "lat").withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels])))
+    size = 360.0 / F.pow(F.lit(2.0), "level")
+    placed = own.withColumn("x", F.floor((F.col("lon") + 180.0) / size)).withColumn("y", F.floor((F.col("lat") + 180.0) / size))
+    met = placed.join(broadcast_if_small(cells, 200_000), ["level", "x", "y"]).select(key, "lon", "lat", "part", "inner")  # 8 MB of cells
+    names = parts.select("part", "__name")
+    sure = met.where("inner").join(broadcast_if_small(names), "part").select(key, "__name")
+    corners = F.size("ring") + (F.coalesce(F.aggregate(F.transform("holes", F.size), F.lit(0), lambda a, b: a + b), F.lit(0)) if holes else F.lit(0))
+    shapes = F.broadcast(parts) if (parts.agg(F.sum(corners)).first()[0] or 0) <= COVER_CORNERS else parts
+    test = met.where("NOT inner").join(shapes, "part").where(in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
+    if holes:
+        test = test.where(~F.exists(F.coalesce("holes", F.array()), lambda hole: in_ring(F.col("lon"), F.col("lat"), hole)))
+    found = sure.unionByName(test.select(key, "__name")).groupBy(key).agg(F.min("__name").alias(name))
+    return points.join(found, key, "left")
 
 
 def nearest_neighbours(points: DataFrame, key: str, start_km: float | None = None) -> DataFrame:

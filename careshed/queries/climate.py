@@ -43,7 +43,7 @@ def a18(v):
 
 @query("a14_p95", "SELECT hsa_id, round(quantile_cont(precip_mm, 0.95), 6) AS p95 FROM v_daily GROUP BY hsa_id", H)
 def a14(v):
-    return v.daily.groupBy("hsa_id").agg(F.percentile("precip_mm", F.lit(0.95)).alias("p95"))
+    return cl.own_quantile(v.daily, "hsa_id", "precip_mm")
 
 
 @query("a15_threshold_days", "SELECT d.hsa_id, round(avg(CASE WHEN precip_mm > 1 THEN 1.0E0 ELSE 0.0E0 END), 6) AS wetday_frac, round(sum(CASE WHEN precip_mm > 10 THEN 1 ELSE 0 END) / 7.0E0, 6) AS heavy10_per_year, round(sum(CASE WHEN precip_mm > 20 THEN 1 ELSE 0 END) / 7.0E0, 6) AS heavy20_per_year, round(sum(CASE WHEN precip_mm >= q.p95 THEN 1 ELSE 0 END) / 7.0E0, 6) AS p95_days_per_year, round(sum(CASE WHEN t_max_c > 35 THEN 1 ELSE 0 END) / 7.0E0, 6) AS hot_days_per_year, round(any_value(q.p95), 6) AS p95_mm FROM v_daily d JOIN (SELECT hsa_id, quantile_cont(precip_mm, 0.95) AS p95 FROM v_daily GROUP BY hsa_id) q ON q.hsa_id = d.hsa_id GROUP BY d.hsa_id", H)

@@ -131,6 +131,7 @@ def x1(v):
 @query("x2_stream_dedup", "SELECT event_id FROM kept", KEPT)
 def x2(v):
     visits = _events(v).select(F.col("user_id").alias("patientid"), F.col("event_type").alias("diagnosis_group"), "event_id", F.col("ts").alias("visit_time"), (1 + F.col("event_id") % 4).cast("int").alias("facility_level"))
+    jobs.with_rocksdb(v.spark)
     return _drained(v, jobs.deduplicate_visits(visits), "stream-dedup").select("event_id")
 
 

@@ -9,6 +9,7 @@ from careshed.functions.scalars import clipped, scaled
 from careshed.operators import allocation as al
 from careshed.operators import coverage as cv
 from careshed.operators import spatial as sp
+from careshed.operators.moments import exact_quantiles
 from careshed.queries.registry import query
 from careshed.queries.views import with_views
 
@@ -152,7 +153,8 @@ def a24(v):
 
 @query("a25_nn_quantiles", "SELECT round(quantile_cont(nn_km, 0.2), 6) AS q20, round(quantile_cont(nn_km, 0.4), 6) AS q40, round(quantile_cont(nn_km, 0.6), 6) AS q60, round(quantile_cont(nn_km, 0.8), 6) AS q80 FROM nn", H)
 def a25(v):
-    return sp.nearest_neighbours(v.stored_facility, "facility_id").agg(*[F.percentile("nn_km", F.lit(q / 100)).alias(f"q{q}") for q in (20, 40, 60, 80)])
+    found = exact_quantiles(sp.nearest_neighbours(v.stored_facility, "facility_id"), ["nn_km"], [0.2, 0.4, 0.6, 0.8])
+    return found.groupBy().agg(*[F.max(F.when(F.round(100 * F.col("share")) == q, F.col("value"))).alias(f"q{q}") for q in (20, 40, 60, 80)])
 
 
 @query("a28_target", "SELECT CAST(sum(pop) AS BIGINT) AS total_pop, CAST(floor(sum(pop) * 0.6E0) AS BIGINT) AS target_pop FROM v_cell", H)
@@ -204,10 +206,10 @@ def a7(v):
     return al.by_facility(al.allocate(v.cell, v.stored_facility), v.stored_facility)
 
 
-@query("a8_allocation_by_area", f"SELECT anchor_id, allocated_patients, num_facilities, array_to_string(first_facilities, ',') AS first_facilities FROM ({AREA_SUMS}) q", H)
+@query("a8_allocation_by_area", f"SELECT q.anchor_id, allocated_patients, num_facilities, array_to_string(first_facilities, ',') AS first_facilities, n.first_names FROM ({AREA_SUMS}) q JOIN (SELECT i.anchor_id, array_to_string(list_transform(list_slice(list_sort(list(struct_pack(id := i.facility_id, name := f.healthfacility))), 1, 5), lambda x: x.name), ', ') AS first_names FROM inside i JOIN v_facility f ON f.facility_id = i.facility_id GROUP BY i.anchor_id) n ON n.anchor_id = q.anchor_id", H)
 def a8(v):
     out = al.by_area(al.allocate(v.cell, v.stored_facility), _anchors(v), v.stored_facility)
-    return out.withColumn("first_facilities", F.array_join(F.col("first_facilities").cast("array<string>"), ","))
+    return out.withColumn("first_facilities", F.array_join(F.col("first_facilities").cast("array<string>"), ",")).withColumn("first_names", F.array_join("first_names", ", "))
 
 
 @query("w7_renumber", f"SELECT anchor_id, allocated_patients, CAST(row_number() OVER (ORDER BY allocated_patients DESC, anchor_id) AS INT) AS rank FROM ({AREA_SUMS}) q", H)
@@ -413,7 +415,23 @@ def a26(v):
     return cv.area_details(_anchors(v), v.stored_facility, _pairs(v))
 
 
-@query("a27_compare_modes", "SELECT mode, count(*) AS n_areas, round(avg(n), 6) AS mean_facilities, CAST(sum(n) AS BIGINT) AS sum_facilities, round(avg(vol), 6) AS mean_volume, CAST(sum(vol) AS BIGINT) AS sum_volume FROM (SELECT CASE WHEN a.healthfacilitytype = 'Hospital' THEN 'hospital' ELSE 'other' END AS mode, count(i.facility_id) AS n, coalesce(sum(f.volume), 0) AS vol FROM anchors a LEFT JOIN inside i ON i.anchor_id = a.facility_id LEFT JOIN v_facility f ON f.facility_id = i.facility_id GROUP BY a.facility_id, a.healthfacilitytype) q GROUP BY mode", H)
+MODES = ("fewest", "footprint", "distance")
+
+
+def _mode_sql(mode):
+    """The comparison's row of a mode: its chosen areas, without overlapping ones where the mode drops them."""
+    overlaps = ", last AS (SELECT chosen FROM g ORDER BY k DESC LIMIT 1)" if mode == "fewest" else OVERLAPS
+    own = "last WHERE list_contains(last.chosen, f.facility_id)" if mode == "fewest" else "kept WHERE list_contains(kept.kept, f.facility_id)"
+    inside = f"SELECT f.facility_id, count(*) AS n, sum(g.volume) AS vol FROM (SELECT f.facility_id, f.lon, f.lat, f.initial_radius_km FROM radii f, {own}) f JOIN v_facility g ON {FF} <= f.initial_radius_km GROUP BY f.facility_id"
+    final = f"SELECT '{mode}' AS mode, count(*) AS n_areas, round(avg(n), 6) AS mean_facilities, CAST(sum(n) AS BIGINT) AS sum_facilities, round(avg(vol), 6) AS mean_volume, CAST(sum(vol) AS BIGINT) AS sum_volume FROM ({inside}) q"
+    return greedy_sql(mode, overlaps=overlaps, final=final)
+
+
+@query("a27_compare_modes", " UNION ALL ".join(f"SELECT * FROM ({_mode_sql(m)}) {m}_row" for m in MODES), raw=True)
 def a27(v):
-    details = cv.area_details(_anchors(v), v.stored_facility, _pairs(v)).join(v.stored_facility.select("facility_id", "healthfacilitytype"), "facility_id")
-    return cv.compare_modes(details.withColumn("mode", F.when(F.col("healthfacilitytype") == "Hospital", "hospital").otherwise("other")))
+    """The optimisation modes side by side: how many areas each chooses, and the facilities and visits inside them."""
+    details = []
+    for mode in MODES:
+        areas = cv.table(cv.optimize(v.stored_facility, v.cell, mode).areas, "areas")
+        details.append(cv.area_details(areas, v.stored_facility, sp.coverage_pairs(areas, v.cell, "service_radius_km")).withColumn("mode", F.lit(mode)))
+    return cv.compare_modes(cv.table(details[0].unionByName(details[1]).unionByName(details[2]), "details"))

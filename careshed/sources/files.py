@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ def with_id(df: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.xxhash64(*keys))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """``multi_line`` reads line feeds inside quotes, for which one task reads a whole file; without it files are split."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -55,9 +58,9 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col(have["diagnosis"]).alias("diagnosis"), F.col(f"`{group}`").alias("group"))
 
 
-def read_visits(spark: SparkSession, path: str, time: str = "datetimediagnosisentered") -> DataFrame:
-    """Visits with ``visit_time``; a time that cannot be read is null."""
-    return read_csv(spark, path, VISITS).withColumn("visit_time", F.try_to_timestamp(F.col(time)).cast("timestamp_ntz"))
+def read_visits(spark: SparkSession, path: str, time: str = "datetimediagnosisentered", multi_line: bool = False) -> DataFrame:
+    """Visits with ``visit_time``; a time that cannot be read is null. Visits are one to a line, so large files are split."""
+    return read_csv(spark, path, VISITS, multi_line).withColumn("visit_time", F.try_to_timestamp(F.col(time)).cast("timestamp_ntz"))
 
 
 def drop_bookkeeping(df: DataFrame, names: tuple[str, ...] = BOOKKEEPING) -> DataFrame:
@@ -67,7 +70,8 @@ def drop_bookkeeping(df: DataFrame, names: tuple[str, ...] = BOOKKEEPING) -> Dat
 def read_family(spark: SparkSession, folder: str, family: str) -> DataFrame:
     """All files HSA_<name>_<family>.csv of a folder, with the name from the file as ``hsa_name``."""
     df = read_csv(spark, f"{folder}/HSA_*_{family}.csv")
-    return drop_bookkeeping(df.withColumn("hsa_name", F.regexp_extract(F.col("_metadata.file_name"), f"^HSA_(.*)_{family}\\.csv$", 1)))
+    file = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # Spark tells it as part of an address
+    return drop_bookkeeping(df.withColumn("hsa_name", F.regexp_extract(F.replace(file, F.lit("%2F"), F.lit("/")), f"^HSA_(.*)_{family}\\.csv$", 1)))
 
 
 def read_polygons(spark: SparkSession, path: str, name: str = "shapeName") -> DataFrame:
@@ -99,12 +103,12 @@ def write_split(df: DataFrame, path: str, by: str) -> None:
 def write_family(df: DataFrame, folder: str, family: str, name: str) -> list[str]:
     """One CSV file HSA_<name>_<family>.csv for each value of the column ``name``, a few dozen areas; their file names."""
     spark, staged = df.sparkSession, f"{folder}/_{family}"
-    df.repartition(name).write.mode("overwrite").partitionBy(name).option("header", True).csv(staged)
+    df.repartition(name).write.mode("overwrite").partitionBy(name).option("header", True).option("maxRecordsPerFile", 0).csv(staged)  # one file for a value
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = []
     for part in fs.globStatus(path(f"{staged}/{name}=*/part-*")):
-        value = part.getPath().getParent().getName().partition("=")[2]
+        value = unquote(part.getPath().getParent().getName().partition("=")[2]).replace("/", "%2F")  # a folder's name is escaped
         fs.rename(part.getPath(), path(f"{folder}/HSA_{value}_{family}.csv"))
         found.append(f"HSA_{value}_{family}.csv")
     fs.delete(path(staged), True)

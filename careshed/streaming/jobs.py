@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from careshed.operators.models import errors
 
@@ -19,34 +21,70 @@ def weekly_counts(events: DataFrame, area: str, time: str, late: str = "14 days"
     return counts.select(area, F.to_date("window.start").alias("week_start"), "cases")
 
 
+class VisitState(StatefulProcessor):
+    """The time and level of the last raw visit of a patient and group, dropped once the watermark has left it behind."""
+
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "us long, level int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        visits = pd.concat(list(rows)).sort_values(["visit_time", "facility_level", "event_id"], ascending=[True, False, True])
+        known = self.last.exists()
+        last_us, last_level = self.last.get() if known else (None, None)
+        us, level = visits["visit_time"].to_numpy("datetime64[us]").astype("int64"), visits["facility_level"].to_numpy("int64")
+        keep, (last_us, last_level) = first_visits(us, level, last_us, last_level, self.days)
+        self.last.update((last_us, last_level))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(last_us // 1000 + (self.days + 1) * 86_400_000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield visits[keep][["patientid", "diagnosis_group", "event_id", "visit_time", "facility_level"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def first_visits(us: np.ndarray, level: np.ndarray, last_us: int | None, last_level: int | None, days: int) -> tuple[np.ndarray, tuple[int, int]]:
+    """Which visits, in order of time, are no repeats, and the last raw visit after them.
+
+    A visit is held against the one before it, or if it is older than the last visit known, against that.
+    """
+    before_us, before_level = np.concatenate((us[:1], us[:-1])), np.concatenate((level[:1], level[:-1]))
+    keep = ~((np.abs(us - before_us) // 86_400_000_000 <= days) & (level <= before_level))
+    keep[:1] = True
+    if last_us is not None:
+        late = int(np.searchsorted(us, last_us))  # so many are older
+        held = slice(0, late + 1)
+        keep[held] = ~((np.abs(us[held] - last_us) // 86_400_000_000 <= days) & (level[held] <= last_level))
+        if late == len(us):
+            return keep, (last_us, last_level)
+    return keep, (int(us[-1]), int(level[-1]))
+
+
 def deduplicate_visits(visits: DataFrame, days: int = 3, late: str = "30 days") -> DataFrame:
     """Visits (patientid, diagnosis_group, event_id, visit_time, facility_level) that are not repeats.
 
     The state of a patient and group is the time and level of the last raw visit, kept until the watermark is
     ``days`` past it. Input in order of time gives what the batch operator gives. A row of a later batch that is older
     than the last visit is a repeat of it if it lies within ``days`` before it and its level is no higher; the state stays.
+    Timers need the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``), see ``with_rocksdb``.
     """
     schema = "patientid long, diagnosis_group string, event_id long, visit_time timestamp, facility_level int"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["visit_time", "facility_level", "event_id"], ascending=[True, False, True])
-        last_us, last_level = state.get if state.exists else (None, None)
-        keep = []
-        for time, level in zip(rows["visit_time"], rows["facility_level"], strict=True):
-            us = int(time.value // 1000)
-            keep.append(last_us is None or not (abs(us - last_us) // 86_400_000_000 <= days and level <= last_level))
-            if last_us is None or us >= last_us:
-                last_us, last_level = us, int(level)
-        state.update((last_us, last_level))
-        state.setTimeoutTimestamp(max(last_us // 1000 + (days + 1) * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield rows[keep][["patientid", "diagnosis_group", "event_id", "visit_time", "facility_level"]]
-
     rows = visits.where("patientid IS NOT NULL AND diagnosis_group IS NOT NULL AND visit_time IS NOT NULL")
     rows = rows.withColumn("visit_time", F.col("visit_time").cast("timestamp")).withWatermark("visit_time", late)
-    return rows.groupBy("patientid", "diagnosis_group").applyInPandasWithState(step, schema, "last_us long, last_level int", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("patientid", "diagnosis_group").transformWithStateInPandas(VisitState(days), schema, "Append", "EventTime")
+
+
+def with_rocksdb(spark: SparkSession) -> SparkSession:
+    """The session with the state store that state with timers needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
 
 
 def drift_monitor(predictions: DataFrame, alert: Callable[[float, int], None], limit: float = 15.0, scores: str | None = None):
@@ -62,3 +100,37 @@ def drift_monitor(predictions: DataFrame, alert: Callable[[float, int], None], l
             alert(r.rmse, batch_id)
 
     return predictions.writeStream.foreachBatch(check)
+
+
+def observed_errors(predictions: DataFrame, name: str = "drift") -> DataFrame:
+    """The stream itself, whose n and sum of squared errors are observed as it passes: no batch is read for them again."""
+    error = F.col("y").cast("double") - F.col("prediction").cast("double")
+    return predictions.observe(name, F.count(error).alias("n"), F.coalesce(F.sum(error * error), F.lit(0.0)).alias("squares"))
+
+
+class DriftListener(StreamingQueryListener):
+    """Calls ``alert(rmse, batch_id)`` for each batch of ``observed_errors`` beyond the limit; ``seen`` has (batch_id, n, rmse).
+
+    Register it with ``spark.streams.addListener``; a restarted query goes on with its own batch ids.
+    """
+
+    def __init__(self, alert: Callable[[float, int], None], limit: float = 15.0, name: str = "drift"):
+        self.alert, self.limit, self.name, self.seen = alert, limit, name, []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is None or not row.n:
+            return
+        rmse = math.sqrt(row.squares / row.n)
+        self.seen.append((event.progress.batchId, row.n, rmse))
+        if rmse > self.limit:
+            self.alert(rmse, event.progress.batchId)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -24,8 +24,8 @@ def test_facility_and_group_files(spark, tmp_path):
 
 
 def test_family_files_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("North", 1, 2.5), ("South_2", 2, 3.5), ("North", 3, 4.5)], "name string, week int, p double")
-    assert files.write_family(df, str(tmp_path), "rain", "name") == ["HSA_North_rain.csv", "HSA_South_2_rain.csv"]
+    df = spark.createDataFrame([("North", 1, 2.5), ("South_2", 2, 3.5), ("North", 3, 4.5), ("50% 'up'=x", 4, 1.0)], "name string, week int, p double")
+    assert files.write_family(df, str(tmp_path), "rain", "name") == ["HSA_50% 'up'=x_rain.csv", "HSA_North_rain.csv", "HSA_South_2_rain.csv"]
     got = files.read_family(spark, str(tmp_path), "rain")
     assert sorted((r.hsa_name, int(r.week), float(r.p)) for r in got.collect()) == sorted(map(tuple, df.collect()))
 
@@ -106,6 +106,7 @@ def test_streamed_weeks_equal_the_batch(spark, tmp_path):
 def test_streamed_deduplication_equals_the_batch(spark, tmp_path):
     e = spark.read.parquet(f"{DATA}/events.parquet").where("event_id % 5 = 0")
     v = e.select("event_id", F.col("user_id").alias("patientid"), F.col("event_type").alias("diagnosis_group"), F.col("ts").alias("visit_time"), (1 + F.col("event_id") % 4).cast("int").alias("facility_level"))
+    jobs.with_rocksdb(spark)
     got = replay(spark, tmp_path, v, "visit_time", 3, jobs.deduplicate_visits, "kept")
     assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in s.deduplicate_visits(v).collect())
 
@@ -131,3 +132,75 @@ def test_drift_alerts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert alerts == [20.0]
+
+
+def dedup_by_rows(rows, days=3):
+    """(kept ids, last) of one patient's visits, batch by batch, one row at a time."""
+    last, kept = None, []
+    for batch in rows:
+        for us, level, event in sorted(batch, key=lambda r: (r[0], -r[1], r[2])):
+            if last is None or not (abs(us - last[0]) // 86_400_000_000 <= days and level <= last[1]):
+                kept.append(event)
+            if last is None or us >= last[0]:
+                last = (us, level)
+    return kept
+
+
+def test_vectorised_steps_equal_rows():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(300):
+        batches, event = [], 0
+        for _ in range(rng.randrange(1, 5)):
+            batch = []
+            for _ in range(rng.randrange(1, 8)):
+                batch.append((rng.randrange(30) * 43_200_000_000, rng.randrange(1, 4), event))
+                event += 1
+            batches.append(batch)
+        last, kept = (None, None), []
+        for batch in batches:
+            batch.sort(key=lambda r: (r[0], -r[1], r[2]))
+            us, level = (np.array([r[i] for r in batch], "int64") for i in (0, 1))
+            keep, last = jobs.first_visits(us, level, *last, 3)
+            kept += [r[2] for r, k in zip(batch, keep, strict=True) if k]
+        assert kept == dedup_by_rows(batches)
+
+
+def test_state_survives_a_restart_and_expires(spark, tmp_path):
+    jobs.with_rocksdb(spark)
+    day = lambda d, i, who=1: (i, who, "flu", f"2024-{1 + (d - 1) // 28:02d}-{1 + (d - 1) % 28:02d} 00:00:00", 1)
+    stream = lambda: spark.readStream.schema("event_id long, patientid long, diagnosis_group string, facility_level int, visit_time timestamp_ntz").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    kept = []
+    for i, part in enumerate([[day(1, 1)], [day(3, 2)], [day(80, 3, 2)], [day(81, 4, 2)], [day(82, 5)]]):
+        df = spark.createDataFrame(part, "event_id long, patientid long, diagnosis_group string, t string, facility_level int").withColumn("visit_time", F.col("t").cast("timestamp_ntz")).drop("t")
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{i:03d}")
+        q = jobs.deduplicate_visits(stream()).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+        q.awaitTermination()  # each part is a run of its own, which takes up the state
+        kept.append([p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]])
+    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 3, 5]
+    assert max(kept[1]) >= 1 and kept[-1][-1] <= max(map(max, kept))
+
+
+def test_observed_drift_equals_the_monitor(spark, tmp_path):
+    rows = [[(0.0, 20.0), (0.0, 20.0)], [(0.0, 1.0)], [(0.0, 30.0), (None, 1.0)], [(5.0, 5.0)]]
+    read = lambda: spark.readStream.schema("y double, prediction double").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/p")
+    alerts, listener = [], jobs.DriftListener(lambda rmse, batch: observed.append((round(rmse, 9), batch)))
+    observed: list = []
+    spark.streams.addListener(listener)
+    try:
+        for run in (rows[:2], rows[2:]):  # the second run goes on where the first ended
+            for part in run:
+                spark.createDataFrame(part, "y double, prediction double").coalesce(1).write.parquet(f"{tmp_path}/p/{rows.index(part):03d}")
+            for name, job in (("a", lambda d: jobs.drift_monitor(d, lambda rmse, batch: alerts.append((round(rmse, 9), batch)))), ("b", lambda d: jobs.observed_errors(d).writeStream.format("noop"))):
+                q = job(read()).option("checkpointLocation", f"{tmp_path}/cp-{name}").trigger(availableNow=True).start()
+                q.awaitTermination()
+        for _ in range(100):
+            if len(observed) >= len(alerts):
+                break
+            __import__("time").sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sorted(observed) == sorted(alerts) and len(alerts) == 2

@@ -196,3 +196,96 @@ def test_exclusive_areas_count_a_facility_once(frames):
     both = al.by_area(allocations, anchors, frames[0])
     assert inside.agg(F.sum("num_facilities")).first()[0] == sp.facilities_in_areas(anchors, frames[0]).select("facility_id").distinct().count()
     assert both.agg(F.sum("num_facilities")).first()[0] >= inside.agg(F.sum("num_facilities")).first()[0]
+
+
+def rows_read(df):
+    """Rows that the scans of a DataFrame's plan put out."""
+    df.collect()
+    rows, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            stack.append(node.plan())
+        else:
+            if node.getClass().getSimpleName() == "FileSourceScanExec":
+                rows += node.metrics().apply("numOutputRows").value()
+            stack += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_a_pick_reads_the_pairs_around_its_new_cells_only(spark):
+    rng = random.Random(8)
+    facilities = spark.createDataFrame([(i, rng.uniform(35, 45), rng.uniform(25, 35), rng.randrange(50), i % 5) for i in range(400)], "facility_id long, lon double, lat double, volume long, climate_k int")
+    cells = spark.createDataFrame([(i, 35 + (i % 200) / 20, 25 + (i // 200) / 20, rng.randrange(100)) for i in range(40_000)], "cell_id long, lon double, lat double, pop long")
+    s = cv.Selection(facilities, cells, 25.0, 1, cv.CoverageConfig(), page_rows=500)
+    total = s.pairs.count()
+    gains = {r.facility_id: r.own for r in s.now.collect()}
+    reach = {}
+    for r in s.pairs.collect():
+        reach.setdefault(r.facility_id, {})[r.cell_id] = r["pop"]
+    seen = set()
+    for _ in range(5):
+        best = s.best({}, lambda _: F.col("gain").cast("double"))
+        assert best["gain"] == max(gains.values()) == gains[best["facility_id"]]
+        s.take(best)
+        new = set(reach[best["facility_id"]]) - seen
+        seen |= new
+        touched = s.touched()
+        met = touched.count()
+        assert met == sum(len(new & set(own)) for own in reach.values())
+        plan = touched.select("facility_id")  # the semi-join's own scans: the tiles, and the chosen facilities' pairs
+        assert met <= rows_read(plan) < total / 5
+        gains = {f: sum(p for c, p in own.items() if c not in seen) for f, own in reach.items() if f not in {c for c, _ in s.chosen}}
+        after = s.best({}, lambda _: F.col("gain").cast("double"))
+        assert {r.facility_id: r.gain for r in s.now.collect()} == gains and after["gain"] == max(gains.values())
+
+
+def test_ranges_of_the_curve_hold_a_box(spark):
+    from careshed.functions.geo import morton, morton_ranges
+
+    for x0, x1, y0, y1 in ((0, 0, 0, 0), (3, 8, 5, 9), (1020, 1027, 511, 514), (65530, 65535, 65530, 65535)):
+        rows = spark.createDataFrame([(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)], "x int, y int")
+        codes = sorted(r.c for r in rows.select(morton(F.col("x"), F.col("y")).alias("c")).collect())
+        ranges = morton_ranges(x0, x1, y0, y1)
+        assert len(ranges) <= 8 and all(any(a <= c <= b for a, b in ranges) for c in codes) and ranges == sorted(ranges)
+
+
+def in_polygon(x, y, ring):
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (ay > y) != (by > y) and x < (bx - ax) * ((y - ay) / (by - ay)) + ax:
+            odd = not odd
+    return odd
+
+
+def star(rng, x, y, r, corners):
+    turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(corners))
+    return [(x + r * rng.uniform(0.3, 1) * math.cos(t), y + r * rng.uniform(0.3, 1) * math.sin(t)) for t in turns]
+
+
+def test_polygon_cells_equal_brute_force(spark):
+    rng = random.Random(31)
+    square = lambda w, s, e, n: [(float(x), float(y)) for x, y in ((w, s), (e, s), (e, n), (w, n))]
+    regions = [("b", star(rng, 10, 10, 8, 40), [star(rng, 10, 10, 1, 9), square(12, 9, 13, 10)]), ("a", star(rng, 14, 12, 6, 12), []), ("c", square(0, 0, 2, 2), []), ("c", square(2, 0, 4, 2), []), ("tiny", square(5, 5, 5.0001, 5.0001), []), ("line", [(0.0, 9.0), (4.0, 9.0), (0.0, 9.0)], []), ("none", [], []), ("wide", square(-179, -80, 179, -60), [])]
+    points = [(i, rng.uniform(-1, 21), rng.uniform(-1, 21)) for i in range(3000)] + [(5000 + i, float(i % 5), float(i // 5)) for i in range(25)] + [(6000, 5.00005, 5.00005), (6001, 150.0, -70.0), (6002, None, 1.0)]
+    p = spark.createDataFrame(points, "id long, lon double, lat double")
+    at = "array<struct<lon double, lat double>>"
+    r = spark.createDataFrame(regions, f"name string, ring {at}, holes array<{at}>")
+    got = {x.id: x.region for x in sp.within_regions(p, r, "id").collect()}
+    for i, x, y in points:
+        inside = [] if x is None else [n for n, ring, holes in regions if in_polygon(x, y, ring) and not any(in_polygon(x, y, h) for h in holes)]
+        assert got[i] == (min(inside) if inside else None), (i, x, y)
+
+
+def test_many_polygons_need_no_nested_loop(spark):
+    side = 120
+    grid = spark.range(side * side).selectExpr("concat('r', id) AS name", f"id % {side} AS x", f"id div {side} AS y")
+    rings = grid.selectExpr("name", "array(struct(x * 0.1D AS lon, y * 0.1D AS lat), struct(x * 0.1D + 0.1D AS lon, y * 0.1D AS lat), struct(x * 0.1D + 0.1D AS lon, y * 0.1D + 0.1D AS lat), struct(x * 0.1D AS lon, y * 0.1D + 0.1D AS lat)) AS ring")
+    points = spark.range(2000).selectExpr("id", "(id * 37 % 1200) / 100D + 0.005D AS lon", "(id * 91 % 1200) / 100D + 0.005D AS lat")
+    found = sp.within_regions(points, rings, "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    for r in found.collect():
+        assert r.region == f"r{int(r.lat / 0.1 + 1e-9) * side + int(r.lon / 0.1 + 1e-9)}"
