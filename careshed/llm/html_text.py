@@ -41,18 +41,23 @@ SHORT, NEARLY_ALL, NOTICES = 50, 0.9, 5
 MAIN, OPEN, BOILERPLATE, DOUBT = 0, 1, 2, 3
 
 # Element names of HTML, and words that name parts of a page in class, id and role.
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "xmp", "noembed", "noframes"}
+_RAW = {"script", "style", "textarea", "title", "template", "iframe", "object", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_AWAY = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "fieldset"}
+_AWAY = {"nav", "header", "footer", "aside", "menu", "dialog", "button", "select", "head", "fieldset"}
+#: Parts of an article that are content by themselves: there an id, or a table's class, names a topic and leaves doubt.
+_CONTENT = {"section", "table", "tr", "td", "th", "dl", "dt", "dd", "figure", "p", "pre", "blockquote"} | _HEADING
 _ENDS_P = _BLOCK - {"body", "html", "caption", "legend", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr"}
-#: Words that name boilerplate in any company.
+#: Words that name boilerplate alone or with words of their kind or such as follow, and leave doubt in other company.
 _PARTS = {"ad", "ads", "adbox", "banner", "breadcrumb", "breadcrumbs", "byline", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "outbrain", "pager", "pagination", "popup", "promo", "promoted", "sidebar", "signup", "sponsor", "sponsored", "subscribe", "taboola", "topbar", "complementary", "alertdialog"}
-_PART_STARTS = ("advert", "comment", "sidebar", "cookie", "navbar")
-#: Words that name boilerplate alone or with such words as follow, and leave doubt in other company.
+_PART_STARTS = ("advert", "sidebar", "cookie", "navbar")
+#: Words that name reader comments, and what else stands in such names.
+_COMMENTS = {"comment", "comments", "commentlist", "commentform", "commenter", "commenters", "replies", "disqus"}
+_COMMENT_WITH = {"author", "body", "count", "facebook", "fb", "head", "heading", "meta", "number", "reader", "readers", "reply", "respond", "text", "thread", "threads", "title", "user", "users"}
+#: Words that name boilerplate like these, but less often.
 _EITHER = {"copyright", "header", "notification", "overlay", "recommended", "related", "rail", "replies", "reply", "search", "share", "sharing", "skip", "social", "teaser", "toc", "toolbar", "widget", "widgets"}
-_WITH = {"area", "article", "articles", "bar", "block", "box", "button", "buttons", "container", "content", "footer", "form", "header", "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "more", "page", "panel", "post", "posts", "right", "section", "site", "stories", "to", "tools", "top", "wrap", "wrapper"}
+_WITH = {"area", "article", "articles", "bar", "block", "box", "button", "buttons", "container", "content", "footer", "form", "header", "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "more", "page", "panel", "post", "posts", "right", "section", "site", "stories", "to", "tools", "top", "wrap", "wrapper", "bottom", "card", "cards", "col", "column", "component", "desktop", "first", "fixed", "global", "google", "grid", "group", "inline", "label", "last", "leaderboard", "mobile", "module", "outer", "placement", "primary", "region", "row", "secondary", "slot", "space", "sticky", "unit", "zone"}
 #: Words that leave doubt in any company.
 _DOUBT = {"legal", "alert"}
 
@@ -63,25 +68,32 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|d
 _CUT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _part(name: str, attributes: str) -> str:
-    """What an element is by its name and attributes: main, away, doubt, or nothing of note."""
+def _part(name: str, attributes: str, inside: bool = False) -> str:
+    """What an element is by its name and attributes: main, away, form, doubt, or nothing of note; ``inside`` a main one.
+
+    A name of boilerplate counts if all words of a class or id are of that kind. In other company it leaves doubt, and so
+    it does as the id, or a table's class, of what is content by itself inside the main element.
+    """
     tokens, role = [], ""
     for key, *values in _NAMED.findall(attributes):
         value = next((v for v in values if v), "")
-        tokens += [{w.lower() for w in _CUT.split(t) if w} for t in value.split()]
+        tokens += [(key.lower(), {w.lower() for w in _CUT.split(t) if w and not w.isdigit()}) for t in value.split()]
         role = value.strip().lower() if key.lower() in ("role", "itemprop") else role
-    words = set().union(*tokens)
     if name in ("html", "body"):
         return ""
-    if any(w.startswith("comment") for w in words) or "replies" in words or "disqus" in words:
+    if any(t & _COMMENTS and t <= _COMMENTS | _COMMENT_WITH | _EITHER | _WITH for key, t in tokens if not inside or name not in _CONTENT or key != "id"):
         return "away"
     if name in ("article", "main") or role in ("main", "article", "articlebody"):
         return "main"
-    if name in _AWAY or words & _PARTS or any(w.startswith(_PART_STARTS) for w in words) or _HIDDEN.search(attributes):
-        return "away"
-    if any(t & _EITHER and t <= _EITHER | _WITH for t in tokens):
+    if name in _AWAY or _HIDDEN.search(attributes):
         return "away"
-    return "doubt" if words & (_EITHER | _DOUBT) else ""
+    doubt = ""
+    for key, t in tokens:
+        own = {w for w in t if w in _PARTS or w in _EITHER or w in _COMMENTS or w.startswith(_PART_STARTS)}
+        if own and t <= own | _WITH and not (inside and name in _CONTENT and (key == "id" or name == "table")):
+            return "away"
+        doubt = "doubt" if own or t & _DOUBT else doubt
+    return "form" if name == "form" else doubt
 
 
 class _Reader:
@@ -94,7 +106,8 @@ class _Reader:
         self.stack: list[tuple[str, str]] = []  # name and part of each open element
         self.places: dict[str, list[int]] = {}  # where on the stack a name is open
         self.blocks: list[int] = []  # where on the stack blocks are open
-        self.parts = {"main": 0, "away": 0, "doubt": 0, "head": 0, "": 0}
+        self.parts = {"main": 0, "away": 0, "form": 0, "doubt": 0, "head": 0, "": 0}
+        self.around: list[tuple[int, int]] = []  # forms and doubts open around each open main element, which wins over them
 
     def add(self, text: str) -> None:
         self.text.append(text)
@@ -106,7 +119,8 @@ class _Reader:
             raw = "".join(self.text)
             joined = " ".join(html.unescape(raw).split())
             if joined:
-                main, away, doubt = (self.parts[p] for p in ("main", "away", "doubt"))
+                forms, doubts = self.around[-1] if self.around else (0, 0)
+                main, away, doubt = self.parts["main"], self.parts["away"] or self.parts["form"] > forms, self.parts["doubt"] - doubts
                 doubt = doubt and main and (BOILERPLATE if 2 * self.linked >= len(raw.strip()) else DOUBT)
                 self.out.append((BOILERPLATE if away else doubt or (MAIN if main else OPEN), joined))
             self.text.clear()
@@ -117,6 +131,8 @@ class _Reader:
         if name in _BLOCK:
             self.blocks.append(len(self.stack))
         self.stack.append((name, part))
+        if part == "main":
+            self.around.append((self.parts["form"], self.parts["doubt"]) if not self.around else self.around[-1])
         self.parts[part] += 1
 
     def pop(self, to: int) -> None:
@@ -126,6 +142,8 @@ class _Reader:
             if name in _BLOCK:
                 self.blocks.pop()
             self.parts[part] -= 1
+            if part == "main":
+                self.around.pop()
 
     def end(self, name: str) -> None:
         """An end tag: closes the nearest element of its name, if there is one and no block stands in between."""
@@ -172,7 +190,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             r.shut({"p"} if name in _ENDS_P and name not in ("li", "dt", "dd") else {"p", name} | ({"dt", "dd"} if name in ("dt", "dd") else set()) | ({"td", "th"} if name in ("td", "th", "tr") else set()))
         if name in _VOID or tag[0].endswith("/>") and name not in _BLOCK:
             continue
-        part = _part(name, tag[3] or "")
+        part = _part(name, tag[3] or "", r.parts["main"] > 0)
         if part == "away" and name == "header" and r.parts["main"] and not r.parts["away"]:
             part = "head"  # an article's own header: its headings count as main
         if r.parts["head"] and name not in _HEADING and name in _BLOCK and not part:

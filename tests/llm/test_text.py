@@ -281,6 +281,27 @@ def test_main_text_of_a_page():
     assert html_text.main_texts([html_text.blocks(PAGE)]) == ["Title & more\n\nOne twothree four\n\nFive six a < b\n\na\n\nb\n\nend"]
 
 
+@pytest.mark.parametrize("page", [
+    '<div class="layout has-sidebar"><article><p>Text here.</p></article></div>',
+    '<div class="site-content no-sidebar"><main><p>Text here.</p></main></div>',
+    '<form id="aspnetForm"><article><p>Text here.</p><form>Your name <input></form></article></form>',
+    '<article class="commentary"><p>Text here.</p></article>',
+    '<article><p>Text here.</p><div class="comments">c</div><div class="user-comments">u</div><div class="ad-slot-1">ad</div><div class="newsletter-signup">n</div><aside>s</aside><div id="sidebar">z</div></article><div class="sidebar"><article>teaser</article></div>',
+])
+def test_main_elements_win_over_the_names_around_them(page):
+    assert html_text.main_texts([html_text.blocks(page)]) == ["Text here."]
+
+
+@pytest.mark.parametrize("part", ['<section id="advertising">{}</section>', '<section id="login">{}</section>', '<h2 id="banner">{}</h2>', '<section id="comments-on-method">{}</section>', '<div class="promo-code-guide">{}</div>', '<table class="menu"><tr><td>{}</table>', "<p><math>{}</math></p>", "<noscript>{}</noscript>", "<svg><text>{}</text></svg>"])
+def test_names_of_topics_leave_doubt_that_repeats_decide(part):
+    page = "<article><p>Before {0} it.</p>" + part + "</article>"
+    texts = [html_text.blocks(page.format(f"the {i}th part tells of its own {i} things")) for i in range(4)]
+    assert all(t.count("things") == 2 for t in html_text.main_texts(texts))
+    if "class=" in part or "id=" in part:  # the same words on all pages of the host
+        same = [html_text.blocks(f"<article><p>Page {i} has its own words.</p>" + part.format("one two three four five six seven eight nine") + "</article>") for i in range(4)]
+        assert html_text.main_texts(same) == [f"Page {i} has its own words." for i in range(4)]
+
+
 def test_pages_without_a_main_element_keep_their_unique_runs():
     menu = "menu one two three four five six seven eight"
     pages = [html_text.blocks(f"<body><div>{menu}</div><div>Text number {i} stands here</div>") for i in range(4)]
