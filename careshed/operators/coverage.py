@@ -22,6 +22,8 @@ BROADCAST_CELLS = 1_000_000
 TILE_KM, PAGE_ROWS = 10.0, 20_000
 #: Sets of areas that share a cell whose counts the driver may hold.
 PATTERNS = 200_000
+#: Rows of the queue of bounds, and picks whose changes are taken off the gains as they are read, before they are written.
+QUEUE, FOLD = 256, 8
 
 
 @dataclass(frozen=True)
@@ -169,7 +171,10 @@ class Selection:
         rows = rows.join(sums, "facility_id", "left").join(F.broadcast(rows.agg(F.max("volume").alias("top"))))  # one row
         rows = rows.select("facility_id", "cluster", "region", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce("mean_km", F.lit(1e9)).alias("mean_km"), F.when(F.col("top") > 0, F.col("volume") / F.col("top")).otherwise(0.0).alias("volume_norm"), *BOX)
         self.now = table(rows.withColumn("gain", F.col("own")).withColumn("seen", F.lit(0).cast("long")).withColumn("seen_cells", F.lit(0).cast("long")), "coverage-now")
-        self.n = self.now.count()
+        self.n, self.most = self.now.agg(F.count("*"), F.coalesce(F.max("own"), F.lit(0))).first()
+        self.queue: list[dict] = []  # the best rows when they were last read, the next row's score, what was left then, and
+        self.last: float | None = None  # the picks since
+        self.remaining = self.since = 0
         self.chosen: list[tuple[int, dict]] = []
         self.boxes: list[tuple[int, int, int, int] | None] = []
         self.pending = 0  # the last so many of the chosen are not yet taken off the gains
@@ -181,7 +186,7 @@ class Selection:
         """Rows of some facilities; each id of a few is told to the scan, which skips pages without it."""
         if len(chosen) > 64:
             return F.col("facility_id").isin(chosen)
-        return reduce(Column.__or__, [F.col("facility_id") == f for f in chosen], F.lit(False))
+        return F.expr(" OR ".join(f"facility_id = {f}" for f in chosen) or "false")
 
     def covered(self) -> DataFrame:
         """(cell_id, pop) of the cells of the chosen facilities."""
@@ -198,13 +203,15 @@ class Selection:
         if not new:
             return None
         beside = [f for (f, _), box in zip(self.chosen[:at], self.boxes[:at], strict=True) if box and any(_meet(box, other) for _, other in new)]
-        fresh = self.pairs.where(self.of([f for f, _ in new])).select("cell_id").distinct()
+        small = self.cells <= BROADCAST_CELLS
+        fresh = self.pairs.where(self.of([f for f, _ in new])).select("cell_id")  # a cell may repeat, which a semi-join does not mind
         if beside:
-            fresh = fresh.join(self.pairs.where(self.of(beside)).select("cell_id"), "cell_id", "left_anti")
+            held = self.pairs.where(self.of(beside)).select("cell_id")
+            fresh = fresh.join(F.broadcast(held) if small else held, "cell_id", "left_anti")
         x0, x1, y0, y1 = (f(box[i] for _, box in new) for i, f in enumerate((min, max, min, max)))
         boxes = [box for _, box in new] if len(new) <= 4 else [(x0, x1, y0, y1)]
-        here = reduce(Column.__or__, [F.col("tile").between(a, b) for box in boxes for a, b in morton_ranges(*box)])
-        fresh = F.broadcast(fresh) if self.cells <= BROADCAST_CELLS else fresh
+        here = " OR ".join(f"tile BETWEEN {a} AND {b}" for box in boxes for a, b in morton_ranges(*box))
+        fresh = F.broadcast(fresh) if small else fresh
         return self.met.where(here).join(fresh, "cell_id", "left_semi").select("facility_id", "pop")
 
     def _changed(self) -> DataFrame:
@@ -213,11 +220,10 @@ class Selection:
         touched = self.touched()
         if touched is None:
             return rest
-        stands = [c for c in rest.columns if c != "facility_id"]
-        kinds = {f.name: f.dataType for f in rest.schema.fields}
-        change = {"gain": -F.col("pop"), "seen": F.col("pop"), "seen_cells": F.lit(1)}
-        touched = touched.select("facility_id", *[change.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in stands])
-        sums = rest.unionByName(touched).groupBy("facility_id").agg(*[(F.sum(c) if c in change else F.max(c)).alias(c) for c in stands])
+        stands = [(f.name, f.dataType.simpleString()) for f in rest.schema.fields if f.name != "facility_id"]
+        change = {"gain": "-pop", "seen": "pop", "seen_cells": "1"}
+        touched = touched.selectExpr("facility_id", *[f"CAST({change.get(c, 'NULL')} AS {kind}) AS {c}" for c, kind in stands])
+        sums = rest.union(touched).groupBy("facility_id").agg(*[F.expr(f"{'sum' if c in change else 'max'}({c}) AS {c}") for c, _ in stands])
         return sums.where("cells IS NOT NULL")  # chosen facilities have pairs there too, but no row
 
     def cluster_count(self) -> Column:
@@ -241,14 +247,88 @@ class Selection:
             found = self.now.agg(top).first()["best"]
         return found and found.asDict()
 
-    def row(self, facility_id: int) -> dict:
-        """The free facility's own row."""
-        return self.best({}, lambda _: F.lit(0.0), F.col("facility_id") == facility_id)
+    def seed(self, facility_ids: list[int]) -> None:
+        """Take these first, in order, with zero scores: one job for their rows and one for what they cover together."""
+        rows = {r.facility_id: r.asDict() for r in self.now.where(F.col("facility_id").isin(facility_ids)).collect()}  # a few dozen
+        for f in facility_ids:
+            self.take(rows[f])
+        self.covered_pop = self.covered().agg(F.coalesce(F.sum("pop"), F.lit(0))).first()[0] if facility_ids else 0
+
+    def next(self, mode: str, target: int) -> dict:
+        """The best row of a mode, the least id of equals, from a queue of stale upper bounds where that is proof enough.
+
+        The driver holds the QUEUE best rows of a job. Later their scores are taken again with the gains known then: gains
+        only fall, overlaps and clusters only fill, so these are upper bounds, and exact where no later pick has touched
+        the row's tiles. All others scored no more than the last row of that job, and what they can win since is a share
+        of the greatest gain in the remainder to the target, which has shrunk. A row that is exact and beats all bounds is
+        the best without a job; otherwise the queue is read anew.
+        """
+        remaining = target - self.covered_pop
+        if self.since and self.queue:
+            rated = [(score(self.parts(c, remaining, mode), mode, self.config), -c["facility_id"], c) for c in self.queue]
+            top, _, row = max(rated, key=lambda r: r[:2])
+            stale = row["cells"] and any(box and _meet(tuple(row[c] for c in BOX), box) for box in self.boxes[len(self.boxes) - self.since :])
+            if not stale and top > self._beyond(mode, remaining):
+                return row | self.parts(row, remaining, mode) | {"score": top}
+        self._read(mode, remaining)
+        row = self.queue[0]
+        return row | self.parts(row, remaining, mode)
+
+    def _beyond(self, mode: str, remaining: int) -> float:
+        """No row outside the queue can score more."""
+        if self.last is None:
+            return float("-inf")
+        weight = self.config.progress * self.config.modes[mode]["progress"]
+        more = min(self.most / remaining, 1.0) - (self.most / self.remaining if self.remaining > self.most else 0.0) if remaining > 0 else 0.0
+        return self.last + weight * max(more, 0.0) + 1e-9
+
+    def parts(self, row: dict, remaining: float, mode: str) -> dict[str, float]:
+        """``components`` of a row on the driver, by the same operations on doubles."""
+        n = self.clusters.get(row["cluster"], 0) if row["cluster"] >= 0 else None
+        seen = row["seen_cells"] if self.config.overlap_as_coded else row["seen"]
+        climate = 0.0 if n is None else 1.0 if n < self.config.min_per_cluster else 1.0 / (1.0 + n)
+        return {
+            "coverage_norm": row["gain"] / self.total,
+            "overlap_frac": seen / row["own"] if row["own"] else 0.0,
+            "climate_norm": climate if self.config.climate_on else 0.0,
+            "volume_norm": row["volume_norm"],
+            "progress_norm": min(row["gain"] / float(remaining), 1.0) if remaining > 0 else 0.0,
+            "distance_norm": min(row["mean_km"] / 100.0, 1.0) if mode == "distance" else 0.0,
+        }
+
+    def _read(self, mode: str, remaining: int) -> None:
+        """The QUEUE best rows by today's scores; after FOLD picks the changes are written into ``now`` first."""
+        if self.pending >= FOLD:
+            self.now, self.pending = table(self._changed(), "coverage-now"), 0
+        rows = self._changed() if self.pending else self.now
+        rows = rows.selectExpr("*", f"{self._score_sql(mode, float(remaining))} AS score").orderBy(F.desc_nulls_last("score"), "facility_id").limit(QUEUE + 1).collect()
+        weights = (self.config.coverage, self.config.overlap, self.config.climate, self.config.volume, self.config.progress, self.config.distance, *self.config.modes[mode].values())
+        keep = QUEUE if min(weights) >= 0 else 1  # with a negative weight what is stale is no bound
+        self.queue, self.last = [r.asDict() for r in rows[:keep]], rows[keep].score if len(rows) > keep else None
+        self.since, self.remaining = 0, remaining
+
+    def _score_sql(self, mode: str, remaining: float) -> str:
+        """``score`` of ``components`` as text, by the same operations on doubles: Spark parses it faster than it takes columns."""
+        c, m, real = self.config, self.config.modes[mode], lambda x: f"double('{x!r}')"
+        counts = "".join(f" WHEN {k} THEN {n}" for k, n in self.clusters.items())
+        n = f"CASE cluster{counts} ELSE 0 END" if counts else "0"
+        parts = {
+            "coverage": f"gain / {real(self.total)}",
+            "overlap": f"coalesce(try_divide(double({'seen_cells' if c.overlap_as_coded else 'seen'}), double(own)), 0D)",
+            "climate": f"CASE WHEN cluster < 0 THEN 0D WHEN {n} < {c.min_per_cluster} THEN 1D ELSE 1D / (1D + {n}) END" if c.climate_on else "0D",
+            "volume": "volume_norm",
+            "progress": f"least(gain / {real(remaining)}, 1D)" if remaining > 0 else "0D",
+            "distance": "least(mean_km / 100D, 1D)" if mode == "distance" else "0D",
+        }
+        weights = {"coverage": c.coverage * m["coverage"], "overlap": c.overlap * m["overlap"], "climate": c.climate, "volume": c.volume * m["volume"], "progress": c.progress * m["progress"], "distance": c.distance * m["distance"]}
+        a, b, d, e, f, g = (f"{real(float(weights[k]))} * ({parts[k]})" for k in parts)
+        return f"{a} - {b} + {d} + {e} + {f} - {g}"
 
     def take(self, row: dict, **record: float) -> None:
         self.chosen.append((row["facility_id"], record))
         self.boxes.append(tuple(row[c] for c in BOX) if row["cells"] else None)
-        self.pending += 1
+        self.pending, self.since = self.pending + 1, self.since + 1
+        self.queue = [c for c in self.queue if c["facility_id"] != row["facility_id"]]
         self.cells += row["cells"]
         self.covered_pop += row["gain"]
         if row["cluster"] >= 0:
@@ -269,20 +349,14 @@ def greedy(facilities: DataFrame, cells: DataFrame, mode: str, radius: str = "in
     total = int(cells.agg(F.sum("pop")).first()[0] or 0)
     s = Selection(facilities, cells, radius, total, config)
     target = int(total * config.progress_tau)
-    for f in seeds or []:
-        s.take(s.row(f))
+    s.seed(seeds or [])
     while len(s.chosen) < s.n and total:
         pct = 100.0 * s.covered_pop / total
         if mode == "fewest" and pct >= config.fewest_pct and len(s.chosen) >= config.min_areas:
             break
         if mode != "fewest" and (len(s.chosen) >= config.max_areas or pct >= config.other_pct):
             break
-        known = F.when(F.col("cluster") >= 0, s.cluster_count())
-        seen = F.col("seen_cells") if config.overlap_as_coded else F.col("seen")
-        parts = components(F.col("gain"), seen, F.col("own"), known, F.col("volume_norm"), F.col("mean_km"), s.total, float(target - s.covered_pop), config)
-        if mode != "distance":
-            parts["distance_norm"] = F.lit(0.0)
-        best = s.best(parts, lambda p: score(p, mode, config))
+        best = s.next(mode, target)
         s.take(best, score=best["score"], **{p: best[p] for p in PARTS})
     return s.frame(cells.sparkSession), s.covered_pop, total
 

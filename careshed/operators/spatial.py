@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careshed.core.work import broadcast_if_small, in_arrow, running_total, table
+from careshed.core.work import BROADCAST_ROWS, broadcast_if_small, in_arrow, running_total, table
 from careshed.functions.geo import KM_LAT, KM_LON, haversine_km, in_ring, morton
 
 #: Touched cells of a polygon's cover, levels below its first, the finest level (40 m), degrees that an edge may be off,
@@ -19,10 +19,9 @@ from careshed.functions.geo import KM_LAT, KM_LON, haversine_km, in_ring, morton
 COVER_CELLS, COVER_DEPTH, COVER_LEVELS, TOUCH, COVER_CORNERS = 256, 7, 20, 1e-9, 1_000_000
 
 
-def _buckets(centres: DataFrame, radius_km: float) -> tuple[int, float]:
-    """Buckets around the globe and a bucket's height in degrees: a circle around any centre reaches one bucket further
-    at most. Near a pole one bucket holds all longitudes."""
-    top = centres.agg(F.max(F.abs("c_lat"))).first()[0] or 0.0
+def _buckets(top: float, radius_km: float) -> tuple[int, float]:
+    """Buckets around the globe and a bucket's height in degrees, for centres up to a latitude: a circle around any centre
+    reaches one bucket further at most. Near a pole one bucket holds all longitudes."""
     cos = math.cos(math.radians(min(90.0, top + radius_km / KM_LAT)))
     width = 1.01 * radius_km / (KM_LON * cos) if cos > 0.01 else 360.0
     around = int(360.0 / max(width, 1e-4))
@@ -38,16 +37,19 @@ def range_join(points: DataFrame, centres: DataFrame, radius_km: float | str, ho
     Buckets meet at 180 degrees. Centres' own radii are joined by classes of four times the size, so that one large
     radius does not set the buckets of all.
     """
+    top = F.coalesce(F.max(F.abs("c_lat")), F.lit(0.0)).alias("top")
     if not isinstance(radius_km, str):
-        return _within(points, centres, F.lit(float(radius_km)), float(radius_km))
+        r = centres.agg(F.count("*").alias("n"), top).first()
+        return _within(points, centres, F.lit(float(radius_km)), float(radius_km), r.n, r.top)
     size = F.ceil(F.log(4.0, F.greatest(F.col(radius_km), F.lit(0.01)) / 30.0)).cast("int")
-    classes = centres.groupBy(size.alias("k")).agg(F.max(radius_km).alias("reach")).where("k IS NOT NULL").orderBy("k").collect()  # a dozen from 10 m to the globe
-    joined = [_within(points, centres.where(size == r.k), F.col(radius_km), max(float(r.reach), 0.01)) for r in classes]
-    return reduce(DataFrame.unionByName, joined or [_within(points, centres, F.col(radius_km), 1.0)])
+    classes = centres.groupBy(size.alias("k")).agg(F.max(radius_km).alias("reach"), F.count("*").alias("n"), top).where("k IS NOT NULL").orderBy("k").collect()  # a dozen from 10 m to the globe
+    joined = [_within(points, centres.where(size == r.k) if len(classes) > 1 else centres.where(F.col(radius_km).isNotNull()), F.col(radius_km), max(float(r.reach), 0.01), r.n, r.top) for r in classes]
+    return reduce(DataFrame.unionByName, joined or [_within(points, centres, F.col(radius_km), 1.0, 0, 0.0)])
 
 
-def _within(points: DataFrame, centres: DataFrame, radius: Column, reach: float) -> DataFrame:
-    around, high = _buckets(centres, reach)
+def _within(points: DataFrame, centres: DataFrame, radius: Column, reach: float, n: int, top: float) -> DataFrame:
+    """The pairs of ``points`` and ``n`` centres up to a latitude ``top``; up to BROADCAST_ROWS centres are broadcast."""
+    around, high = _buckets(top, reach)
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
 
     def column(lon: Column) -> Column:
@@ -57,7 +59,7 @@ def _within(points: DataFrame, centres: DataFrame, radius: Column, reach: float)
     beside = F.array_distinct(F.transform(near, lambda d: F.pmod(x + d, F.lit(around))))
     copies = centres.withColumn("__bx", F.explode(beside)).withColumn("__by", F.explode(F.transform(near, lambda d: y + d)))
     placed = points.withColumn("__bx", F.pmod(column(F.col("lon")), F.lit(around))).withColumn("__by", F.floor(F.col("lat") / high))
-    met = placed.join(broadcast_if_small(copies, 9 * 2_000), ["__bx", "__by"]).drop("__bx", "__by")
+    met = placed.join(F.broadcast(copies) if n <= BROADCAST_ROWS else copies, ["__bx", "__by"]).drop("__bx", "__by")
     met = met.withColumn("dist_km", haversine_km(F.col("c_lon"), F.col("c_lat"), F.col("lon"), F.col("lat")))
     return met.where(F.col("dist_km") <= radius)
 

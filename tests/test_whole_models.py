@@ -6,22 +6,16 @@ import numpy as np
 from pyspark.ml.functions import vector_to_array
 
 from careshed.queries import models as qm
+from careshed.queries import registry
 from careshed.queries import spatial as qs
 
 
-def test_trees_boards_and_ablation_run_whole(monkeypatch):
+def test_trees_and_ablation_run_whole(monkeypatch):
     calls = {}
     monkeypatch.setattr(qm, "_fit", lambda v, fit: fit)
     assert (qm.m5(None), qm.m6(None), qm.m7(None)) == (qm.m.forest, qm.m.boosted, qm.m.boosted_sampled)
-    monkeypatch.setattr(qm, "_panel", lambda v: None)
-    monkeypatch.setattr(qm, "compare_models", lambda *a, **k: calls.update(compare=(len(a), k)))
-    monkeypatch.setattr(qm.m, "leaderboard", lambda board, k=25: calls.update(top=k))
-    qm.m9(None)
-    assert calls["compare"] == (5, {})  # no choice of models or feature sets
-    qm.t4(None)
-    assert calls["compare"] == (5, {}) and calls["top"] == 10
     monkeypatch.setattr(qs.cv, "climate_ablation", lambda facility, cell, mode, config=qs.cv.CoverageConfig(): calls.update(areas=config.max_areas))
-    qs.o14(SimpleNamespace(facility=None, cell=None))
+    qs.o14(SimpleNamespace(stored_facility=None, cell=None))
     assert calls["areas"] == 22
 
 
@@ -38,3 +32,28 @@ def test_kmeans_restarts_on_standardised_vectors(spark, monkeypatch):
     assert qm.m11(SimpleNamespace(base=lambda name: base)).count() == 30
     assert (seen["restarts"], seen["k"]) == (20, 8)
     assert np.allclose(seen["x"].mean(axis=0), 0) and np.allclose(seen["x"].std(axis=0, ddof=1), 1)
+
+
+def test_board_best_models_and_ablation_run_unmocked(spark):
+    """The registered queries themselves, with all fits, rounds and areas."""
+    sf = "/root/testdata/sf0.001"
+    queries = registry.queries()
+    board = queries["m9_leaderboard"](spark, sf).collect()
+    assert len({(r.feature_set, r.model) for r in board}) == len(board) == 25
+    assert all(r.rmse > 0 and r.test_rmse > 0 for r in board)
+    order = [r.r2 for r in board]
+    assert order == sorted(order, reverse=True)
+    best = queries["t4_best_models"](spark, sf).collect()
+    assert [(r.feature_set, r.model) for r in best] == [(r.feature_set, r.model) for r in board[:10]]
+    assert {r.climate_on for r in queries["o14_climate_ablation"](spark, sf).collect()} == {True, False}
+
+
+def test_fits_side_by_side_equal_fits_in_turn(spark):
+    rows = [(float(i % 7), float(i % 11), float(3 * (i % 7) - (i % 11) + i % 3), ("train", "val", "test")[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, split string")
+    few = {"ridge": qm.m.ridge, "boost": lambda train, val: qm.m.boosted(train, val, 5)}
+    got = {(r.feature_set, r.model): r.rmse for r in qm.m.compare(df, {"a": ["a"], "ab": ["a", "b"]}, "y", few).collect()}
+    for name, features in (("a", ["a"]), ("ab", ["a", "b"])):
+        parts = [qm.m.assembled(qm.ft.standardise(df.where("split = 'train'"), df.where(f"split = '{s}'"), features), features, "y").select("features", "label").coalesce(1) for s in ("train", "val")]
+        for model, fit in few.items():
+            assert np.isclose(got[name, model], fit(*parts).metrics["rmse"])
