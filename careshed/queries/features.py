@@ -156,8 +156,32 @@ def s15(v):
     return doc.select("d.*")
 
 
-@query("m13_modelling_table")
-def m13(v):
+#: The candidate features of the modelling table, in its order of columns.
+CANDIDATES = ["p_total", "p_mean", "wetday_frac", "t_max", "t_mean", "p_max", "flat", "temp_x_rain", "extreme_heat", "heavy_rain", "rain_4w", "dry_heat"]
+LONG = H | {
+    "mt_wide": "SELECT *, t_mean * p_total AS temp_x_rain, CAST(t_max > 35 AS INT) AS extreme_heat, CAST(p_total > 10 AS INT) AS heavy_rain, CASE WHEN count(p_total) OVER w = 4 THEN sum(p_total) OVER w END AS rain_4w, CASE WHEN t_max > 35 THEN 1 - wetday_frac ELSE 0 END AS dry_heat FROM sp WINDOW w AS (PARTITION BY hsa_id ORDER BY week_start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",
+    "mt_long": "SELECT hsa_id, week_start, cases, split, f.feature AS feature, f.ord AS ord, f.value AS value FROM (SELECT hsa_id, week_start, cases, split, unnest([" + ", ".join(f"struct_pack(feature := '{c}', ord := {i}, value := CAST({c} AS DOUBLE))" for i, c in enumerate(CANDIDATES)) + "]) AS f FROM mt_wide) q",
+    "mt_rank": "SELECT feature, row_number() OVER (ORDER BY abs(r) DESC, ord) AS place FROM (SELECT feature, any_value(ord) AS ord, CASE WHEN min(value) < max(value) AND min(cases) < max(cases) THEN corr(value, CAST(cases AS DOUBLE)) END AS r FROM mt_long WHERE value IS NOT NULL GROUP BY feature) q WHERE r IS NOT NULL",
+    "mt_near": "SELECT DISTINCT b FROM (SELECT ka.feature AS a, kb.feature AS b, CASE WHEN min(la.value) < max(la.value) AND min(lb.value) < max(lb.value) THEN corr(la.value, lb.value) END AS r FROM mt_rank ka JOIN mt_rank kb ON ka.place < kb.place JOIN mt_long la ON la.feature = ka.feature JOIN mt_long lb ON lb.feature = kb.feature AND lb.hsa_id = la.hsa_id AND lb.week_start = la.week_start WHERE la.value IS NOT NULL AND lb.value IS NOT NULL GROUP BY ka.feature, kb.feature) q WHERE abs(r) > 0.95",
+}
+
+
+def _modelling(v):
     counts = v.panel.select("hsa_id", "week_start", "cases")
     families = [v.panel.select("hsa_id", "week_start", *cols) for cols in (("p_total", "p_mean", "wetday_frac"), ("t_max", "t_mean"), ("p_max", "flat"))]
     return modelling_table(families, counts, "hsa_id", "week_start", "cases", train_to=200, val_to=260)
+
+
+@query("m13_modelling_table")
+def m13(v):
+    """Its feature columns are chosen by the data, which SQL cannot name: see m13_selected_values."""
+    return _modelling(v)
+
+
+@query("m13_selected_values", "SELECT m.hsa_id, m.week_start, m.cases, m.split, m.feature, round(m.value, 6) AS value FROM mt_long m JOIN mt_rank r ON r.feature = m.feature WHERE m.feature NOT IN (SELECT b FROM mt_near)", LONG)
+def m13_values(v):
+    """The modelling table with a row for each week and selected feature."""
+    rows = _modelling(v)
+    names = [c for c in CANDIDATES if c in rows.columns]
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names])).alias("f")
+    return rows.select("hsa_id", "week_start", "cases", "split", values).select("hsa_id", "week_start", "cases", "split", "f.feature", "f.value")
