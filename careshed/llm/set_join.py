@@ -36,8 +36,9 @@ CELLS, SLICES = 1 << 20, 16
 LANES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Entries of a list that one task holds; a longer list is dealt as pairs of blocks.
 LIST = 1 << 16
-#: Followers on each side that one task compares, delta shingles of one matrix product, and parts of a centre's members.
-BLOCK, COLUMNS, PARTS = 256, 4096, 64
+#: Followers on each side that one task compares, delta shingles of one matrix product, members of a centre that meet one
+#: copy of its set, and bytes of sets that are sent at a time.
+BLOCK, COLUMNS, MEMBERS, SENT = 256, 4096, 512, 8 << 20
 #: Ids that may be broadcast (at most 32 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rounding of distances that are compared as doubles; bounds are loosened by it.
@@ -112,18 +113,44 @@ def _prefixes(docs: DataFrame, weights: np.ndarray, k: int, percent: int) -> Dat
     return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, "doc_id long, n long, prefix array<long>, crowded array<long>")
 
 
+def _dealt(rows: DataFrame, by: str, name: str, most: int) -> DataFrame:
+    """``rows`` with a number in ``name`` so that at most some ``most`` rows share ``by`` and the number."""
+    crowded = table(rows.groupBy(by).agg(F.count("*").alias("__n")).where(F.col("__n") > most), "join-dealt")
+    rows = rows.join(checked_broadcast(crowded, crowded.count(), BROADCAST_IDS), by, "left")
+    other = [c for c in rows.columns if c not in (by, "__n")]
+    return rows.withColumn(name, F.pmod(F.xxhash64(*other), F.coalesce(F.ceil(F.col("__n") / most), F.lit(1))).cast("int")).drop("__n")
+
+
 def _overlaps(docs: DataFrame, pairs: DataFrame, k: int, percent: int, delta: bool) -> DataFrame:
     """The pairs (a, b) with n_a, n_b and shared, counted on the full sets.
 
-    With ``delta`` only pairs that are similar enough, with what b adds to a and what it lacks of a. The members b of a
-    centre a are dealt to PARTS parts, in which a task holds the centre's set while the members stream by.
+    With ``delta`` only pairs that are similar enough, with what b adds to a and what it lacks of a. A document's set goes
+    once to each centre a that it is held against, and a centre's once to each part of MEMBERS members, which stream by.
     """
-    sets = minhash._picked(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), k)
-    members = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int").alias("part"), F.col("b").alias("doc_id"))
-    centres = members.select("a", "part").distinct().withColumn("doc_id", F.col("a"))
-    sent = members.unionByName(centres).join(sets, "doc_id").withColumn("member", F.col("a") != F.col("doc_id"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = sent.repartition(n, "a", "part").sortWithinPartitions("a", "part", "member").select("a", "part", "doc_id", "member", "shingles")
+    members = _dealt(pairs.select("a", "b"), "a", "part", MEMBERS).select(F.col("b").alias("id"), "a", "part", F.lit(True).alias("member"))
+    centres = members.select("a", "part").distinct().select(F.col("a").alias("id"), "a", "part", F.lit(False).alias("member"))
+    roles = table(_dealt(members.unionByName(centres), "id", "chunk", MEMBERS), "join-roles")
+    n = roles.count()
+    roles = roles.groupBy("id", "chunk").agg(F.collect_list(F.struct("a", "part", "member")).alias("roles")).drop("chunk")  # some MEMBERS at most
+    wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(checked_broadcast(roles, n, BROADCAST_IDS), F.col("doc_id") == F.col("id"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (("a", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("member", pa.bool_()), ("shingles", pa.binary()))
+        for batch in batches:
+            out: list[tuple] = []
+            size = 0
+            for doc, roles, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), row_shingles(batch.column(1), k), strict=True):
+                data = s.tobytes()
+                for role in roles:
+                    out.append((role["a"], role["part"], doc, role["member"], data))
+                    size += len(data)
+                    if size > SENT:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+                        out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+    sent = in_arrow(wanted.select("doc_id", "text", "roles"), send, "a long, part int, doc_id long, member boolean, shingles binary")
+    sent = sent.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "part").sortWithinPartitions("a", "part", "member").select("a", "part", "doc_id", "member", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centre = None, []
@@ -315,7 +342,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     classes = table(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), *[F.max(x).alias(x) for x in lanes]), "join-classes")
     keyed = table(classes.select("id", F.explode(F.array(*lanes)).alias("key")), "join-keys")
     shared = table(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1"), "join-buckets")
-    stars = join_hot(keyed, shared, "key", "size", keyed.count()).where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    met = join_hot(keyed, shared, "key", "size", keyed.count()).where("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("times"))
+    stars = met.groupBy("id").agg(F.max_by("centre", F.struct("times", -F.col("centre"))).alias("a")).select("a", F.col("id").alias("b"))  # the centre most hashes agree on
 
     links = table(_overlaps(docs, table(stars, "join-stars"), k, percent, True).withColumn("d", 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))), "join-links")
     pairs = links.select("a", "b")
@@ -324,9 +352,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     led = table(led, "join-led")
     first = components(pairs)
 
-    in_classes = _prefixes(docs, weights, k, percent).where("n > 0").join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    in_classes = in_classes.withColumnRenamed("doc_id", "id").join(led.select(F.col("b").alias("id"), "leader"), "id", "left").join(first, "id", "left")
-    in_classes = table(in_classes.withColumn("component", F.coalesce("component", "id")), "join-prefixes")
+    known = classes.select("id").distinct().join(led.select(F.col("b").alias("id"), "leader"), "id", "left").join(first, "id", "left")
+    known = table(known.select("id", "leader", F.coalesce("component", "id").alias("component")), "join-known")
+    in_classes = _prefixes(docs, weights, k, percent).where("n > 0").withColumnRenamed("doc_id", "id")
+    in_classes = table(in_classes.join(checked_broadcast(known, known.count(), BROADCAST_IDS), "id"), "join-prefixes")
     groups = table(led.groupBy("leader").agg(F.count("*").alias("times")), "join-groups")
     own = in_classes.where("leader IS NULL").select(F.posexplode("prefix").alias("at", "token"), F.col("id").alias("rep"), "component", F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - F.col("at")).alias("rest")).drop("at")
     lead = in_classes.join(groups.select(F.col("leader").alias("id")), "id", "left_semi").select(F.col("id").alias("leader"), F.col("prefix").alias("lead"))
@@ -345,8 +374,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     found = table(_candidates(entries, percent), "join-candidates")
     counted = table(_overlaps(docs, found, k, percent, False).drop("added", "removed"), "join-overlaps")
     linked = 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    known = pairs.unionByName(counted.where(linked).select("a", "b"))
-    both = components(known) if not counted.where(linked).isEmpty() else first
+    proven = pairs.unionByName(counted.where(linked).select("a", "b"))
+    both = components(proven) if not counted.where(linked).isEmpty() else first
 
     reach = table(led.join(links.select(F.col("a").alias("leader"), "b", "d"), ["leader", "b"]).groupBy("leader").agg(F.max("d").alias("r")), "join-reach")
     open_pairs = counted.where(~linked).withColumn("d", 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b", "d")
@@ -358,7 +387,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     if not open_pairs.isEmpty():
         deltas = led.join(links.withColumnRenamed("a", "leader"), ["leader", "b"]).select("leader", "b", "d", "added", "removed")
         more = table(_derived(docs, open_pairs, deltas, k, percent), "join-derived")
-        both = components(known.unionByName(more)) if not more.isEmpty() else both
+        both = components(proven.unionByName(more)) if not more.isEmpty() else both
 
     component = F.coalesce("component", "id").alias("component_id")
     named = table(classes.join(both, "id", "left").select("set_id", "copies", component), "join-components")
