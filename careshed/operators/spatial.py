@@ -183,6 +183,71 @@ def within_regions(points: DataFrame, regions: DataFrame, key: str, name: str =
     return points.join(found, key, "left")
 
 
+def clip_ring(subject: np.ndarray, convex: np.ndarray) -> np.ndarray:
+    """The part of a ring, concave or not, inside a convex ring: cut at the line of each of its edges in turn. Parts that
+    come apart stay joined along the edges, where the ring runs there and back, so its area is right."""
+    if not len(subject) or len(convex) < 3:
+        return np.zeros((0, 2))
+    convex = convex if _area(convex) >= 0 else convex[::-1]
+    for a, b in zip(convex, np.roll(convex, -1, axis=0), strict=True):
+        d = b - a
+        if not len(subject) or not d.any():
+            continue
+        after = np.roll(subject, -1, axis=0)
+        side = d[0] * (subject[:, 1] - a[1]) - d[1] * (subject[:, 0] - a[0])
+        beyond = np.roll(side, -1)
+        inside, crosses = side >= 0, (side >= 0) != (beyond >= 0)
+        with np.errstate(all="ignore"):
+            cut = subject + (after - subject) * (side / (side - beyond))[:, None]
+        out = np.stack((subject, cut), axis=1).reshape(-1, 2)
+        subject = out[np.stack((inside, crosses), axis=1).reshape(-1)]
+    return subject
+
+
+def _area(ring: np.ndarray) -> float:
+    """Signed, in square units; positive if the ring turns left."""
+    x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
+    return float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
+
+
+def clip_outlines(areas: DataFrame, country: DataFrame, key: str = "facility_id", outline: str = "outline") -> DataFrame:
+    """(key, part, ring, holes, km2) of each convex ``outline`` inside each part (ring, holes) of a country.
+
+    Outlines and parts that share a degree of the grid meet by an equi-join, so a far-off part costs nothing. Areas that no
+    part meets have no row. km2 is the ring's area less the holes', on the plane that touches at the outline.
+    """
+    ends = lambda ring: [f(F.transform(ring, lambda p: p[c])).alias(f"{c}_{i}") for c in ("lon", "lat") for i, f in enumerate((F.array_min, F.array_max))]
+    whole = lambda c: F.explode(F.sequence(F.floor(f"{c}_0"), F.floor(f"{c}_1")))
+    holes = "holes" if "holes" in country.columns else F.array().cast("array<array<struct<lon:double,lat:double>>>").alias("holes")
+    parts = table(country.where(F.size("ring") > 2).select(F.monotonically_increasing_id().alias("part"), "ring", holes), "country-parts")
+    near = lambda df, ring, *keep: df.select(*keep, *ends(ring)).withColumn("x", whole("lon")).withColumn("y", whole("lat")).select(*keep, "x", "y")
+    met = near(areas, outline, key, outline).join(near(parts, "ring", "part"), ["x", "y"]).select(key, outline, "part").dropDuplicates([key, "part"])
+    corners = parts.agg(F.sum(F.size("ring") + F.coalesce(F.aggregate(F.transform("holes", F.size), F.lit(0), lambda a, b: a + b), F.lit(0)))).first()[0] or 0
+    met = met.join(F.broadcast(parts) if corners <= COVER_CORNERS else parts, "part").select(key, "part", outline, "ring", "holes")
+    point = "array<struct<lon:double,lat:double>>"
+
+    def clip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = lambda ring: np.array([(p["lon"], p["lat"]) for p in ring or ()], float).reshape(-1, 2)
+        for batch in batches:
+            out, at = [], []
+            for r, (own, ring, inner) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                own = points(own)
+                own = own[:-1] if len(own) > 1 and (own[0] == own[-1]).all() else own
+                clipped = clip_ring(points(ring), own)
+                if len(clipped) < 3:
+                    continue
+                cut = [c for c in (clip_ring(points(h), own) for h in inner or ()) if len(c) > 2]
+                scale = KM_LON * math.cos(math.radians(own[:, 1].mean())) * KM_LAT
+                km2 = scale * (abs(_area(clipped)) - sum(abs(_area(c)) for c in cut))
+                shown = lambda ring: [{"lon": x, "lat": y} for x, y in ring.tolist()]
+                out.append((shown(clipped), [shown(c) for c in cut], km2)), at.append(r)
+            kind = pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))
+            own = [batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array([o[i] for o in out], t) for i, t in enumerate((kind, pa.list_(kind), pa.float64()))]], names=[key, "part", "ring", "holes", "km2"])
+
+    return in_arrow(met, clip, f"{key} {areas.schema[key].dataType.simpleString()}, part long, ring {point}, holes array<{point}>, km2 double")
+
+
 def nearest_neighbours(points: DataFrame, key: str, start_km: float | None = None) -> DataFrame:
     """(key, nn_km): the distance from each point to the nearest other one; a point alone has no row.
 

@@ -405,6 +405,13 @@ def o15(v):
     return areas.select("facility_id", F.array_min(lon).alias("west"), F.array_max(lon).alias("east"), F.array_min(lat).alias("south"), F.array_max(lat).alias("north")).join(cells, "facility_id", "left")
 
 
+@query("o15_clipped_area")
+def o15_clipped(v):
+    """Each area's outline inside the country, here the union of its regions: square kilometres, and parts it lies in."""
+    inside = sp.clip_outlines(cv.outlines(_anchors(v)).select("facility_id", "outline"), _regions(v))
+    return inside.where("km2 > 0").groupBy("facility_id").agg(F.sum("km2").alias("km2"), F.count("*").alias("n_parts"))
+
+
 @query("o16_optimize_summary", _summary_sql("distance"), raw=True)
 def o16(v):
     return cv.optimize(v.stored_facility, v.cell, "distance").summary_df()

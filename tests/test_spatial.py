@@ -289,3 +289,36 @@ def test_many_polygons_need_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     for r in found.collect():
         assert r.region == f"r{int(r.lat / 0.1 + 1e-9) * side + int(r.lon / 0.1 + 1e-9)}"
+
+
+def test_outlines_clipped_to_a_concave_country_with_holes(spark):
+    rng = random.Random(41)
+    ring = star(rng, 10, 50, 3, 30)
+    hole = [(9.8, 49.9), (10.2, 49.9), (10.2, 50.2), (9.8, 50.2)]
+    island = [(14.0, 50.0), (15.0, 50.0), (14.5, 51.0)]
+    areas = [(i, rng.uniform(7, 15), rng.uniform(47, 53), rng.uniform(30, 150)) for i in range(12)] + [(99, 60.0, 0.0, 50.0)]
+    at = "array<struct<lon double, lat double>>"
+    country = spark.createDataFrame([(ring, [hole]), (island, []), ([], [])], f"ring {at}, holes array<{at}>")
+    a = spark.createDataFrame(areas, "facility_id long, lon double, lat double, service_radius_km double")
+    outlines = cv.outlines(a)
+    got = {}
+    for r in sp.clip_outlines(outlines, country).collect():
+        got[r.facility_id] = got.get(r.facility_id, 0) + r.km2
+    for r in outlines.collect():
+        corners = [(p.lon, p.lat) for p in r.outline[:-1]]
+        west, east, south, north = (f(c[i] for c in corners) for i in (0, 1) for f in (min, max))
+        n, hits = 250, 0
+        for i in range(n):  # count the cells of a fine grid that lie in the outline and in the country
+            for j in range(n):
+                x, y = west + (i + 0.5) * (east - west) / n, south + (j + 0.5) * (north - south) / n
+                hits += in_polygon(x, y, corners) and (in_polygon(x, y, ring) and not in_polygon(x, y, hole) or in_polygon(x, y, island))
+        scale = 111.32 * math.cos(math.radians(sum(c[1] for c in corners) / len(corners))) * 110.574
+        want = hits * (east - west) * (north - south) / n**2 * scale
+        assert got.get(r.facility_id, 0) == pytest.approx(want, rel=0.03, abs=0.004 * (east - west) * (north - south) * scale)
+
+
+def test_overlap_removal_by_table_equals_the_drivers(frames, monkeypatch):
+    pairs = sp.coverage_pairs(*frames, 40.0)
+    few = sorted(r.facility_id for r in cv.remove_overlapping(frames[0], pairs, 0.5).collect())
+    monkeypatch.setattr(cv, "PATTERNS", 0)
+    assert sorted(r.facility_id for r in cv.remove_overlapping(frames[0], pairs, 0.5).collect()) == few
