@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,11 +17,13 @@ from careshed.core.work import table
 #: ASCII white space, as a Java character class: blank, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = "[\\x20\\x09-\\x0D]"
 
-__all__ = ["ASCII_SPACE", "checked_broadcast", "in_arrow", "in_fold", "join_hot", "table", "text_of", "with_row_ids", "without"]
+__all__ = ["ASCII_SPACE", "checked_broadcast", "free_name", "in_arrow", "in_fold", "join_hot", "table", "text_of", "with_row_ids", "without"]
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A key is hot if it holds more than one in so many of the rows, so there are at most so many hot keys.
 HOT = 256
+#: The greatest long.
+LAST = (1 << 63) - 1
 
 
 def checked_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -46,29 +49,48 @@ def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", limit: int
     return docs.join(checked_broadcast(ids, ids.count(), limit), key, "left_anti").select(docs.columns)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores after it as it takes to clash with no column, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a column of whole numbers that differ on all rows, and its name.
 
     It is the doc_id wherever that is a whole number of one row alone. Rows without an id, and those after the first
-    with an id, get numbers above all ids. Such rows are written once, so that their numbers stay; usually there are none.
+    with an id, get numbers above all ids, or where ids reach up to the end of long, numbers from a range that holds no
+    id. Such rows are written once, so that their numbers stay; usually there are none.
     """
-    name = "__row"
-    while name in docs.columns:
-        name += "_"
+    name, odd_id, own_id, first_row = (free_name(n, docs.columns) for n in ("__row", "__odd", "__own", "__first"))
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         return table(docs.withColumn(name, F.monotonically_increasing_id()), "row-ids"), name
-    odd = table(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__odd")), "row-ids-odd")
+    key = docs["doc_id"].cast("long")
+    odd = table(docs.groupBy(key.alias(odd_id)).agg(F.count("*").alias("n")).where(f"n > 1 OR {odd_id} IS NULL").select(odd_id), "row-ids-odd")
     n = odd.count()
     if not n:
-        return docs.withColumn(name, F.col("doc_id").cast("long")), name
+        return docs.withColumn(name, key), name
     odd = checked_broadcast(odd, n, 1_000_000)
-    own = docs["doc_id"].eqNullSafe(odd["__odd"])
-    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
-    rows = table(docs.join(odd, own, "left_semi").withColumn(name, F.monotonically_increasing_id()), "row-ids")
-    first = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min(name).alias("__first"))
-    rows = rows.join(first, (F.col("doc_id") == F.col("__id")) & (F.col(name) == F.col("__first")), "left")
-    rows = rows.withColumn(name, F.coalesce(F.col("__id").cast("long"), F.col(name) + F.lit(int(top) + 1))).drop("__id", "__first")
-    return docs.join(odd, own, "left_anti").withColumn(name, F.col("doc_id").cast("long")).unionByName(rows), name
+    rows = table(docs.join(odd, key.eqNullSafe(odd[odd_id]), "left_semi").withColumn(name, F.monotonically_increasing_id()), "row-ids")
+    first = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias(own_id)).agg(F.min(name).alias(first_row))
+    rows = rows.join(first, (F.col("doc_id").cast("long") == F.col(own_id)) & (F.col(name) == F.col(first_row)), "left")
+    base = _free_range(docs.select(key.alias("id")), rows.agg(F.max(name)).first()[0] + 1)
+    rows = rows.withColumn(name, F.coalesce(own_id, F.col(name) + F.lit(base))).drop(own_id, first_row)
+    return docs.join(odd, key.eqNullSafe(odd[odd_id]), "left_anti").withColumn(name, key).unionByName(rows), name
+
+
+def _free_range(ids: DataFrame, length: int) -> int:
+    """The start of so many longs in a row that are no ids: above all ids, or at some place where there is room."""
+    top = ids.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    if top < LAST - length:
+        return top + 1
+    draw = random.Random(length)
+    while True:  # ids fill a small share of all longs, so the first draws find room
+        base = draw.randrange(-LAST, LAST - length)
+        if ids.where(F.col("id").between(base, base + length - 1)).isEmpty():
+            return base
 
 
 def text_of(column: str = "text") -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careshed.llm.common import checked_broadcast, join_hot, table, text_of
+from careshed.llm.common import checked_broadcast, free_name, join_hot, table, text_of
 
 #: The edit bound is none for lines of fewer words, and one word for longer ones.
 MIN_WORDS = 6
@@ -173,9 +173,10 @@ def line_counts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def drop_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its superfluous lines taken out of ``text``; rows without an id stay as they are."""
-    gone = line_duplicates(docs, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
-    return docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("__gone")
+    name = free_name("__gone", docs.columns)
+    gone = line_duplicates(docs, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias(name))
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(name, i))
+    return docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop(name)
 
 
 def sql(min_words: int = MIN_WORDS) -> str:

@@ -253,3 +253,22 @@ def test_pipeline_stages_work_on_repeated_and_missing_ids(spark):
     assert [r.doc_id for r in near.where("text LIKE 'w0 %'").collect()] == [4]
     clean = corpus_pipeline.decontaminate(spark, near, folder)
     assert {r.text for r in clean.where("doc_id = 3 OR doc_id IS NULL").collect()} == {"same  text", "clean"} | ({None} if clean.where("text IS NULL").count() else set())
+
+
+def test_row_ids_at_the_ends_of_long_and_with_clashing_names(spark):
+    from careshed.llm.common import with_row_ids
+
+    last = 2**63 - 1
+    for ids in ([last - 1, last - 1, 5, None], [last, -last - 1, last, None, None, 7, -last - 1]):
+        rows = [(i, f"t{n}", n, "x", 1, 2, 3) for n, i in enumerate(ids)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, __id int, __odd string, __first int, __ROW int, __own int")
+        out, key = with_row_ids(docs)
+        got = out.collect()
+        assert out.columns == [*docs.columns, key] and key not in docs.columns
+        assert len({r[key] for r in got}) == len(ids) and {r[key] for r in got} >= {i for i in ids if i is not None}
+        assert sorted((str(r.doc_id), r.text, r["__id"]) for r in got) == sorted((str(i), f"t{n}", n) for n, i in enumerate(ids))
+
+
+def test_dropping_lines_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one line of some words here\nother", "a"), (2, "one line of some words here", "b")], "doc_id long, text string, __gone string")
+    assert sorted((r.doc_id, r.text, r["__gone"]) for r in drop_duplicate_lines(docs).collect()) == [(1, "one line of some words here\nother", "a"), (2, "", "b")]
