@@ -164,7 +164,9 @@ def within_regions(points: DataFrame, regions: DataFrame, key: str, name: str =
     """
     holes = ["holes"] if "holes" in regions.columns else []
     parts = table(regions.select(F.monotonically_increasing_id().alias("part"), F.col("name").alias("__name"), "ring", *holes), "region-parts")
-    cells = table(region_cover(parts), "region-cells")
+    size = F.size("ring") + (F.coalesce(F.aggregate(F.transform("holes", F.size), F.lit(0), lambda a, b: a + b), F.lit(0)) if holes else F.lit(0))
+    corners = parts.agg(F.sum(size)).first()[0] or 0
+    cells = table(region_cover(parts.coalesce(max(1, -(-corners // 20_000)))), "region-cells")  # a few polygons are one task
     levels = [r.level for r in cells.select("level").distinct().orderBy("level").collect()]  # COVER_LEVELS + 1 numbers at most
     if not levels:
         return points.withColumn(name, F.lit(None).cast(regions.schema["name"].dataType))
@@ -174,8 +176,7 @@ def within_regions(points: DataFrame, regions: DataFrame, key: str, name: str =
     met = placed.join(broadcast_if_small(cells, 200_000), ["level", "x", "y"]).select(key, "lon", "lat", "part", "inner")  # 8 MB of cells
     names = parts.select("part", "__name")
     sure = met.where("inner").join(broadcast_if_small(names), "part").select(key, "__name")
-    corners = F.size("ring") + (F.coalesce(F.aggregate(F.transform("holes", F.size), F.lit(0), lambda a, b: a + b), F.lit(0)) if holes else F.lit(0))
-    shapes = F.broadcast(parts) if (parts.agg(F.sum(corners)).first()[0] or 0) <= COVER_CORNERS else parts
+    shapes = F.broadcast(parts) if corners <= COVER_CORNERS else parts
     test = met.where("NOT inner").join(shapes, "part").where(in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
     if holes:
         test = test.where(~F.exists(F.coalesce("holes", F.array()), lambda hole: in_ring(F.col("lon"), F.col("lat"), hole)))
