@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -179,12 +180,12 @@ def brute_overlaps(docs, items):
         words = cut(t)
         for i, u in items:
             item = cut(u)
-            if d is None or i is None or len(item) < 5:
+            if d is None or i is None:
                 continue
             for shift in range(-len(item) + 1, len(words)):
                 same = [0 <= shift + k < len(words) and words[shift + k] == w for k, w in enumerate(item)]
                 dense = any(sum(same[k : k + 13]) >= 11 for k in range(max(1, len(item) - 12)))
-                if sum(same) == len(item) or len(item) >= 9 and (sum(same) >= 0.75 * len(item) or dense):
+                if item and (sum(same) >= 0.75 * len(item) or dense):
                     out[(d, i)] = max(out.get((d, i), 0), sum(same))
     return out
 
@@ -204,14 +205,23 @@ def test_decontamination_finds_all_that_brute_force_finds(spark):
             text[at:at] = [w.upper() + "," if rng.random() < 0.3 else w for w in item]
         docs.append((d, " ".join(text)))
     docs += [(500, None), (501, ""), (None, items[0][1]), (0, docs[0][1]), (502, "a word1 WORD2, word3 word4 word5 b"), (503, "word6 word7 word8 word9 word10 word11 word12 other"), (504, "z " * 40_000 + items[-1][1])]
+    for n in range(1, 9):  # short items, whole and with replaced words at every place
+        item = [f"short{n}x{k}" for k in range(n)]
+        items.append((100 + n, " ".join(item)))
+        for gone in range(4):
+            for k, at in enumerate(itertools.combinations(range(n), gone)):
+                docs.append((1000 * n + 100 * gone + k, "before " + " ".join("changed" if j in at else w for j, w in enumerate(item)) + " after"))
+    docs += [(10_001, "short5x1 short5x2 short5x3 short5x4 other"), (10_002, "other short8x0 short8x1 short8x2 short8x3 short8x4 short8x5")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {(r.doc_id, r.item_id): r.matched_tokens for r in overlaps(frame(spark, docs), bench).collect()}
     expected = brute_overlaps(docs, items)
     assert found == expected and len(expected) > 30
+    assert {i: sum(e[1] == i for e in expected) for i in range(101, 109)} == {101: 1, 102: 1, 103: 1, 104: 5, 105: 7, 106: 7, 107: 8, 108: 38}
     kept = clean(frame(spark, docs), bench).collect()
     assert {r.doc_id for r in kept} == {d for d, _ in docs} - {d for d, _ in expected}
     assert overlaps(frame(spark, []), bench).count() == 0
     assert overlaps(frame(spark, docs), bench.where("false")).count() == 0
+    assert {r.item_id for r in overlaps(frame(spark, docs), bench, shortest=5).collect()} == {i for _, i in expected if i not in (90, 101, 102, 103, 104)}
 
 
 def brute_licenses(rows, templates=licenses.TEMPLATES):
