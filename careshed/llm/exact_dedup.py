@@ -1,10 +1,11 @@
 """Exact deduplication with a log-structured merge index over text digests (DataFrame operations only).
 
-Every scan task is a memtable: it digests its documents and flushes them as one file sorted by digest; the files of a
-batch are a run. A run has a filter, one hash bit of SLOTS for each digest, packed in bitmaps; a later batch is tested
-against the filters first, and only its candidates are joined with the runs' digests. FAN runs of a level are merged
-into one of the next: a row for each digest with the document that stays and the size of the group. Digests that occur
-more than once are hits, and their normalised texts are compared byte for byte before they count as equal.
+Every scan task fills memtables: it digests its documents and flushes them sorted by batch and digest. Each batch
+becomes a run: a row for each digest with the document that stays and the size of the group, sorted, and a filter, one
+hash bit of SLOTS for each digest, packed in bitmaps. FAN runs of a level are compacted into one of the next: a digest
+that no other run's filter knows goes over as it is, and only the others are shuffled and merged. What the levels hold
+in the end is compacted the same way, and new rows are tested against the filters first. Digests that occur more than
+once are hits, and their normalised texts are compared byte for byte before they count as equal.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from careshed.llm.common import ASCII_SPACE, checked_broadcast, join_hot, table,
 BROADCAST_HITS = 1_000_000
 #: Runs of a level that are merged into one of the next; bits of a filter for each digest; bits of one bitmap.
 FAN, SLOTS, BITMAP = 4, 16, 32_768
+#: Batches into which a table is flushed, and the rows of a task that go to one batch before the next one's turn.
+BATCHES, MEMTABLE = 5, 256
 #: Bitmaps that may be broadcast (at most 32 MB); more are joined by a shuffle.
 BROADCAST_BITMAPS = 8_192
 
@@ -59,13 +62,23 @@ class Run:
     def slot(slots: int) -> Column:
         return F.pmod(F.xxhash64("digest"), F.lit(slots)) + 1
 
-    def candidates(self, keyed: DataFrame) -> DataFrame:
-        """The rows whose digest the run may hold; it holds none of the others."""
+    @property
+    def small(self) -> bool:
+        """The filter can be broadcast."""
+        return self.slots // BITMAP <= BROADCAST_BITMAPS
+
+    def tested(self, keyed: DataFrame, name: str) -> DataFrame:
+        """``keyed`` with a column that says whether the run may hold the row's digest; where it is false it does not."""
         slot = self.slot(self.slots)
         placed = keyed.withColumn("bucket", F.bitmap_bucket_number(slot)).withColumn("bit", F.bitmap_bit_position(slot))
-        met = placed.join(checked_broadcast(self.bitmaps, self.slots // BITMAP, BROADCAST_BITMAPS), "bucket")
+        met = placed.join(checked_broadcast(self.bitmaps, self.slots // BITMAP, BROADCAST_BITMAPS), "bucket", "left")
         byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return met.where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select(keyed.columns)
+        held = F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
+        return met.select(*keyed.columns, held.alias(name))
+
+    def candidates(self, keyed: DataFrame) -> DataFrame:
+        """The rows whose digest the run may hold."""
+        return self.tested(keyed, "held").where("held").select(keyed.columns)
 
 
 class DigestIndex:
@@ -84,11 +97,14 @@ class DigestIndex:
         text = text_of()
         return docs.select("doc_id", text.alias("text")).withColumn("norm", normalised(text)).select("doc_id", F.char_length("text").cast("long").alias("n_points"), "norm", self.digest(F.col("norm")).alias("digest"))
 
-    def flush(self, docs: DataFrame) -> DigestIndex:
-        """Digest the rows of a batch; each task writes its part as one sorted file."""
-        rows = table(self._keyed(docs).drop("norm").sortWithinPartitions("digest"), "exact-rows")
-        self.flushed.append((docs, rows))
-        self.waiting.append(rows)
+    def flush(self, docs: DataFrame, batches: int = 1) -> DigestIndex:
+        """Digest the rows of a table, dealt to ``batches``; each task writes its part as one file sorted by batch and digest,
+        so a batch is read by itself."""
+        row = F.monotonically_increasing_id()  # the task in the upper 31 bits, its row in the lower 33
+        batch = F.pmod(F.shiftright(row, 33) + F.floor(row.bitwiseAND((1 << 33) - 1) / MEMTABLE), F.lit(batches)).cast("int")
+        rows = table(self._keyed(docs).drop("norm").withColumn("batch", batch).sortWithinPartitions("batch", "digest"), "exact-rows")
+        self.flushed.append((docs, rows.drop("batch")))
+        self.waiting += [rows.where(F.col("batch") == b).drop("batch") for b in range(batches)]
         return self
 
     def runs(self) -> list[Run]:
@@ -104,25 +120,25 @@ class DigestIndex:
         self.levels[level].append(run)
         if len(self.levels[level]) == FAN:
             full, self.levels[level] = self.levels[level], []
-            self._add(Run.write(_merged(reduce(DataFrame.unionByName, [r.digests for r in full]))), level + 1)
+            self._add(Run.write(_compacted(full)), level + 1)
 
-    def _texts(self, hits: DataFrame) -> DataFrame:
+    def _texts(self, hits: DataFrame, only: bool = True) -> DataFrame:
         """(doc_id, n_points, norm, digest) of all flushed rows under the digests ``hits`` (digest, group_size); only
-        their texts are read again."""
+        their texts are read again, once. Without ``only`` rows may be among them that the join's keys take for hits."""
         rows = reduce(DataFrame.unionByName, [rows for _, rows in self.flushed])
         held = join_hot(rows, hits, "digest", "group_size", rows.count(), "left_semi")
         keys = table(held.select(F.xxhash64("doc_id", "n_points").alias("hit")).distinct(), "exact-hits")
         n = keys.count()
         own = F.xxhash64("doc_id", F.char_length(text_of()).cast("long"))
         picked = [self._keyed(docs.select("doc_id", "text").join(checked_broadcast(keys, n, BROADCAST_HITS), own == F.col("hit"), "left_semi")) for docs, _ in self.flushed]
-        return join_hot(reduce(DataFrame.unionByName, picked), hits, "digest", "group_size", n, "left_semi")
+        texts = reduce(DataFrame.unionByName, picked)
+        return join_hot(texts, hits, "digest", "group_size", n, "left_semi") if only else texts
 
     def members(self) -> DataFrame:
         """(doc_id, digest, keep_id, group_size) for every flushed row, after byte verification of the hits."""
         rows = reduce(DataFrame.unionByName, [rows for _, rows in self.flushed])
-        merged = _merged(rows.select("digest", F.lit(1).cast("long").alias("rows"), _rank().alias("best")))
-        groups = table(merged.where("rows > 1").select("digest", F.col("best.id").alias("keep_id"), F.col("rows").alias("group_size")), "exact-groups")
-        texts = self._texts(groups.select("digest", "group_size")).groupBy("digest", "norm").agg(F.count("*").alias("copies"))
+        groups = table(_compacted(self.runs()).where("rows > 1").select("digest", F.col("best.id").alias("keep_id"), F.col("rows").alias("group_size")), "exact-groups")
+        texts = self._texts(groups.select("digest", "group_size"), only=False).groupBy("digest", "norm").agg(F.count("*").alias("copies"))
         differ = texts.groupBy("digest").agg(F.count("*").alias("texts"), F.sum("copies").alias("group_size"))
         collided, clashing = table(differ.where("texts > 1").select("digest", "group_size"), "exact-collided"), None
         if not collided.isEmpty():  # equal digests of different texts: these few are grouped by the texts themselves
@@ -155,6 +171,24 @@ def _merged(digests: DataFrame) -> DataFrame:
     return digests.groupBy("digest").agg(F.sum("rows").alias("rows"), F.min("best").alias("best"))
 
 
+def _compacted(runs: list[Run]) -> DataFrame:
+    """The rows of ``runs`` with one for each digest. A digest that stands in one run alone need not be shuffled, and
+    where the other runs' filters can be broadcast they tell most of those; beyond that all are merged."""
+    alone, met = [], []
+    for run in runs:
+        others = [r for r in runs if r is not run]
+        if all(r.small for r in others):
+            tested, names = run.digests, [f"held{i}" for i in range(len(others))]
+            for name, other in zip(names, others, strict=True):
+                tested = other.tested(tested, name)
+            held = reduce(lambda a, b: a | b, [F.col(n) for n in names], F.lit(False))
+            alone.append(tested.where(~held).select(run.digests.columns))
+            met.append(tested.where(held).select(run.digests.columns))
+        else:
+            met.append(run.digests)
+    return reduce(DataFrame.unionByName, [*alone, _merged(reduce(DataFrame.unionByName, met))])
+
+
 def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
     """Group documents whose texts are equal once ASCII white space is deleted.
 
@@ -166,7 +200,6 @@ def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
     * Repeated rows (same doc_id) all appear, each marked kept if its doc_id is the keeper's.
     * An empty table gives an empty result; columns other than doc_id and text are not looked at.
 
-    The whole table is one batch, so its files are merged at once and no filter is needed; filters serve later batches.
     """
-    found = DigestIndex(digest).flush(docs).members()
+    found = DigestIndex(digest).flush(docs, BATCHES).members()
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

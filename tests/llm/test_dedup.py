@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from careshed.llm import exact_dedup
 from careshed.llm.components import components
 from careshed.llm.exact_dedup import DigestIndex, exact_duplicates
 from careshed.llm.line_dedup import drop_duplicate_lines, line_counts, line_duplicates
@@ -52,6 +53,35 @@ def test_colliding_digests_are_told_apart_by_bytes(spark, digest):
     assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == sorted((r[:4] for r in brute_exact(rows)), key=str)
 
 
+def test_the_query_flushes_batches_asks_filters_and_compacts(spark, monkeypatch):
+    written, asked = [], []
+    write, tested = exact_dedup.Run.write.__func__, exact_dedup.Run.tested
+    monkeypatch.setattr(exact_dedup.Run, "write", classmethod(lambda cls, digests: written.append(write(cls, digests)) or written[-1]))
+    monkeypatch.setattr(exact_dedup.Run, "tested", lambda run, keyed, name: asked.append(run) or tested(run, keyed, name))
+    monkeypatch.setattr(exact_dedup, "MEMTABLE", 7)
+    rows = [(i, f"text {i % 250}") for i in range(400)] + EDGE
+    got = sorted((tuple(r) for r in exact_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == brute_exact(rows)
+    first, level, last = written[:4], written[4], written[5]
+    sizes = [r.digests.count() for r in written]
+    assert len(written) == 6 and all(sizes) and all(any(a is r for a in asked) for r in written)
+    assert sizes[4] < sum(sizes[:4])  # four runs share digests, which became one row each
+    assert level.digests.select("digest").distinct().count() == sizes[4]
+    merged = exact_dedup._compacted([level, last])
+    assert merged.count() == merged.select("digest").distinct().count() == len({re.sub(SPACE, "", t or "") for _, t in rows})
+    # filters held back digests that stand in one run alone
+    passed = last.candidates(level.digests)
+    assert passed.count() < sizes[4] and len(first) == 4
+
+
+@pytest.mark.parametrize("limit", [0, 8_192])
+def test_compaction_is_the_same_beyond_the_filters_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BITMAPS", limit)
+    monkeypatch.setattr(exact_dedup, "MEMTABLE", 11)
+    rows = [(i, f"text {i % 90}") for i in range(200)] + EDGE
+    assert sorted((tuple(r) for r in exact_duplicates(frame(spark, rows)).collect()), key=str) == brute_exact(rows)
+
+
 def test_index_merges_batches_and_answers_probes(spark):
     index = DigestIndex().flush(frame(spark, [(5, "a b"), (6, "c")])).flush(frame(spark, [(2, "ab"), (9, "d")]))
     assert {r.doc_id: (r.keep_id, r.group_size) for r in index.members().collect()} == {5: (5, 2), 2: (5, 2), 6: (6, 1), 9: (9, 1)}
