@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careshed.llm.common import checked_broadcast, in_arrow, table
+from careshed.llm.common import checked_broadcast, in_arrow, join_hot, table
 from careshed.llm.components import components
 from careshed.llm.words import row_shingles
 
@@ -206,9 +206,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
       other than doc_id and text are not looked at.
     """
     signed = table(signatures(docs, rows, bands, k), "minhash-signatures")
-    classes = table(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "minhash-classes")
-    reps = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.select("set_id", "rep"), "set_id").where("doc_id = rep").dropDuplicates(["rep", "set_id"])
-    keyed = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = table(linked.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "minhash-classes")
+    # by the id as well, so that copies of one text do not meet in a task
+    reps = linked.join(classes.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id", "set_id"])
+    keyed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1")
     buckets = table(keyed.join(shared.select("key", "centre"), "key"), "minhash-buckets")
 
@@ -219,11 +221,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
     more = table(_across(docs, placed, k, percent), "minhash-links")
     joined = first if more.isEmpty() else components(links.unionByName(more))
 
-    classes = classes.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
+    classes = classes.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_id", "copies", F.coalesce("component", "rep").alias("component_id"))
     classes = table(classes, "minhash-components")
-    out = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
-    own: Column = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    held = linked.select("doc_id", "n_shingles", "set_id")
+    out = join_hot(held, classes, "set_id", "copies", held.count()).select("doc_id", "n_shingles", "component_id")
+    # rows without shingles or id have no class and stay out of the join
+    out = out.unionByName(signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id")))
+    own: Column = F.col("component_id")
+    return out.select("doc_id", "n_shingles", own, F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def sql(percent: int = 75, k: int = SHINGLE) -> str:
