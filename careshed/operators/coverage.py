@@ -13,7 +13,7 @@ from careshed.core.work import broadcast_if_small, table
 from careshed.functions.geo import circle_outline, morton_ranges
 from careshed.functions.scalars import clipped, scaled
 from careshed.operators.moments import exact_quantiles
-from careshed.operators.spatial import coverage_pairs, density, facilities_in_areas, nearest_neighbours, percentile_rank, tiled_pairs
+from careshed.operators.spatial import density, nearest_neighbours, of_circle, percentile_rank, place_pairs, range_join, shared_circles, tiled_pairs
 
 
 #: Covered cells that may be broadcast as ids (at most 64 MB); more are joined by a shuffle.
@@ -150,7 +150,8 @@ PARTS = ("coverage_norm", "overlap_frac", "climate_norm", "volume_norm", "progre
 class Selection:
     """A greedy selection whose gains are kept by their changes.
 
-    ``pairs`` (facility_id, cell_id, pop, dist_km, x, y, tile) are written twice: in order of facility, where a chosen
+    ``pairs`` (facility_id, cell_id, pop, n, dist_km, x, y, tile) have a row for each place of cells (``cell_places``), so a
+    "cell" here is all n cells at one place. They are written twice: in order of facility, where a chosen
     facility's cells are found by the files' statistics, and in order of tile along a curve, where the pairs of a few
     tiles are. ``now`` has a row for each facility with its gain. A pick reads the pairs in the tiles of the cells that it
     newly covers, takes their people from the facilities that meet them, and writes ``now`` again; the best row of the
@@ -162,10 +163,11 @@ class Selection:
         pages = {"parquet.page.row.count.limit": str(page_rows)}
         placed = tiled_pairs(facilities, cells, radius, tile_km)
         self.pairs = table(placed.repartition("facility_id").sortWithinPartitions("facility_id"), "coverage-pairs", **pages)
-        self.met = table(self.pairs.select("tile", "cell_id", "facility_id", "pop").repartitionByRange("tile", "cell_id").sortWithinPartitions("tile", "cell_id"), "coverage-tiles", **pages)
+        self.met = table(self.pairs.select("tile", "cell_id", "facility_id", "pop", "n").repartitionByRange("tile", "cell_id").sortWithinPartitions("tile", "cell_id"), "coverage-tiles", **pages)
         self.config, self.total = config, float(total_pop)
         ends = [f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))]
-        sums = self.pairs.groupBy("facility_id").agg(F.sum("pop").alias("own"), F.count("*").alias("cells"), F.avg("dist_km").alias("mean_km"), *ends)
+        far = F.sum(F.col("dist_km").cast("decimal(20,12)") * F.col("n").cast("decimal(10,0)")).cast("double")  # exact, so that facilities at one place tie
+        sums = self.pairs.groupBy("facility_id").agg(F.sum("pop").alias("own"), F.count("*").alias("cells"), (far / F.sum("n")).alias("mean_km"), *ends)
         region = F.array_position(F.lit(regions), F.col("governorate")) if regions else F.lit(0)
         rows = facilities.select("facility_id", F.coalesce("volume", F.lit(0)).alias("volume"), F.coalesce("climate_k", F.lit(-1)).alias("cluster"), F.coalesce(region, F.lit(0)).cast("int").alias("region"))
         rows = rows.join(sums, "facility_id", "left").join(F.broadcast(rows.agg(F.max("volume").alias("top"))))  # one row
@@ -197,7 +199,7 @@ class Selection:
         return self.pairs.select("cell_id", "pop").distinct()
 
     def touched(self) -> DataFrame | None:
-        """(facility_id, pop) of the pairs of the cells that the pending facilities newly cover; None if they have no cells."""
+        """(facility_id, pop, n) of the pairs of the cells that the pending facilities newly cover; None if they have no cells."""
         at = len(self.chosen) - self.pending
         new = [(f, box) for (f, _), box in zip(self.chosen[at:], self.boxes[at:], strict=True) if box]
         if not new:
@@ -212,7 +214,7 @@ class Selection:
         boxes = [box for _, box in new] if len(new) <= 4 else [(x0, x1, y0, y1)]
         here = " OR ".join(f"tile BETWEEN {a} AND {b}" for box in boxes for a, b in morton_ranges(*box))
         fresh = F.broadcast(fresh) if small else fresh
-        return self.met.where(here).join(fresh, "cell_id", "left_semi").select("facility_id", "pop")
+        return self.met.where(here).join(fresh, "cell_id", "left_semi").select("facility_id", "pop", "n")
 
     def _changed(self) -> DataFrame:
         """``now`` without the pending facilities, and with their newly covered cells off all others' gains."""
@@ -221,7 +223,7 @@ class Selection:
         if touched is None:
             return rest
         stands = [(f.name, f.dataType.simpleString()) for f in rest.schema.fields if f.name != "facility_id"]
-        change = {"gain": "-pop", "seen": "pop", "seen_cells": "1"}
+        change = {"gain": "-pop", "seen": "pop", "seen_cells": "n"}
         touched = touched.selectExpr("facility_id", *[f"CAST({change.get(c, 'NULL')} AS {kind}) AS {c}" for c, kind in stands])
         sums = rest.union(touched).groupBy("facility_id").agg(*[F.expr(f"{'sum' if c in change else 'max'}({c}) AS {c}") for c, _ in stands])
         return sums.where("cells IS NOT NULL")  # chosen facilities have pairs there too, but no row
@@ -363,7 +365,7 @@ def greedy(facilities: DataFrame, cells: DataFrame, mode: str, radius: str = "in
 
 def remove_overlapping(areas: DataFrame, pairs: DataFrame, threshold: float = 0.80) -> DataFrame:
     """Areas by volume, largest first, without those that have no cells, or more than ``threshold`` of them in the
-    union of the larger ones kept.
+    union of the larger ones kept. Rows of ``pairs`` with a column ``n`` are so many cells each.
 
     One job groups the cells by the set of areas they lie in; n circles cut the plane into n (n - 1) + 2 such sets at most,
     so for a few dozen areas these counts are what the fold over the areas needs. Where there are more than PATTERNS sets
@@ -371,8 +373,8 @@ def remove_overlapping(areas: DataFrame, pairs: DataFrame, threshold: float = 0.
     """
     order = [r.facility_id for r in areas.orderBy(F.desc("volume"), "facility_id").select("facility_id").collect()]  # a few dozen
     number = areas.sparkSession.createDataFrame(list(enumerate(order)), "area int, facility_id long")
-    cells = pairs.join(F.broadcast(number), "facility_id").groupBy("cell_id").agg(F.sort_array(F.collect_set("area")).alias("within"))  # of a few dozen numbers
-    patterns = table(cells.groupBy("within").agg(F.count("*").alias("n")), "coverage-patterns")
+    cells = pairs.join(F.broadcast(number), "facility_id").groupBy("cell_id").agg(F.sort_array(F.collect_set("area")).alias("within"), F.max(F.col("n") if "n" in pairs.columns else F.lit(1)).alias("n"))  # of a few dozen numbers
+    patterns = table(cells.groupBy("within").agg(F.sum("n").alias("n")), "coverage-patterns")
     few = [(set(r.within), r.n) for r in patterns.collect()] if patterns.count() <= PATTERNS else None
 
     def shares(area: int, kept: list[int]) -> tuple[int, int]:
@@ -411,7 +413,7 @@ def governorate_coverage(facilities: DataFrame, cells: DataFrame, radii: list[fl
     spark, total = cells.sparkSession, int(cells.agg(F.sum("pop")).first()[0] or 0)
     target, last = int(total * tau), None
     enough = tau * target if config.tau_as_coded else target
-    cells_in = cells.select("cell_id", "pop", *[c for c in ("governorate",) if c in cells.columns])
+    cells_in = cells.select("cell_id", "lon", "lat", "pop", *[c for c in ("governorate",) if c in cells.columns])
     named = facilities.where("governorate IS NOT NULL").groupBy("governorate").agg(F.min("facility_id").alias("first")).orderBy("first")
     regions = [x.governorate for x in named.collect()]  # a row for each governorate
     for r in sorted(radii, reverse=True):
@@ -451,7 +453,8 @@ def _with_shares(picks: DataFrame, covered: DataFrame, facilities: DataFrame, ce
     picks = picks.withColumn("radius_km", F.lit(float(radius)))
     if "governorate" not in cells.columns:
         return picks
-    inside = cells.join(covered.select("cell_id").withColumn("__in", F.lit(True)), "cell_id", "left").groupBy("governorate")
+    places = cells.join(covered.select("cell_id"), "cell_id", "left_semi").select("lon", "lat", F.lit(True).alias("__in"))  # one of the cells at a place stands for all
+    inside = cells.join(places, ["lon", "lat"], "left").groupBy("governorate")
     shares = inside.agg((F.coalesce(F.sum(F.when(F.col("__in"), F.col("pop"))), F.lit(0)) / F.sum("pop")).alias("governorate_share"))
     return picks.join(facilities.select("facility_id", "governorate"), "facility_id", "left").join(shares, "governorate", "left").drop("governorate")
 
@@ -468,7 +471,7 @@ def optimize(facilities: DataFrame, cells: DataFrame, objective: str, network_ty
         picks, covered, total = greedy(ready, cells, mode, config=config, seeds=seeds)
         areas = ready.join(broadcast_if_small(picks), "facility_id").withColumn("service_radius_km", F.col("initial_radius_km"))
         if objective in ("footprint", "distance"):
-            pairs = table(coverage_pairs(areas, cells, "service_radius_km"), "coverage-areas")
+            pairs = table(place_pairs(areas, cells, "service_radius_km"), "coverage-areas")
             areas = remove_overlapping(areas, pairs)
             covered = int(pairs.join(areas.select("facility_id"), "facility_id", "left_semi").select("cell_id", "pop").distinct().agg(F.sum("pop")).first()[0] or 0)
     areas = areas.withColumn("network_type", F.lit(network_type)).withColumn("optimization_mode", F.lit(objective))
@@ -492,13 +495,17 @@ def area_population(pairs: DataFrame, radius: DataFrame) -> DataFrame:
 
 
 def area_details(areas: DataFrame, facilities: DataFrame, pairs: DataFrame, radius: str = "service_radius_km") -> DataFrame:
-    """A row for each area: own volume, facilities inside and their volume, population, radius."""
-    inside = facilities_in_areas(areas, facilities, radius).join(facilities.select("facility_id", "volume"), "facility_id")
-    inside = inside.groupBy(F.col("anchor_id").alias("facility_id")).agg(F.count("*").alias("n_facilities"), F.sum("volume").alias("total_volume"))
+    """A row for each area: own volume, facilities inside and their volume, population, radius.
+
+    Facilities at one place meet circles as one row, and areas that share a circle are counted once.
+    """
+    places = table(facilities.groupBy("lon", "lat").agg(F.count("*").alias("n"), F.sum("volume").alias("volume")), "facility-places")
+    circles = shared_circles(areas, radius)
+    inside = range_join(places, circles, radius).groupBy("anchor_id").agg(F.sum("n").alias("n_facilities"), F.sum("volume").alias("total_volume"))
     people = pairs.groupBy("facility_id").agg(F.sum("pop").alias("population"))
-    own = areas.select("facility_id", F.col("volume").alias("anchor_volume"), F.col(radius).alias("radius_km"))
-    out = own.join(inside, "facility_id", "left").join(people, "facility_id", "left")
-    return out.fillna(0, ["n_facilities", "total_volume", "population"])
+    own = of_circle(areas.select("facility_id", "lon", "lat", "volume", radius), inside, circles, radius)
+    own = own.select("facility_id", F.col("volume").alias("anchor_volume"), F.col(radius).alias("radius_km"), "n_facilities", "total_volume")
+    return own.join(people, "facility_id", "left").fillna(0, ["n_facilities", "total_volume", "population"])
 
 
 def compare_modes(details: DataFrame, mode: str = "mode") -> DataFrame:
