@@ -9,8 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from careshed.core.work import send_package
 from careshed.operators.models import errors
 
 
@@ -21,33 +23,30 @@ def weekly_counts(events: DataFrame, area: str, time: str, late: str = "14 days"
     return counts.select(area, F.to_date("window.start").alias("week_start"), "cases")
 
 
-class VisitState(StatefulProcessor):
-    """The time and level of the last raw visit of a patient and group, dropped once the watermark has left it behind."""
+KEPT = ("patientid", "diagnosis_group", "event_id", "visit_time", "facility_level")
 
-    def __init__(self, days: int):
-        self.days = days
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "us long, level int")
+def visit_state(days: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The step of a patient and group: the state is the time and level of the last raw visit, dropped once the watermark
+    has left it behind. States come and go with the rows, many groups in one Arrow batch."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        visits = pd.concat(list(rows)).sort_values(["visit_time", "facility_level", "event_id"], ascending=[True, False, True])
-        known = self.last.exists()
-        last_us, last_level = self.last.get() if known else (None, None)
-        us, level = visits["visit_time"].to_numpy("datetime64[us]").astype("int64"), visits["facility_level"].to_numpy("int64")
-        keep, (last_us, last_level) = first_visits(us, level, last_us, last_level, self.days)
-        self.last.update((last_us, last_level))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(last_us // 1000 + (self.days + 1) * 86_400_000, timerValues.getCurrentWatermarkInMs() + 1))
-        yield visits[keep][["patientid", "diagnosis_group", "event_id", "visit_time", "facility_level"]]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        return iter([])
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = list(rows)
+        visits = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in KEPT[2:]}
+        us = visits["visit_time"].astype("datetime64[us]").astype("int64")
+        order = np.lexsort((visits["event_id"], -visits["facility_level"].astype("int64"), us))
+        last = state.get if state.exists else (None, None)
+        keep, last = first_visits(us[order], visits["facility_level"][order].astype("int64"), *last, days)
+        state.update(last)
+        state.setTimeoutTimestamp(max(last[0] // 1000 + (days + 1) * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        kept = order[keep]
+        if len(kept):
+            yield pd.DataFrame({KEPT[0]: key[0], KEPT[1]: key[1], **{c: v[kept] for c, v in visits.items()}})
 
-    def close(self) -> None:
-        pass
+    return step
 
 
 def first_visits(us: np.ndarray, level: np.ndarray, last_us: int | None, last_level: int | None, days: int) -> tuple[np.ndarray, tuple[int, int]]:
@@ -73,16 +72,17 @@ def deduplicate_visits(visits: DataFrame, days: int = 3, late: str = "30 days")
     The state of a patient and group is the time and level of the last raw visit, kept until the watermark is
     ``days`` past it. Input in order of time gives what the batch operator gives. A row of a later batch that is older
     than the last visit is a repeat of it if it lies within ``days`` before it and its level is no higher; the state stays.
-    Timers need the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``), see ``with_rocksdb``.
+    With the RocksDB state store states need not fit the heap, see ``with_rocksdb``.
     """
+    send_package(visits.sparkSession)
     schema = "patientid long, diagnosis_group string, event_id long, visit_time timestamp, facility_level int"
     rows = visits.where("patientid IS NOT NULL AND diagnosis_group IS NOT NULL AND visit_time IS NOT NULL")
     rows = rows.withColumn("visit_time", F.col("visit_time").cast("timestamp")).withWatermark("visit_time", late)
-    return rows.groupBy("patientid", "diagnosis_group").transformWithStateInPandas(VisitState(days), schema, "Append", "EventTime")
+    return rows.groupBy("patientid", "diagnosis_group").applyInPandasWithState(visit_state(days), schema, "us long, level int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def with_rocksdb(spark: SparkSession) -> SparkSession:
-    """The session with the state store that state with timers needs."""
+    """The session with the state store whose states need not fit the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return spark
 

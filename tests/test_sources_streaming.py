@@ -204,3 +204,11 @@ def test_observed_drift_equals_the_monitor(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert sorted(observed) == sorted(alerts) and len(alerts) == 2
+
+
+def test_many_groups_need_no_call_for_each_state(spark, tmp_path):
+    v = spark.range(6000).selectExpr("id AS event_id", "id % 3000 AS patientid", "'flu' AS diagnosis_group", "timestamp_ntz'2024-03-01 00:00:00' + make_dt_interval(cast(id div 3000 AS int) * 2) AS visit_time", "1 AS facility_level")
+    plan = jobs.deduplicate_visits(spark.readStream.schema(v.schema).parquet(f"{tmp_path}"))._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "MapGroupsInPandasWithState" in plan  # the former asks the JVM several times for each group
+    got = replay(spark, tmp_path, v, "visit_time", 2, jobs.deduplicate_visits, "manygroups")
+    assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in s.deduplicate_visits(v).collect()) == list(range(3000))
