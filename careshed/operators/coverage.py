@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from careshed.core.work import broadcast_if_small, table
-from careshed.functions.geo import circle_outline, morton_ranges
+from careshed.core.work import broadcast_if_small, in_arrow, table
+from careshed.functions.geo import circle_outline, morton, morton_ranges
 from careshed.functions.scalars import clipped, scaled
 from careshed.operators.moments import exact_quantiles
 from careshed.operators.spatial import density, nearest_neighbours, of_circle, percentile_rank, place_pairs, range_join, shared_circles, tiled_pairs
@@ -24,6 +27,8 @@ TILE_KM, PAGE_ROWS = 10.0, 20_000
 PATTERNS = 200_000
 #: Rows of the queue of bounds, and picks whose changes are taken off the gains as they are read, before they are written.
 QUEUE, FOLD = 256, 8
+#: Cells that a facility's row may hold, facilities in a page of such rows, and cells of the queue's rows on the driver.
+ROW_CELLS, PAGE_FACILITIES, QUEUE_CELLS = 65_536, 256, 500_000
 
 
 @dataclass(frozen=True)
@@ -153,17 +158,19 @@ class Selection:
     ``pairs`` (facility_id, cell_id, pop, n, dist_km, x, y, tile) have a row for each place of cells (``cell_places``), so a
     "cell" here is all n cells at one place. They are written twice: in order of facility, where a chosen
     facility's cells are found by the files' statistics, and in order of tile along a curve, where the pairs of a few
-    tiles are. ``now`` has a row for each facility with its gain. A pick reads the pairs in the tiles of the cells that it
-    newly covers, takes their people from the facilities that meet them, and writes ``now`` again; the best row of the
-    next pick is observed by the same job. So a pick costs the newly covered cells' pairs and a row for each facility, and
-    only the best row comes to the driver, which holds the chosen facilities and nothing else.
+    tiles are. ``now`` has a row for each facility with its gain. Up to BROADCAST_CELLS covered cells are known to the
+    driver, and ``held`` has a facility's cells in its row, in pages of near facilities: then the gains near a pick are
+    counted anew from these rows, with no join or shuffle. With more cells a pick reads the pairs in the tiles of the
+    cells that it newly covers and takes their people from the facilities that meet them. ``now`` is written again with
+    the changes; the best row of the next pick is observed by the same job. So a pick costs the pairs near its cells and a
+    row for each facility; the driver holds the chosen facilities, the cells they cover and the queue's rows.
     """
 
     def __init__(self, facilities: DataFrame, cells: DataFrame, radius: str | float, total_pop: int, config: CoverageConfig, regions: list[str] | None = None, tile_km: float = TILE_KM, page_rows: int = PAGE_ROWS):
         pages = {"parquet.page.row.count.limit": str(page_rows)}
         placed = tiled_pairs(facilities, cells, radius, tile_km)
         self.pairs = table(placed.repartition("facility_id").sortWithinPartitions("facility_id"), "coverage-pairs", **pages)
-        self.met = table(self.pairs.select("tile", "cell_id", "facility_id", "pop", "n").repartitionByRange("tile", "cell_id").sortWithinPartitions("tile", "cell_id"), "coverage-tiles", **pages)
+        self.pages = pages
         self.config, self.total = config, float(total_pop)
         ends = [f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))]
         far = F.sum(F.col("dist_km").cast("decimal(20,12)") * F.col("n").cast("decimal(10,0)")).cast("double")  # exact, so that facilities at one place tie
@@ -173,7 +180,7 @@ class Selection:
         rows = rows.join(sums, "facility_id", "left").join(F.broadcast(rows.agg(F.max("volume").alias("top"))))  # one row
         rows = rows.select("facility_id", "cluster", "region", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce("mean_km", F.lit(1e9)).alias("mean_km"), F.when(F.col("top") > 0, F.col("volume") / F.col("top")).otherwise(0.0).alias("volume_norm"), *BOX)
         self.now = table(rows.withColumn("gain", F.col("own")).withColumn("seen", F.lit(0).cast("long")).withColumn("seen_cells", F.lit(0).cast("long")), "coverage-now")
-        self.n, self.most = self.now.agg(F.count("*"), F.coalesce(F.max("own"), F.lit(0))).first()
+        self.n, self.most, self.largest = self.now.agg(F.count("*"), F.coalesce(F.max("own"), F.lit(0)), F.coalesce(F.max("cells"), F.lit(0))).first()
         self.queue: list[dict] = []  # the best rows when they were last read, the next row's score, what was left then, and
         self.last: float | None = None  # the picks since
         self.remaining = self.since = 0
@@ -183,6 +190,20 @@ class Selection:
         self.clusters: dict[int, int] = {}
         self.cells = 0  # at most so many cells are covered
         self.covered_pop = 0
+        self.known, self.told = np.zeros(0, np.int64), 0  # cells that the first so many of the chosen cover, in order
+        self.lists: tuple[np.ndarray, ...] | None = None  # facility, cell, pop and n of the queue's pairs
+
+    @cached_property
+    def met(self) -> DataFrame:
+        """The pairs in order of tile."""
+        return table(self.pairs.select("tile", "cell_id", "facility_id", "pop", "n").repartitionByRange("tile", "cell_id").sortWithinPartitions("tile", "cell_id"), "coverage-tiles", **self.pages)
+
+    @cached_property
+    def held(self) -> DataFrame:
+        """``now`` with each facility's cells, their people and numbers in its row, near facilities in a page."""
+        lists = self.pairs.groupBy("facility_id").agg(F.collect_list(F.struct("cell_id", F.coalesce("pop", F.lit(0)).alias("pop"), "n")).alias("l"))  # ROW_CELLS at most
+        rows = self.now.join(lists, "facility_id").select(*self.now.columns, *[F.col(f"l.{c}").alias(f"{c}_list") for c in ("cell_id", "pop", "n")])
+        return table(rows.sortWithinPartitions(morton(F.col("x0"), F.col("y0"))), "coverage-held", **{"parquet.page.row.count.limit": str(PAGE_FACILITIES)})
 
     def of(self, chosen: list[int]) -> Column:
         """Rows of some facilities; each id of a few is told to the scan, which skips pages without it."""
@@ -216,9 +237,45 @@ class Selection:
         fresh = F.broadcast(fresh) if small else fresh
         return self.met.where(here).join(fresh, "cell_id", "left_semi").select("facility_id", "pop", "n")
 
+    def _tell(self) -> bool:
+        """Whether covered cells are few enough for the driver to know; it reads those of the last chosen facilities."""
+        if self.largest > ROW_CELLS or self.cells > BROADCAST_CELLS:
+            return False
+        if self.told < len(self.chosen):
+            cells = self.pairs.where(self.of([f for f, _ in self.chosen[self.told :]])).select("cell_id").toArrow()
+            self.known, self.told = np.union1d(self.known, cells.column(0).to_numpy()), len(self.chosen)
+        return True
+
+    def _recounted(self, rest: DataFrame) -> DataFrame:
+        """``rest`` with the facilities that meet a pending one's tiles counted anew, from their own cells."""
+        boxes = [box for box in self.boxes[len(self.boxes) - self.pending :] if box]
+        if not boxes:
+            return rest
+        near = " OR ".join(f"(x0 <= {x1} AND x1 >= {x0} AND y0 <= {y1} AND y1 >= {y0})" for x0, x1, y0, y1 in boxes)
+        known, names = self.known, rest.columns
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells, people, n = (batch.column(f"{c}_list") for c in ("cell_id", "pop", "n"))
+                at = np.repeat(np.arange(batch.num_rows), pc.list_value_length(cells).to_numpy())
+                ids = cells.flatten().to_numpy()
+                taken = known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids if len(known) else np.zeros(len(ids), bool)
+                seen, seen_cells = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+                np.add.at(seen, at[taken], people.flatten().to_numpy()[taken])
+                np.add.at(seen_cells, at[taken], n.flatten().to_numpy()[taken])
+                new = {"gain": pa.array(batch.column("own").to_numpy() - seen), "seen": pa.array(seen), "seen_cells": pa.array(seen_cells)}
+                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields)
+        free = f"facility_id NOT IN ({', '.join(str(f) for f, _ in self.chosen)})"
+        counted = in_arrow(self.held.where(f"({near}) AND {free}"), count, kinds)
+        return rest.where(f"cells = 0 OR NOT ({near})").union(counted)
+
     def _changed(self) -> DataFrame:
         """``now`` without the pending facilities, and with their newly covered cells off all others' gains."""
         rest = self.now.where(~self.of([f for f, _ in self.chosen[len(self.chosen) - self.pending :]]))
+        if self._tell():
+            return self._recounted(rest)
         touched = self.touched()
         if touched is None:
             return rest
@@ -259,17 +316,18 @@ class Selection:
     def next(self, mode: str, target: int) -> dict:
         """The best row of a mode, the least id of equals, from a queue of stale upper bounds where that is proof enough.
 
-        The driver holds the QUEUE best rows of a job. Later their scores are taken again with the gains known then: gains
-        only fall, overlaps and clusters only fill, so these are upper bounds, and exact where no later pick has touched
-        the row's tiles. All others scored no more than the last row of that job, and what they can win since is a share
-        of the greatest gain in the remainder to the target, which has shrunk. A row that is exact and beats all bounds is
-        the best without a job; otherwise the queue is read anew.
+        The driver holds the QUEUE best rows of a job, with their cells while these are few, whose gains then stay exact.
+        Later their scores are taken again with the gains known then: gains only fall, overlaps and clusters only fill, so
+        these are upper bounds, and exact where cells are held or no later pick has touched the row's tiles. All others
+        scored no more than the last row of that job, and what they can win since is a greater share of a gain in the
+        remainder to the target, which has shrunk. A row that is exact and beats all bounds is the best without a job;
+        otherwise the queue is read anew.
         """
         remaining = target - self.covered_pop
         if self.since and self.queue:
             rated = [(score(self.parts(c, remaining, mode), mode, self.config), -c["facility_id"], c) for c in self.queue]
             top, _, row = max(rated, key=lambda r: r[:2])
-            stale = row["cells"] and any(box and _meet(tuple(row[c] for c in BOX), box) for box in self.boxes[len(self.boxes) - self.since :])
+            stale = self.lists is None and row["cells"] and any(box and _meet(tuple(row[c] for c in BOX), box) for box in self.boxes[len(self.boxes) - self.since :])
             if not stale and top > self._beyond(mode, remaining):
                 return row | self.parts(row, remaining, mode) | {"score": top}
         self._read(mode, remaining)
@@ -281,7 +339,8 @@ class Selection:
         if self.last is None:
             return float("-inf")
         weight = self.config.progress * self.config.modes[mode]["progress"]
-        more = min(self.most / remaining, 1.0) - (self.most / self.remaining if self.remaining > self.most else 0.0) if remaining > 0 else 0.0
+        gain = min(self.most, remaining)  # no other gain wins more, as its share is 1 at most
+        more = gain / remaining - gain / self.remaining if remaining > 0 else 0.0
         return self.last + weight * max(more, 0.0) + 1e-9
 
     def parts(self, row: dict, remaining: float, mode: str) -> dict[str, float]:
@@ -307,7 +366,13 @@ class Selection:
         weights = (self.config.coverage, self.config.overlap, self.config.climate, self.config.volume, self.config.progress, self.config.distance, *self.config.modes[mode].values())
         keep = QUEUE if min(weights) >= 0 else 1  # with a negative weight what is stale is no bound
         self.queue, self.last = [r.asDict() for r in rows[:keep]], rows[keep].score if len(rows) > keep else None
-        self.since, self.remaining = 0, remaining
+        self.since, self.remaining, self.lists = 0, remaining, None
+        if keep > 1 and self._tell():
+            fits = int((np.cumsum([c["cells"] for c in self.queue]) <= QUEUE_CELLS).sum()) or 1
+            if fits < len(self.queue):
+                self.queue, self.last = self.queue[:fits], rows[fits].score
+            pairs = self.pairs.where(self.of([c["facility_id"] for c in self.queue])).select("facility_id", "cell_id", F.coalesce("pop", F.lit(0)), "n").toArrow()
+            self.lists = tuple(pairs.column(i).to_numpy() for i in range(4))
 
     def _score_sql(self, mode: str, remaining: float) -> str:
         """``score`` of ``components`` as text, by the same operations on doubles: Spark parses it faster than it takes columns."""
@@ -330,12 +395,29 @@ class Selection:
         self.chosen.append((row["facility_id"], record))
         self.boxes.append(tuple(row[c] for c in BOX) if row["cells"] else None)
         self.pending, self.since = self.pending + 1, self.since + 1
+        if self.lists is not None and self.told == len(self.chosen) - 1:
+            self._take_off(row["facility_id"])
         self.queue = [c for c in self.queue if c["facility_id"] != row["facility_id"]]
         self.cells += row["cells"]
         self.covered_pop += row["gain"]
         if row["cluster"] >= 0:
             self.clusters[row["cluster"]] = self.clusters.get(row["cluster"], 0) + 1
 
+    def _take_off(self, facility_id: int) -> None:
+        """A queue's row is taken: its newly covered cells off the gains of the queue's other rows."""
+        facility, cell, pop, n = self.lists
+        fresh = np.setdiff1d(cell[facility == facility_id], self.known)
+        self.known, self.told = np.union1d(self.known, fresh), len(self.chosen)
+        met = np.isin(cell, fresh)
+        ids, at = np.unique(facility[met], return_inverse=True)
+        people, cells = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        np.add.at(people, at, pop[met])
+        np.add.at(cells, at, n[met])
+        off = dict(zip(ids.tolist(), zip(people.tolist(), cells.tolist(), strict=True), strict=True))
+        for c in self.queue:
+            p, k = off.get(c["facility_id"], (0, 0))
+            c["gain"], c["seen"], c["seen_cells"] = c["gain"] - p, c["seen"] + p, c["seen_cells"] + k
+
     def frame(self, spark) -> DataFrame:
         names = ("score", *PARTS)
         rows = [(i + 1, int(f), *(float(r.get(n, 0.0)) for n in names)) for i, (f, r) in enumerate(self.chosen)]
