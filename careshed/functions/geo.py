@@ -12,9 +12,11 @@ EARTH_KM = 6371.0
 KM_LAT, KM_LON = 110.574, 111.32
 
 
-def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, cos1: Column | None = None, cos2: Column | None = None) -> Column:
+    """``cos1`` and ``cos2`` are the latitudes' cosines where they are known already."""
     dlon, dlat = F.radians(lon2 - lon1), F.radians(lat2 - lat1)
-    half = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
+    cos1, cos2 = (F.cos(F.radians(lat)) if cos is None else cos for lat, cos in ((lat1, cos1), (lat2, cos2)))
+    half = F.pow(F.sin(dlat / 2), 2) + cos1 * cos2 * F.pow(F.sin(dlon / 2), 2)
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), half)))
 
 
