@@ -16,7 +16,7 @@ from careshed.core.work import broadcast_if_small, in_arrow, table
 from careshed.functions.geo import circle_outline, morton, morton_ranges
 from careshed.functions.scalars import clipped, scaled
 from careshed.operators.moments import exact_quantiles
-from careshed.operators.spatial import density, nearest_neighbours, of_circle, percentile_rank, place_pairs, range_join, shared_circles, tiled_pairs
+from careshed.operators.spatial import cell_places, density, nearest_neighbours, of_circle, percentile_rank, place_pairs, placed_pairs, range_join, shared_circles, tile_of, tiled_pairs
 
 
 #: Covered cells that may be broadcast as ids (at most 64 MB); more are joined by a shuffle.
@@ -29,6 +29,8 @@ PATTERNS = 200_000
 QUEUE, FOLD = 256, 8
 #: Cells that a facility's row may hold, facilities in a page of such rows, and cells of the queue's rows on the driver.
 ROW_CELLS, PAGE_FACILITIES, QUEUE_CELLS = 65_536, 256, 500_000
+#: Covered cells that a plan may name; more are looked up in Arrow batches.
+PLAN_CELLS = 10_000
 
 
 @dataclass(frozen=True)
@@ -155,32 +157,45 @@ PARTS = ("coverage_norm", "overlap_frac", "climate_norm", "volume_norm", "progre
 class Selection:
     """A greedy selection whose gains are kept by their changes.
 
-    ``pairs`` (facility_id, cell_id, pop, n, dist_km, x, y, tile) have a row for each place of cells (``cell_places``), so a
-    "cell" here is all n cells at one place. They are written twice: in order of facility, where a chosen
-    facility's cells are found by the files' statistics, and in order of tile along a curve, where the pairs of a few
-    tiles are. ``now`` has a row for each facility with its gain. Up to BROADCAST_CELLS covered cells are known to the
-    driver, and ``held`` has a facility's cells in its row, in pages of near facilities: then the gains near a pick are
-    counted anew from these rows, with no join or shuffle. With more cells a pick reads the pairs in the tiles of the
-    cells that it newly covers and takes their people from the facilities that meet them. ``now`` is written again with
+    ``pairs`` (facility_id, cell_id, pop, n) have a row for each place of cells (``cell_places``), so a "cell" here is all n
+    cells at one place. ``held`` has a facility's cells in its row, in pages of near facilities. With ROW_CELLS places at
+    most these rows are made where facilities meet places, and ``pairs`` are read from them. With more the pairs are
+    written in order of facility, where a chosen facility's cells are found by the files' statistics. ``now`` has a row for
+    each facility with its gain. Up to BROADCAST_CELLS covered cells are known to the driver: then the gains near a pick
+    are counted anew from the held rows, with no join or shuffle. With more cells the pairs are written in order of tile
+    along a curve, and a pick reads those in the tiles of the cells that it newly covers and takes their people from the
+    facilities that meet them. ``now`` is written again with
     the changes; the best row of the next pick is observed by the same job. So a pick costs the pairs near its cells and a
     row for each facility; the driver holds the chosen facilities, the cells they cover and the queue's rows.
     """
 
     def __init__(self, facilities: DataFrame, cells: DataFrame, radius: str | float, total_pop: int, config: CoverageConfig, regions: list[str] | None = None, tile_km: float = TILE_KM, page_rows: int = PAGE_ROWS):
-        pages = {"parquet.page.row.count.limit": str(page_rows)}
-        placed = tiled_pairs(facilities, cells, radius, tile_km)
-        self.pairs = table(placed.repartition("facility_id").sortWithinPartitions("facility_id"), "coverage-pairs", **pages)
-        self.pages = pages
-        self.config, self.total = config, float(total_pop)
-        ends = [f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))]
-        far = F.sum(F.col("dist_km").cast("decimal(20,12)") * F.col("n").cast("decimal(10,0)")).cast("double")  # exact, so that facilities at one place tie
-        sums = self.pairs.groupBy("facility_id").agg(F.sum("pop").alias("own"), F.count("*").alias("cells"), (far / F.sum("n")).alias("mean_km"), *ends)
+        self.pages = {"parquet.page.row.count.limit": str(page_rows)}
+        self.config, self.total, self.tile_km = config, float(total_pop), tile_km
+        self.places = cell_places(cells)
         region = F.array_position(F.lit(regions), F.col("governorate")) if regions else F.lit(0)
-        rows = facilities.select("facility_id", F.coalesce("volume", F.lit(0)).alias("volume"), F.coalesce("climate_k", F.lit(-1)).alias("cluster"), F.coalesce(region, F.lit(0)).cast("int").alias("region"))
-        rows = rows.join(sums, "facility_id", "left").join(F.broadcast(rows.agg(F.max("volume").alias("top"))))  # one row
-        rows = rows.select("facility_id", "cluster", "region", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce("mean_km", F.lit(1e9)).alias("mean_km"), F.when(F.col("top") > 0, F.col("volume") / F.col("top")).otherwise(0.0).alias("volume_norm"), *BOX)
-        self.now = table(rows.withColumn("gain", F.col("own")).withColumn("seen", F.lit(0).cast("long")).withColumn("seen_cells", F.lit(0).cast("long")), "coverage-now")
-        self.n, self.most, self.largest = self.now.agg(F.count("*"), F.coalesce(F.max("own"), F.lit(0)), F.coalesce(F.max("cells"), F.lit(0))).first()
+        own = facilities.select("*", F.coalesce("volume", F.lit(0)).alias("__volume"), F.coalesce("climate_k", F.lit(-1)).alias("cluster"), F.coalesce(region, F.lit(0)).cast("int").alias("region"))
+        self.n, top = own.agg(F.count("*"), F.max("__volume")).first()
+        own = own.withColumn("volume_norm", F.col("__volume") / F.lit(top) if top and top > 0 else F.lit(0.0))
+        self.n_places = self.places.count()
+        if self.n_places <= ROW_CELLS:
+            self.held = self._rows_of_cells(own, radius)
+            rows = self.held.select("facility_id", "cluster", "region", "own", "cells", "mean_km", "volume_norm", *BOX)
+        else:
+            self.pairs = table(tiled_pairs(facilities, self.places, radius, tile_km).repartition("facility_id").sortWithinPartitions("facility_id"), "coverage-pairs", **self.pages)
+            rows = own.join(self.pairs.groupBy("facility_id").agg(*self._sums()), "facility_id")
+            rows = rows.select("facility_id", "cluster", "region", "own", "cells", "mean_km", "volume_norm", *BOX)
+        begin = lambda df: df.withColumn("gain", F.col("own")).withColumn("seen", F.lit(0).cast("long")).withColumn("seen_cells", F.lit(0).cast("long"))
+        self.first = begin(rows) if self.n_places <= ROW_CELLS else table(begin(rows), "coverage-now")
+        met, self.most, self.largest = self.first.agg(F.count("*"), F.coalesce(F.max("own"), F.lit(0)), F.coalesce(F.max("cells"), F.lit(0))).first()
+        if met < self.n:
+            lone = own.join(self.first.select("facility_id"), "facility_id", "left_anti")
+            none = {"own": F.lit(0).cast("long"), "cells": F.lit(0).cast("long"), "mean_km": F.lit(1e9)} | {c: F.lit(None).cast("int") for c in BOX}
+            self.first = table(self.first.unionByName(begin(lone.select("facility_id", "cluster", "region", "volume_norm", *[v.alias(c) for c, v in none.items()]))), "coverage-now")
+        self._begin()
+
+    def _begin(self) -> None:
+        self.now = self.first
         self.queue: list[dict] = []  # the best rows when they were last read, the next row's score, what was left then, and
         self.last: float | None = None  # the picks since
         self.remaining = self.since = 0
@@ -193,17 +208,46 @@ class Selection:
         self.known, self.told = np.zeros(0, np.int64), 0  # cells that the first so many of the chosen cover, in order
         self.lists: tuple[np.ndarray, ...] | None = None  # facility, cell, pop and n of the queue's pairs
 
+    @staticmethod
+    def _sums() -> list[Column]:
+        """own, cells, mean_km and the box of a facility's pairs."""
+        ends = [f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))]
+        far = F.sum(F.col("dist_km").cast("decimal(20,12)") * F.col("n").cast("decimal(10,0)")).cast("double")  # exact, so that facilities at one place tie
+        return [F.coalesce(F.sum("pop"), F.lit(0)).alias("own"), F.count("*").alias("cells"), (far / F.sum("n")).alias("mean_km"), *ends]
+
+    def _rows_of_cells(self, own: DataFrame, radius: str | float) -> DataFrame:
+        """``held`` where there are ROW_CELLS places at most: made where the facilities meet the places, with no pair written."""
+        keep = ("cluster", "region", "volume_norm")
+        x, y = tile_of(self.tile_km)
+        met = placed_pairs(own, self.places, radius, *keep).withColumn("x", x).withColumn("y", y)
+        cell = F.struct("cell_id", F.coalesce("pop", F.lit(0)).alias("pop"), "n")
+        rows = met.groupBy("facility_id", *keep).agg(F.collect_list(cell).alias("l"), *self._sums())  # ROW_CELLS at most
+        rows = rows.withColumn("gain", F.col("own")).withColumn("seen", F.lit(0).cast("long")).withColumn("seen_cells", F.lit(0).cast("long"))
+        return self._in_pages(rows)
+
+    def _in_pages(self, rows: DataFrame) -> DataFrame:
+        rows = rows.select(*[c for c in rows.columns if c != "l"], *[F.col(f"l.{c}").alias(f"{c}_list") for c in ("cell_id", "pop", "n")])
+        return table(rows.sortWithinPartitions(morton(F.col("x0"), F.col("y0"))), "coverage-held", **{"parquet.page.row.count.limit": str(PAGE_FACILITIES)})
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(facility_id, cell_id, pop, n): a row for each facility and place of cells."""
+        lists = F.arrays_zip(*[F.col(f"{c}_list").alias(c) for c in ("cell_id", "pop", "n")])
+        return self.held.select("facility_id", F.explode(lists).alias("p")).select("facility_id", "p.cell_id", "p.pop", "p.n")
+
     @cached_property
     def met(self) -> DataFrame:
         """The pairs in order of tile."""
-        return table(self.pairs.select("tile", "cell_id", "facility_id", "pop", "n").repartitionByRange("tile", "cell_id").sortWithinPartitions("tile", "cell_id"), "coverage-tiles", **self.pages)
+        pairs = self.pairs
+        if "tile" not in pairs.columns:
+            pairs = pairs.join(self.places.select("cell_id", morton(*tile_of(self.tile_km)).alias("tile")), "cell_id")
+        return table(pairs.select("tile", "cell_id", "facility_id", "pop", "n").repartitionByRange("tile", "cell_id").sortWithinPartitions("tile", "cell_id"), "coverage-tiles", **self.pages)
 
     @cached_property
     def held(self) -> DataFrame:
         """``now`` with each facility's cells, their people and numbers in its row, near facilities in a page."""
         lists = self.pairs.groupBy("facility_id").agg(F.collect_list(F.struct("cell_id", F.coalesce("pop", F.lit(0)).alias("pop"), "n")).alias("l"))  # ROW_CELLS at most
-        rows = self.now.join(lists, "facility_id").select(*self.now.columns, *[F.col(f"l.{c}").alias(f"{c}_list") for c in ("cell_id", "pop", "n")])
-        return table(rows.sortWithinPartitions(morton(F.col("x0"), F.col("y0"))), "coverage-held", **{"parquet.page.row.count.limit": str(PAGE_FACILITIES)})
+        return self._in_pages(self.now.join(lists, "facility_id"))
 
     def of(self, chosen: list[int]) -> Column:
         """Rows of some facilities; each id of a few is told to the scan, which skips pages without it."""
@@ -239,7 +283,7 @@ class Selection:
 
     def _tell(self) -> bool:
         """Whether covered cells are few enough for the driver to know; it reads those of the last chosen facilities."""
-        if self.largest > ROW_CELLS or self.cells > BROADCAST_CELLS:
+        if self.largest > ROW_CELLS or min(self.cells, self.n_places) > BROADCAST_CELLS:
             return False
         if self.told < len(self.chosen):
             cells = self.pairs.where(self.of([f for f, _ in self.chosen[self.told :]])).select("cell_id").toArrow()
@@ -253,6 +297,14 @@ class Selection:
             return rest
         near = " OR ".join(f"(x0 <= {x1} AND x1 >= {x0} AND y0 <= {y1} AND y1 >= {y0})" for x0, x1, y0, y1 in boxes)
         known, names = self.known, rest.columns
+        free = f"facility_id NOT IN ({', '.join(str(f) for f, _ in self.chosen)})"
+        rows = self.held.where(f"({near}) AND {free}")
+        if len(known) <= PLAN_CELLS:  # a set in the plan, which needs no Python worker
+            cells = ", ".join(map(str, known.tolist())) or "NULL"
+            taken = lambda c: f"aggregate(zip_with(cell_id_list, {c}_list, (c, v) -> IF(c IN ({cells}), v, 0L)), 0L, (a, v) -> a + v)"
+            counted = rows.selectExpr("*", f"{taken('pop')} AS __seen", f"{taken('n')} AS __cells")
+            new = {"gain": "own - __seen AS gain", "seen": "__seen AS seen", "seen_cells": "__cells AS seen_cells"}
+            return rest.where(f"cells = 0 OR NOT ({near})").union(counted.selectExpr(*[new.get(c, c) for c in names]))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -267,8 +319,7 @@ class Selection:
                 yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
 
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields)
-        free = f"facility_id NOT IN ({', '.join(str(f) for f, _ in self.chosen)})"
-        counted = in_arrow(self.held.where(f"({near}) AND {free}"), count, kinds)
+        counted = in_arrow(rows, count, kinds)
         return rest.where(f"cells = 0 OR NOT ({near})").union(counted)
 
     def _changed(self) -> DataFrame:
@@ -420,8 +471,9 @@ class Selection:
 
     def frame(self, spark) -> DataFrame:
         names = ("score", *PARTS)
-        rows = [(i + 1, int(f), *(float(r.get(n, 0.0)) for n in names)) for i, (f, r) in enumerate(self.chosen)]
-        return spark.createDataFrame(rows, "pick int, facility_id long, " + ", ".join(f"{n} double" for n in names))
+        columns = {"pick": pa.array(range(1, len(self.chosen) + 1), pa.int32()), "facility_id": pa.array([f for f, _ in self.chosen], pa.int64())}
+        columns |= {n: pa.array([float(r.get(n, 0.0)) for _, r in self.chosen], pa.float64()) for n in names}
+        return spark.createDataFrame(pa.table(columns))  # Arrow needs no Python worker
 
 
 def greedy(facilities: DataFrame, cells: DataFrame, mode: str, radius: str = "initial_radius_km", config: CoverageConfig = CoverageConfig(), seeds: list | None = None) -> tuple[DataFrame, int, int]:

@@ -63,3 +63,33 @@ def test_held_rows_give_what_pairs_give(frames, monkeypatch, mode, seeds, queue)
         picks, covered, _ = cv.greedy(*frames, mode, config=config, seeds=seeds)
         out.append((covered, sorted(map(tuple, picks.collect()))))
     assert out[0] == out[1] and len(out[0][1]) >= 5
+
+
+def test_rows_of_cells_are_made_without_pairs(frames, monkeypatch):
+    """A footprint search over few places writes no pair, and its rows hold what the pairs do."""
+    written, whole = [], cv.table
+    monkeypatch.setattr(cv, "table", lambda df, name, **rest: written.append(name) or whole(df, name, **rest))
+    cv.greedy(*frames, "footprint", config=cv.CoverageConfig(max_areas=4))
+    assert "coverage-held" in written and "coverage-pairs" not in written and "coverage-tiles" not in written
+    own = []
+    for most in (65_536, -1):
+        monkeypatch.setattr(cv, "ROW_CELLS", most)
+        s = cv.Selection(*frames, "initial_radius_km", 1, cv.CoverageConfig())
+        names = ("facility_id", "cluster", "region", "own", "cells", "mean_km", "volume_norm", *cv.BOX, "gain", "seen", "seen_cells")
+        own.append((sorted(map(str, s.now.select(*names).collect())), sorted(map(tuple, s.pairs.select("facility_id", "cell_id", "pop", "n").collect())), s.n, s.most, s.largest))
+    assert own[0] == own[1] and own[0][2] == 81
+
+
+@pytest.mark.parametrize("plan_cells", [0, 10_000])
+def test_covered_cells_in_the_plan_or_in_batches(frames, monkeypatch, plan_cells):
+    monkeypatch.setattr(cv, "PLAN_CELLS", plan_cells)
+    batches, whole = [], cv.in_arrow
+    monkeypatch.setattr(cv, "in_arrow", lambda *a: batches.append(1) or whole(*a))
+    total = frames[1].agg(F.sum("pop")).first()[0]
+    s = cv.Selection(*frames, "initial_radius_km", total, cv.CoverageConfig())
+    for f in (3, 4, 70):
+        s.take(s.now.where(f"facility_id = {f}").first().asDict())
+    s.best({}, lambda _: F.col("gain").cast("double"))
+    assert bool(batches) == (plan_cells == 0)
+    true = gains(s)
+    assert {r.facility_id: (r.gain, r.seen, r.seen_cells) for r in s.now.collect()} == {f: true.get(f, (0, 0, 0)) for f in set(range(81)) - {3, 4, 70}}
