@@ -12,11 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from careshed.core.work import broadcast_if_small, in_arrow, table
+from careshed.core.work import BROADCAST_ROWS, in_arrow, table
 from careshed.functions.geo import circle_outline, morton, morton_ranges
 from careshed.functions.scalars import clipped, scaled
 from careshed.operators.moments import exact_quantiles
-from careshed.operators.spatial import cell_places, density, nearest_neighbours, of_circle, percentile_rank, place_pairs, placed_pairs, range_join, shared_circles, tile_of, tiled_pairs
+from careshed.operators.spatial import cell_places, density, nearest_neighbours, of_circle, percentile_rank, placed_pairs, range_join, shared_circles, tile_of, tiled_pairs
 
 
 #: Covered cells that may be broadcast as ids (at most 64 MB); more are joined by a shuffle.
@@ -81,8 +81,9 @@ class CoverageResult:
         return 100.0 * self.covered_pop / self.total_pop if self.total_pop else 0.0
 
     def summary_df(self) -> DataFrame:
-        row = [(self.objective, self.network_type, self.total_pop, self.covered_pop, round(self.coverage_pct, 6))]
-        return self.areas.sparkSession.createDataFrame(row, "objective string, network_type string, total_pop long, covered_pop long, coverage_pct double")
+        row = (self.objective, self.network_type, self.total_pop, self.covered_pop, round(self.coverage_pct, 6))
+        names = ("objective", "network_type", "total_pop", "covered_pop", "coverage_pct")
+        return self.areas.sparkSession.createDataFrame(pa.table({n: [v] for n, v in zip(names, row, strict=True)}))
 
 
 def initial_radii(facilities: DataFrame, cells: DataFrame, config: CoverageConfig = CoverageConfig(), network: float = 1.0) -> DataFrame:
@@ -482,8 +483,16 @@ def greedy(facilities: DataFrame, cells: DataFrame, mode: str, radius: str = "in
     ``fewest`` stops at its coverage with enough areas, the other modes at a number of areas or a higher coverage.
     ``seeds`` are taken first, with zero scores.
     """
-    total = int(cells.agg(F.sum("pop")).first()[0] or 0)
-    s = Selection(facilities, cells, radius, total, config)
+    places = cell_places(cells)
+    total = int(places.agg(F.sum("pop")).first()[0] or 0)
+    s = Selection(facilities, places, radius, total, config)
+    _search(s, mode, total, seeds)
+    return s.frame(cells.sparkSession), s.covered_pop, total
+
+
+def _search(s: Selection, mode: str, total: int, seeds: list | None = None) -> None:
+    """``greedy`` with a selection that has nothing chosen yet."""
+    config = s.config
     target = int(total * config.progress_tau)
     s.seed(seeds or [])
     while len(s.chosen) < s.n and total:
@@ -494,41 +503,58 @@ def greedy(facilities: DataFrame, cells: DataFrame, mode: str, radius: str = "in
             break
         best = s.next(mode, target)
         s.take(best, score=best["score"], **{p: best[p] for p in PARTS})
-    return s.frame(cells.sparkSession), s.covered_pop, total
 
 
-def remove_overlapping(areas: DataFrame, pairs: DataFrame, threshold: float = 0.80) -> DataFrame:
-    """Areas by volume, largest first, without those that have no cells, or more than ``threshold`` of them in the
-    union of the larger ones kept. Rows of ``pairs`` with a column ``n`` are so many cells each.
-
-    One job groups the cells by the set of areas they lie in; n circles cut the plane into n (n - 1) + 2 such sets at most,
-    so for a few dozen areas these counts are what the fold over the areas needs. Where there are more than PATTERNS sets
-    they stay a table and each area is one sum over it.
-    """
-    order = [r.facility_id for r in areas.orderBy(F.desc("volume"), "facility_id").select("facility_id").collect()]  # a few dozen
-    number = areas.sparkSession.createDataFrame(list(enumerate(order)), "area int, facility_id long")
-    cells = pairs.join(F.broadcast(number), "facility_id").groupBy("cell_id").agg(F.sort_array(F.collect_set("area")).alias("within"), F.max(F.col("n") if "n" in pairs.columns else F.lit(1)).alias("n"))  # of a few dozen numbers
-    patterns = table(cells.groupBy("within").agg(F.sum("n").alias("n")), "coverage-patterns")
-    few = [(set(r.within), r.n) for r in patterns.collect()] if patterns.count() <= PATTERNS else None
+def _kept(order: list[int], pairs: DataFrame, threshold: float) -> tuple[list[int], int]:
+    """The areas of ``order`` that ``remove_overlapping`` keeps, and the people of their cells."""
+    spark = pairs.sparkSession
+    number = spark.createDataFrame(pa.table({"area": pa.array(range(len(order)), pa.int32()), "facility_id": pa.array(order, pa.int64())}))
+    size = F.max(F.col("n") if "n" in pairs.columns else F.lit(1)).alias("n")
+    cells = pairs.join(F.broadcast(number), "facility_id").groupBy("cell_id").agg(F.sort_array(F.collect_set("area")).alias("within"), size, F.max("pop").alias("pop"))  # of a few dozen numbers
+    patterns = cells.groupBy("within").agg(F.sum("n").alias("n"), F.coalesce(F.sum("pop"), F.lit(0)).alias("pop"))
+    few = [(set(r.within), r.n, r["pop"]) for r in patterns.limit(PATTERNS + 1).collect()]
+    if len(few) > PATTERNS:
+        few, patterns = None, table(patterns, "coverage-patterns")
+    total = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
 
     def shares(area: int, kept: list[int]) -> tuple[int, int]:
         """Cells of an area, and those of them in any kept one."""
         if few is not None:
-            mine = [(w, n) for w, n in few if area in w]
+            mine = [(w, n) for w, n, _ in few if area in w]
             return sum(n for _, n in mine), sum(n for w, n in mine if not w.isdisjoint(kept))
         mine = patterns.where(F.array_contains("within", area))
-        r = mine.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.arrays_overlap("within", F.lit(kept)), F.col("n"))), F.lit(0))).first()
-        return r[0], r[1]
+        return tuple(mine.agg(F.coalesce(F.sum("n"), F.lit(0)), total("n", F.arrays_overlap("within", F.lit(kept)))).first())
 
     kept: list[int] = []
     for i in range(len(order)):
         own, shared = shares(i, kept) if i else (1, 0)
         if own and shared / own <= threshold:
             kept.append(i)
-    gone = [f for i, f in enumerate(order) if i not in set(kept)]
+    if few is not None:
+        people = sum(p for w, _, p in few if not w.isdisjoint(kept))
+    else:
+        people = patterns.agg(total("pop", F.arrays_overlap("within", F.lit(kept)))).first()[0]
+    return [order[i] for i in kept], int(people)
+
+
+def remove_overlapping(areas: DataFrame, pairs: DataFrame, threshold: float = 0.80) -> DataFrame:
+    """Areas by volume, largest first, without those that have no cells, or more than ``threshold`` of them in the
+    union of the larger ones kept. Rows of ``pairs`` with a column ``n`` are so many cells each.
+
+    One job groups the cells by the set of areas they lie in; n circles cut the plane into n (n - 1) + 2 such sets at most,
+    so for a few dozen areas these counts are what the fold over the areas needs. Where there are more than PATTERNS sets
+    they stay a table and each area is one sum over it.
+    """
+    order = _by_volume(areas)
+    kept = set(_kept(order, pairs, threshold)[0]) if order else set()
+    gone = [f for f in order if f not in kept]
     return areas.where(~F.col("facility_id").isin(gone)) if gone else areas
 
 
+def _by_volume(areas: DataFrame) -> list[int]:
+    return [r.facility_id for r in areas.orderBy(F.desc("volume"), "facility_id").select("facility_id").collect()]  # a few dozen
+
+
 def highest_volume(facilities: DataFrame, region: str = "governorate") -> DataFrame:
     """The facility of the highest volume in each region, the least id on ties."""
     w = Window.partitionBy(region).orderBy(F.coalesce("volume", F.lit(0)).desc(), "facility_id")
@@ -595,19 +621,31 @@ def _with_shares(picks: DataFrame, covered: DataFrame, facilities: DataFrame, ce
 
 def optimize(facilities: DataFrame, cells: DataFrame, objective: str, network_type: str = "INF", config: CoverageConfig = CoverageConfig(), radii: list[float] | None = None) -> CoverageResult:
     """The service areas for an objective: fewest, footprint, distance, governorate_tau_coverage, governorate_fewest."""
-    ready = table(initial_radii(facilities, cells, config), "coverage-radii")
+    places = cell_places(cells)
+    ready = table(initial_radii(facilities, places, config), "coverage-radii")
     if objective == "governorate_tau_coverage":
         picks, covered, total = governorate_coverage(ready, cells, radii or [config.max_radius], config.progress_tau, config)
         areas = adaptive_radii(ready.join(picks, "facility_id"))
-    else:
-        seeds = [r.facility_id for r in highest_volume(ready).orderBy("facility_id").collect()] if objective == "governorate_fewest" else None
-        mode = "fewest" if objective == "governorate_fewest" else objective
-        picks, covered, total = greedy(ready, cells, mode, config=config, seeds=seeds)
-        areas = ready.join(broadcast_if_small(picks), "facility_id").withColumn("service_radius_km", F.col("initial_radius_km"))
-        if objective in ("footprint", "distance"):
-            pairs = table(place_pairs(areas, cells, "service_radius_km"), "coverage-areas")
-            areas = remove_overlapping(areas, pairs)
-            covered = int(pairs.join(areas.select("facility_id"), "facility_id", "left_semi").select("cell_id", "pop").distinct().agg(F.sum("pop")).first()[0] or 0)
+        areas = areas.withColumn("network_type", F.lit(network_type)).withColumn("optimization_mode", F.lit(objective))
+        return CoverageResult(areas, objective, network_type, total, covered)
+    total = int(places.agg(F.sum("pop")).first()[0] or 0)
+    s = Selection(ready, places, "initial_radius_km", total, config)
+    return _optimized(s, ready, objective, network_type, total)
+
+
+def _optimized(s: Selection, ready: DataFrame, objective: str, network_type: str, total: int) -> CoverageResult:
+    """``optimize`` by a search, with a selection of ``ready`` that has nothing chosen yet. The areas have the radius that
+    the search is made with, so their cells are those of the selection."""
+    seeds = [r.facility_id for r in highest_volume(ready).orderBy("facility_id").collect()] if objective == "governorate_fewest" else None
+    _search(s, "fewest" if objective == "governorate_fewest" else objective, total, seeds)
+    picks, covered = s.frame(ready.sparkSession), s.covered_pop
+    areas = ready.join(F.broadcast(picks) if len(s.chosen) <= BROADCAST_ROWS else picks, "facility_id").withColumn("service_radius_km", F.col("initial_radius_km"))
+    if objective in ("footprint", "distance"):
+        order, covered = _by_volume(areas), 0
+        if order:
+            kept, covered = _kept(order, s.pairs.where(s.of(order)), 0.80)
+            gone = sorted({*order} - {*kept})
+            areas = areas.where(~F.col("facility_id").isin(gone)) if gone else areas
     areas = areas.withColumn("network_type", F.lit(network_type)).withColumn("optimization_mode", F.lit(objective))
     return CoverageResult(areas, objective, network_type, total, covered)
 

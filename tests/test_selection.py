@@ -93,3 +93,26 @@ def test_covered_cells_in_the_plan_or_in_batches(frames, monkeypatch, plan_cells
     assert bool(batches) == (plan_cells == 0)
     true = gains(s)
     assert {r.facility_id: (r.gain, r.seen, r.seen_cells) for r in s.now.collect()} == {f: true.get(f, (0, 0, 0)) for f in set(range(81)) - {3, 4, 70}}
+
+
+@pytest.mark.parametrize("patterns", [0, 200_000])
+def test_overlaps_are_told_from_the_selections_cells(frames, monkeypatch, patterns):
+    """The areas' cells are not looked for again, and the people covered are those of the areas that stay."""
+    from careshed.operators import spatial as sp
+
+    monkeypatch.setattr(cv, "PATTERNS", patterns)
+    met, whole = [], sp.range_join
+    monkeypatch.setattr(sp, "range_join", lambda *a: met.append(1) or whole(*a))
+    facilities = frames[0].drop("initial_radius_km")
+    config = cv.CoverageConfig(max_areas=30)
+    result = cv.optimize(facilities, frames[1], "distance", config=config)
+    areas = result.areas.collect()
+    assert len(met) == 2  # densities and the selection's cells
+    ready = cv.initial_radii(facilities, frames[1], config)
+    picks = cv.greedy(ready, frames[1], "distance", config=config)[0]
+    all_areas = ready.join(picks, "facility_id")
+    pairs = sp.place_pairs(all_areas, frames[1], "initial_radius_km")
+    kept = sorted(r.facility_id for r in cv.remove_overlapping(all_areas, pairs).collect())
+    assert sorted(r.facility_id for r in areas) == kept and len(kept) < picks.count()
+    cells = {p.cell_id: p["pop"] for p in pairs.collect() if p.facility_id in kept}
+    assert result.covered_pop == sum(cells.values()) and result.summary_df().first().covered_pop == result.covered_pop
