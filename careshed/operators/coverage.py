@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from copy import copy
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
 import numpy as np
@@ -195,6 +196,13 @@ class Selection:
             self.first = table(self.first.unionByName(begin(lone.select("facility_id", "cluster", "region", "volume_norm", *[v.alias(c) for c, v in none.items()]))), "coverage-now")
         self._begin()
 
+    def anew(self, config: CoverageConfig) -> Selection:
+        """A selection from the same rows with nothing chosen; the settings may change all but the radii."""
+        other = copy(self)
+        other.config = config
+        other._begin()
+        return other
+
     def _begin(self) -> None:
         self.now = self.first
         self.queue: list[dict] = []  # the best rows when they were last read, the next row's score, what was left then, and
@@ -213,7 +221,9 @@ class Selection:
     def _sums() -> list[Column]:
         """own, cells, mean_km and the box of a facility's pairs."""
         ends = [f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))]
-        far = F.sum(F.col("dist_km").cast("decimal(20,12)") * F.col("n").cast("decimal(10,0)")).cast("double")  # exact, so that facilities at one place tie
+        fixed = F.floor(F.col("dist_km") * 2.0**30 + 0.5)  # whole numbers, exact in any order, so that facilities at one place tie; two parts hold 2e10 cells at any distance
+        high, low = (F.sum(part * F.col("n")) for part in (F.shiftright(fixed, 16), fixed.bitwiseAND(F.lit(65_535))))
+        far = (high.cast("double") * 2.0**16 + low.cast("double")) / 2.0**30
         return [F.coalesce(F.sum("pop"), F.lit(0)).alias("own"), F.count("*").alias("cells"), (far / F.sum("n")).alias("mean_km"), *ends]
 
     def _rows_of_cells(self, own: DataFrame, radius: str | float) -> DataFrame:
@@ -621,16 +631,23 @@ def _with_shares(picks: DataFrame, covered: DataFrame, facilities: DataFrame, ce
 
 def optimize(facilities: DataFrame, cells: DataFrame, objective: str, network_type: str = "INF", config: CoverageConfig = CoverageConfig(), radii: list[float] | None = None) -> CoverageResult:
     """The service areas for an objective: fewest, footprint, distance, governorate_tau_coverage, governorate_fewest."""
-    places = cell_places(cells)
-    ready = table(initial_radii(facilities, places, config), "coverage-radii")
-    if objective == "governorate_tau_coverage":
-        picks, covered, total = governorate_coverage(ready, cells, radii or [config.max_radius], config.progress_tau, config)
-        areas = adaptive_radii(ready.join(picks, "facility_id"))
-        areas = areas.withColumn("network_type", F.lit(network_type)).withColumn("optimization_mode", F.lit(objective))
-        return CoverageResult(areas, objective, network_type, total, covered)
+    if objective != "governorate_tau_coverage":
+        return optimize_each(facilities, cells, [(objective, config)], network_type)[0]
+    ready = table(initial_radii(facilities, cell_places(cells), config), "coverage-radii")
+    picks, covered, total = governorate_coverage(ready, cells, radii or [config.max_radius], config.progress_tau, config)
+    areas = adaptive_radii(ready.join(picks, "facility_id"))
+    areas = areas.withColumn("network_type", F.lit(network_type)).withColumn("optimization_mode", F.lit(objective))
+    return CoverageResult(areas, objective, network_type, total, covered)
+
+
+def optimize_each(facilities: DataFrame, cells: DataFrame, wanted: list[tuple[str, CoverageConfig]], network_type: str = "INF") -> list[CoverageResult]:
+    """``optimize`` for several objectives (any but governorate_tau_coverage), whose settings differ in no radius: radii,
+    pairs and rows of facilities are made once for all."""
+    places, first = cell_places(cells), wanted[0][1]
+    ready = table(initial_radii(facilities, places, first), "coverage-radii")
     total = int(places.agg(F.sum("pop")).first()[0] or 0)
-    s = Selection(ready, places, "initial_radius_km", total, config)
-    return _optimized(s, ready, objective, network_type, total)
+    s = Selection(ready, places, "initial_radius_km", total, first)
+    return [_optimized(s.anew(config), ready, objective, network_type, total) for objective, config in wanted]
 
 
 def _optimized(s: Selection, ready: DataFrame, objective: str, network_type: str, total: int) -> CoverageResult:
@@ -652,11 +669,8 @@ def _optimized(s: Selection, ready: DataFrame, objective: str, network_type: str
 
 def climate_ablation(facilities: DataFrame, cells: DataFrame, objective: str, config: CoverageConfig = CoverageConfig()) -> DataFrame:
     """The summaries of an objective with and without the climate reward."""
-    from dataclasses import replace
-
-    on = optimize(facilities, cells, objective, config=replace(config, climate_on=True)).summary_df().withColumn("climate_on", F.lit(True))
-    off = optimize(facilities, cells, objective, config=replace(config, climate_on=False)).summary_df().withColumn("climate_on", F.lit(False))
-    return on.unionByName(off)
+    on, off = optimize_each(facilities, cells, [(objective, replace(config, climate_on=climate)) for climate in (True, False)])
+    return on.summary_df().withColumn("climate_on", F.lit(True)).unionByName(off.summary_df().withColumn("climate_on", F.lit(False)))
 
 
 def area_population(pairs: DataFrame, radius: DataFrame) -> DataFrame:

@@ -116,3 +116,38 @@ def test_overlaps_are_told_from_the_selections_cells(frames, monkeypatch, patter
     assert sorted(r.facility_id for r in areas) == kept and len(kept) < picks.count()
     cells = {p.cell_id: p["pop"] for p in pairs.collect() if p.facility_id in kept}
     assert result.covered_pop == sum(cells.values()) and result.summary_df().first().covered_pop == result.covered_pop
+
+
+def test_objectives_share_radii_and_rows(frames, monkeypatch):
+    """The ablation and the modes make pairs once, and give what each objective gives alone."""
+    from dataclasses import replace
+
+    from careshed.operators import spatial as sp
+
+    facilities, config = frames[0].drop("initial_radius_km"), cv.CoverageConfig(max_areas=8, min_areas=4)
+    wanted = [("fewest", config), ("footprint", config), ("distance", config), ("footprint", replace(config, climate_on=False))]
+    alone = [cv.optimize(facilities, frames[1], objective, config=c) for objective, c in wanted]
+    met, whole = [], sp.range_join
+    monkeypatch.setattr(sp, "range_join", lambda *a: met.append(1) or whole(*a))
+    together = cv.optimize_each(facilities, frames[1], wanted)
+    for a, b in zip(alone, together, strict=True):
+        assert (a.covered_pop, a.objective) == (b.covered_pop, b.objective)
+        assert sorted(map(str, a.areas.collect())) == sorted(map(str, b.areas.collect()))
+    assert len(met) == 2
+    rows = cv.climate_ablation(facilities, frames[1], "footprint", config).collect()
+    assert len(met) == 4
+    assert [(r.climate_on, r.covered_pop) for r in rows] == [(True, alone[1].covered_pop), (False, alone[3].covered_pop)]
+
+
+def test_mean_distances_do_not_depend_on_order(spark):
+    rng = random.Random(5)
+    pairs = [(f, rng.uniform(0, 20_000), rng.randrange(1, 10**7)) for f in range(3) for _ in range(200)]
+    for f in range(3):
+        own = [p for p in pairs if p[0] == f]
+        found = set()
+        for _ in range(4):
+            rng.shuffle(own)
+            df = spark.createDataFrame([(*p, 1, 0, 0) for p in own], "facility_id long, dist_km double, n long, pop long, x int, y int").repartition(3)
+            found.add(df.groupBy("facility_id").agg(*cv.Selection._sums()).first().mean_km)
+        assert len(found) == 1
+        assert found.pop() == pytest.approx(sum(d * n for _, d, n in own) / sum(n for _, _, n in own), abs=1e-9)
