@@ -27,7 +27,7 @@ TILE_KM, PAGE_ROWS = 10.0, 20_000
 #: Sets of areas that share a cell whose counts the driver may hold.
 PATTERNS = 200_000
 #: Rows of the queue of bounds, and picks whose changes are taken off the gains as they are read, before they are written.
-QUEUE, FOLD = 256, 8
+QUEUE, FOLD = 2_048, 8
 #: Cells that a facility's row may hold, facilities in a page of such rows, and cells of the queue's rows on the driver.
 ROW_CELLS, PAGE_FACILITIES, QUEUE_CELLS = 65_536, 256, 500_000
 #: Covered cells that a plan may name; more are looked up in Arrow batches.

@@ -151,3 +151,21 @@ def test_mean_distances_do_not_depend_on_order(spark):
             found.add(df.groupBy("facility_id").agg(*cv.Selection._sums()).first().mean_km)
         assert len(found) == 1
         assert found.pop() == pytest.approx(sum(d * n for _, d, n in own) / sum(n for _, _, n in own), abs=1e-9)
+
+
+def test_a_seeded_search_reads_the_queue_seldom(spark, monkeypatch):
+    """Facilities crowd in few places, so the best hundreds overlap: the queue is long enough to go beyond them."""
+    rng = random.Random(11)
+    near = [(35.2 + rng.random() / 20, 30.2 + rng.random() / 20) for _ in range(900)]
+    facilities = spark.createDataFrame([(i, *(near[i] if i < 900 else (35 + rng.random(), 30 + rng.random())), 40 + i % 10, i % 4, 25.0 if i < 900 else 8.0) for i in range(1_200)], "facility_id long, lon double, lat double, volume long, climate_k int, initial_radius_km double")
+    cells = spark.createDataFrame([(i, 35 + (i % 30) / 30, 30 + (i // 30) / 30, 50) for i in range(900)], "cell_id long, lon double, lat double, pop long")
+    reads, read = [], cv.Selection._read
+    monkeypatch.setattr(cv.Selection, "_read", lambda s, *a: (reads.append(len(s.chosen)), read(s, *a)))
+    config, out = cv.CoverageConfig(min_areas=12, max_areas=12, fewest_pct=1.0), []
+    for rows in (256, cv.QUEUE):
+        monkeypatch.setattr(cv, "QUEUE", rows)
+        reads.clear()
+        picks, covered, _ = cv.greedy(facilities, cells, "fewest", config=config, seeds=[1_100])
+        out.append((len(reads), covered, sorted(map(tuple, picks.collect()))))
+    assert out[0][1:] == out[1][1:] and len(out[1][2]) == 12
+    assert out[1][0] == 1 < out[0][0]
