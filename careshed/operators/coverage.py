@@ -10,7 +10,7 @@ from functools import cached_property, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from careshed.core.work import BROADCAST_ROWS, in_arrow, table
@@ -353,19 +353,21 @@ class Selection:
         known = F.create_map(*[F.lit(x) for k, n in self.clusters.items() for x in (k, n)])
         return F.coalesce(F.try_element_at(known, F.col("cluster")), F.lit(0))
 
-    def best(self, parts: dict[str, Column], value: Callable[[dict[str, Column]], Column], where: Column | None = None) -> dict | None:
-        """The free facility of the greatest value of its parts, the least id of equals; with its parts."""
+    def best(self, parts: dict[str, Column], value: Callable[[dict[str, Column]], Column], where: Column | None = None, write: bool = True) -> dict | None:
+        """The free facility of the greatest value of its parts, the least id of equals; with its parts. Without ``write``
+        changes are taken off as the gains are read, and written after FOLD picks, where covered cells are known."""
         columns = [F.col(c) for c in ("cluster", "cells", "own", "gain", *BOX)]
         worth = value(parts)
         own = F.struct(worth.alias("score"), (-F.col("facility_id")).alias("order"), "facility_id", *columns, *[c.cast("double").alias(p) for p, c in parts.items()])
         wanted = worth.isNotNull() if where is None else worth.isNotNull() & where
         top = F.max(F.when(wanted, own)).alias("best")
-        if self.pending:
+        if self.pending and (write or self.pending >= FOLD or not self._tell()):
             seen = Observation()
             self.now = table(self._changed().observe(seen, top), "coverage-now")
             self.pending, found = 0, seen.get["best"]
         else:
-            found = self.now.agg(top).first()["best"]
+            rows = self._changed() if self.pending else self.now
+            found = (rows if where is None else rows.where(where)).agg(top).first()["best"]  # others are not counted
         return found and found.asDict()
 
     def seed(self, facility_ids: list[int]) -> None:
@@ -567,8 +569,9 @@ def _by_volume(areas: DataFrame) -> list[int]:
 
 def highest_volume(facilities: DataFrame, region: str = "governorate") -> DataFrame:
     """The facility of the highest volume in each region, the least id on ties."""
-    w = Window.partitionBy(region).orderBy(F.coalesce("volume", F.lit(0)).desc(), "facility_id")
-    return facilities.where(F.col(region).isNotNull()).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    rank = F.struct((-F.coalesce("volume", F.lit(0))).alias("volume"), "facility_id")
+    best = F.min_by(F.struct(*facilities.columns), rank).alias("__best")  # combined before the shuffle: a region may hold most rows
+    return facilities.where(F.col(region).isNotNull()).groupBy(region).agg(best).select("__best.*")
 
 
 def governorate_coverage(facilities: DataFrame, cells: DataFrame, radii: list[float], tau: float = 0.60, config: CoverageConfig = CoverageConfig()) -> tuple[DataFrame, int, int]:
@@ -582,12 +585,13 @@ def governorate_coverage(facilities: DataFrame, cells: DataFrame, radii: list[fl
     """
     spark, total = cells.sparkSession, int(cells.agg(F.sum("pop")).first()[0] or 0)
     target, last = int(total * tau), None
+    places = cell_places(cells)
     enough = tau * target if config.tau_as_coded else target
     cells_in = cells.select("cell_id", "lon", "lat", "pop", *[c for c in ("governorate",) if c in cells.columns])
     named = facilities.where("governorate IS NOT NULL").groupBy("governorate").agg(F.min("facility_id").alias("first")).orderBy("first")
     regions = [x.governorate for x in named.collect()]  # a row for each governorate
     for r in sorted(radii, reverse=True):
-        s = Selection(facilities, cells, r, total, config, regions)
+        s = Selection(facilities, places, r, total, config, regions)
         if last and (s.all_cells().agg(F.sum("pop")).first()[0] or 0) < enough:
             break  # all facilities together fall short here, and so they do at every smaller radius
 
@@ -597,15 +601,15 @@ def governorate_coverage(facilities: DataFrame, cells: DataFrame, radii: list[fl
 
         for g in range(len(regions)):
             worth = config.coverage * F.col("gain") + config.climate * F.when(F.col("cluster") >= 0, reward()).otherwise(0.0)
-            best = s.best({}, lambda _, worth=worth: worth, F.col("region") == g + 1)
+            best = s.best({}, lambda _, worth=worth: worth, F.col("region") == g + 1, False)
             if best:
                 s.take(best, score=best["score"])
         while s.covered_pop < target:
             seen = F.col("seen_cells") if config.overlap_as_coded else F.col("seen")
             needy = (F.col("cluster") >= 0) & (s.cluster_count() < config.min_per_cluster)
             worth = config.coverage * F.col("gain") - config.overlap * F.try_divide(seen, F.col("own")) * s.total + config.climate * F.when(F.col("cluster") >= 0, reward()).otherwise(0.0) + config.volume * F.col("volume_norm") * s.total
-            best = s.best({}, lambda _, worth=worth: worth, (F.col("own") > 0) & needy)
-            best = best if best or config.needy_as_coded else s.best({}, lambda _, worth=worth: worth, F.col("own") > 0)
+            best = s.best({}, lambda _, worth=worth: worth, (F.col("own") > 0) & needy, False)
+            best = best if best or config.needy_as_coded else s.best({}, lambda _, worth=worth: worth, F.col("own") > 0, False)
             if best is None or best["score"] <= 0:
                 break
             s.take(best, score=best["score"])

@@ -169,3 +169,29 @@ def test_a_seeded_search_reads_the_queue_seldom(spark, monkeypatch):
         out.append((len(reads), covered, sorted(map(tuple, picks.collect()))))
     assert out[0][1:] == out[1][1:] and len(out[1][2]) == 12
     assert out[1][0] == 1 < out[0][0]
+
+
+def test_highest_volume_sends_a_row_for_each_region(spark):
+    rows = [(i, i % 3 if i % 5 else None, [None, 5, 9, 9][i % 4], f"H{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "facility_id long, governorate long, volume long, name string").repartition(4)
+    got = cv.highest_volume(df)
+    want = {}
+    for r in sorted(rows, key=lambda r: (-(r[2] or 0), r[0])):
+        if r[1] is not None:
+            want.setdefault(r[1], r)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(want.values())
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_governorates_write_gains_seldom(frames, monkeypatch):
+    """A pick in a governorate takes the changes off as it reads; both ways choose the same."""
+    facilities = frames[0].withColumn("governorate", F.concat(F.lit("G"), F.col("facility_id") % 7))
+    written, whole, out = [], cv.table, []
+    monkeypatch.setattr(cv, "table", lambda df, name, **rest: written.append(name) or whole(df, name, **rest))
+    for most in (65_536, -1):
+        monkeypatch.setattr(cv, "ROW_CELLS", most)
+        written.clear()
+        picks, covered, _ = cv.governorate_coverage(facilities, frames[1], [25.0], 0.6)
+        out.append((covered, sorted(map(tuple, picks.collect())), written.count("coverage-now")))
+    assert out[0][:2] == out[1][:2] and len(out[0][1]) >= 7
+    assert out[0][2] <= 1 + len(out[0][1]) // cv.FOLD < out[1][2]
