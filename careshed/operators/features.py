@@ -11,6 +11,9 @@ from pyspark.sql.types import NumericType
 from careshed.functions.scalars import season
 from careshed.operators.moments import correlations, exact_quantiles
 
+#: Decimals of a correlation that are told apart: what comes after them is the order in which rows were added up.
+R_DIGITS = 9
+
 
 def merge_families(families: list[DataFrame], keys: list[str]) -> DataFrame:
     """Full outer join of the families on the keys; of columns that several have, the first family's stays."""
@@ -118,8 +121,13 @@ def target_correlation(df: DataFrame, target: str, features: list[str]) -> DataF
     return df.agg(F.array(*cells).alias("s")).select(F.inline("s"))
 
 
+def strongest_first(correlations: DataFrame) -> DataFrame:
+    """By the size of r, equal ones in the order of the list. A column and one minus it are equal but for the last digits."""
+    return correlations.orderBy(F.round(F.abs("r"), R_DIGITS).desc_nulls_last(), "ord")
+
+
 def top_features(correlations: DataFrame, k: int) -> DataFrame:
-    return correlations.where("r IS NOT NULL").orderBy(F.abs("r").desc(), "ord").limit(k)
+    return strongest_first(correlations.where("r IS NOT NULL")).limit(k)
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:

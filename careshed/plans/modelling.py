@@ -23,7 +23,7 @@ def modelling_table(families: list[DataFrame], counts: DataFrame, area: str, wee
     names = ft.numeric_columns(panel, fixed)
     basis = panel.where("split = 'train'") if fit_on == "train" else panel
     ranked = table(ft.top_features(ft.target_correlation(basis, target, names), top), "modelling-ranks")
-    order = [r.feature for r in sorted(ranked.collect(), key=lambda r: (-abs(r.r), r.ord))]  # one row for each feature
+    order = [r.feature for r in ft.strongest_first(ranked).collect()]  # one row for each feature
     kept = {r.feature for r in ft.prune_collinear(ft.correlation_matrix(basis, order), ranked, limit).collect()} if len(order) > 1 else set(order)
     return panel.select(*keys, target, "week_number", "week_of_year", "month", "quarter", "season", "days_since_start", "split", *[f for f in order if f in kept])
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from careshed.operators import features as ft
 from careshed.operators import models as m
+from careshed.plans.modelling import modelling_table
 
 
 def test_prune_counts_dropped_features_as_earlier(spark):
@@ -29,6 +30,25 @@ def test_constant_columns_have_no_correlation(spark):
     assert [r.feature for r in ft.top_features(ft.target_correlation(df, "y", ["flat", "z"]), 5).collect()] == ["z"]
 
 
+def test_equal_correlations_keep_the_order_of_the_list(spark):
+    """Their last digits come from the order in which rows were added up."""
+    rows = [("dry", 3, 0.010898746891966828), ("rain", 1, 0.93), ("wet", 2, -0.010898746891960874), ("flat", 0, None), ("less", 4, 0.0108987)]
+    r = spark.createDataFrame(rows, "feature string, ord int, r double")
+    assert [x.feature for x in ft.top_features(r, 2).collect()] == ["rain", "wet"]
+    assert [x.feature for x in ft.top_features(r, 9).collect()] == ["rain", "wet", "dry", "less"]
+
+
+def test_a_feature_and_its_complement_leave_the_first(spark):
+    """dry_heat is 1 - wetday_frac where every week is hot, so one of the two goes: the later one, whichever |r| is larger."""
+    for seed in range(2):
+        rng = np.random.default_rng(seed)
+        weeks = [(k % 3, f"2024-{1 + k // 84:02d}-{1 + k // 3 % 28:02d}", int(rng.integers(1, 9)), float(rng.integers(1, 99)) / 100) for k in range(300)]
+        df = spark.createDataFrame(weeks, "area int, week string, cases int, wetday_frac double").withColumn("week", F.to_date("week"))
+        df = df.withColumn("t_max", F.lit(40.0)).coalesce(1)
+        table = modelling_table([df.select("area", "week", "wetday_frac", "t_max")], df.select("area", "week", "cases"), "area", "week", "cases")
+        assert "wetday_frac" in table.columns and "dry_heat" not in table.columns
+
+
 def test_lags_stay_inside_their_split(spark):
     df = spark.createDataFrame([("train", 1, w, w * 10) for w in (1, 2)] + [("val", 1, 3, 30)], "split string, area int, week int, y int")
     got = {r.week: r.y_lag1 for r in ft.lagged(df, "y", "area", "week", "split").collect()}
