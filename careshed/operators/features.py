@@ -130,6 +130,12 @@ def top_features(correlations: DataFrame, k: int) -> DataFrame:
     return strongest_first(correlations.where("r IS NOT NULL")).limit(k)
 
 
+def ranked_features(correlations: DataFrame) -> tuple[list[str], list[str]]:
+    """The features with a correlation, the strongest first, and those without, in the order of the list."""
+    rows = strongest_first(correlations).collect()  # one row for each feature
+    return [r.feature for r in rows if r.r is not None], [r.feature for r in rows if r.r is None]
+
+
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """(i, j, left, right, r) of the upper triangle, from moments that tasks add up in blocks."""
     names = F.array(*[F.lit(f) for f in features])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from careshed.core.work import table
 from careshed.operators import features as ft
@@ -34,6 +35,8 @@ def compare_models(panel: DataFrame, features: list[str], area: str, week: str,
     rows = table(ft.one_hot(rows, "season", ["Fall", "Spring", "Summer", "Winter"]), "modelling-lags")
     lags = [f"{target}_lag1", f"{target}_lag2"]
     temporal = ["week_of_year", "month", "days_since_start"]
-    ranked = ft.top_features(ft.target_correlation(rows.where("split = 'train'"), target, features), 10).collect()  # ten rows
-    chosen = models.feature_sets(temporal, [r.feature for r in ranked], lags)
+    train = rows.where("split = 'train'")
+    known = train.agg(*[F.count(c).alias(c) for c in features]).first()  # a feature without values would leave no row to fit
+    top, rest = ft.ranked_features(ft.target_correlation(train, target, [c for c in features if known[c]]))
+    chosen = models.feature_sets(temporal, top, lags, rest)
     return models.compare(rows, {k: f for k, f in chosen.items() if sets is None or k in sets}, target, fits)

@@ -33,8 +33,8 @@ def _fit(v, fit):
 
 @query("m2_feature_sets", "SELECT 'AR_only' AS feature_set, 2 AS n UNION ALL SELECT 'AR_temporal', 5 UNION ALL SELECT 'AR_top5', 7 UNION ALL SELECT 'AR_top10', CAST(2 + (SELECT count(*) FROM cr WHERE r IS NOT NULL) AS INT) UNION ALL SELECT 'AR_temporal_top5', 10", H)
 def m2(v):
-    top = [r.feature for r in ft.top_features(ft.target_correlation(v.panel, "cases", q.FEATURES), 10).collect()]
-    sets = m.feature_sets(["week_of_year", "month", "days_since_start"], top, ["cases_lag1", "cases_lag2"])
+    top, rest = ft.ranked_features(ft.target_correlation(v.panel, "cases", q.FEATURES))
+    sets = m.feature_sets(["week_of_year", "month", "days_since_start"], top, ["cases_lag1", "cases_lag2"], rest)
     return v.spark.createDataFrame([(k, len(f)) for k, f in sets.items()], "feature_set string, n int")
 
 

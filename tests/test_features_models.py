@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from careshed.operators import features as ft
 from careshed.operators import models as m
-from careshed.plans.modelling import modelling_table
+from careshed.plans.modelling import compare_models, modelling_table
+from careshed.queries import models as qm
 
 
 def test_prune_counts_dropped_features_as_earlier(spark):
@@ -49,6 +52,24 @@ def test_a_feature_and_its_complement_leave_the_first(spark):
         assert "wetday_frac" in table.columns and "dry_heat" not in table.columns
 
 
+def test_the_best_five_are_five_where_columns_are_constant(spark):
+    rows = [(k, k % 7, float(k % 5), float(k % 3), 40.0, float(k % 4), float(k % 6), 50.0, 1.0) for k in range(60)]
+    panel = spark.createDataFrame(rows, "hsa_id int, cases int, p_total double, p_mean double, t_max double, t_mean double, wetday_frac double, p_max double, flat double")
+    got = {r.feature_set: r.n for r in qm.m2(SimpleNamespace(panel=panel, spark=spark)).collect()}
+    assert got == {"AR_only": 2, "AR_temporal": 5, "AR_top5": 7, "AR_top10": 6, "AR_temporal_top5": 10}  # as the SQL has it
+    assert m.feature_sets([], ["a"], ["l"], ["b", "c", "d", "e", "f"])["AR_top5"] == ["l", "a", "b", "c", "d", "e"]
+    assert m.feature_sets([], ["a"], ["l"], ["b"])["AR_top10"] == ["l", "a"]
+
+
+def test_models_are_fitted_with_constant_features_and_without_empty_ones(spark):
+    rng = np.random.default_rng(5)
+    rows = [(a, w, int(rng.integers(0, 30)), ("train", "val", "test")[w // 20], "Fall", w, w // 5, w * 7, 40.0, None, float(rng.normal())) for a in range(3) for w in range(60)]
+    panel = spark.createDataFrame(rows, "area int, week int, cases int, split string, season string, week_of_year int, month int, days_since_start int, hot double, none double, x double")
+    board = compare_models(panel, ["hot", "none", "x"], "area", "week", "cases", {"ridge": m.ridge})
+    assert {r.feature_set: r.n_features for r in board.collect()} == {"AR_only": 2, "AR_temporal": 5, "AR_top5": 4, "AR_top10": 3, "AR_temporal_top5": 7}
+    assert all(r.rmse > 0 and r.test_rmse > 0 for r in board.collect())
+
+
 def test_lags_stay_inside_their_split(spark):
     df = spark.createDataFrame([("train", 1, w, w * 10) for w in (1, 2)] + [("val", 1, 3, 30)], "split string, area int, week int, y int")
     got = {r.week: r.y_lag1 for r in ft.lagged(df, "y", "area", "week", "split").collect()}
